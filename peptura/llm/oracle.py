@@ -28,3 +28,29 @@ FROM c LEFT JOIN best b USING (page_id) LEFT JOIN listed l ON c.canon = l.canon
 """
 
 _W = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_W}')"
+
+ORACLE["op9_decontaminate"] = f"""
+WITH iw AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, {_ALNUM} AS w FROM benchmark
+), grams AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i + 1 : i + least(len(w), 13)], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 12, least(len(w), 1)))) AS i FROM iw)
+), dw AS (
+  SELECT doc_id, {_ALNUM} AS w FROM documents
+), dg AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS i FROM dw, (SELECT DISTINCT n FROM grams))
+), hit AS (
+  SELECT DISTINCT dg.doc_id, dg.i, dg.n, grams.item_id FROM dg JOIN grams ON dg.n = grams.n AND dg.g = grams.g
+), cover AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
