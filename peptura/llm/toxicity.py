@@ -267,6 +267,8 @@ def fit(
     owner, label = np.array([d for d, _ in flat]), np.array([docs[d][0] for d, _ in flat], np.float32)
     words, idx = number([w for _, w in flat])
     feats = Features.of(words)
+    more = min(12, max(1, -(-150 * batch // (sum(rounds) * len(flat)))))  # small samples are read more often
+    rounds = (rounds[0] * more, rounds[1] * more)
     for turn in range(sum(rounds)):
         use = np.arange(len(flat))
         if turn >= rounds[0]:  # of toxic texts only the worst window
