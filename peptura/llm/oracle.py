@@ -72,3 +72,20 @@ WITH RECURSIVE w AS (SELECT doc_id, {_WS} AS w FROM documents
 ), c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
+
+ORACLE["op3_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 35], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 34, 0))) AS i FROM w)
+), twice AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1
+), cover AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM g WHERE g IN (SELECT g FROM twice)
+), word AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS x FROM w
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN cover USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
