@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .arrow import over_slices
 from .common import WordHashes, alnum_words, ngram_hashes
@@ -138,19 +139,25 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     index_bytes: int = 16 << 20,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (sorted strings), spans (start, end, start, end ... in words)."""
+    """doc_id, text, n_words, n_hit, items (sorted strings), spans (start, end, start, end ... in words), and the columns
+    of the input named in keep."""
     bench = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     total = bench.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     parts = max(1, -(-int(total) // index_bytes))
-    out = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text", "cast(0 as bigint) n_words", "cast(array() as array<string>) items", "cast(array() as array<int>) spans")
-    schema = "doc_id long, text string, n_words long, items array<string>, spans array<int>"
+    out = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<string>").alias("items"), F.array().cast("array<int>").alias("spans"), *keep,
+    )
+    kinds = zip(out.columns[:5], (LongType(), StringType(), LongType(), ArrayType(StringType()), ArrayType(IntegerType())), strict=True)
+    schema = StructType([StructField(n, k) for n, k in kinds] + [out.schema[k] for k in keep])
     for part in range(parts):
         own = bench if parts == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in own.collect()], window, k))
         out = out.mapInArrow(over_slices(_matcher(index), 1), schema)
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda a, x: a + x)
-    return out.select("doc_id", "text", "n_words", hit.cast("long").alias("n_hit"), "items", "spans")
+    return out.select("doc_id", "text", "n_words", hit.cast("long").alias("n_hit"), "items", "spans", *keep)
 
 
 def _matcher(index):
@@ -173,8 +180,8 @@ def _matcher(index):
                 spans[d] = _runs(own)
                 items[d] = sorted({*items[d], *(ix.ids[i] for i in pairs[pairs[:, 0] == d, 1])})
             return pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(n), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32()))],
-                names=["doc_id", "text", "n_words", "items", "spans"],
+                [part.column(0), part.column(1), pa.array(n), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32())), *part.columns[5:]],
+                names=part.schema.names,
             )
 
         return step

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import over_slices
 from .common import alnum_words, mix
@@ -267,7 +268,8 @@ def fit(
     owner, label = np.array([d for d, _ in flat]), np.array([docs[d][0] for d, _ in flat], np.float32)
     words, idx = number([w for _, w in flat])
     feats = Features.of(words)
-    more = min(12, max(1, -(-150 * batch // (sum(rounds) * len(flat)))))  # small samples are read more often
+    batch = min(batch, max(24, len(flat) // 30))
+    more = min(40, max(1, -(-(400 if len(flat) < 3000 else 200) * batch // (sum(rounds) * len(flat)))))  # small samples are read more often
     rounds = (rounds[0] * more, rounds[1] * more)
     for turn in range(sum(rounds)):
         use = np.arange(len(flat))
@@ -396,8 +398,9 @@ def score_toxicity(
     clean_times: float = 1.6,
     per_doc: int = 8,
     train_docs: DataFrame | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, text, held_out, score, predicted."""
+    """doc_id, text, held_out, score, predicted, and the columns of the input named in keep."""
     sample = sample_windows(train_docs if train_docs is not None else docs, labels, (int(per_label * clean_times), per_label), per_doc, id_col, text_col)
     model = fit(sample, threshold=threshold)
     sent = docs.sparkSession.sparkContext.broadcast(model.p)
@@ -406,14 +409,16 @@ def score_toxicity(
         scorer = Scorer(Model(sent.value))
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scorer(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "text", "score"])
+            scores = pa.array(scorer(part.column(1).to_pylist()), pa.float64())
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), scores, *part.columns[2:]], names=["doc_id", "text", "score", *keep])
 
         return step
 
-    df = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), df.schema["text"], T.StructField("score", T.DoubleType()), *(df.schema[k] for k in keep)])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return df.mapInArrow(over_slices(make, 1), "doc_id long, text string, score double").select(
-        "doc_id", "text", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    return df.mapInArrow(over_slices(make, 1), schema).select(
+        "doc_id", "text", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep
     )
 
 
