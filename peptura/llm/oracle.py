@@ -93,8 +93,8 @@ FROM w LEFT JOIN kept USING (doc_id)
 ORACLE["op1_embedding_dedup"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND list_sum(list_transform(embedding, x -> x::DOUBLE * x)) > 0
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0
 ), l AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
   WHERE list_cosine_similarity(x.e, y.e) >= 0.98
