@@ -71,10 +71,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="peptura-ckpt-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, with their lineage cut."""
+def cut(df: DataFrame, rows: int | None = None, per: int = 100_000) -> DataFrame:
+    """The rows written to the shared checkpoint folder, with their lineage cut.
+
+    rows: an upper bound of their number, if known: then no more partitions are written than ``rows / per`` (8 at least),
+    so that small tables don't leave thousands of tiny files in this and every later shuffle.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return few(df, rows, per).checkpoint(eager=True)
+
+
+def few(df: DataFrame, rows: int | None, per: int = 100_000) -> DataFrame:
+    """No more partitions than rows / per, 8 at least; partitions are merged, not shuffled."""
+    return df if rows is None else df.coalesce(max(8, -(-rows // per)))
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -88,36 +97,30 @@ def parts_for(df: DataFrame, per: int = 32 << 20) -> int:
     return int(min(max(least, input_bytes(df) // per), 200_000))
 
 
-def shared_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components by alternating hash-to-min: every round is a shuffle, nothing is gathered.
+def shared_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60, settle: bool = True) -> DataFrame:
+    """Connected components by alternating large-star and small-star steps: every round is shuffles, nothing is gathered.
 
-    edges: (a, b) of any order. Returns (node, comp), comp the smallest node reachable. Each round links every
-    node with the smallest known node near it (large-star, small-star), so rounds grow with the log of the
-    diameter. Groups are reduced by min with map-side combining, so a hub does not land whole in one task.
+    edges: (a, b) of any order. Returns (node, comp), comp the smallest node reachable, for nodes that have an edge and
+    are not the smallest. Rounds grow with the log of the diameter. Groups are reduced by min with map-side combining, so
+    a hub does not land whole in one task. settle=False stops after ``most_rounds`` with labels that may be too fine.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    rows, before = e.count(), None
     for _ in range(most_rounds):
         # large star: neighbours larger than the node move to the node's smallest neighbour
-        both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
+        both = few(e.select("a", "b").union(e.select(F.col("b"), F.col("a"))), 2 * rows).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = few(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b"), rows)
         # small star: every smaller neighbour moves to the smallest one
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        nxt = (
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-        )
-        e = cut(nxt)
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = cut(few(small.union(low.select("a", F.col("m").alias("b"))).where("a <> b"), 2 * rows).distinct(), 2 * rows)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if settle:
+            raise RuntimeError("components did not settle")
+        e = e.groupBy("a").agg(F.min("b").alias("b"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-
-

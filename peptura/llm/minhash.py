@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import over_slices
-from .common import WordHashes, cut, mix, ngram_hashes, shared_components, ws_words
+from .common import WordHashes, cut, few, mix, ngram_hashes, shared_components, ws_words
 
 CHUNKS, CHUNK = 10, 5
 SYMBOLS = CHUNKS * CHUNK
@@ -222,12 +222,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept; one row per input row."""
     base = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
     signed = cut(base.mapInArrow(over_slices(_signer(shingle), 1), "doc_id long, n_shingles long, node long, k2 long, sig binary"))
-    nodes = cut(
-        signed.where("n_shingles > 0").groupBy("node", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    )
+    rows = signed.count()
+    nodes = signed.where("n_shingles > 0").groupBy("node", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    nodes = cut(nodes, rows, 20_000)
     keys = nodes.select("node", "sig").mapInArrow(_key_rows, "key long, node long")
     counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = cut(keys.join(counts, "key"))  # the members of keys with more than one
+    shared = cut(keys.join(counts, "key"), SYMBOLS * rows, 2_000_000)  # the members of keys with more than one
     links = _linked(base, nodes, shared, shingle)
     comp = shared_components(docs.sparkSession, links)
     named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _linked(base: DataFrame, nodes: DataFrame, shared: DataFrame, shingle: int) -> DataFrame:
     """Confirmed links (a, b) of nodes: enough of them that components come out whole."""
-    spark = base.sparkSession
+    spark, members = base.sparkSession, shared.count()
     facts = nodes.select("node", "n", "sig")
     # 1. every member with its key's hub
     weight = shared.groupBy("node").agg(F.sum("c").alias("w"))
@@ -249,7 +249,7 @@ def _linked(base: DataFrame, nodes: DataFrame, shared: DataFrame, shingle: int)
     want = shared.select("node").distinct().join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
     texts = base.join(want.select("doc_id").distinct().hint("shuffle_hash"), "doc_id")
     sets = texts.select("doc_id", "text").mapInArrow(over_slices(_sets(shingle), 1), "node long, members binary").dropDuplicates(["node"])
-    sets = cut(sets.join(want.select("node"), "node", "left_semi"))
+    sets = cut(sets.join(want.select("node"), "node", "left_semi"), members, 20_000)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab")
@@ -257,15 +257,17 @@ def _linked(base: DataFrame, nodes: DataFrame, shared: DataFrame, shingle: int)
 
     a, b = (facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     able = star.join(a, "a").join(b, "b").where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
-    links = cut(confirmed(able.select("a", "b", "sig_a", "sig_b").mapInArrow(_near_sigs, "a long, b long")))
+    links = cut(confirmed(few(able.select("a", "b", "sig_a", "sig_b"), members).mapInArrow(_near_sigs, "a long, b long")), members)
     # 2. what is left in keys of three or more members: pairs of different components
-    comp = shared_components(spark, links)
+    comp = shared_components(spark, links, most_rounds=2, settle=False)  # too fine a label only means more pairs
     left = shared.where("c > 2").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    left = cut(left.join(mixed.select("key", "size"), "key"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    left = cut(left.join(mixed.select("key", "size"), "key"), members)
+    left_nodes = left.select("node").distinct()
+    total = left_nodes.join(facts, "node").agg(F.sum("n")).first()[0] or 0
+    parts = max(16, -(-int(total) // 4_000_000))  # shingles in one part: 64 MB
     own = (
-        sets.join(left.select("node").distinct(), "node", "left_semi")
+        sets.join(left_nodes, "node", "left_semi")
         .mapInArrow(_spread(parts), "part long, nodes binary, shingles binary")
         .groupBy("part").applyInArrow(_alone, "node long, own long")
         .groupBy("node").agg(F.sum("own").alias("own"))
@@ -279,5 +281,5 @@ def _linked(base: DataFrame, nodes: DataFrame, shared: DataFrame, shingle: int)
         F.when(F.col("own_block") == F.col("other"), 0).when(F.col("own_block") < F.col("other"), 1).otherwise(2).alias("side"),
         "node", "comp", "n", "m", "sig",
     )
-    rest = rows.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_block_pairs, "a long, b long").distinct()
-    return cut(links.union(confirmed(rest)))
+    rest = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_block_pairs, "a long, b long").distinct()
+    return cut(links.union(confirmed(rest)), members)

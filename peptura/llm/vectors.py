@@ -176,18 +176,20 @@ def near_vectors(
     rows = embeddings.selectExpr(f"cast(`{id_col}` as bigint) vec_id", f"cast(`{label_col}` as string) label", f"cast(`{vec_col}` as array<double>) embedding")
     rows = rows.mapInArrow(_unit, "vec_id long, label string, unit binary").withColumn("node", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit")))
     rows = cut(rows)
+    n = rows.count()
     nodes = cut(
         rows.where("node is not null")
         .groupBy("node", "label")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("unit").alias("unit"))
-    )
+        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("unit").alias("unit")),
+        n, 10_000,
+    )
     tree = F.explode(F.sequence(F.lit(1), F.lit(trees)))
     cells = nodes.select("node", "unit", "label", tree.alias("tree")).select(
         F.xxhash64("tree", "label", F.length("unit")).alias("cell"), "node", "unit", F.lit(0).cast("long").alias("parent")
     )
     leaves = None
     while True:
-        cells = cut(cells)
+        cells = cut(cells, 4 * trees * n, 40_000)
         sizes = cells.groupBy("cell").agg(F.count("*").alias("c"), F.max("parent").alias("parent"))
         # parent: size of the cell it came from; -1 where no cut was found. Cells that did not shrink are leaves
         big = sizes.where(f"c > {LEAF} and (parent = 0 or (parent > 0 and c <= 0.9 * parent))").select("cell", "c")
@@ -200,7 +202,7 @@ def near_vectors(
             break
         routed = large.join(cuts, "cell").select("cell", "node", "unit", "c", "paths", "at")
         cells = routed.mapInArrow(_route, "cell long, node long, unit binary, parent long")
-    leaves = cut(leaves.distinct())
+    leaves = cut(leaves.distinct(), 4 * trees * n)
     own = leaves.groupBy("node").agg(F.collect_list("leaf").alias("leaves"))
     member = leaves.join(leaves.groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1"), "leaf")
     member = member.join(own, "node").join(nodes.select("node", "unit", "w"), "node")
