@@ -1,0 +1,98 @@
+"""Peptide-spectrum matches."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.sequences import HYBRID_PREFIX
+from ..operators import psms as P
+from . import adapters as A
+from . import query
+
+_Q = """won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample, scan ORDER BY score DESC, is_decoy DESC, psm_id) AS r FROM psms) WHERE r = 1),
+per AS (SELECT score, count(*) FILTER (WHERE is_decoy) AS d, count(*) FILTER (WHERE NOT is_decoy) AS t FROM won GROUP BY score),
+f AS (SELECT score, least(1.0, (sum(d) OVER (ORDER BY score DESC) + 1) / greatest(sum(t) OVER (ORDER BY score DESC), 1)::DOUBLE) AS fdr FROM per),
+q AS (SELECT score, min(fdr) OVER (ORDER BY score) AS q_value FROM f),
+scored AS (SELECT won.*, q_value FROM won JOIN q USING (score) WHERE NOT is_decoy)"""
+
+
+@query(f"WITH {A.PSMS}, {_Q} SELECT psm_id, sample, scan, score, round(q_value, 9) AS q_value FROM scored")
+def tdc_q_value(t):
+    return P.tdc_q_value(t.psms).select("psm_id", "sample", "scan", "score", F.round("q_value", 9).alias("q_value"))
+
+
+@query(f"WITH {A.PSMS}, {_Q} SELECT psm_id, score FROM scored WHERE q_value <= 0.25")
+def high_confidence(t):
+    return P.high_confidence(P.tdc_q_value(t.psms), 0.25).select("psm_id", "score")
+
+
+@query(f"WITH {A.PSMS} SELECT psm_id FROM psms WHERE len(list_filter(proteins, lambda p: NOT starts_with(p, 'hybrid_'))) = 0")
+def is_hybrid(t):
+    return P.hybrid_psms(t.psms).select("psm_id")
+
+
+@query(f"WITH {A.PSMS} SELECT protein, count(*) AS n FROM (SELECT unnest(proteins) AS protein FROM psms) GROUP BY protein")
+def protein_counts(t):
+    return P.protein_counts(t.psms)
+
+
+@query(f"WITH {A.PSMS} SELECT protein, count(*) AS n FROM (SELECT unnest(proteins) AS protein FROM psms) GROUP BY protein ORDER BY n DESC, protein LIMIT 10")
+def top_n_proteins(t):
+    return P.top_n_proteins(P.protein_counts(t.psms), 10)
+
+
+@query(f"WITH {A.PSMS} SELECT length(prefix) AS length, prefix, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(seq) + 1), lambda i: left(seq, i))) AS prefix FROM psms) GROUP BY 2, 1")
+def prefix_counts_by_length(t):
+    return P.prefix_counts_by_length(t.psms).withColumn("length", F.col("length").cast("long"))
+
+
+@query(f"WITH {A.PSMS} SELECT psm_id FROM psms WHERE (sample, scan) IN (SELECT ('u' || (o_custkey % 100), o_orderkey % 500) FROM orders WHERE o_orderstatus = 'P')")
+def psms_for_scans(t):
+    scans = t["orders"].where("o_orderstatus = 'P'").select(F.concat(F.lit("u"), (F.col("o_custkey") % 100).cast("string")).alias("sample"), (F.col("o_orderkey") % 500).alias("scan"))
+    return P.psms_for_scans(t.psms, scans).select("psm_id")
+
+
+@query(f"WITH {A.PSMS} SELECT psm_id, sample, score FROM psms JOIN (SELECT sample, max(score) AS m FROM psms GROUP BY sample) USING (sample) WHERE score = m")
+def max_elements(t):
+    return P.max_elements(t.psms.select("psm_id", "sample", "score"), "score", ["sample"])
+
+
+@query(f"WITH {A.PSMS} SELECT psm_id, dense_rank() OVER (ORDER BY score DESC) AS rank FROM psms")
+def dense_rank_desc(t):
+    return P.dense_rank_desc(t.psms.select("psm_id", "score"), "score").select("psm_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {A.PSMS} SELECT round(50.0 * (count(*) FILTER (WHERE score < 12.31) + count(*) FILTER (WHERE score <= 12.31) + CASE WHEN count(*) FILTER (WHERE score = 12.31) > 0 THEN 1 ELSE 0 END) / count(score), 6) AS percentile FROM psms")
+def percentile_of_score(t):
+    return P.percentile_of_score(t.psms, "score", 12.31).withColumn("percentile", F.round("percentile", 6))
+
+
+@query(f"""WITH {A.PSMS} SELECT psm_id, row_number() OVER w AS num, round((score - lead(score) OVER w) / greatest(score, 1.0), 6) AS delta_cn FROM psms
+WINDOW w AS (PARTITION BY sample, scan ORDER BY score DESC, psm_id)""")
+def delta_cn(t):
+    return P.delta_cn(t.psms).select("psm_id", F.col("num").cast("long").alias("num"), F.round("delta_cn", 6).alias("delta_cn"))
+
+
+@query(f"""WITH {A.PSMS}, h AS (SELECT sample, scan, max(score) AS h, count(*) AS hn FROM psms WHERE starts_with(proteins[1], 'hybrid_') GROUP BY ALL),
+n AS (SELECT sample, scan, max(score) AS n, count(*) AS nn FROM psms WHERE NOT starts_with(proteins[1], 'hybrid_') GROUP BY ALL)
+SELECT sample, scan, n AS native_score, nn AS native_n, h AS hybrid_score, hn AS hybrid_n, round(n - h, 6) AS change, round((n - h) / CASE WHEN abs(n) < 1e-5 THEN 1e-5 ELSE n END, 6) AS rel_change FROM n JOIN h USING (sample, scan)""")
+def native_hybrid_change(t):
+    hybrid = F.col("proteins")[0].startswith(HYBRID_PREFIX)
+    df = P.native_hybrid_change(t.psms.where(~hybrid), t.psms.where(hybrid))
+    return df.withColumn("change", F.round("change", 6)).withColumn("rel_change", F.round("rel_change", 6))
+
+
+@query(f"WITH {A.PSMS} SELECT DISTINCT sample, scan FROM psms")
+def distinct_scans(t):
+    return t.psms.select("sample", "scan").distinct()
+
+
+@query(f"WITH {A.PSMS} SELECT count(*) FILTER (WHERE score > 50.0) AS n FROM psms")
+def number_greater_than(t):
+    return t.psms.agg(F.count_if(F.col("score") > 50.0).alias("n"))
+
+
+@query(f"WITH {A.PSMS}, {A.PARTS} SELECT DISTINCT name FROM parts WHERE name IN (SELECT protein FROM (SELECT protein, count(*) AS n FROM (SELECT unnest(proteins) AS protein FROM psms) GROUP BY protein ORDER BY n DESC, protein LIMIT 10))")
+def abundant_proteins(t):
+    top = P.top_n_proteins(P.protein_counts(t.psms), 10).select(F.col("protein").alias("name"))
+    return t.parts.join(top, "name", "left_semi").select("name")

@@ -1,0 +1,83 @@
+"""The older engine's operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.masses import LEGACY_BASES, LEGACY_RESIDUES
+from ..operators import legacy as L
+from . import adapters as A
+from . import query
+
+_CASE = " ".join(f"WHEN '{c}' THEN {round(m * 10**6)}" for c, m in LEGACY_RESIDUES.items())
+_MASS = f"(coalesce(list_sum(list_transform(string_split(kmer, ''), lambda c: CASE c {_CASE} END)), 0)::BIGINT / 1e6)"
+_BASE = " ".join(f"WHEN ion_type = '{t}' AND charge = {z} THEN {v!r}" for (t, z), v in LEGACY_BASES.items())
+KMERS = f"""lk AS MATERIALIZED (SELECT prot_id, kmer, start, start + k AS "end", ion_type, charge, (CASE {_BASE} END + {_MASS}) / charge AS mass, {_MASS} AS kmer_mass
+  FROM {A.sql_kmers('parts', 2, 4)} k JOIN (SELECT prot_id, seq FROM parts) p USING (prot_id), (VALUES ('b'), ('y')) t(ion_type), range(1, 3) z(charge)
+  WHERE CASE ion_type WHEN 'b' THEN kmer[1] IN ('S', 'D') OR (start > 0 AND substr(seq, start, 1) IN ('K', 'R')) ELSE kmer[-1] IN ('K', 'R') OR (start + k < length(seq) AND substr(seq, start + k + 1, 1) IN ('S', 'D')) END)"""
+FRAGS = f"{A.PEAKS}, frag AS (SELECT scan AS prec_id, precursor_mz, scan * 1000 + peak_id AS frag_id, mz FROM peaks JOIN spectra USING (scan))"
+MATCH = "lm AS MATERIALIZED (SELECT prec_id, precursor_mz, frag_id, lk.* FROM frag JOIN lk ON mass BETWEEN mz - abs(10.0 / 1e6 * mz) AND mz + abs(10.0 / 1e6 * mz))"
+CLUS = """lc AS MATERIALIZED (SELECT prec_id, precursor_mz, prot_id, ion_type, CASE ion_type WHEN 'b' THEN start ELSE "end" END AS anchor,
+  arg_max({'kmer': kmer, 'start': start, 'end': "end", 'kmer_mass': kmer_mass}, length(kmer) * 100000 - start) AS l, count(*) AS score FROM lm GROUP BY ALL)"""
+ALL = f"WITH {A.PARTS}, {A.SPECTRA}, {KMERS}, {FRAGS}, {MATCH}, {CLUS}"
+
+
+def _kmers(t):
+    from ..functions.masses import legacy_mass
+
+    return L.legacy_kmers(t.parts, 4, ["S", "D"], ["K", "R"]).withColumn("kmer_mass", legacy_mass(F.col("kmer")))
+
+
+def _matches(t):
+    frags = t.peaks.join(t.spectra, "scan").select(F.col("scan").alias("prec_id"), "precursor_mz", (F.col("scan") * 1000 + F.col("peak_id")).alias("frag_id"), "mz")
+    return L.legacy_mass_join(frags, _kmers(t)).drop("mz")
+
+
+def _clusters(t):
+    return L.legacy_clusters(_matches(t))
+
+
+@query(f'WITH {A.PARTS}, {KMERS} SELECT prot_id, kmer, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", ion_type, charge, round(mass, 6) AS mass FROM lk')
+def legacy_kmers(t):
+    return _kmers(t).select("prot_id", "kmer", "start", "end", "ion_type", F.col("charge").cast("long").alias("charge"), F.round("mass", 6).alias("mass"))
+
+
+@query(f"WITH {A.PARTS}, {A.SPECTRA}, {KMERS}, {FRAGS}, {MATCH} SELECT prec_id, frag_id, prot_id, kmer, CAST(start AS INTEGER) AS start, ion_type, charge FROM lm")
+def legacy_mass_join(t):
+    return _matches(t).select("prec_id", "frag_id", "prot_id", "kmer", "start", "ion_type", F.col("charge").cast("long").alias("charge"))
+
+
+@query(f"{ALL} SELECT prec_id, prot_id, ion_type, CAST(anchor AS INTEGER) AS anchor, l.kmer AS kmer, score FROM lc")
+def legacy_clusters(t):
+    return _clusters(t).select("prec_id", "prot_id", "ion_type", "anchor", "kmer", "score")
+
+
+@query(f"""{ALL}, step AS (
+  SELECT prec_id, prot_id, ion_type, anchor, n, list_sum(list_transform(string_split(left(more, n), ''), lambda c: CASE c {_CASE} ELSE 0 END))::BIGINT + round(l.kmer_mass * 1e6)::BIGINT AS m, precursor_mz, more FROM (
+    SELECT lc.*, CASE ion_type WHEN 'b' THEN substr(seq, l."end" + 1) ELSE reverse(left(seq, l.start)) END AS more FROM lc JOIN parts USING (prot_id)), range(1, 100) r(n) WHERE n <= length(more)
+), best AS (SELECT prec_id, prot_id, ion_type, anchor, arg_max(left(more, n), n) AS e FROM step WHERE m / 1e6 <= precursor_mz GROUP BY ALL)
+SELECT prec_id, prot_id, ion_type, CAST(anchor AS INTEGER) AS anchor, coalesce(CASE ion_type WHEN 'b' THEN e ELSE reverse(e) END, '') AS extension FROM lc LEFT JOIN best USING (prec_id, prot_id, ion_type, anchor)""")
+def legacy_extend(t):
+    return L.legacy_extend(_clusters(t), t.parts).select("prec_id", "prot_id", "ion_type", "anchor", "extension")
+
+
+_BEST = """best AS (SELECT a.prec_id, a.ion_type, a.prot_id, a.anchor, a.l.kmer AS kmer, b.prot_id AS other_prot_id, b.anchor AS other_anchor, b.l.kmer AS other_kmer,
+  row_number() OVER (PARTITION BY a.prec_id, a.ion_type, a.prot_id, a.anchor ORDER BY b.l.kmer_mass DESC, b.prot_id, b.anchor) AS r
+  FROM lc a JOIN lc b ON a.prec_id = b.prec_id AND a.ion_type <> b.ion_type AND b.l.kmer_mass <= a.precursor_mz - a.l.kmer_mass)"""
+
+
+@query(f"{ALL}, {_BEST} SELECT prec_id, ion_type, prot_id, CAST(anchor AS INTEGER) AS anchor, other_prot_id, CAST(other_anchor AS INTEGER) AS other_anchor FROM best WHERE r = 1")
+def best_complement(t):
+    return L.best_complement(_clusters(t)).select("prec_id", "ion_type", "prot_id", "anchor", "other_prot_id", "other_anchor")
+
+
+@query(f"""{ALL}, {_BEST} SELECT prec_id, prot_id, CAST(anchor AS INTEGER) AS anchor, ion_type, CASE WHEN prot_id = other_prot_id THEN 'n' ELSE 'h' END AS peptide_type,
+  CASE ion_type WHEN 'b' THEN kmer || other_kmer ELSE other_kmer || kmer END AS sequence FROM best WHERE r = 1""")
+def aligned_peptide(t):
+    return L.aligned_peptides(L.best_complement(_clusters(t))).select("prec_id", "prot_id", "anchor", "ion_type", "peptide_type", "sequence")
+
+
+@query(f"""{ALL} SELECT c.prec_id, c.prot_id, c.ion_type, CAST(c.anchor AS INTEGER) AS anchor, k.kmer AS longer FROM lc c JOIN lk k ON k.prot_id = c.prot_id AND k.ion_type = c.ion_type AND k.charge = 2
+  AND CASE c.ion_type WHEN 'b' THEN k.start = c.l.start AND k."end" >= c.l."end" ELSE k."end" = c.l."end" AND k.start <= c.l.start END AND k.mass < c.precursor_mz""")
+def extension_candidates(t):
+    return L.extension_candidates(_kmers(t), _clusters(t)).select("prec_id", "prot_id", "ion_type", "anchor", "longer")

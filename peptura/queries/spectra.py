@@ -1,0 +1,90 @@
+"""Peaks, and peptides against spectra."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import scoring as C
+from ..operators import spectra as S
+from . import adapters as A
+from . import query
+
+_IONS = f"""ions AS MATERIALIZED (SELECT pid, scan, ion_seq, ion_type, z AS charge, CASE ion_type WHEN 'b' THEN ({A.sql_mass('ion_seq')} + z * {A.P}) / z ELSE ({A.sql_mass('ion_seq')} + {A.WATER} + z * {A.P}) / z END AS mz FROM (
+  SELECT scan AS pid, scan, 'b' AS ion_type, left(left_seq || right_seq, n) AS ion_seq FROM planted, range(1, 13) r(n) WHERE n <= length(left_seq || right_seq)
+  UNION ALL SELECT scan, scan, 'y', right(left_seq || right_seq, n) FROM planted, range(1, 13) r(n) WHERE n <= length(left_seq || right_seq)), range(1, 3) c(z))"""
+_MET = """met AS MATERIALIZED (SELECT i.pid, i.scan, ion_seq, ion_type, charge, list(peak_id ORDER BY peak_id) FILTER (WHERE peak_id IS NOT NULL) AS ids, coalesce(sum(intensity), 0) AS intensity
+  FROM ions i LEFT JOIN peaks_theo p ON p.scan = i.scan AND p.mz BETWEEN i.mz - i.mz * 20 / 1e6 AND i.mz + i.mz * 20 / 1e6 GROUP BY ALL)"""
+
+
+@query(f"WITH {A.PEAKS} SELECT scan, peak_id, mz, intensity FROM (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY intensity DESC, peak_id) AS r FROM peaks) WHERE r <= 3")
+def top_n_peaks(t):
+    return S.top_n_peaks(t.peaks, 3)
+
+
+@query(f"WITH {A.PEAKS} SELECT scan, peak_id, intensity FROM (SELECT *, sum(intensity) OVER (PARTITION BY scan) AS t FROM peaks) WHERE intensity >= 0.3 * t")
+def relative_abundance(t):
+    return S.relative_abundance(t.peaks, 0.3).select("scan", "peak_id", "intensity")
+
+
+@query(f"WITH {A.PEAKS} SELECT scan, sum(intensity) AS total_intensity, count(*) AS n_peaks FROM peaks GROUP BY scan")
+def total_intensity(t):
+    return S.total_intensity(t.peaks)
+
+
+@query(f"WITH {A.PEAKS} SELECT scan, peak_id, mz FROM peaks WHERE abs(mz - 750.0) / mz * 1e6 <= 5000")
+def peaks_near_mz(t):
+    return S.peaks_near_mz(t.peaks, 750.0, 5000).select("scan", "peak_id", "mz")
+
+
+@query(f"WITH {A.PEAKS} SELECT DISTINCT scan, CAST(floor(mz / 5.0) AS BIGINT) AS bin, 50 AS value FROM peaks")
+def sparse_bins(t):
+    return S.sparse_bins(t.peaks, 5.0)
+
+
+@query(f"WITH {A.PEAKS} SELECT CAST(least(floor((mz - lo) / (hi - lo) * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM peaks, (SELECT min(mz) AS lo, max(mz) AS hi FROM peaks) GROUP BY 1")
+def histogram(t):
+    return S.histogram(t.peaks, "mz", 20)
+
+
+@query(f"WITH {A.PEAKS} SELECT round(regr_slope(intensity, mz), 9) AS slope, round(regr_intercept(intensity, mz), 6) AS intercept FROM peaks")
+def best_fit_line(t):
+    df = S.best_fit_line(t.peaks, "mz", "intensity")
+    return df.select(F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+@query(f"WITH {A.SPECTRA}, {A.PEAKS} SELECT sample, count(DISTINCT scan) AS n_scans, count(*) AS n_peaks FROM spectra JOIN peaks USING (scan) GROUP BY sample")
+def load_samples(t):
+    return t.spectra.join(t.peaks, "scan").groupBy("sample").agg(F.count_distinct("scan").alias("n_scans"), F.count("*").alias("n_peaks"))
+
+
+@query(f"WITH {A.THEO}, {_IONS}, {_MET} SELECT pid, ion_seq, ion_type, charge, coalesce(array_to_string(ids, ','), '') AS peak_ids, intensity FROM met")
+def peaks_vs_product_ions(t):
+    df = C.peaks_vs_product_ions(t.peptides, t.peaks_theo)
+    return df.select("pid", "ion_seq", "ion_type", F.col("charge").cast("long").alias("charge"), F.array_join(F.col("peak_ids").cast("array<string>"), ",").alias("peak_ids"), "intensity")
+
+
+@query(f"""WITH {A.THEO}, {_IONS}, {_MET} SELECT pid, ion_type, ion_seq, CAST(sum(coalesce(len(ids), 0)) AS BIGINT) AS n_peaks FROM met GROUP BY ALL""")
+def matches_by_seq_and_type(t):
+    return C.matches_by_seq_and_type(C.peaks_vs_product_ions(t.peptides, t.peaks_theo)).drop("peak_ids")
+
+
+@query(f"""WITH {A.THEO}, {_IONS}, {_MET}, j AS (
+  SELECT met.*, left_seq, right_seq, CASE ion_type WHEN 'b' THEN length(ion_seq) > length(left_seq) ELSE length(ion_seq) > length(right_seq) AND length(ion_seq) < length(left_seq || right_seq) END AS span FROM met JOIN planted USING (scan)
+), tot AS (SELECT scan, sum(intensity) AS total FROM peaks_theo GROUP BY scan),
+d AS (SELECT pid, count(DISTINCT p) AS n FROM (SELECT pid, unnest(ids) AS p FROM met) GROUP BY pid)
+SELECT j.pid, left_seq || right_seq AS seq, round(sum(intensity) / max(total), 6) AS share_by, round(coalesce(sum(intensity) FILTER (WHERE ion_type = 'b'), 0) / max(total), 6) AS share_b,
+  round(coalesce(sum(intensity) FILTER (WHERE ion_type = 'y'), 0) / max(total), 6) AS share_y, round(coalesce(sum(intensity) FILTER (WHERE span), 0) / max(total), 6) AS share_hybrid,
+  count(DISTINCT ion_seq) FILTER (WHERE ion_type = 'b' AND len(ids) > 0) AS n_b, count(DISTINCT ion_seq) FILTER (WHERE ion_type = 'y' AND len(ids) > 0) AS n_y,
+  count(DISTINCT ion_type || ion_seq) FILTER (WHERE span AND len(ids) > 0) AS n_hybrid, coalesce(max(d.n), 0) AS n_peaks_distinct
+FROM j JOIN tot USING (scan) LEFT JOIN d ON d.pid = j.pid GROUP BY ALL""")
+def peptide_spectrum_report(t):
+    df = C.peptide_spectrum_report(t.peptides, t.peaks_theo)
+    shares = ["share_by", "share_b", "share_y", "share_hybrid"]
+    return df.select("pid", "seq", *[F.round(c, 6).alias(c) for c in shares], "n_b", "n_y", "n_hybrid", "n_peaks_distinct")
+
+
+@query(f"""WITH {A.SPECTRA}, {A.PSMS} SELECT s.scan, s.sample, psm_id FROM spectra s JOIN (
+  SELECT 's' || (psm_id % 4) AS sample, scan, min(psm_id) AS psm_id FROM psms GROUP BY 1, 2) USING (sample, scan)""")
+def spectra_to_psms(t):
+    psms = t.psms.withColumn("sample", F.concat(F.lit("s"), (F.col("psm_id") % 4).cast("string")))
+    return C.spectra_to_psms(t.spectra, psms).select("scan", "sample", "psm_id")
