@@ -86,15 +86,10 @@ def few(df: DataFrame, rows: int | None, per: int = 100_000) -> DataFrame:
     return df if rows is None else df.coalesce(max(8, -(-rows // per)))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan (file sizes for scans)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def parts_for(df: DataFrame, per: int = 32 << 20) -> int:
-    """Partitions that grow with the input, at least the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(least, input_bytes(df) // per), 200_000))
+def input_bytes(df: DataFrame, column: str) -> int:
+    """Size of the input: the optimizer's estimate for files; where it knows none, the bytes of a text column."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
 def shared_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60, settle: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ symbols of at least 10 words (an anchor; never more than 17) that starts at the
 
 Anchors and windows travel as byte strings, one for each part of the hash space and slice of texts. What repeats within
 a slice is settled there and sent on twice only, so a passage found everywhere adds two entries a slice, not one a text.
-Parts follow spark.sql.shuffle.partitions. The shuffled texts are one exchange that all three steps reuse.
+There is one part for every PART_BYTES of input, 12 at least. The shuffled texts are one exchange that all three steps reuse.
 
 Cases: null and word-less texts keep nothing and lose nothing; texts under a window's length lose nothing; a text may
 repeat itself, overlapping too; equal rows and equal ids are rows of their own; an empty table gives an empty result;
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import over_slices
-from .common import WordHashes, mix, ws_words
+from .common import WordHashes, input_bytes, mix, ws_words
 
 WINDOW = 35
 RUN_MOST, LOST, ANCHOR_LEAST = 4, 9, 10  # words: a named run, lost at either end, an anchor
+PART_BYTES = 32 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = []
 
@@ -271,7 +272,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_words, n_removed, kept (the words left, joined by one space), spans (removed, start, end ... in words)."""
     if window < 2 * LOST + ANCHOR_LEAST + 7:
         raise ValueError("the window is too short for the anchors' guarantee")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(12, -(-input_bytes(docs, text_col) // PART_BYTES))
     texts = docs.selectExpr(f"xxhash64(`{id_col}`, `{text_col}`) uid", f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").repartition("uid")
     entry = "part long, uids binary, counts binary, keys binary"
     first = _answers(texts.mapInArrow(over_slices(_anchor_entries(parts, window), 2), entry), parts, 5)
