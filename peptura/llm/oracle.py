@@ -103,3 +103,37 @@ WITH RECURSIVE v AS (
 ), c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n ON a = vec_id
 """
+
+
+def _secrets_sql() -> str:
+    """Base spans by part and match lengths, and the character models as a table of numbers."""
+    from .secrets import CLASSES, PATTERNS, TOKEN, TOKEN_LEAST, char_class, default_samples, train
+
+    pats = [*((k, p.replace("'", "''"), g, least) for k, p, g, least in PATTERNS), ("markov", TOKEN, 0, TOKEN_LEAST)]
+    codes = "[" + ",".join(str(char_class(chr(i))) for i in range(128)) + "]"
+    table = "[" + ",".join(repr(float(x)) for x in train(default_samples())) + "]"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS k, '{kind}' AS kind, {group} AS grp, {least} AS least, '{pat}' AS pat, string_split_regex(text, '{pat}') AS parts, regexp_extract_all(text, '{pat}') AS ms, "
+        f"regexp_extract_all(text, '{pat}', {group}) AS gs FROM docs WHERE regexp_matches(text, '{pat}')"
+        for n, (kind, pat, group, least) in enumerate(pats)
+    )
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ({found}),
+places AS (SELECT doc_id, k, kind, least, unnest(range(1, len(ms) + 1)) AS i, parts, ms, gs FROM found),
+spans AS (SELECT doc_id, k, kind, ms[i] AS m,
+    list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM places WHERE length(gs[i]) >= least),
+ends AS (SELECT doc_id, k, kind, m, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM spans),
+model AS (SELECT {codes} AS code, {table} AS llr),
+judged AS (SELECT ends.*, list_transform(string_split(m, ''), lambda c: code[ascii(c) + 1]) AS cls, llr FROM ends, model WHERE k = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')),
+random AS (SELECT * FROM judged WHERE list_sum(list_transform(range(1, len(cls)), lambda i: llr[cls[i] * {CLASSES} + cls[i + 1] + 1])) / (len(cls) - 1) >= 1.0),
+base AS (SELECT * FROM ends WHERE k < 3),
+extra AS (SELECT doc_id, k, kind, m, s, e FROM random r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND r.s < b.e)),
+told AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS a, count(*) FILTER (WHERE k = 1) AS x, count(*) FILTER (WHERE k = 2) AS h,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(x, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN told USING (doc_id)
+"""
+
+
+ORACLE["op6_secret_scan"] = _secrets_sql()
