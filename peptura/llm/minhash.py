@@ -31,8 +31,11 @@ from .common import WordHashes, cut, few, mix, ngram_hashes, shared_components,
 CHUNKS, CHUNK = 10, 5
 SYMBOLS = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
+#: Pairs that share a key are passed on up to this distance: at a similarity of 0.75 one pair in ten thousand lies beyond.
+LOOK_DISTANCE = 24
 SHINGLE, NUM, DEN = 5, 75, 100
 BLOCK = 512
+MOST = np.iinfo(np.int64).max
 _ODD = (np.random.default_rng(11).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -102,7 +105,7 @@ def _near_sigs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps pairs (a, b, sig_a, sig_b) within the signature distance."""
     for b in batches:
         if b.num_rows:
-            ok = (_sigs(b.column(2)) != _sigs(b.column(3))).sum(1) <= DISTANCE
+            ok = (_sigs(b.column(2)) != _sigs(b.column(3))).sum(1) <= LOOK_DISTANCE
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
@@ -111,34 +114,59 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
         for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            z = np.concatenate([x, y])
-            z.sort()
-            same = int((z[1:] == z[:-1]).sum())
-            ok.append(DEN * same >= NUM * (len(z) - same))
+            ok.append(similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, bi, bj, side, node, comp, n, m, sig), sorted by the first three: pairs of one block or of two."""
-    held: list[pa.RecordBatch] = []
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch | None:
-        side, node, comp, n, m = (rows.column(i).to_numpy() for i in range(3, 8))
-        sig = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        first, second = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        inter = np.minimum(m[first][:, None], m[second][None])
-        ok = DEN * inter >= NUM * (n[first][:, None] + n[second][None] - inter)
-        ok &= comp[first][:, None] != comp[second][None]
-        i, j = np.nonzero(ok)
-        i, j = first[i], second[j]
-        once = (node[i] < node[j]) | (side[i] == 1)
-        i, j = i[once], j[once]
-        near = np.zeros(len(i), bool)
-        for k in range(0, len(i), 1 << 16):
-            near[k : k + (1 << 16)] = (sig[i[k : k + (1 << 16)]] != sig[j[k : k + (1 << 16)]]).sum(1) <= DISTANCE
-        a, b = np.minimum(node[i], node[j])[near], np.maximum(node[i], node[j])[near]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
+def _near_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of the pairs of one block or of two that may be similar, each at the least key it shares."""
+    side, node, comp, n, m = (rows.column(k).to_numpy() for k in range(3, 8))
+    sig = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    keys, this = signature_keys(sig).view(np.int64), rows.column(0)[0].as_py()
+    first, second = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    inter = np.minimum(m[first][:, None], m[second][None])
+    ok = DEN * inter >= NUM * (n[first][:, None] + n[second][None] - inter)
+    ok &= comp[first][:, None] != comp[second][None]
+    i, j = np.nonzero(ok)
+    i, j = first[i], second[j]
+    once = (node[i] < node[j]) | (side[i] == 1)
+    i, j = i[once], j[once]
+    near = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        close = (sig[x] != sig[y]).sum(1) <= LOOK_DISTANCE
+        x, y = x[close], y[close]
+        # a pair is looked at under the least key that it shares, and under no other
+        least = np.where(keys[x] == keys[y], keys[x], MOST).min(1) == this
+        near[k : k + (1 << 16)][np.flatnonzero(close)[least]] = True
+    return i[near], j[near]
+
+
+def _with_pairs(rows: pa.Table) -> pa.RecordBatch | None:
+    """(key, bi, bj, node) of the rows that are in some pair."""
+    own = np.unique(np.concatenate(_near_pairs(rows)))
+    return rows.select([0, 1, 2, 4]).take(pa.array(own)).combine_chunks().to_batches()[0] if len(own) else None
+
+
+def _block_links(rows: pa.Table) -> pa.RecordBatch | None:
+    """(a, b) of the pairs whose sets are similar enough."""
+    node, sets = rows.column(4).to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(9)]
+    links = [(node[i], node[j]) for i, j in zip(*_near_pairs(rows), strict=True) if similar(sets[i], sets[j])]
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], names=["a", "b"]) if links else None
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    z = np.concatenate([x, y])
+    z.sort()
+    same = int((z[1:] == z[:-1]).sum())
+    return DEN * same >= NUM * (len(z) - same)
+
+
+def _of_blocks(pairs):
+    """A mapInArrow function over rows (key, bi, bj, side, node, comp, n, m, sig, ...) sorted by the first three, that
+    gives ``pairs`` one block or two at a time."""
 
     def groups(table: pa.Table, last: bool) -> tuple[list, pa.Table]:
         ids = np.stack([table.column(i).to_numpy() for i in range(3)])
@@ -147,15 +175,18 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [table.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
         return out, table.slice(cuts[-1])
 
-    for last, b in _with_last(batches):
-        held.append(b)
-        table = pa.Table.from_batches(held)
-        if table.num_rows:
-            done, rest = groups(table, last)
-            held = rest.combine_chunks().to_batches()
-            for g in done:
-                if g.num_rows > 1 and (out := pairs(g)) is not None:
-                    yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for last, b in _with_last(batches):
+            table = pa.Table.from_batches([*held, b])
+            if table.num_rows:
+                done, rest = groups(table, last)
+                held = rest.combine_chunks().to_batches()
+                for g in done:
+                    if g.num_rows > 1 and (out := pairs(g)) is not None:
+                        yield out
+
+    return run
 
 
 def _with_last(it):
@@ -259,7 +290,7 @@ def _linked(base: DataFrame, nodes: DataFrame, shared: DataFrame, shingle: int)
     able = star.join(a, "a").join(b, "b").where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
     links = cut(confirmed(few(able.select("a", "b", "sig_a", "sig_b"), members).mapInArrow(_near_sigs, "a long, b long")), members)
     # 2. what is left in keys of three or more members: pairs of different components
-    comp = shared_components(spark, links, most_rounds=2, settle=False)  # too fine a label only means more pairs
+    comp = shared_components(spark, links, most_rounds=8, settle=False)  # too fine a label only means more pairs
     left = shared.where("c > 2").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     left = cut(left.join(mixed.select("key", "size"), "key"), members)
@@ -281,5 +312,10 @@ def _linked(base: DataFrame, nodes: DataFrame, shared: DataFrame, shingle: int)
         F.when(F.col("own_block") == F.col("other"), 0).when(F.col("own_block") < F.col("other"), 1).otherwise(2).alias("side"),
         "node", "comp", "n", "m", "sig",
     )
-    rest = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_block_pairs, "a long, b long").distinct()
-    return cut(links.union(confirmed(rest)), members)
+    blocked = lambda df: df.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    # sets travel only to rows that are in some pair, and pairs that fail are not written
+    some = cut(blocked(rows).mapInArrow(_of_blocks(_with_pairs), "key long, bi int, bj int, node long"), members)
+    full = rows.join(some, ["key", "bi", "bj", "node"]).join(sets, "node")
+    full = full.select("key", "bi", "bj", "side", "node", "comp", "n", "m", "sig", "members")
+    rest = blocked(full).mapInArrow(_of_blocks(_block_links), "a long, b long")
+    return cut(links.union(rest), members)
