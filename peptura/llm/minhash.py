@@ -312,6 +312,7 @@ def _linked(base: DataFrame, nodes: DataFrame, shared: DataFrame, shingle: int)
         F.when(F.col("own_block") == F.col("other"), 0).when(F.col("own_block") < F.col("other"), 1).otherwise(2).alias("side"),
         "node", "comp", "n", "m", "sig",
     )
+    rows = cut(rows, members)  # read twice below
     blocked = lambda df: df.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     # sets travel only to rows that are in some pair, and pairs that fail are not written
     some = cut(blocked(rows).mapInArrow(_of_blocks(_with_pairs), "key long, bi int, bj int, node long"), members)
