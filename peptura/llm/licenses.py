@@ -22,7 +22,7 @@ from .common import alnum_words
 #: Fixed phrases of the contract and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: label, names (words), versions, keyword that a text must hold.
+#: label, names (words), versions, keyword that a text must hold; a name that is without it is its own keyword.
 FAMILIES = (
     ("gpl", ("gnu general public license", "gnu gpl", "gpl"), ("1", "2", "3", "1 0", "2 0", "3 0"), "g"),
     ("lgpl", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl"), ("2", "2 1", "3", "3 0"), "l"),
@@ -119,7 +119,7 @@ def build_rules() -> list[tuple[str, re.Pattern, bytes, int]]:
         add(label, words, key, 90)
     for label, names, versions, key in FAMILIES:
         for name in names:
-            gate = name if len(key) < 4 else key
+            gate = key if len(key) >= 4 and key in name else name
             for v in versions:
                 full = f"{label}-{v.replace(' ', '.')}"
                 add(f"{full}-or-later", f"(?:{under})?{name}(?: license)?(?: as published by the free software foundation)?(?: either)? (?:version |v )?v?{v} or (?:any |at your option any )?later(?: version)?", gate, 80)
