@@ -4,9 +4,12 @@ Documents of equal text form an atomic group. Groups stand in the order of their
 them are dealt to ``n_shards`` shards so that the largest shard is as small as possible: the smallest capacity is
 found by binary search, each capacity is checked greedily, and the cuts of the last feasible one are used.
 
-Scale: up to ``max_atoms`` groups, the atoms are the groups and the cut is exact. Beyond, the ordered groups are folded
-into at most 4,096 contiguous stretches (at quantiles of the order key), so the capacity is within one stretch of the
-optimum. Either way only the atoms' byte sums, a bounded number of rows, reach the driver.
+Scale: up to ``max_atoms`` groups, the atoms are the groups. Beyond, the ordered groups are first folded into stretches
+of equal width in the order key. Two bounds of the capacity follow from the stretches' sums, one by cutting before each
+stretch, one by cutting through it; only stretches in which a cut of a capacity between the bounds can fall are split
+further, until none is left that holds more than one group. So the capacity and the cuts are those of the groups at
+every size, after at most 64 passes (two or three where keys are spread evenly). Only the atoms' byte sums reach the
+driver: ``max_atoms`` at first, and in each pass as many again or two for each stretch split.
 Slots are numbered by (shard, hashed bucket) so that neither a shard nor a group of copies is one task.
 
 Cases: a null text has size 1 and is a group of its own, an empty text has size 1, equal doc_ids are rows like others,
@@ -16,6 +19,9 @@ of the input are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -42,6 +48,43 @@ def minimax_cuts(sizes: list[int], n_shards: int) -> list[int]:
     return greedy(lo)
 
 
+def _walk(starts: list[int], whole: list[bool], cap: int, n_shards: int, loose: bool) -> list[int]:
+    """Byte places that the shards of one capacity reach, up to the first at the end: if it is not there, it is too small.
+
+    starts: byte places of the atoms' starts, and the end. A place inside an atom is moved back to the atom's start;
+    ``loose`` leaves it where it is unless the atom is ``whole``.
+    """
+    at, out = 0, []
+    while len(out) < n_shards:
+        out.append(at + cap)
+        if out[-1] >= starts[-1]:
+            break
+        i = bisect_right(starts, out[-1]) - 1
+        at = out[-1] if loose and not whole[i] else starts[i]
+    return out
+
+
+def open_atoms(sizes: list[int], whole: list[bool], n_shards: int, biggest: int) -> list[int]:
+    """Atoms to be split, as a cut of the smallest capacity can fall inside; biggest: size of the largest group."""
+    starts = [0, *accumulate(sizes)]
+
+    def smallest(loose: bool) -> int:
+        lo, hi = max(biggest, -(-starts[-1] // n_shards)), starts[-1]
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if _walk(starts, whole, mid, n_shards, loose)[-1] >= starts[-1] else (mid + 1, hi)
+        return lo
+
+    # places grow with the capacity and with looseness, so those of the smallest capacity lie between these two
+    early = _walk(starts, whole, smallest(True), n_shards, False)
+    late = _walk(starts, whole, smallest(False), n_shards, True)
+    late += [starts[-1]] * (len(early) - len(late))
+    found = set()
+    for x, y in zip(early, late, strict=False):
+        found.update(i for i in range(bisect_right(starts, x) - 1, bisect_left(starts, min(y, starts[-1]))) if not whole[i])
+    return sorted(found)
+
+
 def shard_documents(
     docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", max_atoms: int = 32_768
 ) -> DataFrame:
@@ -58,22 +101,35 @@ def shard_documents(
     rows = cut(rows)  # the texts are read once
     groups = rows.groupBy("g1", "g2", "size").agg(F.min("doc_id").alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
     stats = groups.agg(
-        F.count("*").alias("groups"), F.sum("n").alias("rows"),
-        F.percentile_approx("first", F.array(*[F.lit(i / 4096) for i in range(1, 4096)]), 20_000).alias("q"),
+        F.count("*").alias("groups"), F.sum("n").alias("rows"), F.min("first").alias("least"), F.max("first").alias("most")
     ).first()
     if not stats["groups"]:
         empty = rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
         return empty.withColumn("grown_shard", F.lit(None).cast("int"))
-    exact = stats["groups"] <= max_atoms
-    bounds = sorted({x for x in stats["q"] or [] if x is not None})
-    # an atom: one group while there are few, else the groups of one stretch of the order key
-    atom = F.coalesce(F.col("first"), F.lit(-(1 << 62))) if exact else _stretch(bounds)
-    atoms = groups.groupBy(atom.alias("atom")).agg(F.sum("bytes").alias("bytes"))
-    table = sorted((r["atom"], r["bytes"]) for r in atoms.collect())  # at most max_atoms (or 4,096) rows
-    starts = [table[i][0] for i in minimax_cuts([b for _, b in table], n_shards)]
+    least, most = (0, 0) if stats["least"] is None else (stats["least"], stats["most"])
+    least = max(least - 1, -(1 << 63))  # groups without an id stand first
+    key = F.coalesce(F.col("first"), F.lit(least))
+    keys = groups.groupBy(key.alias("key")).agg(F.sum("bytes").alias("bytes"))
+    # an atom: the keys that are equal but for their last ``shift`` bits
+    shift = 0 if stats["groups"] <= max_atoms else _shift(most - least, max_atoms)
+    keys = keys if shift == 0 else cut(keys, int(stats["groups"]))
+    table = _atoms(keys, [(least, most, shift)])
+    biggest = max(r[3] for r in table)
+    while todo := open_atoms([r[1] for r in table], [r[2] == 1 for r in table], n_shards, biggest):
+        bits = 64 if sum(table[i][2] for i in todo) <= max_atoms else max(1, (max_atoms // len(todo)).bit_length() - 1)
+        ranges: list[tuple[int, int, int]] = []
+        for i in todo:
+            lo, s = table[i][0], table[i][4]
+            hi, finer = lo + (1 << s) - 1, max(0, s - bits)
+            if ranges and ranges[-1][1] + 1 == lo and ranges[-1][2] == finer:
+                lo = ranges.pop()[0]
+            ranges.append((lo, hi, finer))
+        gone = set(todo)
+        table = sorted([r for i, r in enumerate(table) if i not in gone] + _atoms(keys, ranges))
+    starts = [table[i][0] for i in minimax_cuts([r[1] for r in table], n_shards)]
     shard = F.lit(0)
     for i, s in enumerate(starts, 1):
-        shard = F.when(atom >= F.lit(s), F.lit(i)).otherwise(shard)
+        shard = F.when(key >= F.lit(s), F.lit(i)).otherwise(shard)
     where = groups.select("g1", "g2", "size", shard.cast("int").alias("shard"))
     out = rows.join(where, ["g1", "g2", "size"])
     buckets = max(16, min(1 << 16, int(stats["rows"]) // 4_000))
@@ -87,19 +143,19 @@ def shard_documents(
     )
 
 
-def _stretch(bounds: list[int]):
-    """Number of bounds at or below the group's first doc_id, found by bisection over a sorted array literal."""
-    first = F.coalesce(F.col("first"), F.lit(-(1 << 62)))
-    # array_position-free bisection: 13 halvings over at most 4,095 bounds, kept in codegen-friendly integers
-    arr, lo, hi = F.array(*[F.lit(int(b)) for b in bounds]), F.lit(0), F.lit(len(bounds))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(13)),
-        F.struct(lo.alias("lo"), hi.alias("hi")),
-        lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
-            F.when(
-                F.element_at(arr, F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1) <= first,
-                F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int").alias("lo"), s["hi"].alias("hi")),
-            ).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
-        ),
-        lambda s: s["lo"],
-    ).cast("long")
+def _shift(width: int, atoms: int) -> int:
+    """Last bits to leave out so that keys of this width fall into no more than so many atoms."""
+    shift = 0
+    while (width >> shift) + 2 > max(atoms, 3):  # so that 63 is the most
+        shift += 1
+    return shift
+
+
+def _atoms(keys: DataFrame, ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Atoms of key ranges (first, last, shift): first key possible, bytes, number of keys, most bytes of a key, shift."""
+    key, shift = F.col("key"), F.lit(None).cast("int")
+    for lo, hi, s in ranges:
+        shift = F.when(key.between(F.lit(lo), F.lit(hi)), F.lit(s)).otherwise(shift)
+    part = keys.withColumn("shift", shift).where("shift is not null").withColumn("start", F.expr("shiftleft(shiftright(key, shift), shift)"))
+    found = part.groupBy("start", "shift").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.max("bytes").alias("most"))
+    return sorted((r["start"], r["bytes"], r["n"], r["most"], r["shift"]) for r in found.collect())
