@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import over_slices
-from .common import alnum_words, mix
+from .common import alnum_words, cut, mix
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, DIM, WORD_ROWS, CHAR_ROWS = 8, 8, 1 << 14, 1 << 14
@@ -366,6 +366,8 @@ def sample_windows(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int
     """(label, windows) of at most per_label[label] labelled rows of each label; held-out rows are not among them."""
     rows = labels.select(F.col("doc_id").alias("lid"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where("toxic in (0, 1) and lid is not null and crc32(cast(cast(lid as string) as binary)) % 4 <> 2")
+    texts = docs.selectExpr(f"cast(`{id_col}` as bigint) lid", f"`{text_col}` text")
+    rows = cut(rows.join(texts.select("lid"), "lid", "left_semi"))  # ids without a document take no place; read twice
     picks = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("lid"), "lid").limit(per_label[y]) for y in (0, 1)]
     chosen = picks[0].union(picks[1]).dropDuplicates(["lid"])  # bounded by the two limits, so it is broadcast
 
@@ -382,8 +384,7 @@ def sample_windows(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int
 
         return step
 
-    texts = docs.selectExpr(f"cast(`{id_col}` as bigint) lid", f"`{text_col}` text").join(F.broadcast(chosen), "lid")
-    got = texts.select("lid", "text", "toxic").mapInArrow(over_slices(make, 1), "doc_id long, toxic int, windows array<string>")
+    got = texts.join(F.broadcast(chosen), "lid").select("lid", "text", "toxic").mapInArrow(over_slices(make, 1), "doc_id long, toxic int, windows array<string>")
     kept = got.limit(2 * sum(per_label)).collect()  # repeated ids are bounded too
     return [(r["toxic"], [w.encode().split() for w in r["windows"]]) for r in sorted(kept, key=lambda r: (r["doc_id"], r["windows"]))]
 
