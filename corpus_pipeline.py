@@ -11,14 +11,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptura.llm.common import ensure_checkpoint_dir
+from peptura.llm.common import cut, ensure_checkpoint_dir
 from peptura.llm.decontaminate import find_contamination
 from peptura.llm.minhash import near_duplicates
 from peptura.llm.secrets import mask_secrets, scan_secrets
 from peptura.llm.sentencepieces import encode_documents
 from peptura.llm.toxicity import score_toxicity
 
-REST = "_rest_of_document"
+REST, ROW = "_rest_of_document", "_row_of_document"
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -39,9 +39,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document of the least doc_id stays."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of every group of near-duplicates one row stays, of the least doc_id; rows without words all stay.
+
+    Rows go by doc_id and text, so equal or null doc_ids are told apart; of rows that are equal in both, one stays.
+    """
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias(ROW), *[F.col(f"`{c}`") for c in docs.columns])
+    found = near_duplicates(keyed.select(ROW, "text"), id_col=ROW).where("n_shingles > 0")
+    found = cut(found.groupBy(F.col("doc_id").alias(ROW)).agg(F.first("component_id").alias("comp"), F.count("*").alias("copies")))
+    named = found.join(keyed.select(ROW, "doc_id").distinct(), ROW)
+    best = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best"))
+    best = best.select(F.col("best").getField(ROW).alias(ROW))
+    # the one that stays of several equal rows is added again
+    marked = found.join(best.withColumn("stays", F.lit(True)), ROW, "left").where("stays is null or copies > 1")
+    marked = cut(marked.select(ROW, F.col("stays").isNotNull().alias("stays")))
+    out = keyed.join(marked, ROW, "left_anti")
+    again = marked.where("stays")
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, ROW, "left_semi").dropDuplicates([ROW]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
