@@ -135,8 +135,10 @@ def _rows(uid: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int, widt
     def emit(entries: np.ndarray, to: np.ndarray, w: int) -> None:
         entries = entries[np.lexsort((owner[entries], to[entries]))]
         own, dest = owner[entries], to[entries]
-        cut = np.flatnonzero(np.append(True, dest[1:] != dest[:-1])) if len(dest) else np.empty(0, np.int64)
-        for a, b in zip(cut, np.append(cut[1:], len(dest)), strict=True):
+        ends = np.append(np.flatnonzero(dest[1:] != dest[:-1]) + 1, len(dest))
+        for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+            if a == b:  # no entries at all
+                continue
             o, n = np.unique(own[a:b], return_counts=True)
             for c, v in zip(out, (int(dest[a]), uid[o].tobytes(), n.astype(np.int32).tobytes(), _packed(key[entries[a:b]], w)), strict=True):
                 c.append(v)
