@@ -133,3 +133,27 @@ def time_units(seconds: Column, places: int = 2) -> Column:
 
 def next_multiple_of_10(n: Column) -> Column:
     return (F.floor(n / 10) + 1) * 10
+
+
+def ion_type_code(ion_type: Column) -> Column:
+    """b is 0, y is 1; null for anything else."""
+    return F.when(ion_type == "b", 0).when(ion_type == "y", 1)
+
+
+def ion_type_of(code: Column) -> Column:
+    return F.when(code == 0, "b").when(code == 1, "y")
+
+
+def string_to_bool(text: Column) -> Column:
+    """False where the text holds an f of either case, true otherwise."""
+    return ~F.contains(F.lower(text), F.lit("f"))
+
+
+def to_percent(index: Column, total: Column) -> Column:
+    """Whole percent, cut towards zero."""
+    return (F.lit(100) * index / total).cast("int")
+
+
+def hashable_boundaries(bounds: Column) -> Column:
+    """Two bounds joined by a hyphen; null for any other number of them."""
+    return F.when(F.size(bounds) == 2, F.array_join(bounds.cast("array<string>"), "-"))

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.masses import DEFAULT_PPM, mass_units, residue_units, y_mz
 from ..functions.sequences import counted
+from .keys import SPECTRUM
 
 MIN_LENGTH, MIN_SUPPORT = 3, 2
 
 
 def clusters(ions: DataFrame) -> DataFrame:
-    """Positioned ions (scan, ion_type, protein, start, end, kmer) to clusters: b ions by start, y ions by end."""
+    """Positioned ions (sample, scan, ion_type, protein, start, end, kmer) to clusters: b ions by start, y ions by end.
+    Rows of counted_matches count ``n`` times."""
+    support = F.sum("n") if "n" in ions.columns else F.count("*")
     anchor = F.when(F.col("ion_type") == "b", F.col("start")).otherwise(F.col("end"))
     return (
-        ions.groupBy("scan", "ion_type", "protein", anchor.alias("anchor"))
-        .agg(F.count("*").alias("support"), F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.length("kmer")).alias("shortest"))
+        ions.groupBy(*SPECTRUM, "ion_type", "protein", anchor.alias("anchor"))
+        .agg(support.alias("support"), F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.length("kmer")).alias("shortest"))
         .withColumn("length", F.col("end") - F.col("start"))
     )
 
@@ -33,7 +36,7 @@ def extend_clusters(found: DataFrame, proteins: DataFrame, spectra: DataFrame, p
     stops at an unknown residue and at the protein's end.
     """
     df = found.join(proteins.select(F.col("name").alias("protein"), "seq"), "protein")
-    df = df.join(spectra.select("scan", "precursor_mz", "precursor_charge"), "scan")
+    df = df.join(spectra.select(*SPECTRUM, "precursor_mz", "precursor_charge"), SPECTRUM)
     limit = F.col("precursor_mz") + F.lit(ppm) * F.col("precursor_mz") / 1e6
     right = F.substring("seq", F.col("end") + 1, F.length("seq"))
     left = F.reverse(F.substring("seq", F.lit(1), F.col("start")))
@@ -57,8 +60,8 @@ def extend_clusters(found: DataFrame, proteins: DataFrame, spectra: DataFrame, p
 
 
 def pieces(extended: DataFrame) -> DataFrame:
-    """Extended clusters to rows (scan, side, piece, protein): prefixes of b, suffixes of y, from the shortest ion on."""
+    """Extended clusters to rows (sample, scan, side, piece, protein): prefixes of b, suffixes of y, from the shortest ion on."""
     n = F.length("extended_seq")
     df = extended.where("extended_seq is not null").withColumn("n", F.explode(counted(F.col("shortest"), n)))
     piece = F.when(F.col("ion_type") == "b", F.left("extended_seq", F.col("n"))).otherwise(F.right("extended_seq", F.col("n")))
-    return df.select("scan", F.when(F.col("ion_type") == "b", "L").otherwise("R").alias("side"), piece.alias("piece"), "protein")
+    return df.select(*SPECTRUM, F.when(F.col("ion_type") == "b", "L").otherwise("R").alias("side"), piece.alias("piece"), "protein")

@@ -7,26 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions.masses import DEFAULT_PPM, PROTON_MASS, WATER_MASS, aa_mass, y_mz
 from ..functions.sequences import counted, fasta_description, hybrid_name, hyphenated
+from .keys import SPECTRUM
 from .range_join import range_join
 
 
 def piece_proteins(found: DataFrame) -> DataFrame:
-    """Distinct pieces per scan and side with the sorted set of their proteins."""
-    return found.groupBy("scan", "side", "piece").agg(F.sort_array(F.collect_set("protein")).alias("proteins"))
+    """Distinct pieces per spectrum and side with the sorted set of their proteins."""
+    return found.groupBy(*SPECTRUM, "side", "piece").agg(F.sort_array(F.collect_set("protein")).alias("proteins"))
 
 
 def hybrid_pairs(found: DataFrame, spectra: DataFrame, ppm: float = DEFAULT_PPM) -> DataFrame:
-    """piece_proteins x spectra to (scan, left_seq, right_seq, left_proteins, right_proteins): the second range join.
+    """piece_proteins x spectra to (sample, scan, left_seq, right_seq, left_proteins, right_proteins): the second range join.
 
-    m/z of left and right at the precursor's charge must add up to the precursor within ppm of it.
+    m/z of left and right at the precursor's charge must add up to the precursor within ppm of it. Both sides of a piece
+    (two rows at most) are put in one row first: the two branches of the join then read one and the same exchange, and
+    the search that made the pieces stands in the plan, and runs, once.
     """
-    df = found.join(spectra.select("scan", "precursor_mz", "precursor_charge"), "scan")
-    df = df.withColumn("mz", y_mz(aa_mass(F.col("piece")), F.col("precursor_charge")))
     m, z = F.col("precursor_mz"), F.col("precursor_charge")
+    df = found.join(spectra.select(*SPECTRUM, "precursor_mz", "precursor_charge"), SPECTRUM)
+    df = df.groupBy(*SPECTRUM, "precursor_mz", "precursor_charge", "piece").agg(F.collect_list(F.struct("side", "proteins")).alias("sides"))
+    df = df.withColumn("mz", y_mz(aa_mass(F.col("piece")), z))
+    of = lambda side: F.get(F.filter("sides", lambda s: s["side"] == side), F.lit(0))["proteins"]
     target, tol = m + F.lit(WATER_MASS) / z + PROTON_MASS - F.col("mz"), F.lit(ppm) * m / 1e6
-    left = df.where("side = 'L'").select("scan", F.col("piece").alias("left_seq"), F.col("proteins").alias("left_proteins"), (target - tol).alias("lo"), (target + tol).alias("hi"))
-    right = df.where("side = 'R'").select("scan", F.col("piece").alias("right_seq"), F.col("proteins").alias("right_proteins"), F.col("mz").alias("right_mz"))
-    return range_join(right, left, "right_mz", "lo", "hi", 0.1, on=["scan"]).drop("lo", "hi", "right_mz")
+    left = df.select(*SPECTRUM, F.col("piece").alias("left_seq"), of("L").alias("left_proteins"), (target - tol).alias("lo"), (target + tol).alias("hi"))
+    right = df.select(*SPECTRUM, F.col("piece").alias("right_seq"), of("R").alias("right_proteins"), F.col("mz").alias("right_mz"))
+    left, right = left.where("left_proteins is not null"), right.where("right_proteins is not null")
+    return range_join(right, left, "right_mz", "lo", "hi", 0.1, on=SPECTRUM).drop("lo", "hi", "right_mz")
 
 
 def remove_native(hybrids: DataFrame, kmers: DataFrame) -> DataFrame:
@@ -36,9 +42,9 @@ def remove_native(hybrids: DataFrame, kmers: DataFrame) -> DataFrame:
 
 
 def hybrids_by_sequence(hybrids: DataFrame) -> DataFrame:
-    """scan, seq, hyphenated forms (sorted): A-BC and AB-C are one sequence."""
+    """sample, scan, seq, hyphenated forms (sorted): A-BC and AB-C are one sequence."""
     forms = F.sort_array(F.collect_set(hyphenated(F.col("left_seq"), F.col("right_seq"))))
-    return hybrids.groupBy("scan", F.concat("left_seq", "right_seq").alias("seq")).agg(forms.alias("forms"))
+    return hybrids.groupBy(*SPECTRUM, F.concat("left_seq", "right_seq").alias("seq")).agg(forms.alias("forms"))
 
 
 def hybrids_fasta(hybrids: DataFrame) -> DataFrame:

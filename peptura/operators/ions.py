@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masses import DEFAULT_PPM, PROTON_MASS, WATER_MASS, aa_mass, b_ion_bounds, ion_mz, y_ion_bounds
-from ..functions.sequences import positions, prefixes, suffixes
+from ..functions.sequences import prefixes, suffixes
+from .keys import SPECTRUM
 from .range_join import range_join
 
 
@@ -25,14 +26,14 @@ def product_ions(peptides: DataFrame, charges: list[int], keep: tuple[str, ...]
 def peak_probes(peaks: DataFrame, spectra: DataFrame, ppm: float = DEFAULT_PPM) -> DataFrame:
     """One row per peak, charge up to the precursor's and ion type: bounds lo, hi on the residue mass and most, the
     residue mass of the precursor, which a matching k-mer may not exceed."""
-    df = peaks.join(spectra.select("scan", "precursor_mz", "precursor_charge"), "scan")
+    df = peaks.join(spectra.select(*SPECTRUM, "precursor_mz", "precursor_charge"), SPECTRUM)
     df = df.withColumn("charge", F.explode(F.sequence(F.lit(1), F.col("precursor_charge"))))
     mz, z = F.col("mz"), F.col("charge")
     (b_lo, b_hi), (y_lo, y_hi) = b_ion_bounds(mz, z, ppm), y_ion_bounds(mz, z, ppm)
     span = lambda kind, lo, hi: F.struct(F.lit(kind).alias("ion_type"), lo.alias("lo"), hi.alias("hi"))
     df = df.withColumn("span", F.explode(F.array(span("b", b_lo, b_hi), span("y", y_lo, y_hi))))
     return df.select(
-        "scan", "peak_id", "mz", "charge", "precursor_charge", "precursor_mz", "span.ion_type", "span.lo", "span.hi",
+        *SPECTRUM, "peak_id", "mz", "charge", "precursor_charge", "precursor_mz", "span.ion_type", "span.lo", "span.hi",
         (F.col("precursor_charge") * (F.col("precursor_mz") - PROTON_MASS) - WATER_MASS).alias("most"),
     )
 
@@ -44,10 +45,13 @@ def peak_ion_match(peaks: DataFrame, spectra: DataFrame, table: DataFrame, ppm:
     return range_join(table, probes, "aa_mass", "lo", "hi", width).where("aa_mass <= most").drop("lo", "hi", "most")
 
 
-def position_ions(matches: DataFrame, proteins: DataFrame) -> DataFrame:
-    """Matches (kmer, proteins, ...) to one row per protein and place: protein, start, end."""
-    df = matches.withColumn("protein", F.explode("proteins")).drop("proteins")
-    # places are looked up once per distinct (k-mer, protein), not once per peak
-    where = df.select("kmer", "protein").distinct().join(proteins.select(F.col("name").alias("protein"), "seq"), "protein")
-    where = where.select("kmer", "protein", F.explode(positions(F.col("seq"), F.col("kmer"))).alias("start"))
-    return df.join(where, ["kmer", "protein"]).withColumn("end", F.col("start") + F.length("kmer"))
+def counted_matches(matches: DataFrame) -> DataFrame:
+    """sample, scan, ion_type, kmer, n: how many peaks and charges of a spectrum meet a k-mer. Places and clusters need no
+    more, so what goes on to the next joins is one row per k-mer, not one per peak and charge."""
+    return matches.groupBy(*SPECTRUM, "ion_type", "kmer").agg(F.count("*").alias("n"))
+
+
+def position_ions(matches: DataFrame, places: DataFrame) -> DataFrame:
+    """Matches (kmer, ...) to one row per protein and place: protein, start, end. places: see kmer_places."""
+    df = matches.join(places.select("kmer", "protein", "starts"), "kmer").withColumn("start", F.explode("starts")).drop("starts")
+    return df.withColumn("end", F.col("start") + F.length("kmer"))

@@ -9,19 +9,25 @@ from ..functions.masses import mass_units
 from ..functions.sequences import DISALLOWED, counted
 
 CHUNK = 128
+GAP = "\x01"  # stands for a letter that no k-mer may hold
 
 
 def kmers(proteins: DataFrame, max_k: int, min_k: int = 1, keep: tuple[str, ...] = ("prot_id",), with_mass: bool = False) -> DataFrame:
-    """One row per place: kept columns, kmer, start, k, and mass_e7 on request. K-mers with a letter of BXUZOJ are left out."""
-    # long proteins are cut into overlapping chunks, so that a k-mer's row does not carry the whole sequence
+    """One row per place: kept columns, kmer, start, k, and mass_e7 on request. K-mers with a letter of BXUZOJ are left out.
+
+    Long proteins are cut into overlapping chunks. Of a chunk, each start gives the letters up to max_k or to the next
+    letter left out, so a row carries these few letters only and no k-mer is made to be tested and dropped.
+    """
     n = F.length("seq")
     df = proteins.select(*keep, "seq", F.explode(counted(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).alias("c"))
-    df = df.select(*keep, F.substring("seq", F.col("c") * CHUNK + 1, F.lit(CHUNK + max_k - 1)).alias("chunk"), (F.col("c") * CHUNK).alias("base"))
-    df = df.select(*keep, "chunk", "base", F.explode(F.sequence(F.lit(min_k), F.lit(max_k))).alias("k"))
-    last = F.least(F.length("chunk") - F.col("k"), F.lit(CHUNK - 1))
-    df = df.select(*keep, "chunk", "base", "k", F.explode(counted(F.lit(0), last)).alias("s"))
-    df = df.select(*keep, F.substring("chunk", F.col("s") + 1, F.col("k")).alias("kmer"), (F.col("base") + F.col("s")).alias("start"), "k")
-    df = df.where(~F.col("kmer").rlike(f"[{DISALLOWED}]"))
+    chunk = F.translate(F.substring("seq", F.col("c") * CHUNK + 1, F.lit(CHUNK + max_k - 1)), DISALLOWED, GAP * len(DISALLOWED))
+    df = df.select(*keep, chunk.alias("chunk"), (F.col("c") * CHUNK).alias("base"))
+    starts = counted(F.lit(0), F.least(F.length("chunk"), F.lit(CHUNK)) - 1)
+    word = lambda s: F.substring_index(F.substring("chunk", s + 1, F.lit(max_k)), GAP, 1)
+    words = F.transform(starts, lambda s: F.struct((F.col("base") + s).alias("start"), word(s).alias("word")))
+    df = df.select(*keep, F.inline(words)).where(F.length("word") >= min_k)
+    df = df.select(*keep, "word", "start", F.explode(F.sequence(F.lit(min_k), F.length("word"))).alias("k"))
+    df = df.select(*keep, F.left("word", F.col("k")).alias("kmer"), "start", "k")
     return df.withColumn("mass_e7", mass_units(F.col("kmer"))) if with_mass else df
 
 
@@ -45,15 +51,46 @@ def kmer_table(proteins: DataFrame, max_k: int, min_k: int = 1) -> DataFrame:
     return kmer_to_proteins(proteins, max_k, min_k).select("kmer", (mass_units(F.col("kmer")) / F.lit(1e7)).alias("aa_mass"), "proteins")
 
 
+def kmer_places(proteins: DataFrame, max_k: int, min_k: int = 1) -> DataFrame:
+    """kmer, protein, starts: 0-based places in a protein, from the left and not overlapping. A row per k-mer and protein,
+    so a k-mer that all proteins hold is many rows, not one long list."""
+    df = kmers(proteins, max_k, min_k, keep=("name",)).groupBy("kmer", F.col("name").alias("protein")).agg(F.sort_array(F.collect_list("start")).alias("s"))
+    k = F.length("kmer")
+    apart = F.forall(F.zip_with(F.slice("s", 2, F.size("s")), F.slice("s", 1, F.size("s") - 1), lambda b, a: b - a), lambda gap: gap >= k)
+    picked = F.aggregate("s", F.array().cast("array<int>"), lambda out, x: F.when((F.size(out) == 0) | (x >= F.element_at(out, -1) + k), F.concat(out, F.array(x))).otherwise(out))
+    return df.select("kmer", "protein", F.when((F.size("s") == 1) | apart, F.col("s")).otherwise(picked).alias("starts"))
+
+
+def kmer_masses(proteins: DataFrame, max_k: int, min_k: int = 1) -> DataFrame:
+    """kmer, aa_mass of the distinct k-mers: what peaks are matched with."""
+    return unique_kmers(proteins, max_k, min_k).withColumn("aa_mass", mass_units(F.col("kmer")) / F.lit(1e7))
+
+
 def write_kmer_table(table: DataFrame, path: str, width: float = 1.0) -> None:
     """Parquet, partitioned by mass bin and sorted by mass within it: scans of a mass window prune files and row groups."""
     binned = table.withColumn("mass_bin", F.floor(F.col("aa_mass") / width))
     binned.repartition("mass_bin").sortWithinPartitions("mass_bin", "aa_mass").write.mode("overwrite").partitionBy("mass_bin").parquet(path)
 
 
-def contains_seq(proteins: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (query) that some protein holds."""
-    return queries.join(proteins.select("seq"), F.contains("seq", "query"), "left_semi")
+def contains_seq(proteins: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """Distinct queries (query) that some protein holds, the empty one if there is any protein; a null is held by none.
+
+    An equi-join, not a loop over pairs: proteins are cut into overlapping pieces, a piece of a text is met through its
+    first k letters, and the rest is compared where both stand. Queries of fewer than k letters meet as they are.
+    """
+    queries = queries.select("query").distinct()
+    seqs = proteins.select("seq").where("seq is not null")
+    longest = queries.agg(F.max(F.length("query")).alias("most"))  # one row
+    n = F.length("seq")
+    chunks = seqs.crossJoin(F.broadcast(longest)).select("most", "seq", F.explode(counted(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).alias("c"))
+    chunks = chunks.select("most", F.substring("seq", F.col("c") * CHUNK + 1, F.col("most") + CHUNK).alias("chunk")).distinct()
+    keys = chunks.select("chunk", F.explode(F.transform(counted(F.lit(0), F.least(F.length("chunk"), F.lit(CHUNK)) - 1), lambda s: F.substring("chunk", s + 1, F.lit(k)))).alias("key"))
+    long = queries.where(F.length("query") >= k).withColumn("key", F.left("query", F.lit(k)))
+    found = long.join(keys.where(F.length("key") == k).distinct(), (long["key"] == keys["key"]) & F.contains(keys["chunk"], long["query"]), "left_semi").select("query")
+    short = queries.where((F.length("query") < k) & (F.col("query") != ""))
+    some = keys.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key"), F.lit(max(k - 1, 1)))), lambda i: F.left("key", i))).alias("query")).distinct()
+    empty = queries.where("query = ''").join(seqs.limit(1), how="left_semi")
+    return found.union(short.join(some, "query", "left_semi")).union(empty)
 
 
 def proteins_by_name(proteins: DataFrame, names: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.sequences import is_hybrid, prefixes
+from ..functions.sequences import HYBRID_PREFIX, is_hybrid, prefixes
+from .hybrids import possible_hybrids
+from .keys import SPECTRUM
+from .settle import settled
 
 
 def high_confidence(psms: DataFrame, most: float = 0.01) -> DataFrame:
@@ -17,14 +20,28 @@ def hybrid_psms(psms: DataFrame) -> DataFrame:
     return psms.where(is_hybrid(F.col("proteins")))
 
 
+def top_ranked(psms: DataFrame, n: int = 1) -> DataFrame:
+    """The first n matches of every spectrum by the search's own rank."""
+    return psms.where(F.col("num") <= n)
+
+
+def for_sample_scan(psms: DataFrame, sample: str, scan: int) -> DataFrame:
+    return psms.where((F.col("sample") == sample) & (F.col("scan") == scan))
+
+
 def protein_counts(psms: DataFrame) -> DataFrame:
     """protein, n: how often each protein stands in a match's list."""
     return psms.select(F.explode("proteins").alias("protein")).groupBy("protein").agg(F.count("*").alias("n"))
 
 
+def sort_counts(counts: DataFrame) -> DataFrame:
+    """Counts from the largest down, ties by name: a global order for reports."""
+    return counts.orderBy(F.desc("n"), "protein")
+
+
 def top_n_proteins(counts: DataFrame, n: int) -> DataFrame:
     """The n most frequent; ties by name."""
-    return counts.orderBy(F.desc("n"), "protein").limit(n)
+    return sort_counts(counts).limit(n)
 
 
 def prefix_counts_by_length(psms: DataFrame) -> DataFrame:
@@ -43,9 +60,21 @@ def max_elements(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.join(top, by).where(F.col(value) == F.col("__top")).drop("__top")
 
 
-def dense_rank_desc(df: DataFrame, value: str) -> DataFrame:
-    """value -> rank among the distinct values, the largest first; ranks are made over distinct values only."""
-    ranks = df.select(value).distinct().withColumn("rank", F.dense_rank().over(W.orderBy(F.desc(value))))
+def _ranges(values: DataFrame, value: str, buckets: int) -> DataFrame:
+    """Adds range: 0 to buckets - 1 by quantiles of the distinct values, in their order. The cuts are one row of bounded size."""
+    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    edges = values.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, at, 10_000))).alias("edges"))
+    return values.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("edges", lambda x: x <= F.col(value)))).drop("edges")
+
+
+def dense_rank_desc(df: DataFrame, value: str, buckets: int = 1024) -> DataFrame:
+    """value -> rank among the distinct values, the largest first. In two levels, so that no task orders all values: how
+    many values lie in higher ranges (a bounded table), and the place within the range."""
+    ranged = settled(_ranges(df.select(value).where(F.col(value).isNotNull()).distinct(), value, buckets))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("c"))
+    base = counts.select("range", F.coalesce(F.sum("c").over(W.orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.row_number().over(W.partitionBy("range").orderBy(F.desc(value)))
+    ranks = ranged.withColumn("place", place).join(F.broadcast(base), "range").select(value, (F.col("base") + F.col("place")).alias("rank"))
     return df.join(ranks, value)
 
 
@@ -69,9 +98,7 @@ def tdc_q_value(psms: DataFrame, by: tuple[str, ...] = ("sample", "scan"), uniqu
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), F.desc("is_decoy"), unique))
     won = psms.withColumn("__r", rank).where("__r = 1").drop("__r")
     per = won.groupBy("score").agg(F.count_if("is_decoy").alias("d"), F.count_if(~F.col("is_decoy")).alias("t"))
-    cuts = F.percentile_approx("score", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)
-    edges = per.agg(F.array_sort(F.array_distinct(cuts)).alias("edges"))  # one row of bounded size
-    per = per.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("edges", lambda x: x <= F.col("score")))).drop("edges")
+    per = settled(_ranges(settled(per), "score", buckets))  # a row per distinct score, read several times below
     sums = per.groupBy("range").agg(F.sum("d").alias("sd"), F.sum("t").alias("st"))  # at most ``buckets`` rows
     above = W.orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("range", F.coalesce(F.sum("sd").over(above), F.lit(0)).alias("d0"), F.coalesce(F.sum("st").over(above), F.lit(0)).alias("t0"))
@@ -94,14 +121,80 @@ def delta_cn(psms: DataFrame, by: tuple[str, ...] = ("sample", "scan"), unique:
 
 
 def rel_change(a: Column, b: Column) -> Column:
-    """(a - b) / a, with 1e-5 in place of a zero a."""
-    base = F.when(F.abs(a) < 1e-5, F.lit(1e-5)).otherwise(a)
+    """(a - b) / a; a zero a counts as 1e-5."""
+    base = F.when(a == 0, F.lit(1e-5)).otherwise(a)
     return (a - b) / base
 
 
+def rank_change(native: DataFrame, hybrid: DataFrame, value: str = "score") -> DataFrame:
+    """Per spectrum: change and rel_change of a column from the native to the hybrid search, native less hybrid, over the
+    first-ranked matches (num = 1) of both."""
+    best = lambda df, name: top_ranked(df).groupBy(*SPECTRUM).agg(F.max(value).cast("double").alias(name))
+    df = best(native, "native").join(best(hybrid, "hybrid"), SPECTRUM)
+    n, h = F.col("native"), F.col("hybrid")
+    return df.select(*SPECTRUM, (n - h).alias("change"), rel_change(n, h).alias("rel_change"))
+
+
 def native_hybrid_change(native: DataFrame, hybrid: DataFrame) -> DataFrame:
-    """Per (sample, scan) of both: best scores, change, relative change (by native), and number of matches."""
-    best = lambda df, name: df.groupBy("sample", "scan").agg(F.max("score").alias(f"{name}_score"), F.count("*").alias(f"{name}_n"))
-    df = best(native, "native").join(best(hybrid, "hybrid"), ["sample", "scan"])
+    """Per spectrum that both searches have, over all matches: the best scores, their change (hybrid less native) and the
+    change relative to the native score (null where that is zero), the largest and the least native e-value, the most ions
+    matched and their change, and the numbers of matches."""
+
+    def best(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*SPECTRUM).agg(
+            F.max("score").alias(f"{name}_score"), F.max("eval").alias(f"{name}_eval"), F.min("eval").alias(f"{name}_least_eval"),
+            F.max("ions_matched").alias(f"{name}_ions"), F.count("*").alias(f"{name}_n"),
+        )
+
+    df = best(native, "native").join(best(hybrid, "hybrid").drop("hybrid_eval", "hybrid_least_eval"), SPECTRUM)
     n, h = F.col("native_score"), F.col("hybrid_score")
-    return df.withColumn("change", n - h).withColumn("rel_change", rel_change(n, h))
+    df = df.withColumn("change", h - n).withColumn("rel_change", (h - n) / F.nullif(n, F.lit(0.0)))
+    return df.withColumn("ions_change", F.col("hybrid_ions") - F.col("native_ions"))
+
+
+def union_scans(native: DataFrame, hybrid: DataFrame) -> tuple[str, int]:
+    """Sample and scan of two lists of matches, which must all be of one spectrum; anything else is an error."""
+    found = native.select(*SPECTRUM).union(hybrid.select(*SPECTRUM)).distinct().take(2)
+    if len(found) != 1:
+        raise ValueError("the matches are not of one spectrum" if found else "there are no matches")
+    return found[0][0], found[0][1]
+
+
+def psm_groups(psms: DataFrame, order: str = "num") -> DataFrame:
+    """sample, scan, group: the matches of each spectrum as an array of structs in the order of a column. A spectrum's
+    matches are few, as searches list the best ones only."""
+    others = [c for c in psms.columns if c not in (*SPECTRUM, order)]
+    row = F.struct(order, *others)
+    return psms.groupBy(*SPECTRUM).agg(F.sort_array(F.collect_list(row)).alias("group"))
+
+
+def fcn_of_psms(psms: DataFrame, value: str, fcn, by: list[str]) -> DataFrame:
+    """by, value: an aggregate function (such as F.min) of a column per group."""
+    return psms.groupBy(*by).agg(fcn(value).alias(value))
+
+
+def arg_fcn_of_psms(psms: DataFrame, value: str, fcn, by: list[str]) -> DataFrame:
+    """All matches that attain their group's value of the aggregate function, ties kept."""
+    top = psms.groupBy(*by).agg(fcn(value).alias("__top"))
+    return psms.join(top, by).where(F.col(value) == F.col("__top")).drop("__top")
+
+
+def seq_with_hyphen(psms: DataFrame) -> DataFrame:
+    """Adds forms: left-right of each protein of a hybrid match, and the plain sequence of any other."""
+    sides = F.transform("proteins", lambda p: F.substring(p, len(HYBRID_PREFIX) + 1, F.length(p)))
+    return psms.withColumn("forms", F.when(is_hybrid(F.col("proteins")) & (F.size("proteins") > 0), F.array_sort(F.array_distinct(sides))).otherwise(F.array("seq")))
+
+
+def save_hybrids(psms: DataFrame, table: DataFrame, most_q: float = 0.01, min_side: int = 1) -> DataFrame:
+    """Confident hybrid matches with every possible split, one row per pair; matches without a split vanish."""
+    return possible_hybrids(hybrid_psms(high_confidence(psms, most_q)), table, min_side)
+
+
+def concat_protein_names(hybrids: DataFrame, proteins: DataFrame) -> DataFrame:
+    """left_ids and right_ids (arrays of prot_id) to left_proteins and right_proteins, sorted names of each hybrid, joined by
+    ``hybrid_id``; ids without a protein are left out."""
+    for side in ("left", "right"):
+        ids = hybrids.select("hybrid_id", F.explode(f"{side}_ids").alias("prot_id")).join(proteins.select("prot_id", "name"), "prot_id")
+        names = ids.groupBy("hybrid_id").agg(F.sort_array(F.collect_set("name")).alias(f"{side}_proteins"))
+        hybrids = hybrids.join(names, "hybrid_id", "left").withColumn(f"{side}_proteins", F.coalesce(f"{side}_proteins", F.array().cast("array<string>")))
+    return hybrids

@@ -6,23 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .keys import SPECTRUM
 
-def top_n_peaks(peaks: DataFrame, n: int, by: str = "scan") -> DataFrame:
+
+def top_n_peaks(peaks: DataFrame, n: int, by: list[str] = SPECTRUM) -> DataFrame:
     """The n most intense peaks of each spectrum, ties by peak id; n = 0 keeps all."""
     if n == 0:
         return peaks
-    w = W.partitionBy(by).orderBy(F.desc("intensity"), "peak_id")
+    w = W.partitionBy(*by).orderBy(F.desc("intensity"), "peak_id")
     return peaks.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
-def relative_abundance(peaks: DataFrame, share: float, by: str = "scan") -> DataFrame:
+def legacy_top_n_peaks(peaks: DataFrame, n: int, by: list[str] = SPECTRUM) -> DataFrame:
+    """The n most intense peaks with their place by m/z (1-based ``place``), the order in which the older engine lists them."""
+    w = W.partitionBy(*by).orderBy("mz", "peak_id")
+    return top_n_peaks(peaks, n, by).withColumn("place", F.row_number().over(w))
+
+
+def relative_abundance(peaks: DataFrame, share: float, by: list[str] = SPECTRUM) -> DataFrame:
     """Peaks of at least a share of their spectrum's total intensity."""
-    total = F.sum("intensity").over(W.partitionBy(by))
+    total = F.sum("intensity").over(W.partitionBy(*by))
     return peaks.withColumn("__t", total).where(F.col("intensity") >= share * F.col("__t")).drop("__t")
 
 
-def total_intensity(peaks: DataFrame, by: str = "scan") -> DataFrame:
-    return peaks.groupBy(by).agg(F.sum("intensity").alias("total_intensity"), F.count("*").alias("n_peaks"))
+def total_intensity(peaks: DataFrame, by: list[str] = SPECTRUM) -> DataFrame:
+    return peaks.groupBy(*by).agg(F.sum("intensity").alias("total_intensity"), F.count("*").alias("n_peaks"))
 
 
 def peaks_near_mz(peaks: DataFrame, mz: float, ppm: float) -> DataFrame:
@@ -30,8 +38,15 @@ def peaks_near_mz(peaks: DataFrame, mz: float, ppm: float) -> DataFrame:
     return peaks.where(F.abs(F.col("mz") - mz) / F.col("mz") * 1e6 <= ppm)
 
 
-def sparse_bins(peaks: DataFrame, width: float, by: str = "scan", value: int = 50) -> DataFrame:
-    return peaks.select(by, F.floor(F.col("mz") / width).alias("bin"), F.lit(value).alias("value")).distinct()
+def sparse_bins(peaks: DataFrame, width: float, by: list[str] = SPECTRUM, value: int = 50) -> DataFrame:
+    return peaks.select(*by, F.floor(F.col("mz") / width).alias("bin"), F.lit(value).alias("value")).distinct()
+
+
+def dense_bins(bins: DataFrame, by: list[str] = SPECTRUM) -> DataFrame:
+    """sparse_bins with a zero for every bin below the last one of its group that has none: one array, ``values``."""
+    last = bins.groupBy(*by).agg(F.max("bin").alias("last"), F.map_from_entries(F.collect_list(F.struct("bin", "value"))).alias("m"))
+    values = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
+    return last.select(*by, values.alias("values"))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 
 from ..operators.clusters import cluster_filter, clusters, extend_clusters, pieces
 from ..operators.hybrids import hybrid_pairs, piece_proteins, remove_native
-from ..operators.ions import peak_ion_match, position_ions
-from ..operators.kmers import kmer_table
+from ..operators.ions import counted_matches, peak_ion_match, position_ions
+from ..operators.kmers import kmer_masses, kmer_places
 from ..operators.psms import high_confidence, protein_counts, top_n_proteins
 from ..operators.spectra import top_n_peaks
 
@@ -30,17 +30,23 @@ class SearchConfig:
     min_side: int = 1
 
 
-def extended_clusters(spectra: DataFrame, peaks: DataFrame, proteins: DataFrame, table: DataFrame, config: SearchConfig) -> DataFrame:
-    matches = peak_ion_match(top_n_peaks(peaks, config.num_peaks), spectra, table, config.peak_ppm)
-    found = cluster_filter(clusters(position_ions(matches, proteins)), config.min_cluster_length, config.min_cluster_support)
+def extended_clusters(spectra: DataFrame, peaks: DataFrame, proteins: DataFrame, table: DataFrame, places: DataFrame, config: SearchConfig) -> DataFrame:
+    matches = counted_matches(peak_ion_match(top_n_peaks(peaks, config.num_peaks), spectra, table, config.peak_ppm))
+    found = cluster_filter(clusters(position_ions(matches, places)), config.min_cluster_length, config.min_cluster_support)
     return extend_clusters(found, proteins, spectra, config.precursor_ppm)
 
 
-def find_hybrids(spectra: DataFrame, peaks: DataFrame, proteins: DataFrame, config: SearchConfig | None = None, table: DataFrame | None = None) -> DataFrame:
-    """scan, left_seq, right_seq, left_proteins, right_proteins of all spectra, natives removed."""
+def find_hybrids(
+    spectra: DataFrame, peaks: DataFrame, proteins: DataFrame, config: SearchConfig | None = None, table: DataFrame | None = None, places: DataFrame | None = None
+) -> DataFrame:
+    """sample, scan, left_seq, right_seq, left_proteins, right_proteins of all spectra, natives removed.
+
+    table (kmer, aa_mass) and places (kmer, protein, starts) are made from the proteins unless stored ones are given.
+    """
     config = config or SearchConfig()
-    table = kmer_table(proteins, config.max_k, config.min_k) if table is None else table
-    found = pieces(extended_clusters(spectra, peaks, proteins, table, config))
+    table = kmer_masses(proteins, config.max_k, config.min_k) if table is None else table
+    places = kmer_places(proteins, config.max_k, config.min_k) if places is None else places
+    found = pieces(extended_clusters(spectra, peaks, proteins, table.select("kmer", "aa_mass"), places, config))
     return remove_native(hybrid_pairs(piece_proteins(found), spectra, config.precursor_ppm), table)
 
 

@@ -25,4 +25,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import functions, matching, psms, retired, spectra  # noqa: F401
+    from . import files, functions, matching, psms, retired, spectra  # noqa: F401

@@ -23,13 +23,13 @@ def ion_mz(t):
     return df.select("seq", z.cast("long").alias("charge"), of("b").alias("b_mz"), of("y").alias("y_mz"), F.round(M.precursor_mz(m, z), 6).alias("precursor_mz"))
 
 
-@query(f"""WITH {A.PEAKS} SELECT scan, peak_id, round(20.0 * mz / 1e6, 9) AS tol, round(abs(mz - 500) / mz * 1e6, 4) AS ppm_diff, round((mz - 500) / mz, 9) AS mz_diff,
+@query(f"""WITH {A.PEAKS} SELECT sample, scan, peak_id, round(20.0 * mz / 1e6, 9) AS tol, round(abs(mz - 500) / mz * 1e6, 4) AS ppm_diff, round((mz - 500) / mz, 9) AS mz_diff,
   round(2 * (mz - 20.0 * mz / 1e6 - {A.P}), 6) AS b_lo, round(2 * (mz + 20.0 * mz / 1e6 - {A.P}) - {A.WATER}, 6) AS y_hi FROM peaks""")
 def ppm_functions(t):
     mz = F.col("mz")
     b, y = M.b_ion_bounds(mz, F.lit(2), 20.0), M.y_ion_bounds(mz, F.lit(2), 20.0)
     return t.peaks.select(
-        "scan", "peak_id", F.round(M.ppm_to_dalton(20.0, mz), 9).alias("tol"), F.round(M.ppm_diff(mz, F.lit(500.0)), 4).alias("ppm_diff"),
+        "sample", "scan", "peak_id", F.round(M.ppm_to_dalton(20.0, mz), 9).alias("tol"), F.round(M.ppm_diff(mz, F.lit(500.0)), 4).alias("ppm_diff"),
         F.round(M.mz_diff(mz, F.lit(500.0)), 9).alias("mz_diff"), F.round(b[0], 6).alias("b_lo"), F.round(y[1], 6).alias("y_hi"),
     )
 
@@ -63,13 +63,13 @@ def parse_result_file_name(t):
     return t["orders"].select("o_orderkey", sample.alias("sample"), scan.alias("scan"), kind.alias("kind"), S.scan_number(F.concat(F.lit("controller=0 scan="), k)).alias("scan_number"))
 
 
-@query(f"""WITH {A.PLANTED} SELECT scan, (SELECT coalesce(max(i), 0) FROM range(1, 7) x(i) WHERE i <= least(length(left_seq), length(right_seq)) AND right(left_seq, i) = left(right_seq, i)) AS overlap,
+@query(f"""WITH {A.PLANTED} SELECT pid, (SELECT coalesce(max(i), 0) FROM range(1, 7) x(i) WHERE i <= least(length(left_seq), length(right_seq)) AND right(left_seq, i) = left(right_seq, i)) AS overlap,
   array_to_string(list_transform(range(1, length(right_seq) + 1), lambda i: left_seq || left(right_seq, i)), ',') AS jb,
   array_to_string(list_transform(range(1, length(left_seq)), lambda i: substr(left_seq, i + 1) || right_seq), ',') AS jy FROM planted""")
 def junction_seqs(t):
     b, y = S.junction_seqs(F.col("left_seq"), F.col("right_seq"))
     over = S.kmer_overlap(F.col("left_seq"), F.col("right_seq")).cast("long")
-    return t.planted.select("scan", over.alias("overlap"), F.array_join(b, ",").alias("jb"), F.array_join(y, ",").alias("jy"))
+    return t.planted.select("pid", over.alias("overlap"), F.array_join(b, ",").alias("jb"), F.array_join(y, ",").alias("jy"))
 
 
 @query(f"""WITH {A.PARTS} SELECT prot_id, CASE WHEN length(seq) <= 2 THEN seq ELSE reverse(left(seq, length(seq) - 1)) || right(seq, 1) END AS decoy,
@@ -88,11 +88,15 @@ def permute_letters(t):
     return names.select("s", F.explode(S.permuted(F.col("s"), "ae")).alias("made"))
 
 
+def _runs(t, where="true"):
+    return t["orders"].where(where).select(F.concat(F.lit("s"), (F.col("o_orderkey") % 4).cast("string")).alias("sample"), F.col("o_orderkey").alias("scan"))
+
+
 @query("SELECT o_orderkey, 's' || (o_orderkey % 4) || '.comet.' || o_orderkey || '-' || o_orderkey || '.' || k || '.txt' AS file FROM orders, (VALUES ('target'), ('decoy')) v(k)")
 def expected_outputs(t):
     from ..sources.tables import expected_outputs as make
 
-    return make(t.spectra).select(F.col("scan").alias("o_orderkey"), "file")
+    return make(_runs(t)).select(F.col("scan").alias("o_orderkey"), "file")
 
 
 @query("SELECT 's' || (o_orderkey % 4) || '.comet.' || o_orderkey || '-' || o_orderkey || '.' || k || '.txt' AS file FROM orders, (VALUES ('target'), ('decoy')) v(k) WHERE NOT (o_orderstatus = 'F' AND k = 'decoy')")
@@ -100,5 +104,17 @@ def missing_outputs(t):
     from ..sources.tables import expected_outputs as make
     from ..sources.tables import missing_outputs as missing
 
-    done = make(t["orders"].where("o_orderstatus = 'F'").select(F.concat(F.lit("s"), (F.col("o_orderkey") % 4).cast("string")).alias("sample"), F.col("o_orderkey").alias("scan")))
-    return missing(make(t.spectra).select("file"), done.where("kind = 'decoy'"))
+    done = make(_runs(t, "o_orderstatus = 'F'"))
+    return missing(make(_runs(t)).select("file"), done.where("kind = 'decoy'"))
+
+
+@query("""SELECT o_orderkey, round(s, 2) || ' secs = ' || round(s / 60, 2) || ' mins = ' || round(s / 3600, 2) || ' hrs' AS units, CASE t WHEN 'b' THEN 0 WHEN 'y' THEN 1 END AS code, t AS back,
+  NOT contains(lower(o_orderpriority), 'f') AS flag, CAST(floor(100 * (o_orderkey % 77) / 77.0) AS INTEGER) AS percent, o_orderkey || '-' || o_custkey AS bounds
+FROM (SELECT *, (2 * o_orderkey + 1)::DOUBLE AS s, CASE WHEN o_orderkey % 2 = 0 THEN 'b' ELSE 'y' END AS t FROM orders)""")
+def small_functions(t):
+    k = F.col("o_orderkey")
+    code = S.ion_type_code(F.when(k % 2 == 0, "b").otherwise("y"))
+    return t["orders"].select(
+        "o_orderkey", S.time_units((2 * k + 1).cast("double")).alias("units"), code.alias("code"), S.ion_type_of(code).alias("back"),
+        S.string_to_bool(F.col("o_orderpriority")).alias("flag"), S.to_percent(k % 77, F.lit(77)).alias("percent"), S.hashable_boundaries(F.array(k, "o_custkey")).alias("bounds"),
+    )

@@ -9,6 +9,7 @@ from ..operators.clusters import cluster_filter as filter_clusters
 from ..operators.clusters import clusters as make_clusters
 from ..operators.clusters import extend_clusters as extend
 from ..operators.clusters import pieces as make_pieces
+from ..operators.ions import counted_matches as count_matches
 from ..operators.ions import peak_ion_match as match_peaks
 from ..operators.ions import position_ions as place_ions
 from ..operators.ions import product_ions as make_ions
@@ -46,6 +47,11 @@ def kmer_counts_by_protein(t):
     return count_kmers(t.proteins, 3, 2)
 
 
+@query(f"""WITH {A.PARTS}, {A.TABLE}, matches AS (SELECT kmer, proteins FROM tab), {A.PLACES} SELECT kmer, protein, string_agg(start, ',' ORDER BY start) AS starts FROM places GROUP BY ALL""")
+def kmer_places(t):
+    return t.places.select("kmer", "protein", F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"))
+
+
 @query(f"WITH {A.PARTS}, {A.TABLE} SELECT kmer, round(aa_mass, 6) AS aa_mass, array_to_string(proteins, ',') AS proteins FROM tab")
 def create_db(t):
     return make_table(t.parts, 6, 2).select("kmer", F.round("aa_mass", 6).alias("aa_mass"), JOINED("proteins").alias("proteins"))
@@ -64,8 +70,8 @@ def proteins_by_name(t):
 
 
 @query(f"""WITH {A.PLANTED}, ions AS (
-  SELECT scan AS pid, 'b' AS ion_type, left(left_seq || right_seq, n) AS ion_seq FROM planted, range(1, 13) r(n) WHERE n <= length(left_seq || right_seq)
-  UNION ALL SELECT scan, 'y', right(left_seq || right_seq, n) FROM planted, range(1, 13) r(n) WHERE n <= length(left_seq || right_seq)
+  SELECT pid, 'b' AS ion_type, left(left_seq || right_seq, n) AS ion_seq FROM planted, range(1, 13) r(n) WHERE n <= length(left_seq || right_seq)
+  UNION ALL SELECT pid, 'y', right(left_seq || right_seq, n) FROM planted, range(1, 13) r(n) WHERE n <= length(left_seq || right_seq)
 ) SELECT pid, ion_type, ion_seq, z AS charge, round(CASE ion_type WHEN 'b' THEN ({A.sql_mass('ion_seq')} + z * {A.P}) / z ELSE ({A.sql_mass('ion_seq')} + {A.WATER} + z * {A.P}) / z END, 6) AS mz
 FROM ions, range(1, 3) c(z)""")
 def product_ions(t):
@@ -74,72 +80,76 @@ def product_ions(t):
 
 
 @query(f"""WITH {A.PARTS}, {A.TABLE}, {A.SPECTRA}, {A.PEAKS}, probes AS (
-  SELECT p.scan, peak_id, z.z AS charge, ion_type, z.z * (mz - mz * 20 / 1e6 - {A.P}) - off AS lo, z.z * (mz + mz * 20 / 1e6 - {A.P}) - off AS hi,
+  SELECT p.sample, p.scan, peak_id, z.z AS charge, ion_type, z.z * (mz - mz * 20 / 1e6 - {A.P}) - off AS lo, z.z * (mz + mz * 20 / 1e6 - {A.P}) - off AS hi,
     precursor_charge * (precursor_mz - {A.P}) - {A.WATER} AS most
-  FROM peaks p JOIN spectra s USING (scan), range(1, 4) z(z), (VALUES ('b', 0.0::DOUBLE), ('y', {A.WATER}::DOUBLE)) t(ion_type, off) WHERE z.z <= precursor_charge
-) SELECT scan, peak_id, charge, ion_type, kmer FROM probes JOIN tab ON aa_mass BETWEEN lo AND hi AND aa_mass <= most""")
+  FROM peaks p JOIN spectra s USING (sample, scan), range(1, 4) z(z), (VALUES ('b', 0.0::DOUBLE), ('y', {A.WATER}::DOUBLE)) t(ion_type, off) WHERE z.z <= precursor_charge
+) SELECT sample, scan, peak_id, charge, ion_type, kmer FROM probes JOIN tab ON aa_mass BETWEEN lo AND hi AND aa_mass <= most""")
 def peak_ion_match(t):
-    df = match_peaks(t.peaks, t.spectra, t.table.drop("proteins"))
-    return df.select("scan", "peak_id", F.col("charge").cast("long").alias("charge"), "ion_type", "kmer")
+    df = match_peaks(t.peaks, t.spectra, t.masses)
+    return df.select("sample", "scan", "peak_id", F.col("charge").cast("long").alias("charge"), "ion_type", "kmer")
 
 
 def _matches(t):
-    return match_peaks(t.peaks_theo, t.spectra_theo, t.table)
+    return match_peaks(t.peaks_theo, t.spectra_theo, t.masses)
 
 
 def _ions(t):
-    return place_ions(_matches(t), t.parts)
+    return place_ions(_matches(t), t.places)
+
+
+def _clusters(t):
+    return make_clusters(place_ions(count_matches(_matches(t)), t.places))
 
 
 def _extended(t):
-    return extend(filter_clusters(make_clusters(_ions(t))), t.parts, t.spectra_theo)
+    return extend(filter_clusters(_clusters(t)), t.parts, t.spectra_theo)
 
 
 def _hybrids(t):
     return H.hybrid_pairs(H.piece_proteins(make_pieces(_extended(t))), t.spectra_theo)
 
 
-@query(f'WITH {A.UP_TO_IONS} SELECT scan, ion_type, kmer, protein, start, "end", count(*) AS n FROM ions GROUP BY ALL')
+@query(f'WITH {A.UP_TO_IONS} SELECT sample, scan, ion_type, kmer, protein, start, "end", count(*) AS n FROM ions GROUP BY ALL')
 def position_ions(t):
-    return _ions(t).groupBy("scan", "ion_type", "kmer", "protein", "start", "end").agg(F.count("*").alias("n"))
+    return _ions(t).groupBy("sample", "scan", "ion_type", "kmer", "protein", "start", "end").agg(F.count("*").alias("n"))
 
 
-@query(f'WITH {A.UP_TO_IONS}, {A.CLUSTERS} SELECT scan, ion_type, protein, anchor, support, start, "end", length FROM clus')
+@query(f'WITH {A.UP_TO_IONS}, {A.CLUSTERS} SELECT sample, scan, ion_type, protein, anchor, support, start, "end", length FROM clus')
 def clusters(t):
-    return make_clusters(_ions(t)).drop("shortest")
+    return _clusters(t).drop("shortest")
 
 
-@query(f'WITH {A.UP_TO_IONS}, {A.CLUSTERS}, {A.FILTERED} SELECT scan, ion_type, protein, anchor, support FROM filt')
+@query(f'WITH {A.UP_TO_IONS}, {A.CLUSTERS}, {A.FILTERED} SELECT sample, scan, ion_type, protein, anchor, support FROM filt')
 def cluster_filter(t):
-    return filter_clusters(make_clusters(_ions(t))).select("scan", "ion_type", "protein", "anchor", "support")
+    return filter_clusters(_clusters(t)).select("sample", "scan", "ion_type", "protein", "anchor", "support")
 
 
-@query(f"WITH {A.UP_TO_EXTENDED} SELECT scan, ion_type, protein, anchor, extended_seq FROM ext")
+@query(f"WITH {A.UP_TO_EXTENDED} SELECT sample, scan, ion_type, protein, anchor, extended_seq FROM ext")
 def extend_cluster(t):
-    return _extended(t).select("scan", "ion_type", "protein", "anchor", "extended_seq")
+    return _extended(t).select("sample", "scan", "ion_type", "protein", "anchor", "extended_seq")
 
 
-@query(f"WITH {A.UP_TO_EXTENDED}, {A.PIECES} SELECT scan, side, piece, count(*) AS n FROM piec GROUP BY ALL")
+@query(f"WITH {A.UP_TO_EXTENDED}, {A.PIECES} SELECT sample, scan, side, piece, count(*) AS n FROM piec GROUP BY ALL")
 def pieces(t):
-    return make_pieces(_extended(t)).groupBy("scan", "side", "piece").agg(F.count("*").alias("n"))
+    return make_pieces(_extended(t)).groupBy("sample", "scan", "side", "piece").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {A.UP_TO_EXTENDED}, {A.PIECES}, {A.PAIRED} SELECT scan, side, piece, array_to_string(proteins, ',') AS proteins FROM sided")
+@query(f"WITH {A.UP_TO_EXTENDED}, {A.PIECES}, {A.PAIRED} SELECT sample, scan, side, piece, array_to_string(proteins, ',') AS proteins FROM sided")
 def piece_proteins(t):
     return H.piece_proteins(make_pieces(_extended(t))).withColumn("proteins", JOINED("proteins"))
 
 
-@query(f"WITH {A.UP_TO_HYBRIDS} SELECT scan, left_seq, right_seq, array_to_string(left_proteins, ',') AS left_proteins, array_to_string(right_proteins, ',') AS right_proteins FROM hyb")
+@query(f"WITH {A.UP_TO_HYBRIDS} SELECT sample, scan, left_seq, right_seq, array_to_string(left_proteins, ',') AS left_proteins, array_to_string(right_proteins, ',') AS right_proteins FROM hyb")
 def hybrid_pairs(t):
-    return _hybrids(t).select("scan", "left_seq", "right_seq", JOINED("left_proteins").alias("left_proteins"), JOINED("right_proteins").alias("right_proteins"))
+    return _hybrids(t).select("sample", "scan", "left_seq", "right_seq", JOINED("left_proteins").alias("left_proteins"), JOINED("right_proteins").alias("right_proteins"))
 
 
-@query(f"WITH {A.UP_TO_HYBRIDS} SELECT scan, left_seq, right_seq FROM hyb WHERE left_seq || right_seq NOT IN (SELECT kmer FROM tab)")
+@query(f"WITH {A.UP_TO_HYBRIDS} SELECT sample, scan, left_seq, right_seq FROM hyb WHERE left_seq || right_seq NOT IN (SELECT kmer FROM tab)")
 def remove_native(t):
-    return H.remove_native(_hybrids(t), t.table).select("scan", "left_seq", "right_seq")
+    return H.remove_native(_hybrids(t), t.masses).select("sample", "scan", "left_seq", "right_seq")
 
 
-@query(f"WITH {A.UP_TO_HYBRIDS} SELECT scan, left_seq || right_seq AS seq, string_agg(DISTINCT left_seq || '-' || right_seq, ',' ORDER BY left_seq || '-' || right_seq) AS forms FROM hyb GROUP BY 1, 2")
+@query(f"WITH {A.UP_TO_HYBRIDS} SELECT sample, scan, left_seq || right_seq AS seq, string_agg(DISTINCT left_seq || '-' || right_seq, ',' ORDER BY left_seq || '-' || right_seq) AS forms FROM hyb GROUP BY 1, 2, 3")
 def hybrids_by_sequence(t):
     return H.hybrids_by_sequence(_hybrids(t)).withColumn("forms", JOINED("forms"))
 
@@ -152,7 +162,7 @@ def create_hybrids_fasta(t):
 
 
 @query(f"""WITH {A.PLANTED}, {A.TABLE}, cut AS (
-  SELECT scan AS pid, left(left_seq || right_seq, n) AS left_seq, substr(left_seq || right_seq, n + 1) AS right_seq FROM planted, range(1, 12) r(n) WHERE n < length(left_seq || right_seq)
+  SELECT pid, left(left_seq || right_seq, n) AS left_seq, substr(left_seq || right_seq, n + 1) AS right_seq FROM planted, range(1, 12) r(n) WHERE n < length(left_seq || right_seq)
 ) SELECT pid, left_seq, right_seq, array_to_string(l.proteins, ',') AS left_proteins, array_to_string(r.proteins, ',') AS right_proteins
 FROM cut JOIN tab l ON l.kmer = left_seq JOIN tab r ON r.kmer = right_seq""")
 def possible_hybrids(t):
@@ -160,12 +170,12 @@ def possible_hybrids(t):
     return df.select("pid", "left_seq", "right_seq", JOINED("left_proteins").alias("left_proteins"), JOINED("right_proteins").alias("right_proteins"))
 
 
-@query(f"""WITH {A.PLANTED}, {A.TABLE} SELECT scan AS pid FROM planted WHERE EXISTS (
+@query(f"""WITH {A.PLANTED}, {A.TABLE} SELECT pid FROM planted WHERE EXISTS (
   SELECT 1 FROM range(2, 11) r(n) WHERE n <= length(left_seq || right_seq) - 2 AND left(left_seq || right_seq, n) IN (SELECT kmer FROM tab) AND substr(left_seq || right_seq, n + 1) IN (SELECT kmer FROM tab))""")
 def hybrids_by_side_length(t):
     return H.possible_hybrids(t.peptides.select("pid", "seq"), t.table, 2).select("pid").distinct()
 
 
-@query(f"WITH {A.PLANTED} SELECT scan AS pid, left(left_seq || right_seq, n) AS left_seq, substr(left_seq || right_seq, n + 1) AS right_seq FROM planted, range(3, 12) r(n) WHERE n <= length(left_seq || right_seq) - 3")
+@query(f"WITH {A.PLANTED} SELECT pid, left(left_seq || right_seq, n) AS left_seq, substr(left_seq || right_seq, n + 1) AS right_seq FROM planted, range(3, 12) r(n) WHERE n <= length(left_seq || right_seq) - 3")
 def split_points(t):
     return H.split_points(t.peptides.select("pid", "seq"), 3).select("pid", "left_seq", "right_seq")

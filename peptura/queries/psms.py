@@ -73,15 +73,83 @@ def delta_cn(t):
     return P.delta_cn(t.psms).select("psm_id", F.col("num").cast("long").alias("num"), F.round("delta_cn", 6).alias("delta_cn"))
 
 
-@query(f"""WITH {A.PSMS}, h AS (SELECT sample, scan, max(score) AS h, count(*) AS hn FROM psms WHERE starts_with(proteins[1], 'hybrid_') GROUP BY ALL),
-n AS (SELECT sample, scan, max(score) AS n, count(*) AS nn FROM psms WHERE NOT starts_with(proteins[1], 'hybrid_') GROUP BY ALL)
-SELECT sample, scan, n AS native_score, nn AS native_n, h AS hybrid_score, hn AS hybrid_n, round(n - h, 6) AS change, round((n - h) / CASE WHEN abs(n) < 1e-5 THEN 1e-5 ELSE n END, 6) AS rel_change FROM n JOIN h USING (sample, scan)""")
-def native_hybrid_change(t):
+_SIDES = f"""WITH {A.PSMS}, h AS (SELECT sample, scan, max(score) AS h, max(ions_matched) AS hi, count(*) AS hn FROM psms WHERE starts_with(proteins[1], 'hybrid_') GROUP BY ALL),
+n AS (SELECT sample, scan, max(score) AS n, max(eval) AS e, min(eval) AS le, max(ions_matched) AS ni, count(*) AS nn FROM psms WHERE NOT starts_with(proteins[1], 'hybrid_') GROUP BY ALL)"""
+
+
+def _native_and_hybrid(t):
     hybrid = F.col("proteins")[0].startswith(HYBRID_PREFIX)
-    df = P.native_hybrid_change(t.psms.where(~hybrid), t.psms.where(hybrid))
+    return t.psms.where(~hybrid), t.psms.where(hybrid)
+
+
+@query(f"""{_SIDES} SELECT sample, scan, n AS native_score, e AS native_eval, le AS native_least_eval, ni AS native_ions, nn AS native_n, h AS hybrid_score, hi AS hybrid_ions, hn AS hybrid_n,
+  round(h - n, 6) AS change, round((h - n) / nullif(n, 0), 6) AS rel_change, hi - ni AS ions_change FROM n JOIN h USING (sample, scan)""")
+def native_hybrid_change(t):
+    df = P.native_hybrid_change(*_native_and_hybrid(t))
     return df.withColumn("change", F.round("change", 6)).withColumn("rel_change", F.round("rel_change", 6))
 
 
+@query(f"""WITH {A.PSMS}, h AS (SELECT sample, scan, max(score) AS h FROM psms WHERE num = 1 AND starts_with(proteins[1], 'hybrid_') GROUP BY ALL),
+n AS (SELECT sample, scan, max(score) AS n FROM psms WHERE num = 1 AND NOT starts_with(proteins[1], 'hybrid_') GROUP BY ALL)
+SELECT sample, scan, round(n - h, 6) AS change, round((n - h) / CASE WHEN n = 0 THEN 1e-5 ELSE n END, 6) AS rel_change FROM n JOIN h USING (sample, scan)""")
+def rank_change(t):
+    df = P.rank_change(*_native_and_hybrid(t))
+    return df.select("sample", "scan", F.round("change", 6).alias("change"), F.round("rel_change", 6).alias("rel_change"))
+
+
+@query(f"WITH {A.PSMS} SELECT psm_id FROM psms WHERE num = 1")
+def top_ranked(t):
+    return P.top_ranked(t.psms).select("psm_id")
+
+
+@query(f"WITH {A.PSMS} SELECT psm_id FROM psms WHERE (sample, scan) = (SELECT (sample, scan) FROM psms ORDER BY psm_id LIMIT 1)")
+def for_sample_scan(t):
+    first = t.psms.orderBy("psm_id").first()
+    return P.for_sample_scan(t.psms, first["sample"] if first else "", first["scan"] if first else 0).select("psm_id")
+
+
+@query(f"WITH {A.PSMS} SELECT sample, scan, string_agg(psm_id, ',' ORDER BY num, psm_id) AS ids FROM psms GROUP BY ALL")
+def psm_groups(t):
+    df = P.psm_groups(t.psms.select("sample", "scan", "num", "psm_id"))
+    return df.select("sample", "scan", F.array_join(F.transform("group", lambda g: g["psm_id"].cast("string")), ",").alias("ids"))
+
+
+@query(f"WITH {A.PSMS} SELECT sample, min(score) AS score FROM psms GROUP BY sample")
+def fcn_of_psms(t):
+    return P.fcn_of_psms(t.psms, "score", F.min, ["sample"])
+
+
+@query(f"WITH {A.PSMS} SELECT psm_id, sample, score FROM psms JOIN (SELECT sample, min(score) AS m FROM psms GROUP BY sample) USING (sample) WHERE score = m")
+def arg_fcn_of_psms(t):
+    return P.arg_fcn_of_psms(t.psms.select("psm_id", "sample", "score"), "score", F.min, ["sample"])
+
+
+@query(f"""WITH {A.PSMS} SELECT psm_id, CASE WHEN len(list_filter(proteins, lambda p: NOT starts_with(p, 'hybrid_'))) = 0
+  THEN array_to_string(list_sort(list_distinct(list_transform(proteins, lambda p: substr(p, 8)))), ',') ELSE seq END AS forms FROM psms""")
+def seq_with_hyphen(t):
+    return P.seq_with_hyphen(t.psms).select("psm_id", F.array_join("forms", ",").alias("forms"))
+
+
+@query(f"""WITH {A.PLANTED}, {A.TABLE}, m AS (SELECT pid AS psm_id, sample, scan, left_seq || right_seq AS seq FROM planted WHERE pid % 3 <> 0 AND pid % 5 <> 0)
+SELECT psm_id, sample, scan, left(seq, n) AS left_seq, substr(seq, n + 1) AS right_seq FROM m, range(2, 11) r(n)
+WHERE n <= length(seq) - 2 AND left(seq, n) IN (SELECT kmer FROM tab) AND substr(seq, n + 1) IN (SELECT kmer FROM tab)""")
+def save_hybrids(t):
+    p = F.col("pid")
+    name = F.when(p % 3 == 0, F.array(F.lit("part|1"), F.lit("hybrid_A-B"))).otherwise(F.array(F.lit("hybrid_A-B")))
+    psms = t.peptides.select(p.alias("psm_id"), "sample", "scan", "seq", name.alias("proteins"), F.when(p % 5 == 0, 0.02).otherwise(0.01).alias("q_value"))
+    return P.save_hybrids(psms, t.table, 0.01, 2).select("psm_id", "sample", "scan", "left_seq", "right_seq")
+
+
+@query(f"""WITH {A.PARTS}, h AS (SELECT s_suppkey AS hybrid_id, [s_suppkey % 50, s_suppkey % 77, -1] AS l, [s_suppkey % 91] AS r FROM supplier)
+SELECT hybrid_id, (SELECT coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') FROM parts WHERE list_contains(l, prot_id)) AS left_proteins,
+  (SELECT coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') FROM parts WHERE list_contains(r, prot_id)) AS right_proteins FROM h""")
+def concat_protein_names(t):
+    k = F.col("s_suppkey")
+    ids = t["supplier"].select(k.alias("hybrid_id"), F.array(k % 50, k % 77, F.lit(-1).cast("long")).alias("left_ids"), F.array(k % 91).alias("right_ids"))
+    df = P.concat_protein_names(ids, t.parts)
+    return df.select("hybrid_id", *[F.array_join(c, ",").alias(c) for c in ("left_proteins", "right_proteins")])
+
+
 @query(f"WITH {A.PSMS} SELECT DISTINCT sample, scan FROM psms")
 def distinct_scans(t):
     return t.psms.select("sample", "scan").distinct()

@@ -9,34 +9,34 @@ from ..operators import spectra as S
 from . import adapters as A
 from . import query
 
-_IONS = f"""ions AS MATERIALIZED (SELECT pid, scan, ion_seq, ion_type, z AS charge, CASE ion_type WHEN 'b' THEN ({A.sql_mass('ion_seq')} + z * {A.P}) / z ELSE ({A.sql_mass('ion_seq')} + {A.WATER} + z * {A.P}) / z END AS mz FROM (
-  SELECT scan AS pid, scan, 'b' AS ion_type, left(left_seq || right_seq, n) AS ion_seq FROM planted, range(1, 13) r(n) WHERE n <= length(left_seq || right_seq)
-  UNION ALL SELECT scan, scan, 'y', right(left_seq || right_seq, n) FROM planted, range(1, 13) r(n) WHERE n <= length(left_seq || right_seq)), range(1, 3) c(z))"""
-_MET = """met AS MATERIALIZED (SELECT i.pid, i.scan, ion_seq, ion_type, charge, list(peak_id ORDER BY peak_id) FILTER (WHERE peak_id IS NOT NULL) AS ids, coalesce(sum(intensity), 0) AS intensity
-  FROM ions i LEFT JOIN peaks_theo p ON p.scan = i.scan AND p.mz BETWEEN i.mz - i.mz * 20 / 1e6 AND i.mz + i.mz * 20 / 1e6 GROUP BY ALL)"""
+_IONS = f"""ions AS MATERIALIZED (SELECT pid, sample, scan, ion_seq, ion_type, z AS charge, CASE ion_type WHEN 'b' THEN ({A.sql_mass('ion_seq')} + z * {A.P}) / z ELSE ({A.sql_mass('ion_seq')} + {A.WATER} + z * {A.P}) / z END AS mz FROM (
+  SELECT pid, sample, scan, 'b' AS ion_type, left(left_seq || right_seq, n) AS ion_seq FROM planted, range(1, 13) r(n) WHERE n <= length(left_seq || right_seq)
+  UNION ALL SELECT pid, sample, scan, 'y', right(left_seq || right_seq, n) FROM planted, range(1, 13) r(n) WHERE n <= length(left_seq || right_seq)), range(1, 3) c(z))"""
+_MET = """met AS MATERIALIZED (SELECT i.pid, i.sample, i.scan, ion_seq, ion_type, charge, list(peak_id ORDER BY peak_id) FILTER (WHERE peak_id IS NOT NULL) AS ids, coalesce(sum(intensity), 0) AS intensity
+  FROM ions i LEFT JOIN peaks_theo p ON p.sample = i.sample AND p.scan = i.scan AND p.mz BETWEEN i.mz - i.mz * 20 / 1e6 AND i.mz + i.mz * 20 / 1e6 GROUP BY ALL)"""
 
 
-@query(f"WITH {A.PEAKS} SELECT scan, peak_id, mz, intensity FROM (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY intensity DESC, peak_id) AS r FROM peaks) WHERE r <= 3")
+@query(f"WITH {A.PEAKS} SELECT sample, scan, peak_id, mz, intensity FROM (SELECT *, row_number() OVER (PARTITION BY sample, scan ORDER BY intensity DESC, peak_id) AS r FROM peaks) WHERE r <= 3")
 def top_n_peaks(t):
     return S.top_n_peaks(t.peaks, 3)
 
 
-@query(f"WITH {A.PEAKS} SELECT scan, peak_id, intensity FROM (SELECT *, sum(intensity) OVER (PARTITION BY scan) AS t FROM peaks) WHERE intensity >= 0.3 * t")
+@query(f"WITH {A.PEAKS} SELECT sample, scan, peak_id, intensity FROM (SELECT *, sum(intensity) OVER (PARTITION BY sample, scan) AS t FROM peaks) WHERE intensity >= 0.3 * t")
 def relative_abundance(t):
-    return S.relative_abundance(t.peaks, 0.3).select("scan", "peak_id", "intensity")
+    return S.relative_abundance(t.peaks, 0.3).select("sample", "scan", "peak_id", "intensity")
 
 
-@query(f"WITH {A.PEAKS} SELECT scan, sum(intensity) AS total_intensity, count(*) AS n_peaks FROM peaks GROUP BY scan")
+@query(f"WITH {A.PEAKS} SELECT sample, scan, sum(intensity) AS total_intensity, count(*) AS n_peaks FROM peaks GROUP BY sample, scan")
 def total_intensity(t):
     return S.total_intensity(t.peaks)
 
 
-@query(f"WITH {A.PEAKS} SELECT scan, peak_id, mz FROM peaks WHERE abs(mz - 750.0) / mz * 1e6 <= 5000")
+@query(f"WITH {A.PEAKS} SELECT sample, scan, peak_id, mz FROM peaks WHERE abs(mz - 750.0) / mz * 1e6 <= 5000")
 def peaks_near_mz(t):
-    return S.peaks_near_mz(t.peaks, 750.0, 5000).select("scan", "peak_id", "mz")
+    return S.peaks_near_mz(t.peaks, 750.0, 5000).select("sample", "scan", "peak_id", "mz")
 
 
-@query(f"WITH {A.PEAKS} SELECT DISTINCT scan, CAST(floor(mz / 5.0) AS BIGINT) AS bin, 50 AS value FROM peaks")
+@query(f"WITH {A.PEAKS} SELECT DISTINCT sample, scan, CAST(floor(mz / 5.0) AS BIGINT) AS bin, 50 AS value FROM peaks")
 def sparse_bins(t):
     return S.sparse_bins(t.peaks, 5.0)
 
@@ -52,9 +52,9 @@ def best_fit_line(t):
     return df.select(F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-@query(f"WITH {A.SPECTRA}, {A.PEAKS} SELECT sample, count(DISTINCT scan) AS n_scans, count(*) AS n_peaks FROM spectra JOIN peaks USING (scan) GROUP BY sample")
+@query(f"WITH {A.SPECTRA}, {A.PEAKS} SELECT sample, count(DISTINCT scan) AS n_scans, count(*) AS n_peaks FROM spectra JOIN peaks USING (sample, scan) GROUP BY sample")
 def load_samples(t):
-    return t.spectra.join(t.peaks, "scan").groupBy("sample").agg(F.count_distinct("scan").alias("n_scans"), F.count("*").alias("n_peaks"))
+    return t.spectra.join(t.peaks, ["sample", "scan"]).groupBy("sample").agg(F.count_distinct("scan").alias("n_scans"), F.count("*").alias("n_peaks"))
 
 
 @query(f"WITH {A.THEO}, {_IONS}, {_MET} SELECT pid, ion_seq, ion_type, charge, coalesce(array_to_string(ids, ','), '') AS peak_ids, intensity FROM met")
@@ -69,18 +69,19 @@ def matches_by_seq_and_type(t):
 
 
 @query(f"""WITH {A.THEO}, {_IONS}, {_MET}, j AS (
-  SELECT met.*, left_seq, right_seq, CASE ion_type WHEN 'b' THEN length(ion_seq) > length(left_seq) ELSE length(ion_seq) > length(right_seq) AND length(ion_seq) < length(left_seq || right_seq) END AS span FROM met JOIN planted USING (scan)
-), tot AS (SELECT scan, sum(intensity) AS total FROM peaks_theo GROUP BY scan),
+  SELECT met.*, left_seq, right_seq, list_contains(list_concat(list_transform(range(1, length(right_seq) + 1), lambda i: left_seq || left(right_seq, i)),
+    list_transform(range(1, length(left_seq)), lambda i: substr(left_seq, i + 1) || right_seq)), ion_seq) AS span FROM met JOIN planted USING (pid)
+), tot AS (SELECT sample, scan, sum(intensity) AS total FROM peaks_theo GROUP BY sample, scan),
 d AS (SELECT pid, count(DISTINCT p) AS n FROM (SELECT pid, unnest(ids) AS p FROM met) GROUP BY pid)
 SELECT j.pid, left_seq || right_seq AS seq, round(sum(intensity) / max(total), 6) AS share_by, round(coalesce(sum(intensity) FILTER (WHERE ion_type = 'b'), 0) / max(total), 6) AS share_b,
   round(coalesce(sum(intensity) FILTER (WHERE ion_type = 'y'), 0) / max(total), 6) AS share_y, round(coalesce(sum(intensity) FILTER (WHERE span), 0) / max(total), 6) AS share_hybrid,
   count(DISTINCT ion_seq) FILTER (WHERE ion_type = 'b' AND len(ids) > 0) AS n_b, count(DISTINCT ion_seq) FILTER (WHERE ion_type = 'y' AND len(ids) > 0) AS n_y,
-  count(DISTINCT ion_type || ion_seq) FILTER (WHERE span AND len(ids) > 0) AS n_hybrid, coalesce(max(d.n), 0) AS n_peaks_distinct
-FROM j JOIN tot USING (scan) LEFT JOIN d ON d.pid = j.pid GROUP BY ALL""")
+  count(DISTINCT ion_seq) FILTER (WHERE span AND len(ids) > 0) AS n_hybrid, count(DISTINCT ion_type || ion_seq) FILTER (WHERE span) AS n_junction, coalesce(max(d.n), 0) AS n_peaks_distinct
+FROM j JOIN tot ON tot.sample = j.sample AND tot.scan = j.scan LEFT JOIN d ON d.pid = j.pid GROUP BY ALL""")
 def peptide_spectrum_report(t):
     df = C.peptide_spectrum_report(t.peptides, t.peaks_theo)
     shares = ["share_by", "share_b", "share_y", "share_hybrid"]
-    return df.select("pid", "seq", *[F.round(c, 6).alias(c) for c in shares], "n_b", "n_y", "n_hybrid", "n_peaks_distinct")
+    return df.select("pid", "seq", *[F.round(c, 6).alias(c) for c in shares], "n_b", "n_y", "n_hybrid", "n_junction", "n_peaks_distinct")
 
 
 @query(f"""WITH {A.SPECTRA}, {A.PSMS} SELECT s.scan, s.sample, psm_id FROM spectra s JOIN (
@@ -88,3 +89,30 @@ def peptide_spectrum_report(t):
 def spectra_to_psms(t):
     psms = t.psms.withColumn("sample", F.concat(F.lit("s"), (F.col("psm_id") % 4).cast("string")))
     return C.spectra_to_psms(t.spectra, psms).select("scan", "sample", "psm_id")
+
+
+@query(f"""WITH {A.PEAKS} SELECT sample, scan, peak_id, CAST(row_number() OVER (PARTITION BY sample, scan ORDER BY mz, peak_id) AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY sample, scan ORDER BY intensity DESC, peak_id) AS r FROM peaks) WHERE r <= 3""")
+def legacy_top_n_peaks(t):
+    return S.legacy_top_n_peaks(t.peaks, 3).select("sample", "scan", "peak_id", "place")
+
+
+@query(f"""WITH {A.PEAKS}, b AS (SELECT DISTINCT sample, scan, CAST(floor(mz / 50.0) AS BIGINT) AS bin FROM peaks), m AS (SELECT sample, scan, list(bin) AS bins, max(bin) AS last FROM b GROUP BY ALL)
+SELECT sample, scan, array_to_string(list_transform(range(0, last + 1), lambda i: CASE WHEN list_contains(bins, i) THEN 50 ELSE 0 END), ',') AS values FROM m""")
+def dense_bins(t):
+    return S.dense_bins(S.sparse_bins(t.peaks, 50.0)).select("sample", "scan", F.array_join(F.col("values").cast("array<string>"), ",").alias("values"))
+
+
+@query(f"""WITH {A.THEO} SELECT pid, round(abs(m - precursor_mz) / m * 1e6, 6) AS ppm_diff FROM (
+  SELECT pid, precursor_mz + 0.001 AS precursor_mz, ({A.sql_mass('left_seq || right_seq')} + {A.WATER} + precursor_charge * {A.P}) / precursor_charge AS m FROM planted JOIN spectra_theo USING (sample, scan))""")
+def precursor_ppm_diff(t):
+    df = C.precursor_ppm_diff(t.peptides, t.spectra_theo.withColumn("precursor_mz", F.col("precursor_mz") + 0.001))
+    return df.select("pid", F.round("ppm_diff", 6).alias("ppm_diff"))
+
+
+@query(f"""WITH {A.THEO}, {_IONS}, {_MET} SELECT pid AS psm_id, pid * 0.5 AS score, count(DISTINCT ion_seq) FILTER (WHERE ion_type = 'b' AND len(ids) > 0) AS n_b,
+  count(DISTINCT ion_seq) FILTER (WHERE ion_type = 'y' AND len(ids) > 0) AS n_y FROM met GROUP BY pid""")
+def psm_spectrum_report(t):
+    name = F.when(F.col("pid") % 2 == 0, F.concat(F.lit("hybrid_"), "left_seq", F.lit("-"), "right_seq")).otherwise(F.lit("part|1"))
+    psms = t.peptides.select(F.col("pid").alias("psm_id"), "sample", "scan", "seq", F.array(name).alias("proteins"), (F.col("pid") * 0.5).alias("score"))
+    return C.psm_spectrum_report(psms, t.peaks_theo).select("psm_id", "score", "n_b", "n_y")

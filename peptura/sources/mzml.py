@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -88,6 +88,36 @@ def get_spectrum(spectra: DataFrame, scan: int, sample: str | None = None) -> Da
     return df
 
 
+def load_samples(spark: SparkSession, folder: str, samples: list[str], ms2_only: bool = True) -> DataFrame:
+    """The spectra of several samples: ``<folder>/<sample>.mzML`` each."""
+    return scan_mzml(spark, [f"{folder.rstrip('/')}/{s}.mzML" for s in samples], ms2_only)
+
+
+#: Fixed form of the file names of numbered fractions.
+FRACTION = "BMEM_AspN_Fxn{}"
+
+
+def spectrum_by_sample_scan(spectra: DataFrame, sample: str | int, scan: int, fraction: str = FRACTION) -> DataFrame:
+    """The first spectrum of a scan, by sample name or by the number of a fraction; empty if there is none."""
+    name = fraction.format(sample) if isinstance(sample, int) else sample
+    return spectra.where((F.col("sample") == name) & (F.col("scan") == scan)).orderBy("spectrum_id").limit(1)
+
+
+def mzml_scans(spectra: DataFrame) -> DataFrame:
+    """sample, scan: the scan numbers of each sample."""
+    return spectra.select("sample", "scan").distinct()
+
+
+def mzml_name(file: Column) -> Column:
+    """A file's name without its folder and ``.mzML``."""
+    return F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.mzML$", "")
+
+
+def mzml_sample(file: Column) -> Column:
+    """A file's name up to its last dot."""
+    return F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
+
+
 def exploded_peaks(spectra: DataFrame) -> DataFrame:
     """sample, scan, peak_id, mz, intensity."""
     df = spectra.select("sample", "scan", F.explode("peaks").alias("p"))

@@ -52,14 +52,15 @@ def test_stream_matches_batch(spark, tmp_path):
     table = kmers.kmer_table(proteins, 3, 2).select("kmer", "aa_mass")
     spectra = spark.createDataFrame([("s", 1, 500.0, 2), ("s", 2, 90.0, 1)], "sample string, scan long, precursor_mz double, precursor_charge int")
     ac = RESIDUES["A"] + RESIDUES["C"] + PROTON_MASS
-    peaks = spark.createDataFrame([(1, 0, ac), (2, 0, ac), (1, 1, 77.7)], "scan long, peak_id long, mz double")
+    peaks = spark.createDataFrame([("s", 1, 0, ac), ("s", 2, 0, ac), ("s", 1, 1, 77.7), ("t", 1, 0, ac)], "sample string, scan long, peak_id long, mz double")
     peaks.write.parquet(str(tmp_path / "peaks"))
     stream = stream_peak_ion_match(spark.readStream.schema(peaks.schema).parquet(str(tmp_path / "peaks")), spectra, table)
     q = stream.writeStream.format("memory").queryName("met").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = sorted(map(tuple, spark.table("met").select("scan", "peak_id", "kmer", "charge").collect()))
-    want = sorted(map(tuple, peak_ion_match(peaks, spectra, table).select("scan", "peak_id", "kmer", "charge").collect()))
-    assert got == want and ("AC" in {g[2] for g in got}) and all(g[0] == 1 for g in got)  # scan 2's precursor is too light
+    got = sorted(map(tuple, spark.table("met").select("scan", "peak_id", "kmer", "charge", "sample").collect()))
+    want = sorted(map(tuple, peak_ion_match(peaks, spectra, table).select("scan", "peak_id", "kmer", "charge", "sample").collect()))
+    assert got == want and ("AC" in {g[2] for g in got})
+    assert all(g[0] == 1 and g[4] == "s" for g in got)  # scan 2's precursor is too light, sample t has no spectra
 
 
 def test_contained_and_missing(spark):
@@ -71,3 +72,43 @@ def test_contained_and_missing(spark):
     done = want.where("kind = 'decoy'").select("file")
     assert [r["file"] for r in tables.missing_outputs(want.select("file"), done).collect()] == ["s.comet.7-7.target.txt"]
     assert want.select(F.count_distinct("file")).first()[0] == 2
+
+
+def test_result_folders_and_settings(spark, tmp_path):
+    head = "scan\txcorr score\txcorr rank\tsequence\tprotein id\ttdc q-value"
+    for name, rows in {"a.comet.target.txt": ["7\t2.5\t1\tACD\tp\t0.1", "7\t1.5\t2\tACE\tp\t0.1"], "b.comet.target.txt": ["9\t3.5\t1\tAC\tq\t0.2"], "assign-confidence.target.txt": ["7\t2.5\t1\tACD\tp\t0.005", "9\t2.5\t1\tACD\tp\t0.5"]}.items():
+        (tmp_path / name).write_text("\n".join([head, *rows]) + "\n")
+    assert sorted((r["sample"], r["scan"], r["num"]) for r in tables.load_comet_psms(spark, str(tmp_path), top_n=1).collect()) == [("a", 7, 1), ("b", 9, 1)]
+    assert [r["scan"] for r in tables.load_comet_psms(spark, str(tmp_path), most_q=0.01).collect()] == [7]
+    with pytest.raises(ValueError):
+        tables.load_comet_psms(spark, str(tmp_path))
+    one = tables.get_scan_results(spark, str(tmp_path / "a.comet.target.txt"), str(tmp_path / "b.comet.target.txt"), "s", 9)
+    assert [df.count() for df in one] == [0, 1]
+    (tmp_path / "c.comet.3-3.target.txt").write_text("")
+    (tmp_path / "c.comet.4-4.target.txt").write_text(head + "\n4\t1\t1\tAA\tp\t0\n")
+    (tmp_path / "c.comet.4-4.decoy.txt").write_text(head + "\n4\t1\t1\tAD\tp\t0\n")
+    target, decoy = tables.union_scan_results(spark, str(tmp_path))
+    assert ([r["seq"] for r in target.collect()], [r["seq"] for r in decoy.collect()]) == (["AA"], ["AD"])
+    (tmp_path / "n.txt").write_text("CometVersion 2023\tx\nscan\tnum\n5\t1\n")
+    assert tables.header_lines(spark, str(tmp_path / "n.txt")) == ("scan\tnum", "5\t1") and tables.header_lines(spark, str(tmp_path / "a.comet.target.txt")) is None
+    (tmp_path / "c.yaml").write_text("a: {b: {key: 3}}\nkey2: x\n")
+    settings = tables.read_yaml(spark, str(tmp_path / "c.yaml"))
+    assert (tables.find_setting(settings, "key"), tables.find_setting(settings, "none", 1)) == (3, 1)
+    with pytest.raises(ValueError):
+        tables.save_kmer_map(spark.range(1), str(tmp_path / "k.pickle"))
+    (tmp_path / "x.7.log").write_text("s\tm\n1.5\t2\n")
+    r = tables.benchmark_scan(spark, str(tmp_path / "x.7.log")).collect()[0]
+    assert (r["mzml"], r["scan"], r["s"]) == ("x", 7, "1.5")
+    import hashlib
+
+    assert tables.file_hash(spark, str(tmp_path / "c.yaml")).collect()[0]["sha256"] == hashlib.sha256((tmp_path / "c.yaml").read_bytes()).hexdigest()
+
+
+def test_spectra_by_name_or_fraction(spark):
+    from peptura.sources import mzml
+
+    df = spark.createDataFrame([("BMEM_AspN_Fxn4", 7, "b"), ("BMEM_AspN_Fxn4", 7, "a"), ("x", 7, "c")], "sample string, scan long, spectrum_id string")
+    assert [mzml.spectrum_by_sample_scan(df, s, 7).collect()[0]["spectrum_id"] for s in (4, "x")] == ["a", "c"]
+    assert mzml.spectrum_by_sample_scan(df, 5, 7).count() == 0 and mzml.mzml_scans(df).count() == 2
+    got = spark.range(1).select(mzml.mzml_name(F.lit("d/a.b.mzML")), mzml.mzml_sample(F.lit("d/a.b.mzML"))).collect()[0]
+    assert tuple(got) == ("a.b", "a.b")

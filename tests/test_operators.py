@@ -13,7 +13,7 @@ from peptura.functions import masses as M
 from peptura.functions import sequences as S
 from peptura.operators import hybrids, ions, kmers, legacy, psms, scoring, spectra
 from peptura.operators.clusters import cluster_filter, clusters, extend_clusters, pieces
-from peptura.operators.range_join import range_join
+from peptura.operators.range_join import outer_range_join, range_join
 from peptura.plans.search import SearchConfig, find_hybrids
 from peptura.sources import fasta, mzml, tables
 
@@ -67,18 +67,26 @@ def test_range_join_is_between(spark):
         df = range_join(p, s, "x", "lo", "hi", width)
         assert sorted(one(df.select("j", "i"))) == want
         assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
-    outer = range_join(p, s, "x", "lo", "hi", 1.0, how="left_outer").select("j", "i")
-    assert {j for j, i in one(outer) if i is None} == {j for j, _, _ in spans} - {j for j, _ in want}
+    narrow = s.where("hi - lo < 1")
+    outer = outer_range_join(narrow, p, "x", "lo", "hi", 1.0)
+    ids = {j for j, lo, hi in spans if hi - lo < 1}
+    assert sorted(one(outer.select("j", "i").where("i is not null"))) == [(j, i) for j, i in want if j in ids]
+    assert sorted(j for j, i in one(outer.select("j", "i")) if i is None) == sorted(ids - {j for j, _ in want})
+    assert "NestedLoop" not in outer._jdf.queryExecution().executedPlan().toString()
+    logs = outer_range_join(narrow.where("lo > 0.5"), p.where("x > 0"), "x", "lo", "hi", 1.2, scale=F.ln)
+    assert sorted(one(logs.select("j", "i").where("i is not null"))) == [(j, i) for j, i in want if j in ids and {a: b for a, b, _ in spans}[j] > 0.5]
+    with pytest.raises(Exception, match="wider than the bins"):
+        outer_range_join(s, p, "x", "lo", "hi", 0.3).collect()
 
 
 def test_clusters_extension_and_pieces(spark):
     proteins = spark.createDataFrame([(0, "p", "MEEADNEEEK"), (1, "q", "AXAA")], "prot_id int, name string, seq string")
     positioned = [("b", "p", 3, 5, "AD"), ("b", "p", 3, 6, "ADN"), ("y", "p", 4, 6, "DN"), ("y", "p", 3, 6, "ADN"), ("b", "q", 0, 1, "A")]
-    df = spark.createDataFrame([(1, *r) for r in positioned], "scan int, ion_type string, protein string, start int, end int, kmer string")
+    df = spark.createDataFrame([("s", 1, *r) for r in positioned], "sample string, scan int, ion_type string, protein string, start int, end int, kmer string")
     found = cluster_filter(clusters(df))
     assert sorted(one(found.select("ion_type", "support", "start", "end"))) == [("b", 2, 3, 6), ("y", 2, 3, 6)]
     mass = sum(M.RESIDUES[c] for c in "ADNEE") + M.WATER_MASS
-    spec = spark.createDataFrame([(1, mass / 2 + M.PROTON_MASS, 2)], "scan int, precursor_mz double, precursor_charge int")
+    spec = spark.createDataFrame([("s", 1, mass / 2 + M.PROTON_MASS, 2)], "sample string, scan int, precursor_mz double, precursor_charge int")
     ext = {r["ion_type"]: r["extended_seq"] for r in extend_clusters(found, proteins, spec).collect()}
     assert ext == {"b": "ADNEE", "y": "EEADN"}
     assert sorted(one(pieces(extend_clusters(found, proteins, spec)).select("side", "piece")))[0] == ("L", "AD")
@@ -93,7 +101,7 @@ def test_search_recovers_a_planted_hybrid(spark):
     precursor = (mass(left + right) + M.WATER_MASS + 2 * M.PROTON_MASS) / 2
     got = find_hybrids(
         spark.createDataFrame([("s", 1, precursor, 2)], "sample string, scan int, precursor_mz double, precursor_charge int"),
-        spark.createDataFrame([(1, i, m, 1.0) for i, m in enumerate(peaks)], "scan int, peak_id int, mz double, intensity double"),
+        spark.createDataFrame([("s", 1, i, m, 1.0) for i, m in enumerate(peaks)], "sample string, scan int, peak_id int, mz double, intensity double"),
         spark.createDataFrame([(i, f"p{i}", s) for i, s in enumerate(seqs)], "prot_id int, name string, seq string"),
         SearchConfig(min_k=1, max_k=8),
     ).collect()
@@ -126,13 +134,14 @@ def test_q_values(spark):
 
 
 def test_peaks_and_report(spark):
-    peaks = spark.createDataFrame([(1, i, 100.0 + i, float(v)) for i, v in enumerate([5, 9, 9, 1])], "scan int, peak_id int, mz double, intensity double")
+    peaks = spark.createDataFrame([("s", 1, i, 100.0 + i, float(v)) for i, v in enumerate([5, 9, 9, 1])], "sample string, scan int, peak_id int, mz double, intensity double")
     assert [r["peak_id"] for r in spectra.top_n_peaks(peaks, 1).collect()] == [1] and spectra.top_n_peaks(peaks, 0).count() == 4
-    pep = spark.createDataFrame([(1, 1, "GA", "G", "A")], "pid int, scan int, seq string, left_seq string, right_seq string")
+    pep = spark.createDataFrame([(1, "s", 1, "GA", "G", "A")], "pid int, sample string, scan int, seq string, left_seq string, right_seq string")
     g = M.RESIDUES["G"] + M.PROTON_MASS
-    hit = spark.createDataFrame([(1, 0, g, 3.0), (1, 1, 999.0, 1.0)], "scan int, peak_id int, mz double, intensity double")
+    hit = spark.createDataFrame([("s", 1, 0, g, 3.0), ("s", 1, 1, 999.0, 1.0), ("t", 1, 0, g, 9.0)], "sample string, scan int, peak_id int, mz double, intensity double")
     r = scoring.peptide_spectrum_report(pep, hit).collect()[0]
     assert (r["n_b"], r["n_y"], r["n_peaks_distinct"], r["share_b"]) == (1, 0, 1, 0.75)
+    assert (r["n_hybrid"], r["n_junction"], r["prop_hybrid"]) == (0, 2, 0.0)  # the whole sequence as b and as y ion
 
 
 def test_best_complement_is_the_heaviest_fit(spark):
@@ -190,3 +199,108 @@ def test_result_files_and_tables(spark, tmp_path):
         tables.write_table(spark.range(1), str(tmp_path / "x"), "pickle")
     tables.write_table(spark.range(1).select("id", F.array(F.lit(1), F.lit(2)).alias("a")), str(tmp_path / "t"), "tsv")
     assert one(spark.read.option("header", "true").option("sep", "\t").csv(str(tmp_path / "t"))) == [("0", "1/2")]
+
+
+def test_samples_are_kept_apart(spark):
+    """The left ions in one sample and the right ions in another, under one scan number, are no hybrid."""
+    rng = random.Random(5)
+    seqs = ["".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=40)) for _ in range(6)]
+    left, right = seqs[0][5:11], seqs[3][20:27]
+    mass = lambda s: sum(M.RESIDUES[c] for c in s)
+    precursor = (mass(left + right) + M.WATER_MASS + 2 * M.PROTON_MASS) / 2
+    b = [mass(left[:k]) + M.PROTON_MASS for k in range(2, 7)]
+    y = [mass(right[-k:]) + M.WATER_MASS + M.PROTON_MASS for k in range(2, 8)]
+    spec = spark.createDataFrame([(s, 1, precursor, 2) for s in "ab"], "sample string, scan int, precursor_mz double, precursor_charge int")
+    proteins = spark.createDataFrame([(i, f"p{i}", s) for i, s in enumerate(seqs)], "prot_id int, name string, seq string")
+    for parts, found in (({"a": b, "b": y}, set()), ({"a": b + y, "b": []}, {"a"})):
+        rows = [(s, 1, i, m, 1.0) for s, mz in parts.items() for i, m in enumerate(mz)]
+        got = find_hybrids(spec, spark.createDataFrame(rows, "sample string, scan int, peak_id int, mz double, intensity double"), proteins, SearchConfig(max_k=8)).collect()
+        assert {r["sample"] for r in got if (r["left_seq"], r["right_seq"]) == (left, right)} == found
+        assert found or not got
+
+
+def test_search_stands_once_in_the_plan(spark):
+    """hybrid_pairs reads one exchange twice: the peak join is planned twice and run once."""
+    spec = spark.createDataFrame([("a", 1, 500.0, 2)], "sample string, scan int, precursor_mz double, precursor_charge int")
+    found = spark.createDataFrame([("a", 1, "L", "AC", "p"), ("a", 1, "R", "AC", "q")], "sample string, scan int, side string, piece string, protein string")
+    df = hybrids.hybrid_pairs(hybrids.piece_proteins(found), spec)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("== Initial Plan ==")[0]
+
+
+def test_places_do_not_overlap(spark):
+    df = spark.createDataFrame([(0, "p", "AAAAACAAX"), (1, "q", "ACAC"), (2, "r", "")], "prot_id int, name string, seq string")
+    got = {(r["kmer"], r["protein"]): r["starts"] for r in kmers.kmer_places(df, 3, 1).collect()}
+    for name, seq in (("p", "AAAAACAAX"), ("q", "ACAC")):
+        for k in (1, 2, 3):
+            for w in {seq[i : i + k] for i in range(len(seq) - k + 1)}:
+                want = [m.start() for m in re.finditer(w, seq)]
+                assert got.get((w, name)) == (None if "X" in w else want)
+
+
+def test_contained_sequences(spark):
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices("ACD", k=n)) for n in (0, 1, 5, 127, 128, 129, 700)] + [None]
+    queries = [s[a : a + n] for s in seqs if s for n in (1, 2, 3, 9, 140, 600) for a in (0, len(s) // 2)] + ["", "W", "AW", "WWWW", "ACDACDACDACDA", None]
+    p = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    q = spark.createDataFrame([(x,) for x in queries], "query string")
+    df = kmers.contains_seq(p, q)
+    assert sorted(r[0] for r in df.collect()) == sorted({x for x in queries if x is not None and any(s is not None and x in s for s in seqs)})
+    assert kmers.contains_seq(p.limit(0), q).count() == 0
+
+
+def test_change_is_as_stated(spark):
+    psm = "sample string, scan int, num int, score double, eval double, ions_matched int"
+    n = spark.createDataFrame([("s", 1, 1, 2.0, 0.5, 7), ("s", 1, 2, 1.0, 0.9, 9), ("s", 2, 1, 0.0, 1.0, 1), ("s", 3, 1, 1.0, 1.0, 1)], psm)
+    h = spark.createDataFrame([("s", 1, 1, 3.0, 0.1, 8), ("s", 1, 2, 5.0, 0.1, 12), ("s", 2, 1, 1.0, 0.1, 2)], psm)
+    r = {x["scan"]: x for x in psms.native_hybrid_change(n, h).collect()}
+    assert set(r) == {1, 2} and (r[1]["change"], r[1]["rel_change"], r[1]["native_eval"], r[1]["native_least_eval"], r[1]["ions_change"]) == (3.0, 1.5, 0.9, 0.5, 3)
+    assert r[2]["rel_change"] is None
+    k = {x["scan"]: x for x in psms.rank_change(n, h).collect()}
+    assert (k[1]["change"], k[1]["rel_change"]) == (-1.0, -0.5) and k[2]["rel_change"] == pytest.approx(-1e5)
+    assert psms.union_scans(n.where("scan = 1"), h.where("scan = 1")) == ("s", 1)
+    for a, b in ((n, h), (n.limit(0), h.limit(0))):
+        with pytest.raises(ValueError):
+            psms.union_scans(a, b)
+
+
+def test_dense_rank_in_two_levels(spark):
+    rng = random.Random(6)
+    vals = [rng.choice([1.5, rng.uniform(0, 50), float(rng.randint(0, 9))]) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(vals)), "i int, v double")
+    order = sorted(set(vals), reverse=True)
+    assert sorted(one(psms.dense_rank_desc(df, "v", 7).select("i", "rank"))) == [(i, order.index(v) + 1) for i, v in enumerate(vals)]
+
+
+def test_older_engine_peptides(spark):
+    """A pair of clusters and its peptide, by hand."""
+    rows = [("x", 400.0, 1, "b", 0, "AC", 174.0, 3, "DE", 10), ("x", 400.0, 2, "y", 9, "KR", 220.0, 2, "F", 20), ("x", 400.0, 2, "y", 5, "K", 128.0, 1, "", 20)]
+    df = spark.createDataFrame(rows, "prec_id string, precursor_mz double, prot_id int, ion_type string, anchor int, kmer string, kmer_mass double, score int, extension string, seq_length int")
+    got = {r["anchor"]: r for r in legacy.aligned_peptides(legacy.best_complement(df)).collect()}
+    r = got[0]
+    assert (r["sequence"], r["peptide_type"], r["b_score"], r["y_score"], r["total_score"], r["length_score"]) == ("ACDEFKR", "h", 3, 2, 5, 0.4)
+    assert (got[9]["sequence"], got[9]["left_prot_id"], got[9]["length_score"]) == ("ACDEFKR", 1, 0.2) and got[5]["sequence"] == "ACDEK"
+    out = legacy.legacy_output(legacy.aligned_peptides(legacy.best_complement(df)).withColumn("precursor_mz", F.lit(400.0)).withColumn("precursor_charge", F.lit(2)), spark.createDataFrame([(1, "p"), (2, "q")], "prot_id int, name string"))
+    assert out.columns == list(legacy.OUTPUT_COLUMNS) and ("D/E", "F") in {(x["prev aa"], x["next aa"]) for x in out.collect()}
+    spec = spark.createDataFrame([("s", 1, None, None, [(0, 100.126, 5.0), (1, 50.5, 9.0), (2, 70.0, 1.0)])], "sample string, scan int, precursor_mz double, precursor_charge int, peaks array<struct<id:int,mz:double,intensity:double>>")
+    assert one(legacy.legacy_precursors(spec, 2, num_peaks=2).select("precursor_mz", "precursor_charge", "frag_id", "mz")) == [(100.13, 1, 0, 50.5), (100.13, 1, 1, 100.13)]
+    assert [r["mz"] for r in legacy.legacy_precursors(spec, 2, share=50).collect()] == [50.5]
+
+
+def test_legacy_kmers_of_any_length(spark):
+    rng = random.Random(7)
+    seqs = ["", "S", "".join(rng.choices("SDKRAX", k=130)), "".join(rng.choices("SDKRA", k=400))]
+    got = sorted(one(legacy.legacy_kmers(spark.createDataFrame(list(enumerate(seqs)), "prot_id int, seq string"), 4, ["S", "D"], ["K", "R"]).where("charge = 1").select("prot_id", "kmer", "start", "ion_type")))
+    want = []
+    for i, s in enumerate(seqs):
+        for k in range(2, 5):
+            for a in range(len(s) - k + 1):
+                w, z = s[a : a + k], a + k
+                if re.search("[BXUZOJ]", w):
+                    continue
+                if w[0] in "SD" or (a > 0 and s[a - 1] in "KR"):
+                    want.append((i, w, a, "b"))
+                if w[-1] in "KR" or (z < len(s) and s[z] in "SD"):
+                    want.append((i, w, a, "y"))
+    assert got == sorted(want)
