@@ -32,6 +32,10 @@ PATTERNS = (
 KINDS = ("assign", "access", "hex", "markov")
 #: Tokens that the models judge: of at least this many characters, with a digit and a letter.
 TOKEN, TOKEN_LEAST = r"[A-Za-z0-9+/_=-]+", 16
+#: The same tokens as one pattern, so that only they are taken from a text: what fails at a token's start fails in all of it.
+JUDGED = r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+#: Code points in the blocks that texts are cut into for masking.
+BLOCK = 4096
 #: 26 letters in lower case, 10 for capitals by alphabet position / 3, and one class each for digits, signs, `_-`, others.
 CLASSES = 40
 
@@ -97,14 +101,34 @@ def llr_of(token: Column, model: Sequence[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(pairs), F.lit(1))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda would compute an outer expression anew for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(xs: Column, zero: int, op) -> Column:
+    """op over all elements up to each one (a sum, a maximum) of an int array. In blocks of about the square root of its
+    length, as a fold copies what it has made at every step."""
+    def fold(block: Column) -> Column:
+        return F.aggregate(block, F.array().cast("array<int>"), lambda out, x: F.concat(out, F.array(op(F.coalesce(F.get(out, F.size(out) - 1), F.lit(zero)), x).cast("int"))))
+
+    def in_blocks(all_of: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(all_of))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_of) / step).cast("int") - 1), lambda i: fold(F.slice(all_of, i * step + 1, step)))
+        shift = lambda made: F.concat(F.array(F.lit(zero)), F.slice(made, 1, F.size(made) - 1))
+        whole = lambda made: F.zip_with(made, shift(fold(F.transform(made, lambda m: F.element_at(m, -1)))), lambda m, before: F.transform(m, lambda x: op(before, x).cast("int")))
+        return F.flatten(bound(blocks, whole))
+
+    return F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(bound(xs, in_blocks))
+
+
 def _starts(parts: Column, hits: Column) -> Column:
     """0-based starts of the matches from part and match lengths."""
-    acc = F.aggregate(
-        F.zip_with(F.slice(parts, 1, F.size(hits)), hits, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, x: F.struct((s["at"] + x["p"] + x["m"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["p"])).alias("out")),
-    )
-    return acc["out"]
+    def starts(sizes: Column) -> Column:
+        ends = running(F.transform(sizes, lambda x: x["p"] + x["m"]), 0, lambda a, x: a + x)
+        return F.zip_with(ends, sizes, lambda e, x: e - x["m"])
+
+    return bound(F.zip_with(F.slice(parts, 1, F.size(hits)), hits, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))), starts)
 
 
 def _spans(kind: str, text: Column, pattern: str, hits: Column, keep) -> Column:
@@ -118,6 +142,21 @@ def _spans(kind: str, text: Column, pattern: str, hits: Column, keep) -> Column:
     return F.filter(made, lambda x: keep(x["m"]))
 
 
+def _without_overlaps(spans: Column) -> Column:
+    """Sorted spans without those of the models that overlap a base span: the furthest end of the base spans up to each
+    one, and the nearest start of those after it, tell."""
+    base = lambda x, value, other: F.when(x["k"] < 3, value).otherwise(other)
+
+    def kept(all_of: Column) -> Column:
+        furthest = running(F.transform(all_of, lambda x: base(x, x["e"], F.lit(-1))), -1, F.greatest)
+        nearest = F.reverse(running(F.reverse(F.transform(all_of, lambda x: base(x, x["s"], F.lit(2**31 - 1)))), 2**31 - 1, F.least))
+        sides = F.zip_with(furthest, nearest, lambda e, s: F.struct(e.alias("e"), s.alias("s")))
+        stays = lambda x, side: (x["k"] < 3) | ((side["e"] <= x["s"]) & (side["s"] >= x["e"]))
+        return F.filter(F.zip_with(all_of, sides, lambda x, side: F.when(stays(x, side), x)), lambda x: x.isNotNull())
+
+    return bound(spans, kept)
+
+
 def _text_of(spans: Column) -> Column:
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(
@@ -145,7 +184,7 @@ def scan_secrets(
         "hex": text.rlike(r"[0-9a-f]{24}"),
         "markov": text.rlike(r"[A-Za-z0-9+/_=-]{16}"),
     }
-    pats = {k: p for k, p, _, _ in PATTERNS} | {"markov": TOKEN}
+    pats = {k: p for k, p, _, _ in PATTERNS} | {"markov": JUDGED}
     df = df.select(
         "*", *[F.when(tests[k], F.regexp_extract_all(text, F.lit(pats[k]), F.lit(0))).otherwise(empty).alias(f"h_{k}") for k in KINDS]
     )
@@ -156,9 +195,7 @@ def scan_secrets(
         return lambda m: F.length(F.regexp_extract(m, pat, group)) >= least
 
     found = {k: long_enough(k, g, least) for k, _, g, least in PATTERNS}
-    found["markov"] = lambda m: (
-        (F.length(m) >= TOKEN_LEAST) & m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (llr_of(m, model) >= threshold)
-    )
+    found["markov"] = lambda m: llr_of(m, model) >= threshold
     cols = []
     for k in KINDS:
         h = F.col(f"h_{k}")
@@ -167,10 +204,8 @@ def scan_secrets(
     df = df.select("doc_id", "text", *keep, *cols)
     base = F.array_sort(F.concat("s_assign", "s_access", "s_hex"))
     df = df.withColumn("base_spans", base)
-    extra = F.filter(
-        "s_markov", lambda x: ~F.exists("base_spans", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
-    )
-    df = df.withColumn("found", F.array_sort(F.concat("base_spans", extra)))
+    both = _without_overlaps(F.array_sort(F.concat("base_spans", "s_markov")))
+    df = df.withColumn("found", F.when(F.size("s_markov") == 0, F.col("base_spans")).otherwise(both))
     return df.select(
         "doc_id", "text", *keep, "found",
         *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
@@ -179,19 +214,21 @@ def scan_secrets(
 
 
 def mask_secrets(found: Column, text: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span replaced; overlapping spans are merged by never going back before the last end."""
-    acc = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.when(x["e"] <= s["at"], s).otherwise(
-            F.struct(
-                x["e"].alias("at"),
-                F.concat(
-                    s["out"], F.array(text.substr(s["at"] + 1, F.greatest(x["s"] - s["at"], F.lit(0))), F.when(x["s"] >= s["at"], F.lit(mask)).otherwise(F.lit("")))
-                ).alias("out"),
-            )
-        ),
-    )
-    return F.when(F.size(found) == 0, text).otherwise(
-        F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text)))
-    )
+    """The text with every span replaced; of overlapping spans the first puts the mask. The text is cut into blocks once, as
+    taking a part of it by place costs as much as all that stands before."""
+
+    def masked(ctx: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            at = (a / BLOCK).cast("int")
+            part = F.array_join(F.slice(ctx["blocks"], at + 1, (b / BLOCK).cast("int") - at + 1), "")
+            return F.when(b > a, F.substring(part, a - at * BLOCK + 1, b - a)).otherwise("")
+
+        ends = running(F.transform(ctx["spans"], lambda x: x["e"]), 0, F.greatest)
+        before = lambda e: F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1))
+        out = F.zip_with(ctx["spans"], before(ends), lambda x, e: F.when(x["s"] >= e, F.concat(piece(e, x["s"]), F.lit(mask))).otherwise(""))
+        last = F.array_max(F.transform(ctx["spans"], lambda x: x["e"]))
+        return F.concat(F.array_join(out, ""), piece(last, ctx["n"]))
+
+    places = F.sequence(F.lit(0), (F.length(text) / BLOCK).cast("int"))
+    ctx = F.struct(found.alias("spans"), F.transform(places, lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK))).alias("blocks"), F.length(text).alias("n"))
+    return F.when(F.size(found) == 0, text).otherwise(bound(ctx, masked))
