@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -135,16 +136,36 @@ def build_rules() -> list[tuple[str, re.Pattern, bytes, int]]:
 _RULES: list = []
 
 
+def outermost(hits: list[tuple]) -> list[tuple]:
+    """Hits (-priority, -length, rule, start, end, label) in their order, without those inside a hit kept before them. The
+    furthest end of the kept hits up to a start is asked of a tree of running maxima, so n hits take n log n steps."""
+    if len(hits) < 2:
+        return hits
+    place = {s: i for i, s in enumerate(sorted({h[3] for h in hits}), 1)}
+    furthest, kept = [-1] * (len(place) + 1), []
+    for h in sorted(hits):
+        i = at = place[h[3]]
+        end = -1
+        while i:
+            end = max(end, furthest[i])
+            i &= i - 1
+        if end < h[4]:
+            kept.append(h)
+            while at < len(furthest):
+                furthest[at] = max(furthest[at], h[4])
+                at += at & -at
+    return kept
+
+
 def scan_text(text: str | None, rules) -> tuple[int, list[tuple[int, int, str, int]], list[int], list[str]]:
     """Words, kept detections (first word, end word, label, priority), base starts and base labels."""
     words = alnum_words(text)
     norm = b" " + b" ".join(words) + b" "
-    index = lambda at: norm.count(b" ", 0, at) - 1  # noqa: E731  word number of a byte place
     starts, base = [], []
     for phrase, label in BASE:
         key, at = b" " + phrase.encode() + b" ", -1
         while (at := norm.find(key, at + 1)) >= 0:
-            starts.append(index(at + 1))
+            starts.append(at + 1)
             base.append(label)
     hits = []
     gates: dict[bytes, bool] = {}
@@ -153,13 +174,14 @@ def scan_text(text: str | None, rules) -> tuple[int, list[tuple[int, int, str, i
             gates[key] = key in norm
         if gates[key]:
             hits += [(-priority, m.start() - m.end(), n, m.start(), m.end(), label) for m in rx.finditer(norm)]
-    kept: list[tuple[int, int, str, int]] = []
-    spans: list[tuple[int, int]] = []
-    for p, _, _, s, e, label in sorted(hits):
-        if not any(a <= s and e <= b for a, b in spans):
-            spans.append((s, e))
-            kept.append((index(s), index(e), label, -p))
-    return len(words), kept, starts, base
+    if not starts and not hits:
+        return len(words), [], [], []
+    kept = outermost(hits)
+    # word numbers of byte places: how many spaces stand before them
+    spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+    index = lambda at: (np.searchsorted(spaces, np.array(at, np.int64)) - 1).tolist()
+    first, last = index([h[3] for h in kept]), index([h[4] for h in kept])
+    return len(words), [(a, b, h[5], -h[0]) for a, b, h in zip(first, last, kept, strict=True)], index(starts), base
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
