@@ -11,6 +11,10 @@ symbols of at least 10 words (an anchor; never more than 17) that starts at the
 2. Windows that start at most 9 words before a shared anchor may be repeats; their full hashes meet in the same way.
 3. A text drops the words under windows seen twice.
 
+A window is told by a hash of 64 bits and, by the part it is sent to, by the log2(parts) bits of a second one; words are
+not compared again. As parts grow with the input, the number of different windows expected to be taken for equal grows
+in proportion to it and not with its square: with six bytes a word and every window a candidate, 2.5 pairs in 100 TB.
+
 Anchors and windows travel as byte strings, one for each part of the hash space and slice of texts. What repeats within
 a slice is settled there and sent on twice only, so a passage found everywhere adds two entries a slice, not one a text.
 There is one part for every PART_BYTES of input, 12 at least. The shuffled texts are one exchange that all three steps reuse.
@@ -119,10 +123,13 @@ def _unpacked(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _rows(uid: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int, width: int) -> pa.RecordBatch:
+def _rows(uid: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int, width: int, other: np.ndarray | None = None) -> pa.RecordBatch:
     """Entries (text number, key) as rows (part, uids, counts, keys). Keys met twice here are answered at once by rows
-    of the parts from ``parts`` on, which are dealt by text."""
+    of the parts from ``parts`` on, which are dealt by text. other: a second hash of what the keys stand for, which then
+    picks the part."""
     part, key = _places(keys, parts, width)
+    if other is not None:
+        part = (mix(other) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(key, kind="stable")
     k = key[order]
     new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
@@ -228,13 +235,15 @@ def _window_entries(parts: int, window: int):
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             hashes.trim()
-            owner, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            owner, keys, other = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
             for d, (t, told) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 h = hashes.of(ws_words(t))
                 at = _candidate_starts(h, _told(told), parts, window)
-                keys.append(window_hashes(h, window)[at])
+                if len(at):
+                    keys.append(window_hashes(h, window)[at])
+                    other.append(window_hashes(h * _R + np.uint64(3), window)[at])
                 owner.append(np.full(len(at), d))
-            return _rows(part.column(0).to_numpy(zero_copy_only=False), np.concatenate(owner), np.concatenate(keys), parts, 8)
+            return _rows(part.column(0).to_numpy(zero_copy_only=False), np.concatenate(owner), np.concatenate(keys), parts, 8, np.concatenate(other))
 
         return step
 
