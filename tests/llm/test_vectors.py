@@ -50,3 +50,35 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
     assert V.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_production_leaf_finds_planted_pairs(spark, kind):
+    """A label far above LEAF, cut at several levels: every pair planted near the threshold is found, and nothing else."""
+    rng, dim, n, pairs = np.random.default_rng(7), 64, 20_000, 1_500
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(pairs, dim))
+    side -= (side * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.9801, 0.985, (pairs, 1))
+    near = cos * x[:pairs] + np.sqrt(1 - cos**2) * side
+    far = 0.979 * x[pairs : 2 * pairs] + np.sqrt(1 - 0.979**2) * side  # some of these side vectors are not orthogonal
+    v = np.concatenate([x, near, far]).astype(np.float32)
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links, least = np.zeros(len(v), int), np.arange(len(v))
+    for a in range(0, len(v), 2_000):
+        i, j = np.nonzero(u[a : a + 2_000] @ u.T >= 0.98)
+        i += a
+        i, j = i[i != j], j[i != j]
+        np.add.at(links, i, 1)
+        np.minimum.at(least, i, j)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), f"vec_id long, embedding array<{kind}>").selectExpr("*", "3 label").repartition(4)
+    got = {r["vec_id"]: r for r in V.near_vectors(df).collect()}
+    assert len(got) == len(v) and links.sum() >= 2 * pairs
+    assert [i for i in range(len(v)) if got[i]["n_links"] != links[i] or got[i]["component_id"] != least[i]] == []
+    nodes = spark.createDataFrame([(i, "3", V._code(u[i])) for i in range(len(v))], "node long, label string, code binary")
+    leaves = V.leaves_of(nodes, V.TREES, 0.98, len(v))
+    copies, largest = leaves.count() / len(v), leaves.groupBy("leaf").count().agg({"count": "max"}).first()[0]
+    assert copies < 12 and largest <= 2 * V.LEAF, (copies, largest)
