@@ -54,18 +54,23 @@ def brute(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("limit", [16 << 20, 500])
-def test_decontamination(spark, limit):
+@pytest.mark.parametrize(("limit", "first_words"), [(16 << 20, 1 << 20), (500, 1 << 20), (500, 0)])
+def test_decontamination(spark, limit, first_words):
+    find = lambda d, b: find_contamination(d, b, index_bytes=limit, word_most=first_words)
     rng = random.Random(2)
     vocab = ["ab", "Cd", "é", "x1", "zz", "THE", "of", "q"]
     say = lambda n: " ".join(rng.choices(vocab, k=n))
     items = [(i, say(rng.choice([20, 35, 13, 14]))) for i in range(12)] + [(50, None), (51, "..."), (52, "q q q zz zz ab é"), (53, "the " * 30), (54, "solo")]
+    nameless = " ".join(f"n{i}" for i in range(13))
     docs = [say(rng.randint(0, 80)) for _ in range(40)] + [None, "", "!!!", "the, THE-the " * 400, "a solo b", items[0][1]]
     docs += [say(30) + " " + it[1].upper().replace(" ", ", ") + " " + say(20) for it in items[:8]]
     docs += [say(9) + " " + " ".join(words(items[1][1])[:12]) + " nope " + say(9)]
     df = spark.createDataFrame([(i % 50, t, 1) for i, t in enumerate(docs)] + [(0, docs[0], 1)], "doc_id long, text string, n_hit int")
+    docs_of_nameless = spark.createDataFrame([(1, "x " + nameless)], "doc_id long, text string")
+    only = find(docs_of_nameless, spark.createDataFrame([(None, nameless), (None, "q " * 200)], "item_id long, text string")).collect()[0]
+    assert (only["n_hit"], only["items"]) == (13, [])
     bench = spark.createDataFrame(items + [items[0]], "item_id long, text string")
-    got = sorted(map(str, find_contamination(df, bench, index_bytes=limit).select("doc_id", "text", "n_words", "n_hit", "items").collect()))
+    got = sorted(map(str, find(df, bench).select("doc_id", "text", "n_words", "n_hit", "items").collect()))
     from pyspark.sql import Row
 
     want = []
@@ -73,8 +78,8 @@ def test_decontamination(spark, limit):
         n, h, f = brute(t, items)
         want.append(str(Row(doc_id=i % 50, text=t, n_words=n, n_hit=h, items=f)))
     assert got == sorted(want)
-    assert find_contamination(df.limit(0), bench).count() == 0
-    assert {r["n_hit"] for r in find_contamination(df, bench.limit(0)).collect()} == {0}
+    assert find(df.limit(0), bench).count() == 0
+    assert {r["n_hit"] for r in find(df, bench.limit(0)).collect()} == {0}
 
 
 def test_license_base_and_rules(spark):
