@@ -2,31 +2,38 @@
 
 No piece of the model holds a whitespace marker after another character (checked when the model is loaded), so merges
 never cross from a word into the next marker and a text's ids are those of its chunks, a marker run with the word that
-follows, one after another. Every distinct chunk is segmented and decoded once by the library in a worker, and a text
-takes its ids from the table by position. The table is bounded (``TABLE_MOST`` chunks) and refilled when full.
+follows, one after another. Texts are read in slices. A slice becomes its distinct chunks and, for every text, the numbers
+of its chunks in order. The chunks of all slices make one table in which each distinct chunk is segmented and decoded
+once by the library; its rows go back to the slices that hold the chunk, and texts take their ids by position.
+
+What is sent is one row per slice and distinct chunk, not one per word: a word found everywhere adds one row a slice.
+Slices are written once, so that a lost executor cannot cut them differently. No task holds more than a slice of
+``SLICE`` bytes (or one longer text) and its chunks.
 
 Cases: null and empty texts have no ids and decode to the empty text; very long texts are encoded whole; repeated rows
-are repeated; an empty table gives an empty result; other columns are ignored. A text that holds the marker character
-itself decodes to a space there, as with the library.
+are repeated; null and equal doc_ids are rows of their own; an empty table gives an empty result; other columns are
+ignored. A text that holds the marker character itself decodes to a space there, as with the library.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import over_slices
+from .common import cut
 
 MARK = "▁"
-TABLE_MOST = 300_000
+SLICE = 16 << 20
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, Segmenter] = {}
 
 
-class Chunks(dict):
-    """chunk (without its first marker, others as spaces) -> its ids as decimal text."""
+class Segmenter:
+    """chunk (without its first marker, others as spaces) -> ids as decimal text, and the decoded text if it differs."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -35,19 +42,11 @@ class Chunks(dict):
         crossing = [p for i in range(sp.get_piece_size()) if MARK in (p := sp.id_to_piece(i)).lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces cross whitespace markers: {crossing[:3]}")
-        self.changed: dict[str, str] = {}  # chunks whose decoded text differs from them
 
-    def __missing__(self, chunk: str) -> str:
+    def __call__(self, chunk: str) -> tuple[str, str | None]:
         ids = self.sp.encode(chunk) if chunk else [self.sp.piece_to_id(MARK)]
-        if (back := self.sp.decode(ids)) != chunk:
-            self.changed[chunk] = back
-        self[chunk] = out = ",".join(map(str, ids))
-        return out
-
-    def trim(self) -> None:
-        if len(self) > TABLE_MOST:
-            self.clear()
-            self.changed.clear()
+        back = self.sp.decode(ids)
+        return ",".join(map(str, ids)), None if back == chunk else back
 
 
 def chunks_of(text: str) -> list[str]:
@@ -57,38 +56,119 @@ def chunks_of(text: str) -> list[str]:
     return [c[1:].replace(MARK, " ") for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
 
 
-def encode_text(table: Chunks, text: str | None) -> tuple[str, str]:
-    """(ids as decimal text, decoded text)."""
-    if not text:
-        return "", ""
-    chunks = chunks_of(text)
-    ids = ",".join(map(table.__getitem__, chunks))
-    if table.changed:
-        chunks = [table.changed.get(c, c) for c in chunks]
-    return ids, " ".join(chunks)
+class _Numbers(dict):
+    """chunk -> its number, in the order of first sight."""
 
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
 
-def encode_documents(
-    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", as_array: bool = False
-) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal ids joined by commas, or an array of int), decoded."""
 
-    def make():
-        if model not in _loaded:
-            _loaded[model] = (Chunks(model),)
-        table = _loaded[model][0]
+def _packed(x: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([x], names=["x"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.Array:
+    return pa.ipc.open_stream(raw).read_all().column(0).combine_chunks()
+
+
+def _slices(most: int):
+    """Rows (doc_id, text) to one row per slice: slice, doc_ids, counts (chunks of each text), places (their numbers), chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        made, base = 0, TaskContext.get().partitionId() << 32
+        numbers, ids, counts, places, held = _Numbers(), [], [], [], 0
 
-        def step(part: pa.RecordBatch) -> pa.RecordBatch:
-            table.trim()
-            done = [encode_text(table, t) for t in part.column(1).to_pylist()]
-            ids = [d[0] for d in done]
-            n = pa.array([i.count(",") + 1 if i else 0 for i in ids], pa.int64())
-            return pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.string()), pa.array([d[1] for d in done], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        def row() -> pa.RecordBatch:
+            flat = np.concatenate([np.empty(0, np.uint32), *places])
+            flat = pa.array(flat.astype(np.uint16) if len(numbers) <= 1 << 16 else flat)
+            cols = [pa.array([base + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32()))]
+            cols += [pa.array([_packed(x)], pa.binary()) for x in (flat, pa.array(list(numbers), pa.string()))]
+            return pa.RecordBatch.from_arrays(cols, names=["slice", "doc_ids", "counts", "places", "chunks"])
 
-        return step
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = t.as_py()
+                if ids and held + len(t or "") > most:
+                    yield row()
+                    made, numbers, ids, counts, places, held = made + 1, _Numbers(), [], [], [], 0
+                chunks = chunks_of(t) if t else []
+                ids.append(i)
+                counts.append(len(chunks))
+                places.append(np.fromiter(map(numbers.__getitem__, chunks), np.uint32, len(chunks)))
+                held += len(t or "")
+        if ids:
+            yield row()
 
+    return run
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slice, chunks) to (slice, n, chunk)."""
+    for b in batches:
+        for at, raw in zip(b.column(0), b.column(1), strict=True):
+            chunks = _unpacked(raw.as_buffer())
+            for lo in range(0, len(chunks), 20_000):
+                part = chunks.slice(lo, 20_000)
+                cols = [pa.array(np.full(len(part), at.as_py())), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), part]
+                yield pa.RecordBatch.from_arrays(cols, names=["slice", "n", "chunk"])
+
+
+def _segmented(model: str):
+    """Rows (chunk) to (chunk, ids, back)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if model not in _loaded:
+            _loaded[model] = Segmenter(model)
+        for b in batches:
+            ids, back = zip(*map(_loaded[model], b.column(0).to_pylist()), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["chunk", "ids", "back"])
+
+    return run
+
+
+def _rebuilt(slices: pa.Table, rows: pa.Table) -> pa.Table:
+    """One slice and the table's rows (n, ids, back) of its chunks to (doc_id, n_tokens, ids, decoded)."""
+    if not slices.num_rows:
+        raise RuntimeError("chunks without their slice")
+    doc_ids, counts = (slices.column(c)[0].as_py() for c in ("doc_ids", "counts"))
+    places = _unpacked(slices.column("places")[0].as_buffer()).to_numpy()
+    words = _unpacked(slices.column("chunks")[0].as_buffer()).to_pylist()
+    if rows.num_rows != len(words):
+        raise RuntimeError("a slice without its chunks")
+    codes = [""] * len(words)
+    for n, ids, back in zip(rows.column("n").to_pylist(), rows.column("ids").to_pylist(), rows.column("back").to_pylist(), strict=True):
+        codes[n] = ids
+        if back is not None:
+            words[n] = back
+    size = np.array([c.count(",") + 1 for c in codes], np.int64)
+    total, out, at = [], ([], []), 0
+    for count in counts:
+        own = places[at : at + count].tolist()
+        total.append(int(size[own].sum()) if count else 0)
+        out[0].append(",".join([codes[p] for p in own]))
+        out[1].append(" ".join([words[p] for p in own]))
+        at += count
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(total, pa.int64()), "ids": pa.array(out[0], pa.string()), "decoded": pa.array(out[1], pa.string())})
+
+
+def encode_documents(
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", as_array: bool = False, slice_bytes: int = SLICE
+) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal ids joined by commas, or an array of int), decoded."""
     df = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
-    out = df.mapInArrow(over_slices(make, 1), "doc_id long, n_tokens long, ids string, decoded string")
+    slices = cut(df.mapInArrow(_slices(slice_bytes), "slice long, doc_ids array<long>, counts array<int>, places binary, chunks binary"))
+    chunks = slices.select("slice", "chunks").mapInArrow(_chunk_rows, "slice long, n int, chunk string")
+    table = chunks.select("chunk").distinct().mapInArrow(_segmented(model), "chunk string, ids string, back string")
+    rows = chunks.join(table, "chunk").select("slice", "n", "ids", "back")
+    both = slices.groupBy("slice").cogroup(rows.groupBy("slice"))
+    out = both.applyInArrow(_rebuilt, "doc_id long, n_tokens long, ids string, decoded string")
     if as_array:
         out = out.selectExpr("doc_id", "n_tokens", "if(n_tokens = 0, cast(array() as array<int>), cast(split(ids, ',') as array<int>)) ids", "decoded")
     return out

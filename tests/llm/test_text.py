@@ -7,6 +7,8 @@ import pytest
 
 pytest.importorskip("peptura.llm")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from peptura.llm.decontaminate import find_contamination  # noqa: E402
 from peptura.llm.licenses import build_rules, scan_licenses  # noqa: E402
 from peptura.llm.sentencepieces import encode_documents  # noqa: E402
@@ -27,6 +29,10 @@ def test_sentencepiece_is_the_library(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(3, "  ", "y")], "doc_id long, text string, ids string")
     got = encode_documents(df, path, as_array=True).collect()
     assert len(got) == len(texts) + 1
+    key = lambda r: (r["doc_id"], r["n_tokens"], r["ids"], r["decoded"])
+    assert sorted(map(key, encode_documents(df.repartition(3), path, as_array=True, slice_bytes=70).collect())) == sorted(map(key, got))
+    none = encode_documents(df.select("doc_id", F.lit(None).cast("string").alias("text")), path, slice_bytes=1).collect()
+    assert len(none) == len(got) and {(r["n_tokens"], r["ids"], r["decoded"]) for r in none} == {(0, "", "")}
     for r in got:
         ids = sp.encode(texts[r["doc_id"]] or "")
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded"] == sp.decode(ids), texts[r["doc_id"]]
