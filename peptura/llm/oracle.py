@@ -105,6 +105,34 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 """
 
 
+# minimax: the smallest capacity by bisection, each one checked by eight greedy steps over the running sums
+_REACH = "list_reduce(range(0, {0}), lambda z, i: coalesce(list_max(list_filter(pre, lambda x: x <= z + {1})), z))"
+ORACLE["op8_sharding"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, text, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, CASE WHEN text IS NULL THEN doc_id END AS own FROM documents
+), tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+), g AS (
+  SELECT text, own, min(doc_id) AS first, CAST(sum(size) AS BIGINT) AS bytes FROM d GROUP BY text, own
+), c AS (
+  SELECT text, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc FROM g, tab WHERE text IS NOT NULL
+), o AS (
+  SELECT *, CAST(sum(bytes) OVER (ORDER BY first ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM g
+), p AS (SELECT list(upto ORDER BY upto) AS pre, max(upto) AS total, max(bytes) AS big FROM o
+), s(lo, hi) AS (
+  SELECT CAST(greatest(big, ceil(total / 8)) AS BIGINT), total FROM p
+  UNION ALL SELECT CASE WHEN ok THEN lo ELSE mid + 1 END, CASE WHEN ok THEN mid ELSE hi END FROM (
+    SELECT lo, hi, mid, {_REACH.format(9, "mid")} >= total AS ok FROM (SELECT lo, hi, (lo + hi) // 2 AS mid FROM s WHERE lo < hi), p)
+), b AS (SELECT list_transform(range(1, 9), lambda k: {_REACH.format("k + 1", "cap")}) AS bounds FROM (SELECT lo AS cap FROM s WHERE lo = hi), p
+), w AS (SELECT text, own, CAST(len(list_filter(bounds, lambda x: x <= upto - bytes)) AS INTEGER) AS shard FROM o, b
+), r AS (
+  SELECT d.doc_id, d.size, c.crc AS text_crc32, w.shard FROM d JOIN w ON w.text IS NOT DISTINCT FROM d.text AND w.own IS NOT DISTINCT FROM d.own LEFT JOIN c ON c.text = d.text
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM r
+"""
+
+
 def _secrets_sql() -> str:
     """Base spans by part and match lengths, and the character models as a table of numbers."""
     from .secrets import CLASSES, PATTERNS, TOKEN, TOKEN_LEAST, char_class, default_samples, train

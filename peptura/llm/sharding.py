@@ -10,7 +10,9 @@ stretch, one by cutting through it; only stretches in which a cut of a capacity
 further, until none is left that holds more than one group. So the capacity and the cuts are those of the groups at
 every size, after at most 64 passes (two or three where keys are spread evenly). Only the atoms' byte sums reach the
 driver: ``max_atoms`` at first, and in each pass as many again or two for each stretch split.
-Slots are numbered by (shard, hashed bucket) so that neither a shard nor a group of copies is one task.
+Slots number a shard's rows in the order of doc_id, text_crc32 and size: the rows are sorted by range, and a row's slot is
+its place in its partition plus the rows before that. So neither a shard nor a group of copies is one task. Texts that make
+up a 4,096th of the rows or more, 4,096 of them at most, get their shard from a broadcast table, all others by a join.
 
 Cases: a null text has size 1 and is a group of its own, an empty text has size 1, equal doc_ids are rows like others,
 an empty table gives an empty result, one group larger than the mean stays whole and sets the capacity. Other columns
@@ -28,6 +30,8 @@ from pyspark.sql.window import Window as W
 
 from .common import cut
 
+HOT = 4_096
+
 
 def minimax_cuts(sizes: list[int], n_shards: int) -> list[int]:
     """First index of every shard after the first, for the smallest feasible capacity; fewer if shards stay empty."""
@@ -130,16 +134,24 @@ def shard_documents(
     shard = F.lit(0)
     for i, s in enumerate(starts, 1):
         shard = F.when(key >= F.lit(s), F.lit(i)).otherwise(shard)
-    where = groups.select("g1", "g2", "size", shard.cast("int").alias("shard"))
-    out = rows.join(where, ["g1", "g2", "size"])
-    buckets = max(16, min(1 << 16, int(stats["rows"]) // 4_000))
-    out = out.withColumn("b", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(buckets)).cast("int"))
-    counts = out.groupBy("shard", "b").agg(F.count("*").alias("c"))  # n_shards x buckets rows
-    base = counts.select("shard", "b", (F.sum("c").over(W.partitionBy("shard").orderBy("b")) - F.col("c")).alias("base"))
-    numbered = out.withColumn("r", F.row_number().over(W.partitionBy("shard", "b").orderBy("doc_id", "text_crc32")))
-    return numbered.join(base, ["shard", "b"]).select(
+    where = groups.select("g1", "g2", "size", shard.cast("int").alias("shard"), "n")
+    # the few texts that make up much of the rows are looked up, so that no task gets all copies of one
+    text_key, n = ["g1", "g2", "size"], int(stats["rows"])
+    hot = F.broadcast(where.where(F.col("n") * HOT >= n).drop("n"))  # HOT rows at most
+    cold = rows.join(hot, text_key, "left_anti").join(where.where(F.col("n") * HOT < n).drop("n"), text_key)
+    order = ["shard", "doc_id", "text_crc32", "size"]
+    out = cut(rows.join(hot, text_key).unionByName(cold).select(*order))
+    # numbers in the order of shard and doc_id: the rows before each partition of a range sort, and the place in it
+    parts = max(8, min(1 << 14, n // 100_000))
+    out = cut(out.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    placed = out.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    counts = placed.groupBy("part").agg(F.count("*").alias("c"))  # a row per partition
+    base = counts.select("part", (F.sum("c").over(W.orderBy("part")) - F.col("c")).alias("base"))
+    firsts = out.groupBy("shard").agg(F.count("*").alias("c"))  # a row per shard
+    firsts = firsts.select("shard", (F.sum("c").over(W.orderBy("shard")) - F.col("c")).alias("first"))
+    return placed.join(F.broadcast(base), "part").join(F.broadcast(firsts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("base") + F.col("r") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("base") + F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
