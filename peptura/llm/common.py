@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 import numpy as np
@@ -65,10 +67,16 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir is used as it is; only where it is unset a folder of our own is set."""
+    """The session's spark.checkpoint.dir is used as it is. Where it is unset, a local session gets a folder of its own, which
+    goes with it; on a cluster, where driver and executors share no local folder, that is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="peptura-ckpt-"))
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not where:
+            where = tempfile.mkdtemp(prefix="peptura-ckpt-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(where)
 
 
 def cut(df: DataFrame, rows: int | None = None, per: int = 100_000) -> DataFrame:
@@ -86,6 +94,41 @@ def few(df: DataFrame, rows: int | None, per: int = 100_000) -> DataFrame:
     return df if rows is None else df.coalesce(max(8, -(-rows // per)))
 
 
+#: Keys of this part of all rows or more are hot; there are no more than HOT of them.
+HOT = 4_096
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], weight: str, total: int, spread: str) -> DataFrame:
+    """rows with the values that table has for their keys, nulls where it has none or the first key is null.
+
+    table: one row per keys, with the number of rows that have them in ``weight``; total: the number of rows. Hot keys are
+    broadcast, and their rows are dealt by the column ``spread`` in the join of the others, so no task gets all rows of one.
+    """
+    hot = F.col(weight) * HOT >= max(total, 1)
+    some = table.where(hot).select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.struct(*values).alias("__hot"))
+    rest = table.where(~hot).select(*[F.col(k).alias(f"__c{i}") for i, k in enumerate(keys)], F.struct(*values).alias("__cold"))
+    on = [F.col(k) == F.col(f"__h{i}") for i, k in enumerate(keys)]
+    df = rows.join(F.broadcast(some), on, "left")
+    first = F.when(F.col("__hot").isNotNull() | F.col(keys[0]).isNull(), F.xxhash64(F.lit(9), spread)).otherwise(F.col(keys[0]))
+    on = [F.col("__key") == F.col("__c0"), *[F.col(k) == F.col(f"__c{i}") for i, k in enumerate(keys) if i]]
+    df = df.withColumn("__key", first).join(rest, on, "left")
+    found = F.when(F.col(keys[0]).isNotNull(), F.coalesce("__hot", "__cold"))
+    return df.select(*rows.columns, *[found.getField(v).alias(v) for v in values])
+
+
+def least_of_components(nodes: DataFrame, comp: DataFrame, salts: int = 16) -> DataFrame:
+    """(node, least) of the nodes in components of more than one: the least ``rep`` of each component's nodes.
+
+    nodes: (node, rep); comp: as shared_components gives it. A large component's nodes are salted, as one row per component
+    goes to all of them.
+    """
+    linked = cut(comp.union(comp.select(F.col("comp").alias("node"), "comp").distinct()).toDF("node", "comp"))
+    least = linked.join(nodes.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("least"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(salts)).cast("int"))
+    return salted.join(least, ["comp", "salt"]).select("node", "least")
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """Size of the input: the optimizer's estimate for files; where it knows none, the bytes of a text column."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -104,8 +147,9 @@ def shared_components(spark: SparkSession, edges: DataFrame, most_rounds: int =
     for _ in range(most_rounds):
         # large star: neighbours larger than the node move to the node's smallest neighbour
         both = few(e.select("a", "b").union(e.select(F.col("b"), F.col("a"))), 2 * rows).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = few(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b"), rows)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        large = lookup(both.where("v > u"), low, ["u"], ["m"], "c", 2 * rows, "v")
+        large = few(large.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b"), rows)
         # small star: every smaller neighbour moves to the smallest one
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

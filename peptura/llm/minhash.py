@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import over_slices
-from .common import WordHashes, cut, few, mix, ngram_hashes, shared_components, ws_words
+from .common import WordHashes, cut, few, least_of_components, lookup, mix, ngram_hashes, shared_components, ws_words
 
 CHUNKS, CHUNK = 10, 5
 SYMBOLS = CHUNKS * CHUNK
@@ -254,17 +254,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
     signed = cut(base.mapInArrow(over_slices(_signer(shingle), 1), "doc_id long, n_shingles long, node long, k2 long, sig binary"))
     rows = signed.count()
-    nodes = signed.where("n_shingles > 0").groupBy("node", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    nodes = signed.where("n_shingles > 0").groupBy("node", "k2").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("w")
+    )
     nodes = cut(nodes, rows, 20_000)
     keys = nodes.select("node", "sig").mapInArrow(_key_rows, "key long, node long")
     counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = cut(keys.join(counts, "key"), SYMBOLS * rows, 2_000_000)  # the members of keys with more than one
+    shared = cut(keys.join(counts, "key"), SYMBOLS * rows, 500_000)  # the members of keys with more than one
     links = _linked(base, nodes, shared, shingle)
     comp = shared_components(docs.sparkSession, links)
-    named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    to_comp = named.join(least, "comp").select("node", "component_id")
-    out = signed.join(to_comp, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    to_comp = nodes.select("node", "k2", "rep", "w").join(least_of_components(nodes, comp), "node", "left")
+    to_comp = cut(to_comp.select("node", "k2", "w", F.coalesce("least", "rep").alias("component_id")), rows)
+    own = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "k2")
+    out = lookup(own, to_comp, ["node", "k2"], ["component_id"], "w", rows, "doc_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .common import cut, mix, shared_components
+from .common import cut, least_of_components, lookup, mix, shared_components
 
 TREES, LEAF, SAMPLE, BLOCK, MOST_DEPTH = 5, 512, 1024, 1024, 6
 PATHS = 1 << MOST_DEPTH  # nodes of one subtree, by heap number
@@ -290,10 +290,11 @@ def near_vectors(
     found = cut(member.groupBy("leaf", "bi", "bj").applyInArrow(_both_sides(_compare(threshold, wide)), "node long, links long, root long"), 4 * n)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = shared_components(spark, found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = nodes.select("node", "k2", "rep", "w").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    facts = named.join(least, "comp").join(links, "node", "left").select("node", "k2", "component_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("vec_id", "node", "k2").join(facts, ["node", "k2"], "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
+    facts = nodes.select("node", "k2", "rep", "w").join(least_of_components(nodes, comp), "node", "left").join(links, "node", "left")
+    n_links = F.col("w") - 1 + F.coalesce("links", F.lit(0))
+    facts = cut(facts.select("node", "k2", "w", F.coalesce("least", "rep").alias("component_id"), n_links.alias("n_links")), n)
+    out = lookup(rows.select("vec_id", "node", "k2"), facts, ["node", "k2"], ["component_id", "n_links"], "w", n, "vec_id")
+    out = out.withColumn("component_id", F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
