@@ -3,12 +3,14 @@
 No piece of the model holds a whitespace marker after another character (checked when the model is loaded), so merges
 never cross from a word into the next marker and a text's ids are those of its chunks, a marker run with the word that
 follows, one after another. Texts are read in slices. A slice becomes its distinct chunks and, for every text, the numbers
-of its chunks in order. The chunks of all slices make one table in which each distinct chunk is segmented and decoded
-once by the library; its rows go back to the slices that hold the chunk, and texts take their ids by position.
+of its chunks in order. The chunks of all slices make one table, dealt to parts by hash, in which each distinct chunk is
+segmented and decoded once by the library; the ids go back to the slices that hold the chunk, and texts take theirs by
+position.
 
-What is sent is one row per slice and distinct chunk, not one per word: a word found everywhere adds one row a slice.
-Slices are written once, so that a lost executor cannot cut them differently. No task holds more than a slice of
-``SLICE`` bytes (or one longer text) and its chunks.
+What is sent is a packed list per slice and part, and a packed answer to it: a word found everywhere adds one entry a slice,
+not one a text. A task holds a slice of ``SLICE`` characters (or one longer text), or a part's chunks, those of about
+``PART_BYTES`` of texts. Both branches read the slices from one exchange. A slice's number follows from its place in its
+input partition, which files give again if an executor is lost; rows of any other plan are sliced once and written.
 
 Cases: null and empty texts have no ids and decode to the empty text; very long texts are encoded whole; repeated rows
 are repeated; null and equal doc_ids are rows of their own; an empty table gives an empty result; other columns are
@@ -22,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 
-from .common import cut
+from .common import cut, input_bytes
 
 MARK = "▁"
-SLICE = 16 << 20
+SLICE, PART_BYTES = 32 << 20, 128 << 20
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _loaded: dict[str, Segmenter] = {}
 
@@ -64,20 +68,25 @@ class _Numbers(dict):
         return n
 
 
-def _packed(x: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([x], names=["x"])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _packed(x: np.ndarray | list[str]) -> bytes:
+    """Numbers below 2**32 by byte planes, as most are small; or texts that do not hold the marker, one at least."""
+    if isinstance(x, list):
+        return zstandard.compress(MARK.join(x).encode("utf-8", "surrogatepass"), 3)
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
-def _unpacked(raw: bytes) -> pa.Array:
-    return pa.ipc.open_stream(raw).read_all().column(0).combine_chunks()
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _slices(most: int):
-    """Rows (doc_id, text) to one row per slice: slice, doc_ids, counts (chunks of each text), places (their numbers), chunks."""
+def _texts(raw: bytes) -> list[str]:
+    return zstandard.decompress(raw).decode("utf-8", "surrogatepass").split(MARK)
+
+
+def _slices(most: int, parts: int):
+    """Rows (doc_id, text) to one row per slice. Its payload: doc_ids, the number of chunks of each text, the chunks of all
+    texts as ranks by frequency, the place of each rank in the list of chunks, that list (by part, then by text), and how
+    many of it are of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -86,11 +95,19 @@ def _slices(most: int):
         numbers, ids, counts, places, held = _Numbers(), [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            flat = np.concatenate([np.empty(0, np.uint32), *places])
-            flat = pa.array(flat.astype(np.uint16) if len(numbers) <= 1 << 16 else flat)
-            cols = [pa.array([base + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32()))]
-            cols += [pa.array([_packed(x)], pa.binary()) for x in (flat, pa.array(list(numbers), pa.string()))]
-            return pa.RecordBatch.from_arrays(cols, names=["slice", "doc_ids", "counts", "places", "chunks"])
+            chunks, flat = list(numbers), np.concatenate([np.empty(0, np.uint32), *places])
+            part = [xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass")) % parts for c in chunks]
+            order = sorted(range(len(chunks)), key=lambda i: (part[i], chunks[i]))
+            place = np.empty(len(chunks), np.int64)
+            place[order] = np.arange(len(chunks))
+            frequent = np.argsort(-np.bincount(flat, minlength=len(chunks)), kind="stable")
+            rank = np.empty(len(chunks), np.uint32)
+            rank[frequent] = np.arange(len(chunks))
+            of_part = np.bincount(np.array(part, np.int64), minlength=parts)
+            lists = [np.array(counts), rank[flat], place[frequent], [chunks[i] for i in order], of_part]
+            payload = pa.array([_packed(x) for x in lists], pa.binary())
+            cols = [pa.array([base + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(payload)], pa.int32()), payload)]
+            return pa.RecordBatch.from_arrays(cols, names=["slice", "doc_ids", "payload"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -109,53 +126,78 @@ def _slices(most: int):
     return run
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (slice, chunks) to (slice, n, chunk)."""
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices to rows (part, slice, chunks): what each part is asked by a slice."""
     for b in batches:
-        for at, raw in zip(b.column(0), b.column(1), strict=True):
-            chunks = _unpacked(raw.as_buffer())
-            for lo in range(0, len(chunks), 20_000):
-                part = chunks.slice(lo, 20_000)
-                cols = [pa.array(np.full(len(part), at.as_py())), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), part]
-                yield pa.RecordBatch.from_arrays(cols, names=["slice", "n", "chunk"])
+        for at, payload in zip(b.column(0), b.column(2), strict=True):
+            own = payload.as_py()
+            count, chunks = _numbers(own[4]), _texts(own[3])
+            ends = np.cumsum(count)
+            which = np.flatnonzero(count)
+            lists = [_packed(chunks[ends[p] - count[p] : ends[p]]) for p in which.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.full(len(which), at.as_py())), pa.array(lists, pa.binary())], names=["part", "slice", "chunks"])
 
 
 def _segmented(model: str):
-    """Rows (chunk) to (chunk, ids, back)."""
+    """Of one part, the rows (part, slice, chunks): rows (slice, part, ids, at, back): ids of the chunks in their order, and
+    the places and decoded texts of those that differ from their chunk."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         if model not in _loaded:
             _loaded[model] = Segmenter(model)
-        for b in batches:
-            ids, back = zip(*map(_loaded[model], b.column(0).to_pylist()), strict=True) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["chunk", "ids", "back"])
+        segment, known, out = _loaded[model], {}, []
+        for raw in table.column("chunks"):
+            chunks = _texts(raw.as_py())
+            for c in chunks:
+                if c not in known:
+                    known[c] = segment(c)
+            found = [known[c] for c in chunks]
+            changed = [i for i, f in enumerate(found) if f[1] is not None]
+            out.append((_packed([f[0] for f in found]), changed, [found[i][1] for i in changed]))
+        kinds = {"ids": pa.binary(), "at": pa.list_(pa.int32()), "back": pa.list_(pa.string())}
+        cols = {n: pa.array([o[k] for o in out], kind) for k, (n, kind) in enumerate(kinds.items())}
+        return pa.table({"slice": table.column("slice"), "part": table.column("part"), **cols})
 
     return run
 
 
 def _rebuilt(slices: pa.Table, rows: pa.Table) -> pa.Table:
-    """One slice and the table's rows (n, ids, back) of its chunks to (doc_id, n_tokens, ids, decoded)."""
-    if not slices.num_rows:
-        raise RuntimeError("chunks without their slice")
-    doc_ids, counts = (slices.column(c)[0].as_py() for c in ("doc_ids", "counts"))
-    places = _unpacked(slices.column("places")[0].as_buffer()).to_numpy()
-    words = _unpacked(slices.column("chunks")[0].as_buffer()).to_pylist()
-    if rows.num_rows != len(words):
-        raise RuntimeError("a slice without its chunks")
-    codes = [""] * len(words)
-    for n, ids, back in zip(rows.column("n").to_pylist(), rows.column("ids").to_pylist(), rows.column("back").to_pylist(), strict=True):
-        codes[n] = ids
-        if back is not None:
-            words[n] = back
+    """One slice and the answers of all parts to (doc_id, n_tokens, ids, decoded)."""
+    if slices.num_rows != 1:
+        raise RuntimeError("answers without their slice")
+    payload, doc_ids = slices.column("payload")[0].as_py(), slices.column("doc_ids")[0].values
+    counts, ranks, place = (_numbers(payload[i]) for i in range(3))
+    words, codes = _texts(payload[3])[: len(place)], []
+    for i in np.argsort(rows.column("part").to_numpy()).tolist() if rows.num_rows else []:
+        for n, text in zip(rows.column("at")[i].as_py(), rows.column("back")[i].as_py(), strict=True):
+            words[len(codes) + n] = text
+        codes += _texts(rows.column("ids")[i].as_py())
+    if len(codes) != len(words):
+        raise RuntimeError("a slice without its answers")
+    order = place.tolist()
+    codes, words = [codes[p] for p in order], [words[p] for p in order]
     size = np.array([c.count(",") + 1 for c in codes], np.int64)
-    total, out, at = [], ([], []), 0
-    for count in counts:
-        own = places[at : at + count].tolist()
+    total, out, start = [], ([], []), 0
+    for count in counts.tolist():
+        own = ranks[start : start + count]
         total.append(int(size[own].sum()) if count else 0)
+        own = own.tolist()
         out[0].append(",".join([codes[p] for p in own]))
         out[1].append(" ".join([words[p] for p in own]))
-        at += count
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(total, pa.int64()), "ids": pa.array(out[0], pa.string()), "decoded": pa.array(out[1], pa.string())})
+        start += count
+    return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(total, pa.int64()), "ids": pa.array(out[0], pa.string()), "decoded": pa.array(out[1], pa.string())})
+
+
+def _of_files(df: DataFrame) -> bool:
+    """Whether the rows are read from files and only projected or filtered, so that a partition read again is the same."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() not in ("Project", "Filter") and not plan.nodeName().startswith(("LogicalRelation", "Relation")):
+            return False
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
 
 
 def encode_documents(
@@ -163,11 +205,14 @@ def encode_documents(
 ) -> DataFrame:
     """doc_id, n_tokens, ids (decimal ids joined by commas, or an array of int), decoded."""
     df = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
-    slices = cut(df.mapInArrow(_slices(slice_bytes), "slice long, doc_ids array<long>, counts array<int>, places binary, chunks binary"))
-    chunks = slices.select("slice", "chunks").mapInArrow(_chunk_rows, "slice long, n int, chunk string")
-    table = chunks.select("chunk").distinct().mapInArrow(_segmented(model), "chunk string, ids string, back string")
-    rows = chunks.join(table, "chunk").select("slice", "n", "ids", "back")
-    both = slices.groupBy("slice").cogroup(rows.groupBy("slice"))
+    size = input_bytes(df, "text")
+    parts = max(16, -(-size // PART_BYTES))
+    slices = df.mapInArrow(_slices(slice_bytes, parts), "slice long, doc_ids array<long>, payload array<binary>")
+    slices = slices if _of_files(df) else cut(slices)
+    slices = slices.repartition(max(32, -(-size // slice_bytes)), "slice")
+    asked = slices.mapInArrow(_asked, "part int, slice long, chunks binary").repartition(parts, "part")
+    answers = asked.groupBy("part").applyInArrow(_segmented(model), "slice long, part int, ids binary, at array<int>, back array<string>")
+    both = slices.groupBy("slice").cogroup(answers.groupBy("slice"))
     out = both.applyInArrow(_rebuilt, "doc_id long, n_tokens long, ids string, decoded string")
     if as_array:
         out = out.selectExpr("doc_id", "n_tokens", "if(n_tokens = 0, cast(array() as array<int>), cast(split(ids, ',') as array<int>)) ids", "decoded")
