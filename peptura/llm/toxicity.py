@@ -10,7 +10,8 @@ at most ``per_doc`` windows of each, which bounds it whatever the size of the co
 then, as only some windows of a toxic text are toxic, the worst window of each toxic text and the windows of the others.
 
 Cases: null and empty texts, or texts without words, get the score of an all-padded window; very long texts have every
-window scored; repeated rows are scored each; a null label is no label; if a label is missing among the labels, the
+window scored; repeated rows are scored each; a null label is no label; of rows that share a labelled
+id one text, that of the least hash, is learned from; of unlike labels of one id that are chosen the toxic one counts; if a label is missing among the labels, the
 model is trained on what there is; empty tables give empty results (or an untrained model). Other columns are ignored.
 """
 
@@ -369,7 +370,7 @@ def sample_windows(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int
     texts = docs.selectExpr(f"cast(`{id_col}` as bigint) lid", f"`{text_col}` text")
     rows = cut(rows.join(texts.select("lid"), "lid", "left_semi"))  # ids without a document take no place; read twice
     picks = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("lid"), "lid").limit(per_label[y]) for y in (0, 1)]
-    chosen = picks[0].union(picks[1]).dropDuplicates(["lid"])  # bounded by the two limits, so it is broadcast
+    chosen = picks[0].union(picks[1]).groupBy("lid").agg(F.max("toxic").alias("toxic"))  # bounded by the two limits, so it is broadcast
 
     def make():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -384,8 +385,10 @@ def sample_windows(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int
 
         return step
 
-    got = texts.join(F.broadcast(chosen), "lid").select("lid", "text", "toxic").mapInArrow(over_slices(make, 1), "doc_id long, toxic int, windows array<string>")
-    kept = got.limit(2 * sum(per_label)).collect()  # repeated ids are bounded too
+    # of rows with one id the text of the least hash is read, so there are no more texts than chosen ids
+    one = texts.join(F.broadcast(chosen), "lid").groupBy("lid", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    got = one.select("lid", "least.text", "toxic").mapInArrow(over_slices(make, 1), "doc_id long, toxic int, windows array<string>")
+    kept = got.collect()
     return [(r["toxic"], [w.encode().split() for w in r["windows"]]) for r in sorted(kept, key=lambda r: (r["doc_id"], r["windows"]))]
 
 

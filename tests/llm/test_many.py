@@ -78,3 +78,20 @@ def test_license_scan_of_many_hits():
     n, kept, starts, base = licenses.scan_text(text, rules)
     assert time.time() - began < 20 and len(starts) == len(base) == 12_000 and len(kept) >= 12_000
     assert (n, min(starts), kept[0][:2]) == (16 * 4_000, 1, (8, 15))
+
+
+def test_license_labels_are_those_of_all_rules():
+    """Labels and score without gates and with every pair of intervals compared."""
+    rng = random.Random(6)
+    rules = licenses.build_rules()
+    names = [n for _, ns, _, _ in licenses.FAMILIES for n in ns] + [w for _, w, _ in licenses.SIGNATURES if "(" not in w and "." not in w]
+    for _ in range(150):
+        bits = [rng.choice([rng.choice(names), rng.choice(["licensed under the", "version 2", "v3", "2 0", "or any later version", "4 0", "spdx license identifier", "word", "x"])]) for _ in range(rng.randint(0, 14))]
+        norm = (" " + " ".join(bits) + " ").encode()
+        hits = sorted((-p, m.start() - m.end(), n, m.start(), m.end(), label) for n, (label, rx, _, p) in enumerate(rules) for m in rx.finditer(norm))
+        kept = []
+        for h in hits:
+            if not any(k[3] <= h[3] and h[4] <= k[4] for k in kept):
+                kept.append(h)
+        n, got, starts, base = licenses.scan_text(" ".join(bits), rules)
+        assert [(norm[: h[3]].count(b" ") - 1, norm[: h[4]].count(b" ") - 1, h[5], -h[0]) for h in kept] == got
