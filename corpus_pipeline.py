@@ -1,7 +1,13 @@
 """A corpus pipeline over ``documents``: toxicity, near-dedup, decontamination, secrets, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its decisions take effect on the rows or texts that it
-returns. All but the last return the columns of ``documents``.
+returns. All but the last return the columns of ``documents``, other columns as they came whatever their names.
+
+Cases, for all stages: an empty table stays empty. A null or empty text is a document without words: it is scored like any
+other, has no near-duplicate, is not contaminated, holds no secret, stays null or empty, and has no ids. Nulls in other
+columns are kept. Null and repeated doc_ids name rows of their own: toxicity, decontamination and secrets judge every row by
+its text, near-dedup tells rows apart by doc_id and text, and of equal rows, as of any other group, keeps one. Of a group the
+row of the least doc_id stays, one without an id only if all are. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from peptura.llm.secrets import mask_secrets, scan_secrets
 from peptura.llm.sentencepieces import encode_documents
 from peptura.llm.toxicity import score_toxicity
 
-REST, ROW = "_rest_of_document", "_row_of_document"
+REST, ROW, NULL = "_rest_of_document", "_row_of_document", "_null_text_of_document"
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -67,13 +73,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_found_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts, and n_chars follows."""
-    found = scan_secrets(_packed(docs), keep=(REST,))
-    # a null text stays null
+    found = scan_secrets(_packed(docs).withColumn(NULL, F.col("text").isNull()), keep=(REST, NULL))
     some = F.size("found") > 0
+    text = F.when(~F.col(NULL), F.col("text"))  # a null text stays null
     out = found.withColumn("masked", mask_secrets(F.col("found"), F.col("text")))
     columns = []
     for c in docs.columns:
-        old = F.col("doc_id") if c == "doc_id" else F.col("text") if c == "text" else F.col(REST).getField(c)
+        old = F.col("doc_id") if c == "doc_id" else text if c == "text" else F.col(REST).getField(c)
         new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}.get(c)
         columns.append((old if new is None else F.when(some, new).otherwise(old)).alias(c))
     return out.select(*columns)
@@ -95,10 +101,15 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: The toxicity model is trained, which SQL cannot express; the tests hold each stage against a brute-force version.
+#: The toxicity model is trained, which SQL cannot express; the tests hold the run against brute-force stages.
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
     ensure_checkpoint_dir(spark)
@@ -110,4 +121,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:  # what the stage read is not needed any more; the last stage's input stays, as its result is read lazily
+            _remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
