@@ -116,3 +116,20 @@ def psm_spectrum_report(t):
     name = F.when(F.col("pid") % 2 == 0, F.concat(F.lit("hybrid_"), "left_seq", F.lit("-"), "right_seq")).otherwise(F.lit("part|1"))
     psms = t.peptides.select(F.col("pid").alias("psm_id"), "sample", "scan", "seq", F.array(name).alias("proteins"), (F.col("pid") * 0.5).alias("score"))
     return C.psm_spectrum_report(psms, t.peaks_theo).select("psm_id", "score", "n_b", "n_y")
+
+
+@query(f"""WITH {A.THEO}, pep AS (SELECT DISTINCT left_seq || right_seq AS seq FROM planted), mass AS (SELECT seq, {A.sql_mass('seq')} AS m FROM pep),
+cand AS (SELECT sample, scan, precursor_charge AS charge, seq FROM spectra_theo JOIN mass ON (m + {A.WATER} + precursor_charge * {A.P}) / precursor_charge
+  BETWEEN precursor_mz - precursor_mz * 20.0 / 1e6 AND precursor_mz + precursor_mz * 20.0 / 1e6 WHERE precursor_charge <= 3 AND length(seq) BETWEEN 5 AND 50),
+ion AS (SELECT seq, 'b' AS t, left(seq, n) AS s, z FROM pep, range(1, 51) r(n), range(1, 3) c(z) WHERE n <= length(seq) UNION ALL
+  SELECT seq, 'y', right(seq, n), z FROM pep, range(1, 51) r(n), range(1, 3) c(z) WHERE n <= length(seq)),
+ions AS (SELECT seq, t, s, z, CAST(floor(CASE t WHEN 'b' THEN ({A.sql_mass('s')} + z * {A.P}) / z ELSE ({A.sql_mass('s')} + {A.WATER} + z * {A.P}) / z END / 0.02) AS BIGINT) AS bin FROM ion),
+bins AS (SELECT DISTINCT sample, scan, CAST(floor(mz / 0.02) AS BIGINT) + d AS bin FROM peaks_theo, range(-1, 2) x(d)),
+scored AS (SELECT c.sample, c.scan, c.seq, count(b.bin) AS ions_matched, count(*) AS ions_total FROM cand c JOIN ions i ON i.seq = c.seq AND (z = 1 OR charge > 2)
+  LEFT JOIN bins b ON b.sample = c.sample AND b.scan = c.scan AND b.bin = i.bin GROUP BY ALL)
+SELECT sample, scan, seq, ions_matched, ions_total, num FROM (SELECT *, row_number() OVER (PARTITION BY sample, scan ORDER BY ions_matched / ions_total::DOUBLE DESC, seq) AS num FROM scored) WHERE num <= 5""")
+def search_spectra(t):
+    from ..operators.scorer import search_spectra as search
+
+    df = search(t.spectra_theo, t.peaks_theo, t.peptides)
+    return df.select("sample", "scan", "seq", "ions_matched", "ions_total", F.col("num").cast("long").alias("num"))
