@@ -1,9 +1,8 @@
-"""mzML spectra: files are read whole per task and decoded in Python, which Spark's functions cannot do."""
+"""mzML spectra: files are split at the ends of spectra; a spectrum is decoded in Python, which Spark's functions cannot do."""
 
 from __future__ import annotations
 
 import base64
-import io
 import re
 import xml.etree.ElementTree as ET
 import zlib
@@ -21,7 +20,7 @@ SCHEMA = (
 #: Fixed accessions of the mzML vocabulary.
 MS_LEVEL, FLOAT32, ZLIB, MZ_ARRAY, INTENSITY_ARRAY = "MS:1000511", "MS:1000521", "MS:1000574", "MS:1000514", "MS:1000515"
 SELECTED_MZ, CHARGE, PEAK_INTENSITY, START_TIME = "MS:1000744", "MS:1000041", "MS:1000042", "MS:1000016"
-SCAN = re.compile(r"(?:scan|scanId)=(\d+)")
+SCAN, BEGIN, END = re.compile(r"(?:scan|scanId)=(\d+)"), re.compile(r"<spectrum\s"), "</spectrum>"
 
 
 def _params(node) -> dict[str, str]:
@@ -32,49 +31,52 @@ def _under(node, name: str) -> Iterator:
     return (x for x in node.iter() if x.tag.rpartition("}")[2] == name)
 
 
-def parse_mzml(content: bytes, sample: str) -> Iterator[dict]:
-    """Spectra of all levels, one at a time."""
-    for _, node in ET.iterparse(io.BytesIO(content)):
-        if node.tag.rpartition("}")[2] != "spectrum":
-            continue
-        own = _params(node)
-        arrays = {}
-        for a in _under(node, "binaryDataArray"):
-            kind = _params(a)
-            raw = base64.b64decode(next(_under(a, "binary")).text or "")
-            raw = zlib.decompress(raw) if ZLIB in kind and raw else raw
-            name = "mz" if MZ_ARRAY in kind else "intensity" if INTENSITY_ARRAY in kind else None
-            arrays[name] = np.frombuffer(raw, "<f4" if FLOAT32 in kind else "<f8").astype(float)
-        ion = next((_params(x) for x in _under(node, "selectedIon")), {})
-        start = next((_params(x).get(START_TIME) for x in _under(node, "scan")), None)
-        found = SCAN.search(node.get("id", ""))
-        number = lambda k, kind, ion=ion: kind(float(ion[k])) if ion.get(k) else None
-        yield {
-            "sample": sample, "scan": int(found[1]) if found else None, "spectrum_id": node.get("id"), "ms_level": int(own.get(MS_LEVEL) or 1),
-            "precursor_mz": number(SELECTED_MZ, float), "precursor_charge": number(CHARGE, int), "precursor_abundance": number(PEAK_INTENSITY, float),
-            "retention_time": float(start) if start else None,
-            "peaks": [{"id": i, "mz": m, "intensity": v} for i, (m, v) in enumerate(zip(arrays.get("mz", []), arrays.get("intensity", []), strict=False))],
-        }
-        node.clear()
+def parse_spectrum(text: str, sample: str) -> dict | None:
+    """The spectrum that begins in a text and ends at its end, without the closing tag; None if none begins there."""
+    begin = BEGIN.search(text)
+    if begin is None:
+        return None
+    node = ET.fromstring(text[begin.start() :] + END)
+    own, arrays = _params(node), {}
+    for a in _under(node, "binaryDataArray"):
+        kind = _params(a)
+        raw = base64.b64decode(next(_under(a, "binary")).text or "")
+        raw = zlib.decompress(raw) if ZLIB in kind and raw else raw
+        name = "mz" if MZ_ARRAY in kind else "intensity" if INTENSITY_ARRAY in kind else None
+        arrays[name] = np.frombuffer(raw, "<f4" if FLOAT32 in kind else "<f8").astype(float)
+    ion = next((_params(x) for x in _under(node, "selectedIon")), {})
+    start = next((_params(x).get(START_TIME) for x in _under(node, "scan")), None)
+    found = SCAN.search(node.get("id", ""))
+    number = lambda k, kind: kind(float(ion[k])) if ion.get(k) else None
+    return {
+        "sample": sample, "scan": int(found[1]) if found else None, "spectrum_id": node.get("id"), "ms_level": int(own.get(MS_LEVEL) or 1),
+        "precursor_mz": number(SELECTED_MZ, float), "precursor_charge": number(CHARGE, int), "precursor_abundance": number(PEAK_INTENSITY, float),
+        "retention_time": float(start) if start else None,
+        "peaks": [{"id": i, "mz": m, "intensity": v} for i, (m, v) in enumerate(zip(arrays.get("mz", []), arrays.get("intensity", []), strict=False))],
+    }
 
 
 def scan_mzml(spark: SparkSession, path, ms2_only: bool = True) -> DataFrame:
-    """Spectra of a file, folder (``*.mzML``, any depth) or list of them; sample is the file's name up to its first dot."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mzML").option("recursiveFileLookup", "true").load(path)
+    """Spectra of a file, folder (``*.mzML``, any depth) or list of them; sample is the file's name up to its first dot.
+
+    Files are read as records that end where a spectrum ends, so a large file is split like any text.
+    """
+    files = spark.read.option("pathGlobFilter", "*.mzML").option("recursiveFileLookup", "true").option("lineSep", END).text(path)
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                rows = []
-                for s in parse_mzml(content, name.rpartition("/")[2].split(".")[0]):
+            made = (parse_spectrum(text, name.split(".")[0]) for name, text in zip(part["name"], part["value"], strict=True))
+            rows = []
+            for s in made:
+                if s is not None:
                     rows.append(s)
-                    if len(rows) == 500:
-                        yield pd.DataFrame(rows)
-                        rows = []
-                if rows:
+                if len(rows) == 500:
                     yield pd.DataFrame(rows)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows)
 
-    df = files.select("path", "content").mapInPandas(decode, SCHEMA)
+    df = files.select(F.col("_metadata.file_name").alias("name"), "value").mapInPandas(decode, SCHEMA)
     return df.where("ms_level <> 1") if ms2_only else df
 
 

@@ -112,3 +112,21 @@ def test_spectra_by_name_or_fraction(spark):
     assert mzml.spectrum_by_sample_scan(df, 5, 7).count() == 0 and mzml.mzml_scans(df).count() == 2
     got = spark.range(1).select(mzml.mzml_name(F.lit("d/a.b.mzML")), mzml.mzml_sample(F.lit("d/a.b.mzML"))).collect()[0]
     assert tuple(got) == ("a.b", "a.b")
+
+
+def test_large_mzml_is_split(spark, tmp_path):
+    """Spectra of one file read in many small splits, with text before, between and after them."""
+    from peptura.sources import mzml
+
+    body = "".join(f'<spectrum index="{i}" id="scan={i}"><cvParam accession="MS:1000511" value="{1 + i % 2}"/></spectrum>\n' for i in range(400))
+    (tmp_path / "big.x.mzML").write_text(f'<?xml version="1.0"?><mzML><run><spectrumList count="400">{body}</spectrumList><chromatogramList/></run></mzML>')
+    (tmp_path / "none.mzML").write_text("<mzML/>")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        df = mzml.scan_mzml(spark, str(tmp_path), ms2_only=False)
+        assert df.rdd.getNumPartitions() > 5
+        assert sorted((r["sample"], r["scan"]) for r in df.collect()) == [("big", i) for i in range(400)]
+        assert mzml.scan_mzml(spark, str(tmp_path)).count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
