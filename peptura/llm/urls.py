@@ -2,8 +2,9 @@
 
 The filter is a table (block, 64-bit mask), built by ``bit_or`` with map-side combining. A page's canonical URL picks
 one block and sets ``k`` bits in it; only pages whose bits are all set reach the exact join on the URL itself, which
-removes the false positives. Both joins are plain equi-joins; the mask table is broadcast only when its counted size
-is under ``broadcast_blocks``, otherwise Spark shuffles it.
+removes the false positives. Both joins are plain equi-joins. The list is written once and its rows and bytes are counted;
+the masks are broadcast up to ``broadcast_blocks`` blocks, the list up to ``broadcast_bytes``, otherwise Spark shuffles
+them. Pages that cannot meet anything get a key of their own in both joins, so they are no hot key and pages are read once.
 
 Cases: a null url or one without ``://`` has an empty host and path, fits no rule and is on no list (allow). Empty
 pages give an empty result, an empty list lets everything pass. Repeated rows stay repeated. Other columns of the
@@ -17,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Rules of the contract: action, host, path. The longest that fits wins.
 RULES = (
     ("allow", "com", "/"),
@@ -91,30 +94,33 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     broadcast_blocks: int = 1 << 20,
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, canon, maybe_listed, listed: the rule's action, else block if listed.
 
     listed: canonical URLs in a column ``canon``; nulls and repeats are ignored.
     """
-    listed = listed.select("canon").where("canon is not null").distinct()
-    blocks = max(1, -(-listed.count() * BITS_PER_URL // 64))
+    listed = cut(listed.select("canon").where("canon is not null").distinct())
+    stats = listed.agg(F.count("*").alias("n"), F.sum(F.octet_length("canon") + 16).alias("bytes")).first()
+    blocks = max(1, -(-stats["n"] * BITS_PER_URL // 64))
     bloom = build_bloom(listed, blocks)
     if blocks <= broadcast_blocks:  # 16 bytes a block
         bloom = F.broadcast(bloom)
     url = F.col(url_col)
-    df = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    df = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.xxhash64(F.lit(3), id_col, url_col).alias("spread"))
     rule, action = decide(F.col("host"), F.col("path"), rules)
     df = df.select("*", rule.alias("rule"), action.alias("action"), canonical(F.col("host"), F.col("path")).alias("canon"))
-    df = df.withColumn("block", F.pmod(F.xxhash64("canon"), F.lit(blocks))).withColumn("bits", bloom_bits(F.col("canon")))
+    block = F.pmod(F.when(F.col("canon").isNull(), F.col("spread")).otherwise(F.xxhash64("canon")), F.lit(blocks))
+    df = df.withColumn("block", block).withColumn("bits", bloom_bits(F.col("canon")))
     df = df.join(bloom, "block", "left").withColumn(
         "maybe_listed", F.col("canon").isNotNull() & F.coalesce(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False))
     )
-    # Pages that the filter turned away get no key, so they don't enter the exact join's key space.
-    probe = df.withColumn("probe", F.when(F.col("maybe_listed"), F.col("canon")))
+    # a page that the filter turned away gets a key that no listed URL has
+    probe = df.withColumn("probe", F.when(F.col("maybe_listed"), F.col("canon")).otherwise(F.concat(F.lit("\x00"), F.hex("spread"))))
     hits = listed.select(F.col("canon").alias("probe"), F.lit(True).alias("hit"))
-    out = probe.where("probe is not null").join(hits, "probe", "left").unionByName(
-        probe.where("probe is null").withColumn("hit", F.lit(None).cast("boolean"))
-    )
+    if (stats["bytes"] or 0) <= broadcast_bytes:
+        hits = F.broadcast(hits)
+    out = probe.join(hits, "probe", "left")
     on_list = F.coalesce(F.col("hit"), F.lit(False))
     return out.select(
         "page_id", "host", "path", "rule",

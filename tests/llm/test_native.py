@@ -123,8 +123,8 @@ def test_urls(spark):
     ]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls * 2)], "page_id long, url string, canon string")
     listed = spark.createDataFrame([("spam.org/a",), ("spam.org/a",), (None,), ("never.org/z",)], "canon string")
-    for blocks in (1 << 20, 0):
-        got = sorted(filter_urls(pages, listed, broadcast_blocks=blocks).collect(), key=lambda r: r["page_id"])
+    for blocks, size in ((1 << 20, 1 << 20), (0, 1 << 20), (0, 0)):
+        got = sorted(filter_urls(pages, listed, broadcast_blocks=blocks, broadcast_bytes=size).collect(), key=lambda r: r["page_id"])
         assert len(got) == 2 * len(urls)
         for r, u in zip(got, urls * 2, strict=True):
             rest = u.split("://", 1)[1] if u and "://" in u else ""
