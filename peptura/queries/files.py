@@ -104,3 +104,31 @@ def hybrids_json(t):
     tables.hybrids_json(_hybrids(t), at)
     df = t.spark.read.schema("sample string, scan long, seq string, hybrids array<struct<left_seq:string,right_seq:string>>").json(at)
     return df.select("sample", "scan", "seq", F.size("hybrids").cast("long").alias("n"))
+
+
+@query(f"WITH {A.PARTS} SELECT 'id' || prot_id AS identifier, replace(name, '|', '_') AS name, seq FROM parts")
+def scan_fasta_legacy(t):
+    at = t.folder("fasta-old")
+    fasta.write_fasta_legacy(t.parts.withColumn("name", F.replace("name", F.lit("|"), F.lit("_"))), at)
+    return fasta.scan_fasta_legacy(t.spark, at).select("identifier", "name", "seq")
+
+
+@query(f"WITH {A.PSMS} SELECT sample, count(*) AS n FROM psms WHERE is_decoy GROUP BY sample")
+def read_query(t):
+    t.psms.createOrReplaceTempView("peptura_psms")
+    return tables.read_query(t.spark, "SELECT sample, count(*) AS n FROM peptura_psms WHERE is_decoy GROUP BY sample")
+
+
+@query(f"""WITH {A.PLANTED}, {A.TABLE}, m AS (SELECT pid AS psm_id, left_seq || right_seq AS seq FROM planted WHERE pid % 3 <> 0 AND pid % 5 <> 0)
+SELECT psm_id, left(seq, n) AS left_seq, array_to_string(l.proteins, '/') AS left_proteins FROM m, range(2, 11) r(n) JOIN tab l ON l.kmer = left(seq, n)
+WHERE n <= length(seq) - 2 AND substr(seq, n + 1) IN (SELECT kmer FROM tab)""")
+def hybrids_csv(t):
+    from ..operators.psms import save_hybrids
+
+    p, at = F.col("pid"), t.folder("hybrids.csv")
+    name = F.when(p % 3 == 0, F.array(F.lit("part|1"))).otherwise(F.array(F.lit("hybrid_A-B")))
+    psms = t.peptides.select(p.alias("psm_id"), "sample", "scan", "seq", name.alias("proteins"), F.when(p % 5 == 0, 0.02).otherwise(0.01).alias("q_value"))
+    tables.write_table(save_hybrids(psms, t.table, 0.01, 2), at, "csv")
+    df = t.spark.read.option("header", "true").csv(at)
+    return df.select(F.col("psm_id").cast("long").alias("psm_id"), "left_seq", "left_proteins")
+

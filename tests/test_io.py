@@ -30,7 +30,8 @@ def test_dataclass_tables(spark):
     tables.insert_dataclasses(spark, [Row("a", 1.5, 2), Row("b", 2.5, 3)], "peptura_rows")
     tables.insert_dataclasses(spark, [Row("c", 0.5, 4)], "peptura_rows")
     assert tables.table_info(spark, "peptura_rows") == [("name", "string"), ("mass", "double"), ("n", "bigint")]
-    assert spark.table("peptura_rows").count() == 3
+    assert spark.table("peptura_rows").count() == tables.row_count(spark, "peptura_rows") == tables.table_rows(spark, "peptura_rows").count() == 3
+    assert [r[0] for r in tables.read_query(spark, "SELECT name FROM peptura_rows WHERE n = 4").collect()] == ["c"]
     spark.sql("DROP TABLE peptura_rows")
     with pytest.raises(TypeError):
         tables.schema_of(Bad)
@@ -94,6 +95,8 @@ def test_result_folders_and_settings(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("a: {b: {key: 3}}\nkey2: x\n")
     settings = tables.read_yaml(spark, str(tmp_path / "c.yaml"))
     assert (tables.find_setting(settings, "key"), tables.find_setting(settings, "none", 1)) == (3, 1)
+    (tmp_path / "s.json").write_text('{\n "a": 1,\n "b": [2]\n}')
+    assert [tuple(r) for r in tables.read_json(spark, str(tmp_path / "s.json")).collect()] == [(1, [2])]
     with pytest.raises(ValueError):
         tables.save_kmer_map(spark.range(1), str(tmp_path / "k.pickle"))
     (tmp_path / "x.7.log").write_text("s\tm\n1.5\t2\n")
