@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.clusters import cluster_filter, clusters, extend_clusters, pieces
 from ..operators.hybrids import hybrid_pairs, piece_proteins, remove_native
@@ -12,11 +13,12 @@ from ..operators.ions import counted_matches, peak_ion_match, position_ions
 from ..operators.kmers import kmer_masses, kmer_places
 from ..operators.psms import high_confidence, protein_counts, top_n_proteins
 from ..operators.spectra import top_n_peaks
+from ..sources.tables import find_setting
 
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """Parameters of a search, with the reference's defaults."""
+    """Parameters of a search, with the reference's defaults. scans: the scans searched; 0 alone stands for all."""
 
     min_k: int = 1
     max_k: int = 25
@@ -28,6 +30,14 @@ class SearchConfig:
     top_n_proteins: int = 10
     num_peaks: int = 0
     min_side: int = 1
+    scans: tuple[int, ...] = (0,)
+
+    @classmethod
+    def from_settings(cls, settings: dict) -> SearchConfig:
+        """From a settings file (sources.tables.read_yaml): names at any depth, others are left at their defaults."""
+        found = {f.name: find_setting(settings, f.name) for f in fields(cls)}
+        found = {n: tuple(v) if isinstance(v, list) else v for n, v in found.items() if v is not None}
+        return cls(**found)
 
 
 def extended_clusters(spectra: DataFrame, peaks: DataFrame, proteins: DataFrame, table: DataFrame, places: DataFrame, config: SearchConfig) -> DataFrame:
@@ -44,6 +54,7 @@ def find_hybrids(
     table (kmer, aa_mass) and places (kmer, protein, starts) are made from the proteins unless stored ones are given.
     """
     config = config or SearchConfig()
+    spectra = spectra if config.scans == (0,) else spectra.where(F.col("scan").isin(*config.scans))
     table = kmer_masses(proteins, config.max_k, config.min_k) if table is None else table
     places = kmer_places(proteins, config.max_k, config.min_k) if places is None else places
     found = pieces(extended_clusters(spectra, peaks, proteins, table.select("kmer", "aa_mass"), places, config))

@@ -101,6 +101,12 @@ def read_yaml(spark: SparkSession, path: str) -> dict:
     return yaml.safe_load(_whole_text(spark, path)) or {}
 
 
+def write_yaml(spark: SparkSession, settings: dict, path: str) -> None:
+    import yaml
+
+    spark.createDataFrame([(yaml.safe_dump(settings, sort_keys=False).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def find_setting(settings: dict, key: str, default=None):
     """The first value of a key at any depth, in the order of the file."""
     if key in settings:

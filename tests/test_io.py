@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from peptura.functions.masses import PROTON_MASS, RESIDUES
 from peptura.operators import kmers
 from peptura.operators.ions import peak_ion_match
+from peptura.plans.search import SearchConfig
 from peptura.sources import tables
 from peptura.streaming.matches import stream_peak_ion_match
 
@@ -97,6 +98,9 @@ def test_result_folders_and_settings(spark, tmp_path):
     assert (tables.find_setting(settings, "key"), tables.find_setting(settings, "none", 1)) == (3, 1)
     (tmp_path / "s.json").write_text('{\n "a": 1,\n "b": [2]\n}')
     assert [tuple(r) for r in tables.read_json(spark, str(tmp_path / "s.json")).collect()] == [(1, [2])]
+    tables.write_yaml(spark, {"search": {"max_k": 9, "scans": [3, 4]}, "other": 1}, str(tmp_path / "y"))
+    config = SearchConfig.from_settings(tables.read_yaml(spark, str(tmp_path / "y")))
+    assert (config.max_k, config.scans, config.min_k) == (9, (3, 4), 1)
     with pytest.raises(ValueError):
         tables.save_kmer_map(spark.range(1), str(tmp_path / "k.pickle"))
     (tmp_path / "x.7.log").write_text("s\tm\n1.5\t2\n")

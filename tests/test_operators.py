@@ -106,6 +106,10 @@ def test_search_recovers_a_planted_hybrid(spark):
         SearchConfig(min_k=1, max_k=8),
     ).collect()
     assert (left, right) in {(r["left_seq"], r["right_seq"]) for r in got}
+    spec = spark.createDataFrame([("s", 1, precursor, 2)], "sample string, scan int, precursor_mz double, precursor_charge int")
+    own = spark.createDataFrame([("s", 1, i, m, 1.0) for i, m in enumerate(peaks)], "sample string, scan int, peak_id int, mz double, intensity double")
+    proteins = spark.createDataFrame([(i, f"p{i}", s) for i, s in enumerate(seqs)], "prot_id int, name string, seq string")
+    assert [find_hybrids(spec, own, proteins, SearchConfig(max_k=8, scans=s)).isEmpty() for s in ((2,), (1, 2))] == [True, False]
     for r in got:  # every hybrid lies within the tolerance of the precursor
         mz = (mass(r["left_seq"] + r["right_seq"]) + M.WATER_MASS + 2 * M.PROTON_MASS) / 2
         assert abs(mz - precursor) <= 20 * precursor / 1e6 * 1.001
