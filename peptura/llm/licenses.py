@@ -105,6 +105,62 @@ SIGNATURES = (
     ("proprietary", "all rights reserved", "all rights"),
     ("proprietary", "(?:unauthorized|unauthorised) (?:copying|reproduction|distribution) .{0,40}prohibited", "prohibited"),
     ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense", "sublicense"),
+    ("mit-0", "to permit persons to whom the software is furnished to do so the software is provided as is", "furnished to do so"),
+    ("x11", "except as contained in this notice the name of .{1,80} shall not be used in advertising", "used in advertising"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions", "redistributions in binary"),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledgement", "advertising materials"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", "with or without fee"),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", "appear in all copies"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "applicable law"),
+    ("apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide", "each contributor"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability", "hope that it will be useful"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", "should have received"),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with this", "should have received"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program", "should have received"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "verbatim copies"),
+    ("gpl-exception", "as a special exception the copyright holders? (?:of .{1,60} )?gives? (?:you )?permission to link", "special exception"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "modify this document"),
+    ("gfdl", "with no invariant sections no front cover texts and no back cover texts", "invariant sections"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "mpl was not distributed"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "contents of this file"),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", "contents of this file"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "accompanying materials"),
+    ("cpl-1.0", "this program and the accompanying materials are made available under the terms of the common public license", "accompanying materials"),
+    ("eupl", "licensed under the eupl version 1 [12] or as soon they will be approved by the european commission", "european commission"),
+    ("artistic-2.0", "the copyright holder reserves the right to not permit distribution of modified versions", "modified versions"),
+    ("artistic-1.0", "the intent of this document is to state the conditions under which a package may be copied", "package may be copied"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "person or organization"),
+    ("busl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "non production use"),
+    ("zlib", "this notice may not be removed or altered from any source distribution", "source distribution"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "plainly marked"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy"),
+    ("wtfpl", "you just do what the fuck you want to", "what the fuck"),
+    ("cc0-1.0", "to the extent possible under law .{1,80} has waived all copyright and related or neighboring rights", "has waived all copyright"),
+    ("cc-by", "this work is licensed under a creative commons attribution [0-9] [0-9] (?:international|unported) license", "this work is licensed"),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made", "appropriate credit"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original", "remix transform"),
+    ("cc-by-nc", "you may not use the material for commercial purposes", "commercial purposes"),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material", "remix transform"),
+    ("ofl", "this font software is licensed under the sil open font license", "font software"),
+    ("odbl-1.0", "this .{1,60} is made available under the open database license", "open database license"),
+    ("lppl", "this work may be distributed and or modified under the conditions of the latex project public license", "conditions of the latex"),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer", "buy me a beer"),
+    ("psf-2", "psf hereby grants licensee a nonexclusive royalty free world wide license", "psf hereby grants"),
+    ("openssl", "this product includes software developed by the openssl project", "openssl project"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", "apache software foundation"),
+    ("sspl-1", "if you make the functionality of the program or a modified version available to third parties as a service", "third parties as a service"),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service", "hosted or managed service"),
+    ("ncsa", "developed by .{1,120} permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software", "to deal with the software"),
+    ("proprietary", "confidential and proprietary (?:information )?(?:of|to)", "confidential and proprietary"),
+    ("proprietary", "(?:may not|must not|cannot) be (?:copied|reproduced|distributed|disclosed) .{0,60}without (?:the )?(?:express |prior )*written (?:permission|consent)", "written"),
+    ("proprietary", "no part of this (?:document|publication|book|work) may be reproduced", "may be reproduced"),
+    ("non-commercial", "(?:free )?for (?:personal(?: and| or)? )?(?:non commercial|noncommercial) use(?: only)?", "commercial use"),
+    ("academic", "for (?:academic|research|educational) (?:and (?:academic|research|educational) )?(?:use|purposes) only", "only"),
+    ("public-domain", "(?:is|are) (?:hereby )?(?:in|part of) the public domain", "public domain"),
+    ("copyright", "(?:all )?content copyright (?:of|by)", "content copyright"),
 )
 
 
