@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.masses import mass_units
 from ..functions.sequences import DISALLOWED, counted
 
-CHUNK = 128
+CHUNK, PARTITION_BYTES = 128, 16 << 20
 GAP = "\x01"  # stands for a letter that no k-mer may hold
 
 
@@ -31,19 +31,31 @@ def kmers(proteins: DataFrame, max_k: int, min_k: int = 1, keep: tuple[str, ...]
     return df.withColumn("mass_e7", mass_units(F.col("kmer"))) if with_mass else df
 
 
+def by_protein(proteins: DataFrame, key: str) -> DataFrame:
+    """Proteins dealt by their key before k-mers are made of them: what is then grouped by k-mer and key is in one place
+    already, and the letters are shuffled in place of the k-mers, which are many times as much.
+
+    One partition for each PARTITION_BYTES, within what suits the session.
+    """
+    spark = proteins.sparkSession
+    size = int(str(proteins._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return proteins.repartition(min(max(least, size // PARTITION_BYTES), 20_000) if size < 1 << 50 else least, key)
+
+
 def unique_kmers(proteins: DataFrame, max_k: int, min_k: int = 1) -> DataFrame:
     return kmers(proteins, max_k, min_k, keep=()).select("kmer").distinct()
 
 
 def kmer_to_proteins(proteins: DataFrame, max_k: int, min_k: int = 1, attribute: str = "name") -> DataFrame:
     """kmer, proteins: the sorted names (or ids) of the proteins that hold it."""
-    pairs = kmers(proteins, max_k, min_k, keep=(attribute,)).select("kmer", F.col(attribute).alias("p")).distinct()
+    pairs = kmers(by_protein(proteins, attribute), max_k, min_k, keep=(attribute,)).select("kmer", F.col(attribute).alias("p")).distinct()
     return pairs.groupBy("kmer").agg(F.sort_array(F.collect_list("p")).alias("proteins"))
 
 
 def kmer_counts_by_protein(proteins: DataFrame, max_k: int, min_k: int = 1) -> DataFrame:
     """kmer, prot_id, n: places, not distinct."""
-    return kmers(proteins, max_k, min_k).groupBy("kmer", "prot_id").agg(F.count("*").alias("n"))
+    return kmers(by_protein(proteins, "prot_id"), max_k, min_k).groupBy("kmer", "prot_id").agg(F.count("*").alias("n"))
 
 
 def kmer_table(proteins: DataFrame, max_k: int, min_k: int = 1) -> DataFrame:
@@ -54,7 +66,7 @@ def kmer_table(proteins: DataFrame, max_k: int, min_k: int = 1) -> DataFrame:
 def kmer_places(proteins: DataFrame, max_k: int, min_k: int = 1) -> DataFrame:
     """kmer, protein, starts: 0-based places in a protein, from the left and not overlapping. A row per k-mer and protein,
     so a k-mer that all proteins hold is many rows, not one long list."""
-    df = kmers(proteins, max_k, min_k, keep=("name",)).groupBy("kmer", F.col("name").alias("protein")).agg(F.sort_array(F.collect_list("start")).alias("s"))
+    df = kmers(by_protein(proteins, "name"), max_k, min_k, keep=("name",)).groupBy("kmer", F.col("name").alias("protein")).agg(F.sort_array(F.collect_list("start")).alias("s"))
     k = F.length("kmer")
     apart = F.forall(F.zip_with(F.slice("s", 2, F.size("s")), F.slice("s", 1, F.size("s") - 1), lambda b, a: b - a), lambda gap: gap >= k)
     picked = F.aggregate("s", F.array().cast("array<int>"), lambda out, x: F.when((F.size(out) == 0) | (x >= F.element_at(out, -1) + k), F.concat(out, F.array(x))).otherwise(out))

@@ -308,3 +308,9 @@ def test_legacy_kmers_of_any_length(spark):
                 if w[-1] in "KR" or (z < len(s) and s[z] in "SD"):
                     want.append((i, w, a, "y"))
     assert got == sorted(want)
+
+
+def test_kmers_of_a_protein_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, f"p{i}", "ACDEFG" * (i + 1)) for i in range(9)], "prot_id int, name string, seq string")
+    for made, shuffles in ((kmers.kmer_counts_by_protein(df, 3, 2), 1), (kmers.kmer_places(df, 3, 2), 1), (kmers.kmer_to_proteins(df, 3, 2), 2)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == shuffles
