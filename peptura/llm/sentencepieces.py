@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import cut, input_bytes
 
 MARK = "▁"
-SLICE, PART_BYTES = 16 << 20, 128 << 20
+SLICE, PART_BYTES = 16 << 20, 32 << 20
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _loaded: dict[str, Segmenter] = {}
 
