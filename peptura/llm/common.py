@@ -149,10 +149,10 @@ def shared_components(spark: SparkSession, edges: DataFrame, most_rounds: int =
         both = few(e.select("a", "b").union(e.select(F.col("b"), F.col("a"))), 2 * rows).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
         large = lookup(both.where("v > u"), low, ["u"], ["m"], "c", 2 * rows, "v")
-        large = few(large.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b"), rows)
+        large = cut(large.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b"), rows)
         # small star: every smaller neighbour moves to the smallest one
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = lookup(large, low, ["a"], ["m"], "c", rows, "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(few(small.union(low.select("a", F.col("m").alias("b"))).where("a <> b"), 2 * rows).distinct(), 2 * rows)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
