@@ -165,3 +165,28 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(x, 0) AS n_access, coalesce(
 
 
 ORACLE["op6_secret_scan"] = _secrets_sql()
+
+_TERMS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+ORACLE["op12_lexical_search"] = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS w FROM documents
+), size AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term
+), asked AS (
+  SELECT i, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark)
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM tf, size WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs
+), impact AS (
+  SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w) * n_docs) // n_terms))) AS impact
+  FROM tf JOIN weight USING (term) JOIN d USING (r), size
+), score AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
