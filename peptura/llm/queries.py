@@ -87,6 +87,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents")).drop("detections")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align_documents
+
+    files = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return align_documents(_read(spark, sf_dir, "documents"), *files, derive={"groups_sha256": digest})
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical import search
 
