@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.masses import DEFAULT_PPM, mass_units, residue_units, y_mz
+from ..functions.masses import DEFAULT_PPM, PROTON_MASS, RESIDUES, WATER_MASS, y_mz
 from ..functions.sequences import counted
+from .extension import STOP, chunk_of, count_at_most, mass_before, offset_in, running_masses
 from .keys import SPECTRUM
 
 MIN_LENGTH, MIN_SUPPORT = 3, 2
@@ -32,31 +33,25 @@ def extend_clusters(found: DataFrame, proteins: DataFrame, spectra: DataFrame, p
     """Adds extended_seq: b clusters grown to the right, y clusters to the left, one residue at a time, while the m/z at
     the precursor's charge stays below precursor + ppm. Null where even the cluster itself is too heavy.
 
-    Masses are positive, so the longest fit is found by one running sum that stops adding at the first misfit. Growth
-    stops at an unknown residue and at the protein's end.
+    Masses are positive, so the end is found by binary search in the protein's running masses, for the heaviest units that
+    fit. Growth stops at an unknown residue and at the protein's end.
     """
-    df = found.join(proteins.select(F.col("name").alias("protein"), "seq"), "protein")
-    df = df.join(spectra.select(*SPECTRUM, "precursor_mz", "precursor_charge"), SPECTRUM)
-    limit = F.col("precursor_mz") + F.lit(ppm) * F.col("precursor_mz") / 1e6
-    right = F.substring("seq", F.col("end") + 1, F.length("seq"))
-    left = F.reverse(F.substring("seq", F.lit(1), F.col("start")))
-    more = F.when(F.col("ion_type") == "b", right).otherwise(left)
-    own = F.substring("seq", F.col("start") + 1, F.col("length"))
-    fits = lambda units: y_mz(units / F.lit(1e7), F.col("precursor_charge")) < limit
-    # a step needs 57 Da at least, so no more letters than the precursor's mass allows are looked at
-    reach = F.floor(F.col("precursor_mz") * F.col("precursor_charge") / 57.0).cast("int") + 1
-    steps = F.aggregate(
-        F.when(F.length(more) == 0, F.array().cast("array<string>")).otherwise(F.slice(F.split(more, ""), F.lit(1), F.greatest(reach, F.lit(1)))),
-        F.struct(mass_units(own).alias("m"), F.lit(0).alias("n"), F.lit(True).alias("on")),
-        lambda s, c: F.when(s["on"] & fits(s["m"] + residue_units(c)), F.struct((s["m"] + residue_units(c)).alias("m"), (s["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(
-            F.struct(s["m"].alias("m"), s["n"].alias("n"), F.lit(False).alias("on"))
-        ),
-    )
-    df = df.withColumn("__n", steps["n"]).withColumn("__own", own)
-    grown = F.when(F.col("ion_type") == "b", F.concat("__own", F.substring("seq", F.col("end") + 1, F.col("__n")))).otherwise(
-        F.concat(F.substring("seq", F.col("start") - F.col("__n") + 1, F.col("__n")), F.col("__own"))
-    )
-    return df.withColumn("extended_seq", F.when(fits(mass_units(F.col("__own"))), grown)).drop("seq", "__n", "__own", "precursor_mz", "precursor_charge")
+    z, limit = F.col("precursor_charge"), F.col("precursor_mz") + F.lit(ppm) * F.col("precursor_mz") / 1e6
+    fits = lambda units: y_mz(units / F.lit(1e7), z) < limit
+    # the bound in closed form may be off by a unit's rounding; the rule itself decides
+    near = F.floor(((limit - PROTON_MASS) * z - WATER_MASS) * 1e7).cast("long")
+    heaviest = F.coalesce(*[F.when(fits(near + d), near + d) for d in (2, 1, 0, -1, -2)])
+    # a residue weighs 57 Da at least
+    reach = spectra.agg(F.max(F.floor(F.col("precursor_mz") * z * (1 + ppm / 1e6) / 57.0) + 1))
+    table = running_masses(proteins.withColumnRenamed("name", "protein"), "protein", reach, {c: round(m * 10**7) for c, m in RESIDUES.items()})
+    limits = spectra.select(*SPECTRUM, F.when(heaviest < STOP, heaviest).when(heaviest.isNotNull(), STOP - 1).alias("__most"))
+    anchor = F.when(F.col("ion_type") == "b", F.col("start")).otherwise(F.col("end"))
+    df = found.join(limits, SPECTRUM).withColumn("chunk", chunk_of(F.col("ion_type"), anchor)).join(table, ["protein", "ion_type", "chunk"])
+    at = offset_in(F.col("ion_type"), anchor)
+    df = df.withColumn("__n", count_at_most(F.col("masses"), mass_before(at) + F.col("__most")) - at)
+    grown = F.substring("letters", at + 1, F.col("__n"))
+    grown = F.when(F.col("__n") >= F.col("length"), F.when(F.col("ion_type") == "b", grown).otherwise(F.reverse(grown)))
+    return df.select(*[F.col(c) for c in found.columns], grown.alias("extended_seq"))
 
 
 def pieces(extended: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.masses import LEGACY_RESIDUES, legacy_ion_mz, legacy_mass, ppm_to_da_abs
 from ..functions.sequences import DISALLOWED, counted, digest_flags, kmer_overlap
+from .extension import chunk_of, count_at_most, mass_before, offset_in, running_masses
 from .keys import SPECTRUM
 from .kmers import CHUNK
 from .range_join import range_join
@@ -96,22 +97,21 @@ def legacy_clusters(matches: DataFrame) -> DataFrame:
 
 def legacy_extend(found: DataFrame, proteins: DataFrame) -> DataFrame:
     """Adds extension: residues next to the cluster while the sum of masses stays at most the precursor's m/z value.
-    Letters BXUZOJ are skipped, others without a mass weigh nothing."""
-    df = found.join(proteins.select("prot_id", "seq"), "prot_id")
-    more = F.when(F.col("ion_type") == "b", F.substring("seq", F.col("end") + 1, F.length("seq"))).otherwise(F.reverse(F.substring("seq", F.lit(1), F.col("start"))))
-    more = F.regexp_replace(more, "[BXUZOJ]", "")
-    table = F.array(*[F.lit(round(LEGACY_RESIDUES.get(chr(i), 0.0) * 10**6)).cast("long") for i in range(65, 91)])
-    # no more letters than the precursor's m/z allows at 57 Da each
-    room = F.floor(F.col("precursor_mz") / 57.0).cast("int") + 1
-    letters = F.when(F.length(more) == 0, F.array().cast("array<string>")).otherwise(F.slice(F.split(more, ""), F.lit(1), F.greatest(room, F.lit(1))))
-    steps = F.aggregate(
-        letters, F.struct(F.round(F.col("kmer_mass") * 1e6).cast("long").alias("m"), F.lit("").alias("s"), F.lit(True).alias("on")),
-        lambda a, c: F.when(
-            a["on"] & ((a["m"] + F.coalesce(F.element_at(table, F.ascii(c) - 64), F.lit(0))) / 1e6 <= F.col("precursor_mz")),
-            F.struct((a["m"] + F.coalesce(F.element_at(table, F.ascii(c) - 64), F.lit(0))).alias("m"), F.concat(a["s"], c).alias("s"), F.lit(True).alias("on")),
-        ).otherwise(F.struct(a["m"].alias("m"), a["s"].alias("s"), F.lit(False).alias("on"))),
-    )["s"]
-    return df.withColumn("extension", F.when(F.col("ion_type") == "b", steps).otherwise(F.reverse(steps))).drop("seq")
+    Letters BXUZOJ are skipped, others without a mass weigh nothing. The end is found by binary search in running masses."""
+    units = {c: round(m * 10**6) for c, m in LEGACY_RESIDUES.items() if c not in DISALLOWED}
+    reach = found.agg(F.max(F.floor(F.col("precursor_mz") / 57.0) + 1))
+    table = running_masses(proteins, "prot_id", reach, units, other=0)
+    # the rule decides between the neighbours of the bound in closed form
+    near, fits = F.floor(F.col("precursor_mz") * 1e6).cast("long"), lambda m: m / 1e6 <= F.col("precursor_mz")
+    heaviest = F.coalesce(*[F.when(fits(near + d), near + d) for d in (1, 0, -1)]) - F.round(F.col("kmer_mass") * 1e6).cast("long")
+    kind, next_to = F.col("ion_type"), F.when(F.col("ion_type") == "b", F.col("end")).otherwise(F.col("start"))
+    # a cluster at the protein's end meets no piece and has nothing to grow into
+    df = found.withColumn("__most", heaviest).withColumn("chunk", chunk_of(kind, next_to)).join(table, ["prot_id", "ion_type", "chunk"], "left")
+    at = offset_in(kind, next_to)
+    n = F.when(F.col("__most") >= 0, count_at_most(F.col("masses"), mass_before(at) + F.col("__most")) - at).otherwise(0)
+    grown = F.regexp_replace(F.substring("letters", at + 1, F.greatest(n, F.lit(0))), f"[{DISALLOWED}]", "")
+    grown = F.coalesce(F.when(kind == "b", grown).otherwise(F.reverse(grown)), F.lit(""))
+    return df.select(*[F.col(c) for c in found.columns], grown.alias("extension"))
 
 
 def best_complement(found: DataFrame) -> DataFrame:
