@@ -54,7 +54,34 @@ def best_fit_line(t):
 
 @query(f"WITH {A.SPECTRA}, {A.PEAKS} SELECT sample, count(DISTINCT scan) AS n_scans, count(*) AS n_peaks FROM spectra JOIN peaks USING (sample, scan) GROUP BY sample")
 def load_samples(t):
-    return t.spectra.join(t.peaks, ["sample", "scan"]).groupBy("sample").agg(F.count_distinct("scan").alias("n_scans"), F.count("*").alias("n_peaks"))
+    from ..sources import mzml
+
+    at = t.folder("mzml")
+    mzml.write_mzml(t.peak_lists, at).collect()  # a row for each of the four samples
+    found = mzml.load_samples(t.spark, at, [f"s{i}" for i in range(4)])
+    return found.groupBy("sample").agg(F.count_distinct("scan").alias("n_scans"), F.sum(F.size("peaks")).alias("n_peaks"))
+
+
+@query(f"""WITH {A.SPECTRA}, {A.PEAKS} SELECT sample, scan, precursor_mz, precursor_charge, string_agg(round(mz, 6) || ':' || CAST(intensity AS BIGINT), ',' ORDER BY peak_id) AS peaks
+FROM spectra JOIN peaks USING (sample, scan) GROUP BY ALL""")
+def scan_mzml(t):
+    from ..sources import mzml
+
+    at = t.folder("mzml-all")
+    mzml.write_mzml(t.peak_lists, at).collect()
+    peak = F.transform("peaks", lambda p: F.concat(F.round(p["mz"], 6).cast("string"), F.lit(":"), p["intensity"].cast("long").cast("string")))
+    found = mzml.scan_mzml(t.spark, at, range_bytes=1 << 20)
+    return found.select("sample", "scan", "precursor_mz", "precursor_charge", F.array_join(peak, ",").alias("peaks"))
+
+
+@query(f"WITH {A.SPECTRA}, {A.PEAKS}, asked AS (SELECT min(scan) AS scan FROM spectra JOIN peaks USING (sample, scan)) SELECT sample, scan, count(*) AS n_peaks FROM spectra JOIN peaks USING (sample, scan) WHERE scan IN (SELECT scan FROM asked) GROUP BY sample, scan")
+def unique_scan_lookup(t):
+    from ..sources import mzml
+
+    at = t.folder("mzml-lookup")
+    mzml.write_mzml(t.peak_lists, at).collect()
+    first = t.peak_lists.agg(F.min("scan")).first()[0]
+    return mzml.scan_mzml(t.spark, at, scans=[-1 if first is None else first]).select("sample", "scan", F.size("peaks").cast("long").alias("n_peaks"))
 
 
 @query(f"WITH {A.THEO}, {_IONS}, {_MET} SELECT pid, ion_seq, ion_type, charge, coalesce(array_to_string(ids, ','), '') AS peak_ids, intensity FROM met")

@@ -1,4 +1,10 @@
-"""mzML spectra: files are split at the ends of spectra; a spectrum is decoded in Python, which Spark's functions cannot do."""
+"""mzML spectra by a Python data source: files are read in byte ranges, or by their closing index where scans are asked for.
+
+A range gives the spectra that begin in it, read to their ends beyond it. The file's head, up to its first spectrum, has the
+parameter groups that spectra refer to; every range reads it. A filter on ``scan`` that Spark pushes down, or the option
+``scans``, reads the index at the file's end and then the spectra asked for alone. Files are opened by pyarrow's file
+systems; paths that only Spark can open are read as text, see scan_mzml.
+"""
 
 from __future__ import annotations
 
@@ -7,77 +13,295 @@ import re
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 SCHEMA = (
     "sample string, scan long, spectrum_id string, ms_level int, precursor_mz double, precursor_charge int, "
     "precursor_abundance double, retention_time double, peaks array<struct<id:int,mz:double,intensity:double>>"
 )
 #: Fixed accessions of the mzML vocabulary.
-MS_LEVEL, FLOAT32, ZLIB, MZ_ARRAY, INTENSITY_ARRAY = "MS:1000511", "MS:1000521", "MS:1000574", "MS:1000514", "MS:1000515"
+MS_LEVEL, FLOAT32, FLOAT64, ZLIB, PLAIN, MZ_ARRAY, INTENSITY_ARRAY = "MS:1000511", "MS:1000521", "MS:1000523", "MS:1000574", "MS:1000576", "MS:1000514", "MS:1000515"
+INT32, INT64 = "MS:1000519", "MS:1000522"
 SELECTED_MZ, CHARGE, PEAK_INTENSITY, START_TIME = "MS:1000744", "MS:1000041", "MS:1000042", "MS:1000016"
-SCAN, BEGIN, END = re.compile(r"(?:scan|scanId)=(\d+)"), re.compile(r"<spectrum\s"), "</spectrum>"
+KINDS = {FLOAT32: "<f4", FLOAT64: "<f8", INT32: "<i4", INT64: "<i8"}
+SCAN, BEGIN, END = re.compile(r"(?:scan|scanId)=(\d+)"), re.compile(rb"<spectrum[\s>]"), b"</spectrum>"
+RANGE, BLOCK, BATCH = 32 << 20, 1 << 20, 200
+Groups = dict[str, dict[str, str]]
+
 
+def _name(node) -> str:
+    return node.tag.rpartition("}")[2]
 
-def _params(node) -> dict[str, str]:
-    return {c.get("accession"): c.get("value") or "" for c in node if c.tag.endswith("cvParam")}
+
+def _params(node, groups: Groups) -> dict[str, str]:
+    """Parameters of an element, those of the groups that it refers to first."""
+    out: dict[str, str] = {}
+    for c in node:
+        if _name(c) == "referenceableParamGroupRef":
+            if c.get("ref") not in groups:
+                raise ValueError(f"no such parameter group: {c.get('ref')}")
+            out |= groups[c.get("ref")]
+    return out | {c.get("accession"): c.get("value") or "" for c in node if _name(c) == "cvParam"}
 
 
 def _under(node, name: str) -> Iterator:
-    return (x for x in node.iter() if x.tag.rpartition("}")[2] == name)
+    return (x for x in node.iter() if _name(x) == name)
+
+
+def _values(node, kind: dict[str, str]) -> np.ndarray:
+    """The numbers of a binary array: floats or integers of 32 or 64 bits, plain or by zlib."""
+    raw = base64.b64decode(next(_under(node, "binary")).text or "")
+    kinds = [k for k in KINDS if k in kind]
+    if len(kinds) != 1 or not (ZLIB in kind or PLAIN in kind):
+        raise ValueError(f"an array of a kind that is not read: {sorted(kind)}")
+    return np.frombuffer(zlib.decompress(raw) if ZLIB in kind and raw else raw, KINDS[kinds[0]]).astype(float)
+
+
+def head_of(text: bytes) -> tuple[str, Groups]:
+    """The encoding and the parameter groups that a file's head, the text before its first spectrum, declares."""
+    found = re.match(rb"[\xef\xbb\xbf\s]*<\?xml[^>]*encoding=[\"']([\w.-]+)", text)
+    encoding = found[1].decode() if found else "utf-8"
+    listed = re.search(rb"<referenceableParamGroupList.*?</referenceableParamGroupList>", text, re.DOTALL)
+    if listed is None:
+        return encoding, {}
+    return encoding, {g.get("id"): _params(g, {}) for g in _under(ET.fromstring(listed[0].decode(encoding)), "referenceableParamGroup")}
 
 
-def parse_spectrum(text: str, sample: str) -> dict | None:
-    """The spectrum that begins in a text and ends at its end, without the closing tag; None if none begins there."""
-    begin = BEGIN.search(text)
-    if begin is None:
-        return None
-    node = ET.fromstring(text[begin.start() :] + END)
-    own, arrays = _params(node), {}
+def parse_spectrum(text: str, sample: str, groups: Groups | None = None) -> dict:
+    """One ``<spectrum>`` element. groups: the file's parameter groups by id."""
+    node, groups = ET.fromstring(text), groups or {}
+    own, arrays = _params(node, groups), {}
     for a in _under(node, "binaryDataArray"):
-        kind = _params(a)
-        raw = base64.b64decode(next(_under(a, "binary")).text or "")
-        raw = zlib.decompress(raw) if ZLIB in kind and raw else raw
+        kind = _params(a, groups)
         name = "mz" if MZ_ARRAY in kind else "intensity" if INTENSITY_ARRAY in kind else None
-        arrays[name] = np.frombuffer(raw, "<f4" if FLOAT32 in kind else "<f8").astype(float)
-    ion = next((_params(x) for x in _under(node, "selectedIon")), {})
-    start = next((_params(x).get(START_TIME) for x in _under(node, "scan")), None)
+        if name:
+            arrays[name] = _values(a, kind)
+    ion = next((_params(x, groups) for x in _under(node, "selectedIon")), {})
+    start = next((_params(x, groups).get(START_TIME) for x in _under(node, "scan")), None)
     found = SCAN.search(node.get("id", ""))
     number = lambda k, kind: kind(float(ion[k])) if ion.get(k) else None
     return {
         "sample": sample, "scan": int(found[1]) if found else None, "spectrum_id": node.get("id"), "ms_level": int(own.get(MS_LEVEL) or 1),
         "precursor_mz": number(SELECTED_MZ, float), "precursor_charge": number(CHARGE, int), "precursor_abundance": number(PEAK_INTENSITY, float),
-        "retention_time": float(start) if start else None,
-        "peaks": [{"id": i, "mz": m, "intensity": v} for i, (m, v) in enumerate(zip(arrays.get("mz", []), arrays.get("intensity", []), strict=False))],
+        "retention_time": float(start) if start else None, "mz": arrays.get("mz", np.empty(0)), "intensity": arrays.get("intensity", np.empty(0)),
     }
 
 
-def scan_mzml(spark: SparkSession, path, ms2_only: bool = True) -> DataFrame:
+def as_batch(rows: list[dict]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.float64())
+    names = [f.partition(" ")[0] for f in SCHEMA.split(", ")]
+    columns = [pa.array([r[n] for r in rows], kind) for n, kind in zip(names[:-1], kinds, strict=True)]
+    sizes = [min(len(r["mz"]), len(r["intensity"])) for r in rows]
+    flat = lambda x: pa.array(np.concatenate([np.empty(0), *x]))
+    ids = pa.array(np.concatenate([np.empty(0, np.int32), *[np.arange(n, dtype=np.int32) for n in sizes]]))
+    peaks = pa.StructArray.from_arrays([ids, *[flat(r[c][:n] for r, n in zip(rows, sizes, strict=True)) for c in ("mz", "intensity")]], ["id", "mz", "intensity"])
+    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), peaks))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _sample(path: str) -> str:
+    return path.rpartition("/")[2].split(".")[0]
+
+
+@dataclass
+class Range(InputPartition):
+    """The spectra of a file that begin within [start, end), or those of some scans wherever they are."""
+
+    path: str
+    start: int
+    end: int
+    scans: tuple[int, ...] | None = None
+
+
+class _File:
+    """A file read in blocks."""
+
+    def __init__(self, system: fs.FileSystem, path: str):
+        self.own, self.sample = system.open_input_file(path), _sample(path)
+        self.size, head = self.own.size(), b""
+        while BEGIN.search(head) is None and len(head) < self.size:
+            head += self.at(len(head), BLOCK)
+        first = BEGIN.search(head)
+        self.encoding, self.groups = head_of(head[: first.start()] if first else head)
+
+    def at(self, offset: int, size: int) -> bytes:
+        return self.own.read_at(min(size, max(0, self.size - offset)), offset)
+
+    def parsed(self, raw: bytes) -> dict:
+        return parse_spectrum(raw.decode(self.encoding), self.sample, self.groups)
+
+    def within(self, start: int, end: int) -> Iterator[bytes]:
+        """The elements that begin within [start, end)."""
+        held, offset = b"", start
+        while True:
+            found = BEGIN.search(held)
+            if found and offset + found.start() >= end:
+                return
+            if found and (stop := held.find(END, found.start())) >= 0:
+                yield held[found.start() : stop + len(END)]
+                held, offset = held[stop + len(END) :], offset + stop + len(END)
+                continue
+            if found is None and held:  # a tag may be cut at the block's end
+                keep = min(len(held), 12)
+                held, offset = held[-keep:], offset + len(held) - keep
+            # without a begun element, only as much as a tag needs is read beyond the end
+            if offset + len(held) >= self.size or (found is None and offset >= end):
+                return
+            held += self.at(offset + len(held), BLOCK)
+
+    def index(self) -> dict[int, list[int]] | None:
+        """Scan to the offsets that the closing index names, None where there is none or it does not hold."""
+        tail = self.at(max(0, self.size - 4096), 4096)
+        at = re.search(rb"<indexListOffset>\s*(\d+)\s*</indexListOffset>", tail)
+        if at is None or int(at[1]) >= self.size:
+            return None
+        text = self.at(int(at[1]), self.size - int(at[1])).decode(self.encoding)
+        own = re.search(r"<index\s[^>]*name=[\"']spectrum[\"'].*?</index>", text, re.DOTALL)
+        out: dict[int, list[int]] = {}
+        for i, offset in re.findall(r"<offset\s[^>]*?idRef=[\"']([^\"']*)[\"'][^>]*>\s*(\d+)\s*</offset>", own[0]) if own else ():
+            if found := SCAN.search(i):
+                out.setdefault(int(found[1]), []).append(int(offset))
+        return out
+
+    def of_scans(self, scans: tuple[int, ...]) -> Iterator[bytes]:
+        index = self.index()
+        places = sorted(o for s in set(scans) for o in (index or {}).get(s, ()))
+        if index is None or any(not BEGIN.match(self.at(o, 16)) for o in places):
+            yield from self.within(0, self.size)  # the caller drops the others
+            return
+        for o in places:
+            yield next(self.within(o, o + 1))
+
+
+class MzmlReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        paths = options.get("paths") or options.get("path") or ""
+        self.paths = [p for p in paths.split("\n") if p]
+        self.ms2_only = options.get("ms2_only", "true").lower() == "true"
+        self.range = int(options.get("range_bytes", RANGE))
+        self.scans = tuple(map(int, options["scans"].split(","))) if options.get("scans") else None
+
+    def _files(self) -> Iterator[tuple[str, str, int]]:
+        for p in self.paths:
+            system, inner = fs.FileSystem.from_uri(p) if "://" in p or p.startswith("file:") else (fs.LocalFileSystem(), p)
+            info = system.get_file_info(inner)
+            if info.type == fs.FileType.NotFound:
+                raise FileNotFoundError(p)
+            if info.type == fs.FileType.File:
+                yield p, inner, info.size
+                continue
+            root = p[: len(p) - len(inner)] if p.endswith(inner) else ""
+            for f in sorted(system.get_file_info(fs.FileSelector(inner, recursive=True)), key=lambda f: f.path):
+                if f.type == fs.FileType.File and f.path.endswith(".mzML"):
+                    yield root + f.path, f.path, f.size
+
+    def partitions(self) -> list[Range]:
+        out = []
+        for path, _, size in self._files():
+            if self.scans is not None:
+                out.append(Range(path, 0, size, self.scans))
+            else:
+                out += [Range(path, s, min(s + self.range, size)) for s in range(0, size, self.range)]
+        return out
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        p = partition.path
+        system, inner = fs.FileSystem.from_uri(p) if "://" in p or p.startswith("file:") else (fs.LocalFileSystem(), p)
+        file, rows = _File(system, inner), []
+        raw = file.within(partition.start, partition.end) if partition.scans is None else file.of_scans(partition.scans)
+        for s in map(file.parsed, raw):
+            if (self.ms2_only and s["ms_level"] == 1) or (partition.scans is not None and s["scan"] not in partition.scans):
+                continue
+            rows.append(s)
+            if len(rows) >= BATCH:
+                yield as_batch(rows)
+                rows = []
+        if rows:
+            yield as_batch(rows)
+
+
+class PushedReader(MzmlReader):
+    """Takes filters on scan: Spark need not apply them again."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == ("scan",):
+                asked = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                asked = {int(x) for x in asked if x is not None}
+                self.scans = tuple(sorted(asked if self.scans is None else asked & set(self.scans)))
+            else:
+                yield f
+
+
+class MzmlSource(DataSource):
+    """``spark.read.format("mzml")``. Options: path, or paths by line; ms2_only; scans, joined by commas; range_bytes; pushdown:
+    whether the session pushes filters to Python sources (spark.sql.python.filterPushdown.enabled)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "mzml"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return (PushedReader if self.options.get("pushdown", "false").lower() == "true" else MzmlReader)(dict(self.options))
+
+
+def _opened_here(path: str) -> bool:
+    """Whether pyarrow has a file system for a path."""
+    if "://" not in path:
+        return True
+    try:
+        fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, OSError):
+        return False
+    return True
+
+
+def scan_mzml(spark: SparkSession, path, ms2_only: bool = True, scans: list[int] | None = None, range_bytes: int = RANGE) -> DataFrame:
     """Spectra of a file, folder (``*.mzML``, any depth) or list of them; sample is the file's name up to its first dot.
 
-    Files are read as records that end where a spectrum ends, so a large file is split like any text.
+    scans: these alone, by the files' indexes. Where pyarrow has no file system for a path, files are read as text records
+    that end where a spectrum ends; a spectrum there that refers to a parameter group is an error, as the head is in
+    another record.
     """
-    files = spark.read.option("pathGlobFilter", "*.mzML").option("recursiveFileLookup", "true").option("lineSep", END).text(path)
-
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            made = (parse_spectrum(text, name.split(".")[0]) for name, text in zip(part["name"], part["value"], strict=True))
-            rows = []
-            for s in made:
-                if s is not None:
-                    rows.append(s)
-                if len(rows) == 500:
-                    yield pd.DataFrame(rows)
-                    rows = []
+    paths = [path] if isinstance(path, str) else [str(p) for p in path] if isinstance(path, list | tuple) else [str(path)]
+    if not all(map(_opened_here, paths)):
+        df = _as_text(spark, paths)
+        df = df if scans is None else df.where(F.col("scan").isin(*scans))
+        return df.where("ms_level <> 1") if ms2_only else df
+    spark.dataSource.register(MzmlSource)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    own = {"paths": "\n".join(paths), "ms2_only": str(ms2_only).lower(), "range_bytes": str(range_bytes), "pushdown": pushed}
+    if scans is not None:
+        own["scans"] = ",".join(map(str, scans))
+    return spark.read.format("mzml").options(**own).load()
+
+
+def _as_text(spark: SparkSession, paths: list[str]) -> DataFrame:
+    files = spark.read.option("pathGlobFilter", "*.mzML").option("recursiveFileLookup", "true").option("lineSep", END.decode()).text(paths)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            records = ((n, BEGIN.search(t.encode()), t.encode()) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            rows = [parse_spectrum((raw[at.start() :] + END).decode(), _sample(n)) for n, at, raw in records if at]
             if rows:
-                yield pd.DataFrame(rows)
+                yield as_batch(rows)
+
+    return files.select(F.col("_metadata.file_name").alias("name"), "value").mapInArrow(decode, SCHEMA)
 
-    df = files.select(F.col("_metadata.file_name").alias("name"), "value").mapInPandas(decode, SCHEMA)
-    return df.where("ms_level <> 1") if ms2_only else df
+
+def spectrum_by_index(spark: SparkSession, path: str, scan: int) -> DataFrame:
+    """The spectrum of a scan, read by the file's index."""
+    return get_spectrum(scan_mzml(spark, path, ms2_only=False, scans=[scan]), scan)
 
 
 def get_spectrum(spectra: DataFrame, scan: int, sample: str | None = None) -> DataFrame:
@@ -124,3 +348,60 @@ def exploded_peaks(spectra: DataFrame) -> DataFrame:
     """sample, scan, peak_id, mz, intensity."""
     df = spectra.select("sample", "scan", F.explode("peaks").alias("p"))
     return df.select("sample", "scan", F.col("p.id").cast("long").alias("peak_id"), F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
+
+
+def _cv(accession: str, value="") -> str:
+    return f'<cvParam cvRef="MS" accession="{accession}" name="" value="{value}"/>'
+
+
+def _array(values: list[float], kind: str) -> str:
+    text = base64.b64encode(zlib.compress(np.asarray(values, "<f8").tobytes())).decode()
+    return f'<binaryDataArray encodedLength="{len(text)}"><referenceableParamGroupRef ref="array"/>{_cv(kind)}<binary>{text}</binary></binaryDataArray>'
+
+
+def write_mzml(spectra: DataFrame, folder: str) -> DataFrame:
+    """Writes spectra (sample, scan, precursor_mz, precursor_charge, peaks: id, mz, intensity) as ``<folder>/<sample>.mzML`` with
+    an index; returns (file, n). A task writes the files of its samples one after another, a spectrum at a time; a file
+    gets its name when it is whole, so a task that is run again does no harm."""
+    groups = f'<referenceableParamGroupList count="2"><referenceableParamGroup id="ms2">{_cv(MS_LEVEL, 2)}</referenceableParamGroup><referenceableParamGroup id="array">{_cv(FLOAT64)}{_cv(ZLIB)}</referenceableParamGroup></referenceableParamGroupList>'
+    head = f'<?xml version="1.0" encoding="utf-8"?>\n<indexedmzML xmlns="http://psi.hupo.org/ms/mzml"><mzML>{groups}<run><spectrumList>\n'
+
+    def element(scan: int, mz: float | None, charge: int | None, peaks: list[dict]) -> str:
+        ion = "".join(_cv(a, v) for a, v in ((SELECTED_MZ, mz), (CHARGE, charge)) if v is not None)
+        ion = f"<precursorList><precursor><selectedIonList><selectedIon>{ion}</selectedIon></selectedIonList></precursor></precursorList>" if ion else ""
+        arrays = _array([p["mz"] for p in peaks], MZ_ARRAY) + _array([p["intensity"] for p in peaks], INTENSITY_ARRAY)
+        return f'<spectrum id="scan={scan}"><referenceableParamGroupRef ref="ms2"/>{ion}<binaryDataArrayList>{arrays}</binaryDataArrayList></spectrum>\n'
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system.create_dir(root)
+        out = name = None
+        offsets: list[tuple[int, int]] = []
+
+        def closed() -> pa.RecordBatch:
+            out.write(b"</spectrumList></run></mzML>\n")
+            at = out.tell()
+            listed = "".join(f'<offset idRef="scan={s}">{o}</offset>\n' for s, o in offsets)
+            out.write(f'<indexList count="1"><index name="spectrum">\n{listed}</index></indexList>\n<indexListOffset>{at}</indexListOffset></indexedmzML>\n'.encode())
+            out.close()
+            system.move(begun, f"{root}/{name}.mzML")
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}.mzML"]), pa.array([len(offsets)], pa.int64())], names=["file", "n"])
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["sample"] != name:
+                    if out is not None:
+                        yield closed()
+                    name, offsets = r["sample"], []
+                    begun = f"{root}/_{name}-{TaskContext.get().taskAttemptId()}"
+                    out = system.open_output_stream(begun)
+                    out.write(head.encode())
+                offsets.append((r["scan"], out.tell()))
+                out.write(element(r["scan"], r["precursor_mz"], r["precursor_charge"], sorted(r["peaks"] or [], key=lambda p: p["id"])).encode())
+        if out is not None:
+            yield closed()
+
+    df = spectra.select("sample", "scan", "precursor_mz", "precursor_charge", "peaks").where("sample is not null")
+    return df.repartition("sample").sortWithinPartitions("sample", "scan").mapInArrow(run, "file string, n long")

@@ -122,18 +122,124 @@ def test_spectra_by_name_or_fraction(spark):
 
 
 def test_large_mzml_is_split(spark, tmp_path):
-    """Spectra of one file read in many small splits, with text before, between and after them."""
+    """Spectra of one file read in many small ranges, with text before, between and after them."""
     from peptura.sources import mzml
 
     body = "".join(f'<spectrum index="{i}" id="scan={i}"><cvParam accession="MS:1000511" value="{1 + i % 2}"/></spectrum>\n' for i in range(400))
     (tmp_path / "big.x.mzML").write_text(f'<?xml version="1.0"?><mzML><run><spectrumList count="400">{body}</spectrumList><chromatogramList/></run></mzML>')
     (tmp_path / "none.mzML").write_text("<mzML/>")
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
-    try:
-        df = mzml.scan_mzml(spark, str(tmp_path), ms2_only=False)
-        assert df.rdd.getNumPartitions() > 5
+    for size in (97, 1000, 1 << 20):
+        df = mzml.scan_mzml(spark, str(tmp_path), ms2_only=False, range_bytes=size)
+        assert df.rdd.getNumPartitions() > 5 or size > 1000
         assert sorted((r["sample"], r["scan"]) for r in df.collect()) == [("big", i) for i in range(400)]
-        assert mzml.scan_mzml(spark, str(tmp_path)).count() == 200
+    assert mzml.scan_mzml(spark, str(tmp_path)).count() == 200
+    # without an index, scans are found by reading on
+    assert [r["scan"] for r in mzml.scan_mzml(spark, str(tmp_path), scans=[7, 8, 900]).collect()] == [7]
+
+
+def _cv(accession, value=""):
+    return f'<cvParam accession="{accession}" value="{value}"/>'
+
+
+def _array(kind, values, form="d", zipped=True, group=""):
+    import base64
+    import struct
+    import zlib
+
+    raw = struct.pack(f"<{len(values)}{form}", *values)
+    own = {"d": "MS:1000523", "f": "MS:1000521", "q": "MS:1000522", "i": "MS:1000519"}[form]
+    text = base64.b64encode(zlib.compress(raw) if zipped else raw).decode()
+    params = group or _cv(own) + _cv("MS:1000574" if zipped else "MS:1000576")
+    return f"<binaryDataArray>{params}{_cv(kind)}<binary>{text}</binary></binaryDataArray>"
+
+
+GROUPS = (
+    '<referenceableParamGroupList count="2"><referenceableParamGroup id="level">' + _cv("MS:1000511", 2) + '</referenceableParamGroup>'
+    '<referenceableParamGroup id="\u00fc">' + _cv("MS:1000523") + _cv("MS:1000574") + "</referenceableParamGroup></referenceableParamGroupList>"
+)
+
+
+def _indexed(spectra, groups=GROUPS, encoding="iso-8859-1", shift=0):
+    """An indexed file of (scan, element) whose index is off by some bytes."""
+    text = f'<?xml version="1.0" encoding="{encoding}"?>\n<indexedmzML xmlns="http://psi.hupo.org/ms/mzml"><mzML>{groups}<run><spectrumList>\n'.encode(encoding)
+    offsets = []
+    for scan, element in spectra:
+        offsets.append((scan, len(text) + shift))
+        text += element.encode(encoding) + b"\n"
+    text += b"</spectrumList></run></mzML>\n"
+    index = "".join(f'<offset idRef="controllerType=0 scan={s}">{o}</offset>' for s, o in offsets)
+    return text + f'<indexList count="1"><index name="spectrum">{index}</index></indexList><indexListOffset>{len(text)}</indexListOffset></indexedmzML>'.encode(encoding)
+
+
+def _element(scan, form="d", zipped=True, grouped=False):
+    group = '<referenceableParamGroupRef ref="\u00fc"/>' if grouped else ""
+    arrays = _array("MS:1000514", [100 + scan, 200 + scan], form, zipped, group) + _array("MS:1000515", [1, 2], form, zipped, group)
+    return f'<spectrum id="controllerType=0 scan={scan}"><referenceableParamGroupRef ref="level"/><binaryDataArrayList>{arrays}</binaryDataArrayList></spectrum>'
+
+
+def test_mzml_parameter_groups_and_kinds(spark, tmp_path):
+    from peptura.sources import mzml
+
+    kinds = [("d", True, False), ("f", True, False), ("d", False, False), ("q", True, False), ("i", False, False), ("d", True, True)]
+    (tmp_path / "g.mzML").write_bytes(_indexed([(i, _element(i, *k)) for i, k in enumerate(kinds)]))
+    for size in (50, 300, 1 << 20):
+        rows = sorted(mzml.scan_mzml(spark, str(tmp_path), range_bytes=size).collect(), key=lambda r: r["scan"])
+        assert [(r["scan"], r["ms_level"], [tuple(p) for p in r["peaks"]]) for r in rows] == [(i, 2, [(0, 100.0 + i, 1.0), (1, 200.0 + i, 2.0)]) for i in range(len(kinds))]
+
+
+@pytest.mark.parametrize("shift", [0, 3])
+def test_mzml_scans_by_index(spark, tmp_path, shift):
+    """A scan is read where the index says, and found all the same where the index is wrong."""
+    from peptura.sources import mzml
+
+    (tmp_path / "a.mzML").write_bytes(_indexed([(i, _element(i)) for i in range(60)], shift=shift))
+    (tmp_path / "b.mzML").write_bytes(_indexed([(i, _element(i)) for i in range(50, 90)], shift=shift))
+    got = mzml.scan_mzml(spark, str(tmp_path), scans=[3, 55, 999])
+    assert got.rdd.getNumPartitions() == 2
+    assert sorted((r["sample"], r["scan"]) for r in got.collect()) == [("a", 3), ("a", 55), ("b", 55)]
+    assert mzml.spectrum_by_index(spark, str(tmp_path / "a.mzML"), 7).collect()[0]["peaks"][0]["mz"] == 107.0
+    with pytest.raises(ValueError):
+        mzml.spectrum_by_index(spark, str(tmp_path), 55)
+    # a filter on scan is taken by the source where the session lets it
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = mzml.scan_mzml(spark, str(tmp_path), range_bytes=100).where("scan in (4, 70) and sample <> 'b'")
+        assert df.rdd.getNumPartitions() == 2  # one a file, not one a range
+        assert [(r["sample"], r["scan"]) for r in df.collect()] == [("a", 4)]
+        assert mzml.scan_mzml(spark, str(tmp_path), scans=[4, 5]).where("scan = 5").count() == 1
+        assert mzml.scan_mzml(spark, str(tmp_path)).where("scan > 85").count() == 4
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_mzml_errors(spark, tmp_path, monkeypatch):
+    from peptura.sources import mzml
+
+    (tmp_path / "x.mzML").write_bytes(_indexed([(1, _element(1))], groups=""))
+    with pytest.raises(Exception, match="no such parameter group"):
+        mzml.scan_mzml(spark, str(tmp_path)).collect()
+    (tmp_path / "x.mzML").write_bytes(_indexed([(1, _element(1).replace("MS:1000574", "MS:1002312"))]))
+    with pytest.raises(Exception, match="of a kind that is not read"):
+        mzml.scan_mzml(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="FileNotFound|nothing"):
+        mzml.scan_mzml(spark, str(tmp_path / "nothing")).collect()
+    # paths that only Spark opens: as text, where groups cannot be known
+    monkeypatch.setattr(mzml, "_opened_here", lambda path: False)
+    (tmp_path / "x.mzML").write_bytes(_indexed([(1, _element(1).replace('<referenceableParamGroupRef ref="level"/>', _cv("MS:1000511", 2)))], encoding="utf-8"))
+    assert [(r["scan"], len(r["peaks"])) for r in mzml.scan_mzml(spark, str(tmp_path)).collect()] == [(1, 2)]
+    (tmp_path / "x.mzML").write_bytes(_indexed([(1, _element(1))], encoding="utf-8"))
+    with pytest.raises(Exception, match="no such parameter group"):
+        mzml.scan_mzml(spark, str(tmp_path)).collect()
+
+
+def test_mzml_round_trip(spark, tmp_path):
+    from peptura.sources import mzml
+
+    peak = "array<struct<id:int,mz:double,intensity:double>>"
+    rows = [("s", 2, 400.25, 2, [(1, 2.5, 3.0), (0, 1.5, 9.0)]), ("s", 1, None, None, []), ("t", 2, 1.0, 1, [(0, 7.0, 1.0)]), ("t", -4, 1.0, 1, None)]
+    df = spark.createDataFrame(rows, f"sample string, scan long, precursor_mz double, precursor_charge int, peaks {peak}")
+    folder = f"file://{tmp_path}/out"
+    assert sorted((r["file"].rpartition("/")[2], r["n"]) for r in mzml.write_mzml(df, folder).collect()) == [("s.mzML", 2), ("t.mzML", 2)]
+    got = mzml.load_samples(spark, folder, ["s", "t"]).where("scan is not null")
+    found = {(r["sample"], r["scan"]): (r["precursor_mz"], r["precursor_charge"], [tuple(p) for p in r["peaks"]]) for r in got.collect()}
+    assert found["s", 2] == (400.25, 2, [(0, 1.5, 9.0), (1, 2.5, 3.0)]) and found["s", 1] == (None, None, []) and found["t", 2][2] == [(0, 7.0, 1.0)]
