@@ -17,6 +17,13 @@ class ScorerSettings:
     most_charge: int = 3
     flanking: bool = True
     top_n: int = 5
+    #: of the cross-correlation: bins on either side that make the background, windows of equal weight, least share of the
+    #: base peak, width of a score's histogram bin, and the least number of bins that a tail is fitted to
+    background: int = 75
+    windows: int = 10
+    least_share: float = 0.05
+    score_step: float = 0.05
+    least_tail: int = 3
 
 
 def core_count(wanted: int) -> int:

@@ -160,3 +160,31 @@ def search_spectra(t):
 
     df = search(t.spectra_theo, t.peaks_theo, t.peptides)
     return df.select("sample", "scan", "seq", "ions_matched", "ions_total", F.col("num").cast("long").alias("num"))
+
+
+_STEP, _W = 0.05, "(CASE WHEN d = 0 THEN 1.0 WHEN abs(d) = 1 THEN 0.5 ELSE 0.0 END)"
+_BACK = "(CASE WHEN abs(d) <= 75 THEN 1.0 ELSE 0.0 END + CASE WHEN abs(d - 1) <= 75 THEN 0.5 ELSE 0.0 END + CASE WHEN abs(d + 1) <= 75 THEN 0.5 ELSE 0.0 END)"
+
+
+@query(f"""WITH {A.THEO}, pep AS (SELECT DISTINCT left_seq || right_seq AS seq FROM planted), mass AS (SELECT seq, {A.sql_mass('seq')} AS m FROM pep WHERE length(seq) BETWEEN 5 AND 50),
+cand AS MATERIALIZED (SELECT sample, scan, seq FROM spectra_theo JOIN mass ON (m + {A.WATER} + precursor_charge * {A.P}) / precursor_charge
+  BETWEEN precursor_mz - precursor_mz * 100000.0 / 1e6 AND precursor_mz + precursor_mz * 100000.0 / 1e6),
+ion AS (SELECT seq, {A.sql_mass('left(seq, n)')} AS m FROM pep, range(1, 50) r(n) WHERE n < length(seq) UNION ALL SELECT seq, {A.sql_mass('right(seq, n)')} + {A.WATER} FROM pep, range(1, 50) r(n) WHERE n < length(seq)),
+ions AS MATERIALIZED (SELECT DISTINCT seq, CAST(floor((m + 1 * {A.P}) / 1 / 0.02) AS BIGINT) AS bin FROM ion),
+y0 AS (SELECT sample, scan, CAST(floor(mz / 0.02) AS BIGINT) AS bin, max(sqrt(intensity)) AS v FROM peaks_theo GROUP BY ALL),
+y1 AS (SELECT *, max(v) OVER (PARTITION BY sample, scan) AS top, max(bin) OVER (PARTITION BY sample, scan) // 10 + 1 AS size FROM y0),
+y AS MATERIALIZED (SELECT sample, scan, bin, v * 50 / max(v) OVER (PARTITION BY sample, scan, bin // size) AS v FROM y1 WHERE v > 0.05 * top),
+near AS (SELECT c.sample, c.scan, c.seq, i.bin, y.v, y.bin - i.bin AS d FROM cand c JOIN ions i USING (seq) LEFT JOIN y ON y.sample = c.sample AND y.scan = c.scan AND y.bin BETWEEN i.bin - 76 AND i.bin + 76),
+scored AS MATERIALIZED (SELECT sample, scan, seq, round(0.005 * coalesce(sum(v * ({_W} * (1 + 1 / 150.0::DOUBLE) - {_BACK} / 150.0::DOUBLE)), 0), 9) AS xcorr,
+  count(DISTINCT bin) FILTER (WHERE abs(d) <= 1) AS ions_matched, count(DISTINCT bin) AS ions_total FROM near GROUP BY sample, scan, seq),
+hist AS (SELECT sample, scan, CAST(floor(greatest(xcorr, 0) / {_STEP}) AS BIGINT) AS bin, count(*) AS n FROM scored GROUP BY ALL),
+reach AS (SELECT sample, scan, bin, sum(n) OVER (PARTITION BY sample, scan ORDER BY bin DESC) AS r, sum(n) OVER (PARTITION BY sample, scan) AS total, max(bin) OVER (PARTITION BY sample, scan) AS last FROM hist),
+tail AS (SELECT sample, scan, regr_slope(log10(r), bin * {_STEP}) AS slope, regr_intercept(log10(r), bin * {_STEP}) AS at0 FROM reach WHERE 2 * r <= total AND bin < last GROUP BY ALL HAVING count(*) >= 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY sample, scan ORDER BY xcorr DESC, seq) AS num FROM scored)
+SELECT sample, scan, seq, round(xcorr, 6) AS xcorr, ions_matched, ions_total, num, round(CASE WHEN slope < 0 THEN at0 + slope * xcorr END, 5) AS log_eval FROM best LEFT JOIN tail USING (sample, scan) WHERE num <= 5""")
+def xcorr_search(t):
+    from ..operators.xcorr import xcorr_search as search
+    from ..plans.settings import ScorerSettings
+
+    df = search(t.spectra_theo, t.peaks_theo, t.peptides, ScorerSettings(precursor_ppm=100_000.0, score_step=_STEP))
+    return df.select("sample", "scan", "seq", F.round("xcorr", 6).alias("xcorr"), "ions_matched", "ions_total", F.col("num").cast("long").alias("num"), F.round(F.log10("eval"), 5).alias("log_eval"))
