@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,13 @@ class Side:
         self.table, self.sizes = table, np.array([len(b) for b in table], np.int64)
 
         def ids(pieces: list[str]) -> list[list[int]]:
-            return [f if b"".join(map(table.__getitem__, f)) == sent(p).encode("utf-8", "surrogatepass") else [-1] for p, f in zip(pieces, encode(pieces), strict=True)]
+            found, own = encode(pieces), [sent(p).encode("utf-8", "surrogatepass") for p in pieces]
+            flat = np.fromiter(chain.from_iterable(found), np.int64)
+            total = np.concatenate([[0], np.cumsum(self.sizes[flat])])[np.cumsum([0, *map(len, found)])]
+            # equal sizes piece by piece, and equal bytes altogether
+            if (np.diff(total) == [len(x) for x in own]).all() and b"".join(map(table.__getitem__, flat.tolist())) == b"".join(own):
+                return found
+            return [f if b"".join(map(table.__getitem__, f)) == x else [-1] for f, x in zip(found, own, strict=True)]
 
         self.of = Ids(ids).of
 
@@ -95,24 +102,26 @@ class Aligner:
         if len(a) and (end_a[np.cumsum(na)[na > 0] - 1] != end_b[np.cumsum(nb)[nb > 0] - 1]).any():
             raise RuntimeError("tokens of the two sides differ in their bytes")
         # every stretch between neighbouring ends is one link
-        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
-        ends = ends[np.diff(ends, prepend=-1) > 0]
-        ia, ib = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        both = (end_a[ia] == ends) & (end_b[ib] == ends) if len(ends) else np.empty(0, bool)
+        in_a, in_b = (np.zeros(int(end_a[-1]) + 1 if len(a) else 1, bool) for _ in "ab")
+        in_a[end_a] = in_b[end_b] = True
+        ends, common = np.flatnonzero(in_a | in_b), np.flatnonzero(in_a & in_b)
+        upto_a, upto_b, upto_both = (np.cumsum(x, dtype=np.int32) for x in (in_a, in_b, in_a & in_b))
+        ia, ib = upto_a[ends] - in_a[ends], upto_b[ends] - in_b[ends]
         doc = doc_a[ia]
-        links, groups = np.bincount(doc, minlength=count), np.bincount(doc[both], minlength=count)
+        links, groups = np.bincount(doc, minlength=count), np.bincount(doc_a[upto_a[common] - 1], minlength=count)
         key, times = np.unique((a[ia].astype(np.int64) * self.wide + b[ib]) * count + doc, return_counts=True)
-        return na, nb, groups, links, self._texts(a, b, na, nb, end_a, end_b, ends[both]), key // max(count, 1), key % max(count, 1), times
+        texts = self._texts(a, b, na, nb, upto_both[end_a] - (in_a & in_b)[end_a], upto_both[end_b] - (in_a & in_b)[end_b], upto_a[common], upto_b[common])
+        return na, nb, groups, links, texts, key // max(count, 1), key % max(count, 1), times
 
-    def _texts(self, a, b, na, nb, end_a, end_b, common) -> list[str]:
-        """The groups of each text: runs of A, then of B, in the order of their ends."""
-        ga, gb = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+    def _texts(self, a, b, na, nb, ga, gb, ends_a, ends_b) -> list[str]:
+        """The groups of each text: runs of A, then of B. ga, gb: the group of every token; ends_a, ends_b: how many tokens
+        there are up to each group's end."""
         out = np.empty(len(a) + len(b), np.int64)
-        last = lambda g: np.diff(g, append=len(common)) > 0
-        out[np.arange(len(a)) + np.searchsorted(gb, ga)] = self.at[0] + a + (self.at[1] - self.at[0]) * last(ga)
+        last = lambda g: np.diff(g, append=len(ends_a)) > 0
+        out[np.arange(len(a)) + np.concatenate([[0], ends_b])[ga]] = self.at[0] + a + (self.at[1] - self.at[0]) * last(ga)
         final = np.zeros(len(b), bool)
         final[np.cumsum(nb)[nb > 0] - 1] = True
-        out[np.arange(len(b)) + np.searchsorted(ga, gb, "right")] = b + np.where(final, self.at[4], np.where(last(gb), self.at[3], self.at[2]))
+        out[np.arange(len(b)) + ends_a[gb]] = b + np.where(final, self.at[4], np.where(last(gb), self.at[3], self.at[2]))
         words, edges = self.words[out], np.concatenate([[0], np.cumsum(na + nb)]).tolist()
         return ["".join(words[s:e].tolist()) for s, e in zip(edges, edges[1:], strict=False)]
 

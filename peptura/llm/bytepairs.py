@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -72,32 +73,36 @@ class Pieces:
         return self.split(text)
 
 
-class Ids:
-    """Ids of pieces by a bounded cache: ``of`` gives those of lists of pieces. What it does not hold is encoded at once, by
-    ``encode`` (pieces to lists of ids). Besides the pieces of one call it holds no more than ``kept``."""
+class Ids(dict):
+    """piece -> its number, given at first sight; ``of`` gives the ids of lists of pieces. New pieces of a call are encoded
+    at once, by ``encode`` (pieces to lists of ids). Besides those of one call it holds no more than ``kept``."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], kept: int = 300_000):
+        super().__init__()
         self.encode, self.kept = encode, kept
         self._start()
 
     def _start(self) -> None:
-        self.number: dict[str, int] = {}
+        self.clear()
+        self.new: list[str] = []
         self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[list[str]]) -> None:
-        if len(self.number) > self.kept:
-            self._start()
-        new = list(set().union(*pieces) - self.number.keys())
-        if new:
-            found = self.encode(new)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.int32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(f) for f in found])])
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
 
     def of(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of several lists of pieces in a row, and how many each has."""
-        self._learn(pieces)
-        n = np.concatenate([np.empty(0, np.int64), *[np.fromiter(map(self.number.__getitem__, p), np.int64, len(p)) for p in pieces]])
+        if len(self) > self.kept:
+            self._start()
+        n = np.concatenate([np.empty(0, np.int64), *[np.fromiter(map(self.__getitem__, p), np.int64, len(p)) for p in pieces]])
+        if self.new:
+            found = self.encode(self.new)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.new = []
         sizes = self.starts[n + 1] - self.starts[n]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(self.starts[n] - ends[:-1], sizes) + np.arange(ends[-1])
