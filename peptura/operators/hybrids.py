@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.masses import DEFAULT_PPM, PROTON_MASS, WATER_MASS, aa_mass, y_mz
 from ..functions.sequences import counted, fasta_description, hybrid_name, hyphenated
 from .keys import SPECTRUM
+from .kmers import contains_seq
 from .range_join import range_join
+from .settle import settled
 
 
 def piece_proteins(found: DataFrame) -> DataFrame:
@@ -41,6 +43,15 @@ def remove_native(hybrids: DataFrame, kmers: DataFrame) -> DataFrame:
     return df.join(kmers.select("kmer"), "kmer", "left_anti").drop("kmer")
 
 
+def remove_contained(hybrids: DataFrame, proteins: DataFrame, seed: int = 5) -> DataFrame:
+    """Drops hybrids whose joined sequence stands in some protein, however long it is: an index of overlapping pieces of the
+    proteins is met by the sequence's first letters, and the rest is compared there."""
+    # the search that made the hybrids is read twice
+    df = settled(hybrids.withColumn("__seq", F.concat("left_seq", "right_seq")))
+    native = contains_seq(proteins, df.select(F.col("__seq").alias("query")), seed)
+    return df.join(native.withColumnRenamed("query", "__seq"), "__seq", "left_anti").select(*hybrids.columns)
+
+
 def hybrids_by_sequence(hybrids: DataFrame) -> DataFrame:
     """sample, scan, seq, hyphenated forms (sorted): A-BC and AB-C are one sequence."""
     forms = F.sort_array(F.collect_set(hyphenated(F.col("left_seq"), F.col("right_seq"))))

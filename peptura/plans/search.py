@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clusters import cluster_filter, clusters, extend_clusters, pieces
-from ..operators.hybrids import hybrid_pairs, piece_proteins, remove_native
+from ..operators.hybrids import hybrid_pairs, piece_proteins, remove_contained
 from ..operators.ions import counted_matches, peak_ion_match, position_ions
 from ..operators.kmers import kmer_masses, kmer_places
 from ..operators.psms import high_confidence, protein_counts, top_n_proteins
@@ -49,7 +49,7 @@ def extended_clusters(spectra: DataFrame, peaks: DataFrame, proteins: DataFrame,
 def find_hybrids(
     spectra: DataFrame, peaks: DataFrame, proteins: DataFrame, config: SearchConfig | None = None, table: DataFrame | None = None, places: DataFrame | None = None
 ) -> DataFrame:
-    """sample, scan, left_seq, right_seq, left_proteins, right_proteins of all spectra, natives removed.
+    """sample, scan, left_seq, right_seq, left_proteins, right_proteins of all spectra, natives of any length removed.
 
     table (kmer, aa_mass) and places (kmer, protein, starts) are made from the proteins unless stored ones are given.
     """
@@ -58,7 +58,7 @@ def find_hybrids(
     table = kmer_masses(proteins, config.max_k, config.min_k) if table is None else table
     places = kmer_places(proteins, config.max_k, config.min_k) if places is None else places
     found = pieces(extended_clusters(spectra, peaks, proteins, table.select("kmer", "aa_mass"), places, config))
-    return remove_native(hybrid_pairs(piece_proteins(found), spectra, config.precursor_ppm), table)
+    return remove_contained(hybrid_pairs(piece_proteins(found), spectra, config.precursor_ppm), proteins)
 
 
 def abundant_proteins(psms: DataFrame, proteins: DataFrame, config: SearchConfig | None = None) -> DataFrame:

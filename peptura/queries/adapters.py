@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from functools import cached_property
 
@@ -20,11 +22,25 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def own(self) -> str:
+        return uuid.uuid4().hex
+
     def folder(self, name: str) -> str:
-        """A place for files: in the session's shared checkpoint folder, or its warehouse where there is none."""
-        root = self.spark.sparkContext.getCheckpointDir() or self.spark.conf.get("spark.sql.warehouse.dir")
-        self.own = getattr(self, "own", None) or uuid.uuid4().hex
-        return f"{root.rstrip('/')}/peptura-files-{self.own}/{name}"
+        """A place for files: in the folder that spark.checkpoint.dir names, or in the warehouse. Without the first, a session
+        on a cluster is refused, as its warehouse may be a folder of the driver's machine. Folders of a local session are
+        deleted when it ends."""
+        root = self.spark.sparkContext.getCheckpointDir() or self.spark.conf.get("spark.checkpoint.dir", None)
+        local = self.spark.sparkContext.master.startswith("local")
+        if not root and not local:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = f"{(root or self.spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/peptura-files-{self.own}"
+        if local:
+            atexit.register(shutil.rmtree, at.removeprefix("file:"), ignore_errors=True)
+        return f"{at}/{name}"
+
+    def table_name(self) -> str:
+        return f"peptura_{self.own}"
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -86,7 +102,9 @@ class Tables:
         side = lambda x: self.parts.select(F.col("i").alias(f"{x}i"), F.col("seq").alias(f"{x}seq"))
         df = df.join(side("l"), "li").join(side("r"), "ri")
         where = F.concat(F.lit("s"), (F.col("pid") % 2).cast("string")).alias("sample"), F.expr("pid div 2").alias("scan")
-        return df.select("pid", *where, F.substring("lseq", F.col("off") + 1, F.lit(6)).alias("left_seq"), F.substring("rseq", F.lit(4), F.lit(6)).alias("right_seq"))
+        # of every fifth one the right piece follows the left one in the same protein
+        right = F.when((F.col("pid") % 5 == 0) & (F.length("lseq") >= 14), F.substring("lseq", F.col("off") + 7, F.lit(6))).otherwise(F.substring("rseq", F.lit(4), F.lit(6)))
+        return df.select("pid", *where, F.substring("lseq", F.col("off") + 1, F.lit(6)).alias("left_seq"), right.alias("right_seq"))
 
     @cached_property
     def spectra_theo(self) -> DataFrame:
@@ -158,7 +176,8 @@ PSMS = f"""psms AS (SELECT event_id AS psm_id, 'u' || user_id AS sample, event_i
     {sql_clean("event_type || props")} AS seq,
     CASE event_id % 3 WHEN 0 THEN ['part|' || (event_id % 40)] WHEN 1 THEN ['part|' || (event_id % 40), 'part|' || (event_id % 7)] ELSE ['hybrid_' || event_type, 'hybrid_x'] END AS proteins,
     CAST(1 + event_id % 2 AS INTEGER) AS num, ((event_id * 7919) % 1000) / 100.0::DOUBLE AS eval, CAST(event_id % 23 AS INTEGER) AS ions_matched FROM events)"""
-PLANTED = f"""{PARTS}, planted AS (SELECT s_suppkey AS pid, 's' || (s_suppkey % 2) AS sample, s_suppkey // 2 AS scan, substr(l.seq, 1 + s_suppkey % 3, 6) AS left_seq, substr(r.seq, 4, 6) AS right_seq
+PLANTED = f"""{PARTS}, planted AS (SELECT s_suppkey AS pid, 's' || (s_suppkey % 2) AS sample, s_suppkey // 2 AS scan, substr(l.seq, 1 + s_suppkey % 3, 6) AS left_seq,
+    CASE WHEN s_suppkey % 5 = 0 AND length(l.seq) >= 14 THEN substr(l.seq, 7 + s_suppkey % 3, 6) ELSE substr(r.seq, 4, 6) END AS right_seq
     FROM supplier, (SELECT count(*) AS n FROM parts) c, parts l, parts r WHERE l.i = s_suppkey % n AND r.i = (s_suppkey + 7) % n)"""
 THEO = f"""{PLANTED}, spectra_theo AS (SELECT sample, scan, round(({sql_mass('left_seq')} + {sql_mass('right_seq')} + {WATER}) / 2 + {P}, 6) AS precursor_mz, 2 AS precursor_charge FROM planted),
   peaks_theo AS (SELECT sample, scan, row_number() OVER (PARTITION BY sample, scan ORDER BY t, k) AS peak_id, mz, 10.0 * k AS intensity FROM (

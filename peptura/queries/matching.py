@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import catalog as C
 from ..operators import hybrids as H
 from ..operators.clusters import cluster_filter as filter_clusters
 from ..operators.clusters import clusters as make_clusters
@@ -144,9 +145,42 @@ def hybrid_pairs(t):
     return _hybrids(t).select("sample", "scan", "left_seq", "right_seq", JOINED("left_proteins").alias("left_proteins"), JOINED("right_proteins").alias("right_proteins"))
 
 
-@query(f"WITH {A.UP_TO_HYBRIDS} SELECT sample, scan, left_seq, right_seq FROM hyb WHERE left_seq || right_seq NOT IN (SELECT kmer FROM tab)")
+@query(f"WITH {A.UP_TO_HYBRIDS} SELECT sample, scan, left_seq, right_seq FROM hyb WHERE NOT EXISTS (SELECT 1 FROM parts WHERE contains(seq, left_seq || right_seq))")
 def remove_native(t):
-    return H.remove_native(_hybrids(t), t.masses).select("sample", "scan", "left_seq", "right_seq")
+    return H.remove_contained(_hybrids(t), t.parts).select("sample", "scan", "left_seq", "right_seq")
+
+
+@query(f"WITH {A.UP_TO_HYBRIDS} SELECT sample, scan, left_seq, right_seq FROM hyb WHERE left_seq || right_seq NOT IN (SELECT left(seq, n) FROM parts, range(4, 25) r(n))")
+def remove_native_kmers(t):
+    """By a table of k-mers: here those that proteins begin with."""
+    kmers = t.parts.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(24)), lambda n: F.left("seq", n))).alias("kmer")).distinct()
+    return H.remove_native(_hybrids(t), kmers).select("sample", "scan", "left_seq", "right_seq")
+
+
+@query(f"""WITH {A.PROTEINS}, held AS (SELECT DISTINCT kmer, prot_id FROM {A.sql_kmers('proteins', 1, 2)})
+SELECT kmer, count(*) AS n_proteins, min(prot_id) AS first, max(prot_id) AS last, CAST(sum(prot_id) AS BIGINT) AS total, true AS bounded FROM held GROUP BY kmer""")
+def kmer_postings(t):
+    """All proteins of every k-mer, whole documents and single letters included, in rows of bounded size."""
+    found = C.kmer_postings(t.proteins, 2)
+    wide = found.groupBy("kmer").agg((F.max("n") <= C.BLOCK_NAMES).alias("bounded"))
+    ids = C.posting_ids(found).groupBy("kmer").agg(F.count("*").alias("n_proteins"), F.min("prot_id").alias("first"), F.max("prot_id").alias("last"), F.sum("prot_id").alias("total"))
+    return ids.join(wide, "kmer")
+
+
+_DOCUMENT_PROBES = f"""probes AS (
+  SELECT p.sample, p.scan, peak_id, z.z AS charge, ion_type, z.z * (mz - mz * 20 / 1e6 - {A.P}) - off AS lo, z.z * (mz + mz * 20 / 1e6 - {A.P}) - off AS hi,
+    precursor_charge * (precursor_mz - {A.P}) - {A.WATER} AS most
+  FROM peaks p JOIN spectra s USING (sample, scan), range(1, 4) z(z), (VALUES ('b', 0.0::DOUBLE), ('y', {A.WATER}::DOUBLE)) t(ion_type, off) WHERE z.z <= precursor_charge)"""
+
+
+@query(f"""WITH {A.PROTEINS}, tab AS MATERIALIZED (SELECT kmer, {A.sql_mass('kmer')} AS aa_mass FROM (SELECT DISTINCT kmer FROM {A.sql_kmers('proteins', 2, 3)})), {A.SPECTRA}, {A.PEAKS}, {_DOCUMENT_PROBES}
+SELECT sample, scan, peak_id, charge, ion_type, count(*) AS n, min(kmer) AS first FROM probes JOIN tab ON aa_mass BETWEEN lo AND hi AND aa_mass <= most GROUP BY ALL""")
+def catalog_ion_match(t):
+    """The peak join against a catalog of the documents' k-mers, written as a table and read in place."""
+    catalog = C.Catalog(t.table_name(), buckets=max(8, int(t.spark.conf.get("spark.sql.shuffle.partitions"))))
+    C.create_catalog(t.proteins, catalog, 3, 2)
+    found = C.catalog_ion_match(t.peaks, t.spectra, catalog)
+    return found.groupBy("sample", "scan", "peak_id", F.col("charge").cast("long").alias("charge"), "ion_type").agg(F.count("*").alias("n"), F.min("kmer").alias("first"))
 
 
 @query(f"WITH {A.UP_TO_HYBRIDS} SELECT sample, scan, left_seq || right_seq AS seq, string_agg(DISTINCT left_seq || '-' || right_seq, ',' ORDER BY left_seq || '-' || right_seq) AS forms FROM hyb GROUP BY 1, 2, 3")

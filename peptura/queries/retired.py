@@ -49,9 +49,31 @@ def legacy_mass_join(t):
     return _matches(t).select("prec_id", "frag_id", "prot_id", "kmer", "start", "ion_type", F.col("charge").cast("long").alias("charge"))
 
 
-@query(f"{ALL} SELECT prec_id, prot_id, ion_type, CAST(anchor AS INTEGER) AS anchor, l.kmer AS kmer, score FROM lc")
+#: Of every supplier a place, with the ions of all k-mers that begin or end there: clusters of several k-mers and charges.
+CROWDED = """seeds AS (SELECT *, row_number() OVER (PARTITION BY ion_type ORDER BY prot_id, start, "end") - 1 AS i, count(*) OVER (PARTITION BY ion_type) AS n FROM lk WHERE charge = 1),
+frag AS (SELECT 'c' || s_suppkey AS prec_id, round(a.kmer_mass + 500, 3) AS precursor_mz, CAST(k.charge * 100 + length(k.kmer) AS INTEGER) AS frag_id, k.mass AS mz
+  FROM supplier JOIN seeds a ON a.i = s_suppkey * 7 % a.n JOIN lk k ON k.prot_id = a.prot_id AND k.ion_type = a.ion_type AND CASE a.ion_type WHEN 'b' THEN k.start = a.start ELSE k."end" = a."end" END)"""
+
+
+def _crowded_clusters(t):
+    own = Window.partitionBy("ion_type")
+    kmers = _kmers(t)
+    anchor = F.when(F.col("ion_type") == "b", F.col("start")).otherwise(F.col("end"))
+    seeds = kmers.where("charge = 1").select("prot_id", "ion_type", anchor.alias("anchor"), "kmer_mass", (F.row_number().over(own.orderBy("prot_id", "start", "end")) - 1).alias("i"), F.count("*").over(own).alias("n"))
+    sizes = seeds.select("ion_type", "n").distinct()  # two rows
+    asked = t["supplier"].select("s_suppkey").join(F.broadcast(sizes)).withColumn("i", F.col("s_suppkey") * 7 % F.col("n"))
+    asked = asked.join(seeds.drop("n"), ["ion_type", "i"])
+    found = asked.join(kmers.select("prot_id", "ion_type", anchor.alias("anchor"), "kmer", "charge", "mass"), ["prot_id", "ion_type", "anchor"])
+    frags = found.select(
+        F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("prec_id"), F.round(F.col("kmer_mass") + 500, 3).alias("precursor_mz"),
+        (F.col("charge") * 100 + F.length("kmer")).alias("frag_id"), F.col("mass").alias("mz"),
+    )
+    return L.legacy_clusters(L.legacy_mass_join(frags, kmers).drop("mz"))
+
+
+@query(f"WITH {A.PARTS}, {KMERS}, {CROWDED}, {MATCH}, {CLUS} SELECT prec_id, precursor_mz, prot_id, ion_type, CAST(anchor AS INTEGER) AS anchor, l.kmer AS kmer, CAST(l.start AS INTEGER) AS start, score FROM lc")
 def legacy_clusters(t):
-    return _clusters(t).select("prec_id", "prot_id", "ion_type", "anchor", "kmer", "score")
+    return _crowded_clusters(t).select("prec_id", "precursor_mz", "prot_id", "ion_type", "anchor", "kmer", "start", "score")
 
 
 @query(f"""{ALL}, step AS (
@@ -116,12 +138,14 @@ def aligned_peptide(t):
 
 @query(f"""{ALIGNED} SELECT prec_id AS spectrum_id, peptide_type AS hybrid, sequence, CAST(total_score AS VARCHAR) AS "total score", (total_score * length(sequence)) || '/' || length(sequence) AS "#peaks/length",
   'part|' || lp AS "left kmer", 'part|' || rp AS "right kmer", CAST(b_score AS VARCHAR) AS "b score", CAST(y_score AS VARCHAR) AS "y score",
-  array_to_string(list_filter(string_split(bx, ''), lambda x: x <> ''), '/') AS "prev aa", array_to_string(list_filter(string_split(yx, ''), lambda x: x <> ''), '/') AS "next aa" FROM al""")
+  array_to_string(list_filter(string_split(bx, ''), lambda x: x <> ''), '/') AS "prev aa", array_to_string(list_filter(string_split(yx, ''), lambda x: x <> ''), '/') AS "next aa",
+  round(length_score, 9) AS "total gaussian score", '0' AS "total mass error", round(precursor_mz, 6) AS "precursor mass", '1' AS "precursor charge" FROM al""")
 def legacy_output(t):
     peptides, found = _peptides(t)
     precursors = found.select("prec_id", "precursor_mz", F.lit(1).alias("precursor_charge")).distinct()
     out = L.legacy_output(peptides.join(precursors, "prec_id"), t.parts)
-    return out.drop("total gaussian score", "total mass error", "precursor mass", "precursor charge")
+    # engines write doubles in different ways
+    return out.withColumns({c: F.round(F.col(c).cast("double"), n) for c, n in (("total gaussian score", 9), ("precursor mass", 6))})
 
 
 @query(f"WITH {A.SPECTRA}, {A.PEAKS} SELECT sample, scan, CAST(row_number() OVER (PARTITION BY sample, scan ORDER BY mz, peak_id) - 1 AS INTEGER) AS frag_id, mz, intensity AS abundance, precursor_mz, precursor_charge FROM (SELECT *, row_number() OVER (PARTITION BY sample, scan ORDER BY intensity DESC, peak_id) AS r FROM peaks) JOIN spectra USING (sample, scan) WHERE r <= 3")

@@ -90,9 +90,11 @@ def peaks_vs_product_ions(t):
     return df.select("pid", "ion_seq", "ion_type", F.col("charge").cast("long").alias("charge"), F.array_join(F.col("peak_ids").cast("array<string>"), ",").alias("peak_ids"), "intensity")
 
 
-@query(f"""WITH {A.THEO}, {_IONS}, {_MET} SELECT pid, ion_type, ion_seq, CAST(sum(coalesce(len(ids), 0)) AS BIGINT) AS n_peaks FROM met GROUP BY ALL""")
+@query(f"""WITH {A.THEO}, {_IONS}, {_MET} SELECT pid, ion_type, ion_seq, CAST(sum(coalesce(len(ids), 0)) AS BIGINT) AS n_peaks,
+  array_to_string(list_sort(flatten(list(coalesce(ids, [])))), ',') AS peak_ids FROM met GROUP BY ALL""")
 def matches_by_seq_and_type(t):
-    return C.matches_by_seq_and_type(C.peaks_vs_product_ions(t.peptides, t.peaks_theo)).drop("peak_ids")
+    found = C.matches_by_seq_and_type(C.peaks_vs_product_ions(t.peptides, t.peaks_theo))
+    return found.withColumn("peak_ids", F.array_join(F.col("peak_ids").cast("array<string>"), ","))
 
 
 @query(f"""WITH {A.THEO}, {_IONS}, {_MET}, j AS (
