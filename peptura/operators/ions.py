@@ -23,7 +23,7 @@ def product_ions(peptides: DataFrame, charges: list[int], keep: tuple[str, ...]
     return df.withColumn("mz", ion_mz(F.col("aa_mass"), F.col("charge"), F.col("ion_type"))).drop("aa_mass")
 
 
-def peak_probes(peaks: DataFrame, spectra: DataFrame, ppm: float = DEFAULT_PPM) -> DataFrame:
+def peak_probes(peaks: DataFrame, spectra: DataFrame, ppm: float = DEFAULT_PPM, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per peak, charge up to the precursor's and ion type: bounds lo, hi on the residue mass and most, the
     residue mass of the precursor, which a matching k-mer may not exceed."""
     df = peaks.join(spectra.select(*SPECTRUM, "precursor_mz", "precursor_charge"), SPECTRUM)
@@ -33,7 +33,7 @@ def peak_probes(peaks: DataFrame, spectra: DataFrame, ppm: float = DEFAULT_PPM)
     span = lambda kind, lo, hi: F.struct(F.lit(kind).alias("ion_type"), lo.alias("lo"), hi.alias("hi"))
     df = df.withColumn("span", F.explode(F.array(span("b", b_lo, b_hi), span("y", y_lo, y_hi))))
     return df.select(
-        *SPECTRUM, "peak_id", "mz", "charge", "precursor_charge", "precursor_mz", "span.ion_type", "span.lo", "span.hi",
+        *SPECTRUM, *keep, "peak_id", "mz", "charge", "precursor_charge", "precursor_mz", "span.ion_type", "span.lo", "span.hi",
         (F.col("precursor_charge") * (F.col("precursor_mz") - PROTON_MASS) - WATER_MASS).alias("most"),
     )
 

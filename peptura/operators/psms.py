@@ -86,15 +86,17 @@ def percentile_of_score(values: DataFrame, value: str, score: float) -> DataFram
     return values.agg((50.0 * (below + at_most + tie) / F.count(v)).alias("percentile"))
 
 
-def tdc_q_value(psms: DataFrame, by: tuple[str, ...] = ("sample", "scan"), unique: str = "psm_id", buckets: int = 1024) -> DataFrame:
+def tdc_q_value(psms: DataFrame, by: tuple[str, ...] | None = None, unique: str = "psm_id", buckets: int = 1024) -> DataFrame:
     """Target-decoy competition: psms (score, is_decoy, ...) to the winning targets with q_value.
 
-    The best match of each spectrum wins; at equal scores the decoy does. FDR at a score is (decoys + 1) / targets over
+    The best match of each spectrum and charge wins (``by``; without a column charge, of each spectrum); at equal scores the
+    decoy does. FDR at a score is (decoys + 1) / targets over
     all winners of at least that score, at most 1; the q-value is the least FDR at that score or a lower one.
 
     The order is global, but only counts per distinct score are ordered, and those in two levels: score ranges by
     quantiles, whose totals are a bounded table, and running sums within each range. No task sorts all matches.
     """
+    by = by or ("sample", "scan", *(["charge"] if "charge" in psms.columns else []))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), F.desc("is_decoy"), unique))
     won = psms.withColumn("__r", rank).where("__r = 1").drop("__r")
     per = won.groupBy("score").agg(F.count_if("is_decoy").alias("d"), F.count_if(~F.col("is_decoy")).alias("t"))

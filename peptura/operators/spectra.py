@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -59,3 +61,24 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def best_fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+
+
+def density(df: DataFrame, value: str, points: int = 200, bw_adjust: float = 2.0, bins: int = 1024) -> DataFrame:
+    """x, density: a Gaussian density at evenly spaced points from the least to the largest value, by Scott's rule times
+    bw_adjust, which may stand beside a histogram (times rows and bin width).
+
+    Values are counted in ``bins`` fine bins first, so that a point adds up bins and not values; a value counts at the middle
+    of its bin. With a bandwidth of h that is off by about (range / bins / h)^2 / 24 of the density. Fewer than two distinct
+    values have no density.
+    """
+    v = F.col(value).cast("double")
+    lim = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"), F.stddev_samp(v).alias("sd")).where("hi > lo")
+    wide = (F.col("hi") - F.col("lo")) / bins
+    at = F.least(F.floor((v - F.col("lo")) / wide), F.lit(bins - 1))
+    counted = df.where(v.isNotNull()).crossJoin(F.broadcast(lim)).groupBy(at.alias("bin")).agg(F.count("*").alias("c"))  # lim is one row
+    one = counted.agg(F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("counts")).crossJoin(F.broadcast(lim))  # no more than ``bins``
+    one = one.withColumn("h", F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("sd") * bw_adjust).withColumn("w", wide)
+    df = one.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
+    z = lambda b: (F.col("x") - (F.col("lo") + (b["bin"] + 0.5) * F.col("w"))) / F.col("h")
+    total = F.aggregate("counts", F.lit(0.0), lambda a, b: a + b["c"] * F.exp(-0.5 * z(b) * z(b)))
+    return df.select("x", (total / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))

@@ -164,3 +164,50 @@ def number_greater_than(t):
 def abundant_proteins(t):
     top = P.top_n_proteins(P.protein_counts(t.psms), 10).select(F.col("protein").alias("name"))
     return t.parts.join(top, "name", "left_semi").select("name")
+
+
+def _deviation(values):
+    """The median of the distances from the median."""
+    import numpy as np
+
+    own = values.to_numpy(zero_copy_only=False)
+    return float(np.median(np.abs(own - np.median(own))))
+
+
+@query(f"WITH {A.PSMS} SELECT sample, round(mad(score), 9) AS deviation FROM psms GROUP BY sample")
+def fold_of_psms(t):
+    """A fold that Spark lacks, through SQL."""
+    from ..operators.folds import register_fold
+
+    register_fold(t.spark, "peptura_deviation", _deviation, "double")
+    t.psms.createOrReplaceTempView("peptura_fold_psms")
+    return t.spark.sql("SELECT sample, round(peptura_deviation(score), 9) AS deviation FROM peptura_fold_psms GROUP BY sample")
+
+
+@query(f"WITH {A.PSMS}, low AS (SELECT sample, quantile_disc(ions_matched, 0.5) AS m FROM psms GROUP BY sample) SELECT psm_id, sample, ions_matched FROM psms JOIN low USING (sample) WHERE ions_matched = m")
+def arg_fold_of_psms(t):
+    """The matches whose value is their sample's lower median."""
+    from ..operators.folds import arg_fold_of
+
+    middle = lambda v: sorted(v.to_pylist())[(len(v) - 1) // 2]
+    return arg_fold_of(t.psms, ["sample"], "ions_matched", middle, "int").select("psm_id", "sample", "ions_matched")
+
+
+@query(f"WITH {A.PSMS} SELECT psm_id, sample, scan, score, seq, num, eval FROM psms")
+def sqlite_scan(t):
+    """Matches written to a SQLite file and read back in ranges of rows."""
+    from ..sources import sqlite
+
+    at = t.folder("psms.db")
+    sqlite.write_sqlite(t.psms.select("psm_id", "sample", "scan", "score", "seq", "num", "eval"), at, "psms", ["sample"])
+    return sqlite.sqlite_scan(t.spark, at, "psms").withColumn("num", F.col("num").cast("int"))
+
+
+@query(f"""WITH {A.PSMS}, p AS (SELECT *, 1 + psm_id % 3 AS charge FROM psms), won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample, scan, charge ORDER BY score DESC, is_decoy DESC, psm_id) AS r FROM p) WHERE r = 1),
+f AS (SELECT score, least(1.0::DOUBLE, (count(*) FILTER (WHERE is_decoy) OVER w + 1)::DOUBLE / greatest(count(*) FILTER (WHERE NOT is_decoy) OVER w, 1)) AS fdr FROM won WINDOW w AS (ORDER BY score DESC RANGE UNBOUNDED PRECEDING)),
+q AS (SELECT score, min(m) AS q FROM (SELECT score, min(fdr) OVER (ORDER BY score RANGE UNBOUNDED PRECEDING) AS m FROM f) GROUP BY score)
+SELECT psm_id, charge, round(q, 9) AS q_value FROM won JOIN q USING (score) WHERE NOT is_decoy""")
+def tdc_q_value_by_charge(t):
+    """Competition among the matches of a spectrum and charge."""
+    df = P.tdc_q_value(t.psms.withColumn("charge", 1 + F.col("psm_id") % 3))
+    return df.select("psm_id", "charge", F.round("q_value", 9).alias("q_value"))

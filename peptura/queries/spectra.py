@@ -190,3 +190,11 @@ def xcorr_search(t):
 
     df = search(t.spectra_theo, t.peaks_theo, t.peptides, ScorerSettings(precursor_ppm=100_000.0, score_step=_STEP))
     return df.select("sample", "scan", "seq", F.round("xcorr", 6).alias("xcorr"), "ions_matched", "ions_total", F.col("num").cast("long").alias("num"), F.round(F.log10("eval"), 5).alias("log_eval"))
+
+
+@query(f"""WITH {A.PEAKS}, lim AS (SELECT min(mz) AS lo, max(mz) AS hi, CAST(count(mz) AS DOUBLE) AS n, stddev_samp(mz) AS sd, (max(mz) - min(mz)) / 1024 AS w FROM peaks),
+c AS (SELECT least(floor((mz - lo) / w), 1023) AS bin, count(*) AS c FROM peaks, lim GROUP BY 1),
+h AS (SELECT *, pow(n, -0.2::DOUBLE) * sd * 2.0::DOUBLE AS h FROM lim), x AS (SELECT lo + (hi - lo) * i / 199 AS x, h.* FROM h, range(200) r(i))
+SELECT round(x, 6) AS x, round(sum(c * exp(-0.5::DOUBLE * ((x - (lo + (bin + 0.5::DOUBLE) * w)) / h) * ((x - (lo + (bin + 0.5::DOUBLE) * w)) / h))) / (max(n) * max(h) * sqrt(2 * pi())), 9) AS density FROM x, c GROUP BY x""")
+def density(t):
+    return S.density(t.peaks, "mz").select(F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))

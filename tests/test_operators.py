@@ -314,3 +314,30 @@ def test_kmers_of_a_protein_are_not_shuffled(spark):
     df = spark.createDataFrame([(i, f"p{i}", "ACDEFG" * (i + 1)) for i in range(9)], "prot_id int, name string, seq string")
     for made, shuffles in ((kmers.kmer_counts_by_protein(df, 3, 2), 1), (kmers.kmer_places(df, 3, 2), 1), (kmers.kmer_to_proteins(df, 3, 2), 2)):
         assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == shuffles
+
+
+def test_remove_contained(spark):
+    proteins = spark.createDataFrame([(0, "p", "ACDEFGHIKLMNPQRSTVWYACDEFGHIKL"), (1, "q", None), (2, "r", "")], "prot_id int, name string, seq string")
+    pairs = [("ACDEFGHIKLM", "NPQRSTVWYACDE"), ("AC", "DE"), ("WY", "AC"), ("C", "A"), ("K", "L"), ("KL", "AC"), ("ACDEFGHIKLMNPQRSTVWYACDEFGHIKL", "A"), ("ACDEFGHIKLMNPQRSTVWYACDEFGHIK", "L")]
+    df = spark.createDataFrame([("s", i, a, b) for i, (a, b) in enumerate(pairs)], "sample string, scan int, left_seq string, right_seq string")
+    assert sorted(r["scan"] for r in hybrids.remove_contained(df, proteins).collect()) == [3, 5, 6]
+    assert hybrids.remove_contained(df.limit(0), proteins).collect() == [] and hybrids.remove_contained(df, proteins.limit(0)).count() == len(pairs)
+
+
+@pytest.mark.parametrize(("name", "check"), [
+    ("remove_native", lambda rows, q: 0 < len(rows) < q["hybrid_pairs"].count()),
+    ("remove_native_kmers", lambda rows, q: 0 < len(rows) < q["hybrid_pairs"].count()),
+    ("legacy_clusters", lambda rows, q: max(r["score"] for r in rows) > 2 and any(len(r["kmer"]) > 2 for r in rows)),
+    ("kmer_postings", lambda rows, q: max(r["n_proteins"] for r in rows) > 150 and all(r["bounded"] for r in rows)),
+])
+def test_queries_do_something(spark, name, check):
+    """Rows are removed, grouped, bounded: a query that passes everything through would match its SQL as well."""
+    import os
+
+    import __spark_entry__
+
+    if not os.path.exists("/root/testdata/sf0.001"):
+        pytest.skip("no tables here")
+    found = __spark_entry__.queries()
+    asked = {n: found[n](spark, "/root/testdata/sf0.001") for n in (name, "hybrid_pairs")}
+    assert check(asked[name].collect(), asked)
