@@ -40,9 +40,14 @@ WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 def corpus_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """N: documents with a term, L: all their terms with repeats."""
-    n = docs.select(F.regexp_count(f"`{text_col}`", F.lit(WORDS)).cast("long").alias("n")).where("n > 0")
-    row = n.agg(F.count("*"), F.sum("n")).first()
-    return row[0], row[1] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [k for t in b.column(0) if (k := len(alnum_words(t.as_py())))]
+            yield pa.RecordBatch.from_arrays([pa.array([len(n)], pa.int64()), pa.array([sum(n)], pa.int64())], names=["docs", "terms"])
+
+    row = docs.selectExpr(f"`{text_col}` text").mapInArrow(run, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return row[0] or 0, row[1] or 0
 
 
 # ---- slices ----
@@ -294,7 +299,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     known = terms.select("term").distinct()
     bounded = (known.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0) <= vocabulary_bytes
     size = corpus_size(docs, text_col)
-    index = impact_index(docs, size, {r["term"] for r in known.toLocalIterator()} if bounded else None, id_col, text_col, block_docs)
+    index = impact_index(docs, size, {r["term"] for r in known.collect()} if bounded else None, id_col, text_col, block_docs)
     path = f"{spark.sparkContext.getCheckpointDir()}/impacts-{uuid.uuid4().hex}"
     index.write.parquet(path)
     index = spark.read.schema("block long, term string, df long, payload binary").parquet(path)
