@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -375,11 +376,12 @@ def sample_windows(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int
     def make():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for t in part.column(1).to_pylist():
                 ws = alnum_words(t)
                 starts = list(windows_of(len(ws)))
                 if len(starts) > per_doc:
-                    starts = sorted(np.random.default_rng(i).choice(starts, per_doc, replace=False).tolist())
+                    own = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))  # by the text: ids have no part in learning
+                    starts = sorted(np.random.default_rng(own).choice(starts, per_doc, replace=False).tolist())
                 out.append([b" ".join(ws[s : s + WINDOW]).decode("utf-8", "replace") for s in starts])
             return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "toxic", "windows"])
 
