@@ -18,7 +18,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import cache
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,81 +89,94 @@ def train(samples: Iterable[tuple[str, int]]) -> list[float]:
     return llr
 
 
-def _codes() -> Column:
-    return F.array(*[F.lit(char_class(chr(i))) for i in range(128)])
+@cache
+def default_model() -> tuple[float, ...]:
+    return tuple(train(default_samples()))
 
 
-def llr_of(token: Column, model: Sequence[float]) -> Column:
+# Expressions over arrays are written as SQL text: one call to the JVM for each column, not one for each node of its tree.
+
+_names = count()
+
+
+def _fresh(n: int = 1) -> list[str]:
+    """Names of lambda variables that nothing else has."""
+    return [f"v{next(_names)}" for _ in range(n)]
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def numbers(values: Iterable[float], kind: str) -> str:
+    """An array of literals."""
+    return f"cast(array({','.join(f'{x!r}{"D" if kind == "double" else ""}' for x in values)}) as array<{kind}>)"
+
+
+def llr_of(token: str, model: Sequence[float]) -> str:
     """Mean ratio per transition of an ASCII token; 0 for fewer than two characters."""
-    code, table = _codes(), F.array(*[F.lit(float(x)) for x in model])
-    cls = F.transform(F.split(token, ""), lambda ch: F.element_at(code, F.least(F.ascii(ch), F.lit(127)) + 1))
-    pairs = F.transform(
-        F.slice(cls, 2, F.greatest(F.size(cls) - 1, F.lit(0))), lambda c, i: F.element_at(table, F.element_at(cls, i + 1) * CLASSES + c + 1)
-    )
-    return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(pairs), F.lit(1))
+    code, table = numbers((char_class(chr(i)) for i in range(128)), "int"), numbers(map(float, model), "double")
+    ch, cls, c, i, pairs, acc, x = _fresh(7)
+    classes = f"transform(split({token}, ''), {ch} -> element_at({code}, least(ascii({ch}), 127) + 1))"
+    steps = f"transform(slice({cls}, 2, greatest(size({cls}) - 1, 0)), ({c}, {i}) -> element_at({table}, element_at({cls}, {i} + 1) * {CLASSES} + {c} + 1))"
+    mean = f"aggregate({pairs}, 0D, ({acc}, {x}) -> {acc} + {x}) / greatest(size({pairs}), 1)"
+    return bound(classes, cls, bound(steps, pairs, mean))
 
 
-def bound(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: a lambda would compute an outer expression anew for every element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def bound(value: str, name: str, body: str) -> str:
+    """``body`` with the value computed once under a name: a lambda would compute an outer expression anew for every element."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def running(xs: Column, zero: int, op) -> Column:
+def running(xs: str, zero: int, op: Callable[[str, str], str]) -> str:
     """op over all elements up to each one (a sum, a maximum) of an int array. In blocks of about the square root of its
     length, as a fold copies what it has made at every step."""
-    def fold(block: Column) -> Column:
-        return F.aggregate(block, F.array().cast("array<int>"), lambda out, x: F.concat(out, F.array(op(F.coalesce(F.get(out, F.size(out) - 1), F.lit(zero)), x).cast("int"))))
 
-    def in_blocks(all_of: Column) -> Column:
-        step = F.ceil(F.sqrt(F.size(all_of))).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_of) / step).cast("int") - 1), lambda i: fold(F.slice(all_of, i * step + 1, step)))
-        shift = lambda made: F.concat(F.array(F.lit(zero)), F.slice(made, 1, F.size(made) - 1))
-        whole = lambda made: F.zip_with(made, shift(fold(F.transform(made, lambda m: F.element_at(m, -1)))), lambda m, before: F.transform(m, lambda x: op(before, x).cast("int")))
-        return F.flatten(bound(blocks, whole))
+    def fold(block: str) -> str:
+        out, x = _fresh(2)
+        return f"aggregate({block}, cast(array() as array<int>), ({out}, {x}) -> concat({out}, array(cast({op(f'coalesce(get({out}, size({out}) - 1), {zero})', x)} as int))))"
 
-    return F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(bound(xs, in_blocks))
+    every, step, i, made, m, ends, before, x = _fresh(8)
+    blocks = f"transform(sequence(0, cast(ceil(size({every}) / {step}) as int) - 1), {i} -> {fold(f'slice({every}, {i} * {step} + 1, {step})')})"
+    last = fold(f"transform({made}, {m} -> element_at({m}, -1))")
+    shifted = bound(last, ends, f"concat(array({zero}), slice({ends}, 1, size({ends}) - 1))")
+    whole = f"flatten(zip_with({made}, {shifted}, ({m}, {before}) -> transform({m}, {x} -> cast({op(before, x)} as int))))"
+    body = bound(f"cast(ceil(sqrt(size({every}))) as int)", step, bound(blocks, made, whole))
+    return f"if(size({xs}) = 0, cast(array() as array<int>), {bound(xs, every, body)})"
 
 
-def _starts(parts: Column, hits: Column) -> Column:
+def _starts(parts: str, hits: str) -> str:
     """0-based starts of the matches from part and match lengths."""
-    def starts(sizes: Column) -> Column:
-        ends = running(F.transform(sizes, lambda x: x["p"] + x["m"]), 0, lambda a, x: a + x)
-        return F.zip_with(ends, sizes, lambda e, x: e - x["m"])
+    p, m, sizes, e, x, y = _fresh(6)
+    both = f"zip_with(slice({parts}, 1, size({hits})), {hits}, ({p}, {m}) -> named_struct('p', length({p}), 'm', length({m})))"
+    ends = running(f"transform({sizes}, {x} -> {x}.p + {x}.m)", 0, lambda a, b: f"{a} + {b}")
+    return bound(both, sizes, f"zip_with({ends}, {sizes}, ({e}, {y}) -> {e} - {y}.m)")
 
-    return bound(F.zip_with(F.slice(parts, 1, F.size(hits)), hits, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))), starts)
 
-
-def _spans(kind: str, text: Column, pattern: str, hits: Column, keep) -> Column:
-    """Spans (s, e, k) of the matches that ``keep(match)`` holds for. The text is split only if one does."""
-    parts = F.split(text, pattern, -1)
-    rank = KINDS.index(kind)
-    made = F.zip_with(
-        _starts(parts, hits), hits,
-        lambda s, m: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), F.lit(rank).alias("k"), m.alias("m")),
-    )
-    return F.filter(made, lambda x: keep(x["m"]))
+def _spans(kind: str, pattern: str) -> str:
+    """Spans (s, e, k, m) of the matches h_kind that ok_kind holds for. The text is split only if one does."""
+    hits, kept = f"h_{kind}", f"ok_{kind}"
+    parts, s, m, at, n, x, y, o = _fresh(8)
+    starts = bound(f"split(text, {quoted(pattern)}, -1)", parts, _starts(parts, hits))
+    made = f"transform({at}, ({s}, {n}) -> named_struct('s', {s}, 'e', {s} + length(get({hits}, {n})), 'k', {KINDS.index(kind)}, 'm', get({hits}, {n})))"
+    spans = bound(starts, at, f"filter({made}, ({x}, {y}) -> get({kept}, {y}))")
+    return f"if(exists({kept}, {o} -> {o}), {spans}, cast(array() as array<struct<s:int,e:int,k:int,m:string>>))"
 
 
-def _without_overlaps(spans: Column) -> Column:
+def _without_overlaps(spans: str) -> str:
     """Sorted spans without those of the models that overlap a base span: the furthest end of the base spans up to each
     one, and the nearest start of those after it, tell."""
-    base = lambda x, value, other: F.when(x["k"] < 3, value).otherwise(other)
+    every, x, far, near, i = _fresh(5)
+    base = lambda field, other: f"transform({every}, {x} -> if({x}.k < 3, {x}.{field}, {other}))"
+    furthest = running(base("e", -1), -1, lambda a, b: f"greatest({a}, {b})")
+    nearest = "reverse(" + running(f"reverse({base('s', 2**31 - 1)})", 2**31 - 1, lambda a, b: f"least({a}, {b})") + ")"
+    kept = f"filter({every}, ({x}, {i}) -> {x}.k < 3 or (get({far}, {i}) <= {x}.s and get({near}, {i}) >= {x}.e))"
+    return bound(spans, every, bound(furthest, far, bound(nearest, near, kept)))
 
-    def kept(all_of: Column) -> Column:
-        furthest = running(F.transform(all_of, lambda x: base(x, x["e"], F.lit(-1))), -1, F.greatest)
-        nearest = F.reverse(running(F.reverse(F.transform(all_of, lambda x: base(x, x["s"], F.lit(2**31 - 1)))), 2**31 - 1, F.least))
-        sides = F.zip_with(furthest, nearest, lambda e, s: F.struct(e.alias("e"), s.alias("s")))
-        stays = lambda x, side: (x["k"] < 3) | ((side["e"] <= x["s"]) & (side["s"] >= x["e"]))
-        return F.filter(F.zip_with(all_of, sides, lambda x, side: F.when(stays(x, side), x)), lambda x: x.isNotNull())
 
-    return bound(spans, kept)
-
-
-def _text_of(spans: Column) -> Column:
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(
-        F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ","
-    )
+def _text_of(spans: str) -> str:
+    kinds, x = "array(" + ",".join(f"'{k}'" for k in KINDS) + ")", _fresh()[0]
+    return f"array_join(transform({spans}, {x} -> concat_ws(':', element_at({kinds}, {x}.k + 1), cast({x}.s as string), cast({x}.e as string))), ',')"
 
 
 def scan_secrets(
@@ -173,62 +188,45 @@ def scan_secrets(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, text, found: array of (s, e, k) sorted by start then kind, n_assign, n_access, n_hex, base, all (as text)."""
-    model = list(model) if model is not None else train(default_samples())
+    model = list(model if model is not None else default_model())
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
-    text = F.col("text")
     # a cheap pre-test per kind spares most texts the slower passes
-    empty = F.array().cast("array<string>")
     tests = {
-        "assign": text.rlike(r"(?i:passw|secret|token|api_?key)"),
-        "access": F.contains(text, F.lit("AKIA")),
-        "hex": text.rlike(r"[0-9a-f]{24}"),
-        "markov": text.rlike(r"[A-Za-z0-9+/_=-]{16}"),
+        "assign": f"text rlike {quoted(r'(?i:passw|secret|token|api_?key)')}",
+        "access": "contains(text, 'AKIA')",
+        "hex": "text rlike '[0-9a-f]{24}'",
+        "markov": "text rlike '[A-Za-z0-9+/_=-]{16}'",
     }
     pats = {k: p for k, p, _, _ in PATTERNS} | {"markov": JUDGED}
-    df = df.select(
-        "*", *[F.when(tests[k], F.regexp_extract_all(text, F.lit(pats[k]), F.lit(0))).otherwise(empty).alias(f"h_{k}") for k in KINDS]
-    )
-    none = F.array().cast("array<struct<s:int,e:int,k:int,m:string>>")
-
-    def long_enough(kind: str, group: int, least: int):
-        pat = pats[kind]
-        return lambda m: F.length(F.regexp_extract(m, pat, group)) >= least
-
-    found = {k: long_enough(k, g, least) for k, _, g, least in PATTERNS}
-    found["markov"] = lambda m: llr_of(m, model) >= threshold
-    cols = []
-    for k in KINDS:
-        h = F.col(f"h_{k}")
-        some = F.exists(h, found[k])
-        cols.append(F.when(some, _spans(k, text, pats[k], h, found[k])).otherwise(none).alias(f"s_{k}"))
-    df = df.select("doc_id", "text", *keep, *cols)
-    base = F.array_sort(F.concat("s_assign", "s_access", "s_hex"))
-    df = df.withColumn("base_spans", base)
-    both = _without_overlaps(F.array_sort(F.concat("base_spans", "s_markov")))
-    df = df.withColumn("found", F.when(F.size("s_markov") == 0, F.col("base_spans")).otherwise(both))
+    df = df.select("*", *[F.expr(f"if({tests[k]}, regexp_extract_all(text, {quoted(pats[k])}, 0), cast(array() as array<string>))").alias(f"h_{k}") for k in KINDS])
+    m = _fresh()[0]
+    kept = {k: f"length(regexp_extract({m}, {quoted(pats[k])}, {group})) >= {least}" for k, _, group, least in PATTERNS}
+    kept["markov"] = f"{llr_of(m, model)} >= {float(threshold)!r}D"
+    df = df.select("*", *[F.expr(f"transform(h_{k}, {m} -> {kept[k]})").alias(f"ok_{k}") for k in KINDS])
+    df = df.select("doc_id", "text", *keep, *[F.expr(_spans(k, pats[k])).alias(f"s_{k}") for k in KINDS])
+    df = df.withColumn("base_spans", F.expr("array_sort(concat(s_assign, s_access, s_hex))"))
+    both = _without_overlaps("array_sort(concat(base_spans, s_markov))")
+    df = df.withColumn("found", F.expr(f"if(size(s_markov) = 0, base_spans, {both})"))
     return df.select(
         "doc_id", "text", *keep, "found",
         *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
-        _text_of(F.col("base_spans")).alias("base"), _text_of(F.col("found")).alias("spans"),
+        F.expr(_text_of("base_spans")).alias("base"), F.expr(_text_of("found")).alias("spans"),
     )
 
 
-def mask_secrets(found: Column, text: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span replaced; of overlapping spans the first puts the mask. The text is cut into blocks once, as
-    taking a part of it by place costs as much as all that stands before."""
-
-    def masked(ctx: Column) -> Column:
-        def piece(a: Column, b: Column) -> Column:
-            at = (a / BLOCK).cast("int")
-            part = F.array_join(F.slice(ctx["blocks"], at + 1, (b / BLOCK).cast("int") - at + 1), "")
-            return F.when(b > a, F.substring(part, a - at * BLOCK + 1, b - a)).otherwise("")
+def mask_secrets(found: str = "found", text: str = "text", mask: str = "[SECRET]") -> Column:
+    """The text (by columns' names) with every span replaced; of overlapping spans the first puts the mask. The text is cut
+    into blocks once, as taking a part of it by place costs as much as all that stands before."""
+    i, blocks, spans, x, y, ends, n = _fresh(7)
 
-        ends = running(F.transform(ctx["spans"], lambda x: x["e"]), 0, F.greatest)
-        before = lambda e: F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1))
-        out = F.zip_with(ctx["spans"], before(ends), lambda x, e: F.when(x["s"] >= e, F.concat(piece(e, x["s"]), F.lit(mask))).otherwise(""))
-        last = F.array_max(F.transform(ctx["spans"], lambda x: x["e"]))
-        return F.concat(F.array_join(out, ""), piece(last, ctx["n"]))
+    def piece(a: str, b: str) -> str:
+        part = f"array_join(slice({blocks}, {a} div {BLOCK} + 1, {b} div {BLOCK} - {a} div {BLOCK} + 1), '')"
+        return f"if({b} > {a}, substring({part}, {a} - {a} div {BLOCK} * {BLOCK} + 1, {b} - {a}), '')"
 
-    places = F.sequence(F.lit(0), (F.length(text) / BLOCK).cast("int"))
-    ctx = F.struct(found.alias("spans"), F.transform(places, lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK))).alias("blocks"), F.length(text).alias("n"))
-    return F.when(F.size(found) == 0, text).otherwise(bound(ctx, masked))
+    furthest = running(f"transform({spans}, {x} -> {x}.e)", 0, lambda a, b: f"greatest({a}, {b})")
+    before = f"if({n} = 0, 0, get({ends}, {n} - 1))"
+    one = f"if({x}.s >= {before}, concat({piece(before, f'{x}.s')}, {quoted(mask)}), '')"
+    last = f"array_max({ends})"
+    whole = f"concat(array_join(transform({spans}, ({x}, {n}) -> {one}), ''), {bound(last, y, piece(y, f'length({text})'))})"
+    cuts = f"transform(sequence(0, length({text}) div {BLOCK}), {i} -> substring({text}, cast({i} * {BLOCK} + 1 as int), {BLOCK}))"
+    return F.expr(f"if(size({found}) = 0, {text}, {bound(found, spans, bound(cuts, blocks, bound(furthest, ends, whole)))})")
