@@ -76,7 +76,7 @@ def mask_found_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = scan_secrets(_packed(docs).withColumn(NULL, F.col("text").isNull()), keep=(REST, NULL))
     some = F.size("found") > 0
     text = F.when(~F.col(NULL), F.col("text"))  # a null text stays null
-    out = found.withColumn("masked", mask_secrets(F.col("found"), F.col("text")))
+    out = found.withColumn("masked", mask_secrets("found", "text"))
     columns = []
     for c in docs.columns:
         old = F.col("doc_id") if c == "doc_id" else text if c == "text" else F.col(REST).getField(c)
