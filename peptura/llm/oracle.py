@@ -14,7 +14,7 @@ WITH r AS (
       regexp_replace(regexp_replace(host, ':\d*$', ''), '^(www|m)\.', '') || regexp_replace(path, '(/index)?(\.html?)?/?$', '')
     END AS canon FROM u
 ), listed AS (
-  SELECT DISTINCT canon FROM c WHERE host LIKE 'spam-farm.%' AND canon IS NOT NULL
+  SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|free-bets|blog)\.') AND canon IS NOT NULL
 ), rules(act, h, p) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
          ('block', 'net', '/es/'), ('block', 'net', '/fr/')

@@ -29,8 +29,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import canonical, filter_urls, host_of, path_of
 
     pages = _read(spark, sf_dir, "pages")
-    # the list: canonical URLs of the hosts that call themselves a spam farm
-    listed = pages.where(host_of(F.col("url")).rlike(r"^spam-farm\.")).select(
+    # the list: canonical URLs of blogs and of the hosts that are named for spam, pills or bets
+    listed = pages.where(host_of(F.col("url")).rlike(r"(^|\.)(spam-farm|cheap-pills|free-bets|blog)\.")).select(
         canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("canon")
     )
     return filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")

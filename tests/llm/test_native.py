@@ -59,7 +59,7 @@ def test_secrets_match_python(spark):
 def test_secrets_mask(spark):
     df = spark.createDataFrame([(1, "a token=0641917ea4e9feb9cda83477b57ac2654884f485 b"), (2, "x"), (3, None)], "doc_id long, text string")
     s = scan_secrets(df)
-    assert {r[0]: r[1] for r in s.select("doc_id", mask_secrets(s["found"], s["text"])).collect()} == {1: "a [SECRET] b", 2: "x", 3: ""}
+    assert {r[0]: r[1] for r in s.select("doc_id", mask_secrets()).collect()} == {1: "a [SECRET] b", 2: "x", 3: ""}
 
 
 def test_minimax_is_smallest():
@@ -139,3 +139,28 @@ def test_urls(spark):
     assert build_bloom(listed.where("canon is not null").distinct(), 4).count() <= 2
 
 
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_url_list_blocks_pages_without_a_rule(spark, sf):
+    """The query's list is met by some pages, and by none that the rules decide, at every size."""
+    import os
+
+    from peptura.llm.queries import op7_url_filter
+
+    if not os.path.exists(f"/root/testdata/{sf}"):
+        pytest.skip("no such tables here")
+    got = {(r["rule"] is None, r["verdict"]): r["n"] for r in op7_url_filter(spark, f"/root/testdata/{sf}").groupBy("rule", "verdict").count().withColumnRenamed("count", "n").collect()}
+    assert got[True, "block"] > 0 and got[True, "allow"] > 0
+
+
+def test_url_filter_by_shuffles(spark):
+    """The same rows when neither the masks nor the list are broadcast; negative and null ids, repeated rows."""
+    from peptura.llm.urls import filter_urls
+
+    rows = [(i - 3, f"http://h{i % 9}.example.{'org' if i % 2 else 'net'}/{'es' if i % 5 == 0 else 'p'}/{i % 4}") for i in range(200)] + [(None, None), (-3, "x"), (None, "://")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{i}.example.org/p/1",) for i in range(0, 9, 2)] + [(f"h{i}.example.net/p/1",) for i in range(300)] + [(None,)], "canon string")
+    wide = sorted(map(tuple, filter_urls(pages, listed).collect()), key=str)
+    assert sorted(map(tuple, filter_urls(pages, listed, broadcast_blocks=0, broadcast_bytes=0).collect()), key=str) == wide
+    assert {r[4] for r in wide if r[3] is None} == {"allow", "block"} and len(wide) == len(rows)
