@@ -8,8 +8,10 @@ segmented and decoded once by the library; the ids go back to the slices that ho
 position.
 
 What is sent is a packed list per slice and part, and a packed answer to it: a word found everywhere adds one entry a slice,
-not one a text. A task holds a slice of ``SLICE`` characters (or one longer text), or a part's chunks, those of about
-``PART_BYTES`` of texts. Both branches read the slices from one exchange. A slice's number follows from its place in its
+not one a text. There is a part for every ``PART_BYTES`` of texts, but no more than ``MOST_PARTS``, so that a slice sends a
+bounded number of lists however large the input is. A task holds a slice of ``SLICE`` characters (or one longer text), or one
+list and the chunks that its part has seen, ``KNOWN`` at most; a part with more than that segments some of them again. Both
+branches read the slices from one exchange. A slice's number follows from its place in its
 input partition, which files give again if an executor is lost; rows of any other plan are sliced once and written.
 
 Cases: null and empty texts have no ids and decode to the empty text; very long texts are encoded whole; repeated rows
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from .common import cut, input_bytes
 
 MARK = "▁"
-SLICE, PART_BYTES = 16 << 20, 32 << 20
+SLICE, PART_BYTES, MOST_PARTS, KNOWN = 16 << 20, 32 << 20, 4096, 1_000_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _loaded: dict[str, Segmenter] = {}
 
@@ -138,25 +140,27 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.full(len(which), at.as_py())), pa.array(lists, pa.binary())], names=["part", "slice", "chunks"])
 
 
-def _segmented(model: str):
-    """Of one part, the rows (part, slice, chunks): rows (slice, part, ids, at, back): ids of the chunks in their order, and
-    the places and decoded texts of those that differ from their chunk."""
+def _segmented(model: str, most: int = KNOWN):
+    """Rows (part, slice, chunks), those of a part in one partition, to rows (slice, part, ids, at, back): ids of the chunks
+    in their order, and the places and decoded texts of those that differ from their chunk."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _loaded:
             _loaded[model] = Segmenter(model)
-        segment, known, out = _loaded[model], {}, []
-        for raw in table.column("chunks"):
-            chunks = _texts(raw.as_py())
-            for c in chunks:
-                if c not in known:
-                    known[c] = segment(c)
-            found = [known[c] for c in chunks]
-            changed = [i for i, f in enumerate(found) if f[1] is not None]
-            out.append((_packed([f[0] for f in found]), changed, [found[i][1] for i in changed]))
-        kinds = {"ids": pa.binary(), "at": pa.list_(pa.int32()), "back": pa.list_(pa.string())}
-        cols = {n: pa.array([o[k] for o in out], kind) for k, (n, kind) in enumerate(kinds.items())}
-        return pa.table({"slice": table.column("slice"), "part": table.column("part"), **cols})
+        segment, known = _loaded[model], {}
+        for b in batches:
+            for part, at, raw in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                chunks = _texts(raw.as_py())
+                if len(known) > most:
+                    known = {}
+                for c in chunks:
+                    if c not in known:
+                        known[c] = segment(c)
+                found = [known[c] for c in chunks]
+                changed = [i for i, f in enumerate(found) if f[1] is not None]
+                answer = [at.as_py()], [part.as_py()], [_packed([f[0] for f in found])], [changed], [[found[i][1] for i in changed]]
+                kinds = pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(answer, kinds, strict=True)], names=["slice", "part", "ids", "at", "back"])
 
     return run
 
@@ -200,18 +204,22 @@ def _of_files(df: DataFrame) -> bool:
     return True
 
 
+def parts_of(size: int, part_bytes: int = PART_BYTES, most: int = MOST_PARTS) -> int:
+    return min(most, max(16, -(-size // part_bytes)))
+
+
 def encode_documents(
-    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", as_array: bool = False, slice_bytes: int = SLICE
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", as_array: bool = False, slice_bytes: int = SLICE, part_bytes: int = PART_BYTES, most_parts: int = MOST_PARTS
 ) -> DataFrame:
     """doc_id, n_tokens, ids (decimal ids joined by commas, or an array of int), decoded."""
     df = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
     size = input_bytes(df, "text")
-    parts = max(16, -(-size // PART_BYTES))
+    parts = parts_of(size, part_bytes, most_parts)
     slices = df.mapInArrow(_slices(slice_bytes, parts), "slice long, doc_ids array<long>, payload array<binary>")
     slices = slices if _of_files(df) else cut(slices)
     slices = slices.repartition(max(32, -(-size // slice_bytes)), "slice")
     asked = slices.mapInArrow(_asked, "part int, slice long, chunks binary").repartition(parts, "part")
-    answers = asked.groupBy("part").applyInArrow(_segmented(model), "slice long, part int, ids binary, at array<int>, back array<string>")
+    answers = asked.mapInArrow(_segmented(model), "slice long, part int, ids binary, at array<int>, back array<string>")
     both = slices.groupBy("slice").cogroup(answers.groupBy("slice"))
     out = both.applyInArrow(_rebuilt, "doc_id long, n_tokens long, ids string, decoded string")
     if as_array:
