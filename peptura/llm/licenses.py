@@ -2,7 +2,7 @@
 
 Rules are regexes over the normalised words of a text (A-Z lower-cased, words joined by one space). They come from a
 hand-written table of license families, written out by a few templates, and from full-text signatures. A rule runs only
-on texts that hold its keyword. Detections are taken in the order of priority, then length, then rule order; one that
+on texts that hold its keyword, and one pass of an automaton finds the keywords of all rules. Detections are taken in the order of priority, then length, then rule order; one that
 lies inside a kept interval is dropped. The base phrases of the contract are found beside them and always stay.
 
 Cases: null and empty texts have no words, no labels and score 0; very long texts are read whole; repeated rows are
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -154,6 +155,120 @@ SIGNATURES = (
     ("sspl-1", "if you make the functionality of the program or a modified version available to third parties as a service", "third parties as a service"),
     ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service", "hosted or managed service"),
     ("ncsa", "developed by .{1,120} permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software", "to deal with the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "warranties of merchantability"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", "copyright holders be liable"),
+    ("mit", "(?:use of this source code|this (?:project|software|package|library|code)) is (?:governed by|licensed under) (?:an|the) mit(?: style)? license", "mit"),
+    ("bsd", "this software is provided by the (?:copyright holders?|regents|author|project) and contributors as is and any express or implied warranties", "and contributors as is"),
+    ("bsd", "this software is provided by the author as is and any express or implied warranties", "by the author as is"),
+    ("bsd", "use of this source code is governed by a bsd style license", "bsd style license"),
+    ("bsd", "in no event shall the copyright (?:holder|owner) or contributors be liable for any direct indirect incidental special exemplary or consequential damages", "exemplary or consequential"),
+    ("bsd-3", "may not be used to endorse or promote products derived from this software without (?:specific )?prior written permission", "endorse or promote"),
+    ("bsd-4", "this product includes software developed by the university of california berkeley and its contributors", "university of california"),
+    ("bsd-2", "the views and conclusions contained in the software and documentation are those of the authors and should not be interpreted as representing official policies", "views and conclusions"),
+    ("bsd-3-clear", "no express or implied licenses to any party s patent rights are granted by this license", "patent rights are granted"),
+    ("bsd-3-lbnl", "you are under no obligation whatsoever to provide any bug fixes patches or upgrades to the features functionality or performance", "bug fixes patches"),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted", "software and its documentation"),
+    ("hpnd", "no representations are made about the suitability of this software for any purpose it is provided as is without express or implied warranty", "suitability of this software"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software", "author disclaims all warranties"),
+    ("apache-2.0", "you may obtain a copy of the license at (?:http|https) www apache org licenses license 2 0", "www apache org"),
+    ("apache-2.0", "see the license for the specific language governing permissions and limitations under the license", "governing permissions"),
+    ("apache-2.0", "licensed to the apache software foundation asf under one or more contributor license agreements", "contributor license agreements"),
+    ("apache-2.0", "see the notice file distributed with this work for additional information regarding copyright ownership", "notice file distributed"),
+    ("apache-2.0", "no charge royalty free irrevocable copyright license to reproduce prepare derivative works of", "royalty free irrevocable"),
+    ("apache-1.0", "this product includes software developed by the apache group for use in the apache http server project", "apache group"),
+    ("apache-1.1", "products derived from this software may not be called apache nor may apache appear in their name", "may not be called apache"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", "june 1991"),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", "29 june 2007"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999", "february 1999"),
+    ("lgpl-2.0", "gnu library general public license version 2 june 1991", "library general public"),
+    ("lgpl-3.0", "gnu lesser general public license version 3 29 june 2007", "29 june 2007"),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007", "19 november 2007"),
+    ("gfdl-1.3", "gnu free documentation license version 1 3 3 november 2008", "3 november 2008"),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it", "freedom to share"),
+    ("gpl", "when we speak of free software we are referring to freedom not price", "freedom not price"),
+    ("gpl", "the gnu general public license is a free copyleft license for software and other kinds of works", "copyleft license"),
+    ("gpl", "activities other than copying distribution and modification are not covered by this license", "copying distribution and modification"),
+    ("gpl", "you may copy and distribute verbatim copies of the program s source code as you receive it in any medium", "verbatim copies"),
+    ("gpl", "if not write to the free software foundation inc", "write to the free software"),
+    ("gpl-2.0", "either version 2 of the license or at your option any later version", "at your option"),
+    ("gpl-3.0", "either version 3 of the license or at your option any later version", "at your option"),
+    ("gpl-exception", "you may (?:use|distribute) (?:this file|the resulting (?:work|executable)) (?:as part of a free software library )?without (?:restriction|being covered by the gnu)", "without"),
+    ("gpl-classpath-exception", "linking this library statically or dynamically with other modules is making a combined work based on this library", "statically or dynamically"),
+    ("gpl-font-exception", "if you create a document which uses this font and embed this font or unaltered portions of this font into the document", "uses this font"),
+    ("gpl-bison-exception", "you may create a larger work that contains part or all of the bison parser skeleton", "parser skeleton"),
+    ("gcc-exception", "gcc runtime library exception", "runtime library exception"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "this library is free software"),
+    ("agpl", "your modified version must prominently offer all users interacting with it remotely through a computer network", "through a computer network"),
+    ("mpl-2.0", "this source code form is incompatible with secondary licenses", "secondary licenses"),
+    ("mpl-1.0", "the contents of this file are subject to the mozilla public license version 1 0", "mozilla public license version 1 0"),
+    ("mpl-1.1", "alternatively the contents of this file may be used under the terms of either the gnu general public license", "alternatively the contents"),
+    ("npl-1.1", "the contents of this file are subject to the netscape public license version 1 [01]", "netscape public license"),
+    ("cddl", "when distributing covered code include this cddl header in each file", "cddl header"),
+    ("cddl-1.1", "common development and distribution license cddl version 1 1", "cddl version 1 1"),
+    ("epl-2.0", "which (?:is available|accompanies this distribution and is available) at (?:http|https) www eclipse org legal epl", "www eclipse org"),
+    ("epl-1.0", "the accompanying program is provided under the terms of this eclipse public license agreement", "accompanying program is provided"),
+    ("edl-1.0", "eclipse distribution license v(?: )?1 0", "eclipse distribution license"),
+    ("ipl-1.0", "the accompanying program is provided under the terms of this ibm public license", "ibm public license"),
+    ("lpl-1.02", "lucent public license version 1 02", "lucent public license"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", "accompanying software"),
+    ("ms-pl", "microsoft public license(?: ms pl)?", "microsoft public license"),
+    ("ms-rl", "microsoft reciprocal license(?: ms rl)?", "microsoft reciprocal license"),
+    ("osl-3.0", "licensed under the open software license version 3 0", "open software license"),
+    ("afl-3.0", "licensed under the academic free license version 3 0", "academic free license"),
+    ("apsl-2.0", "subject to the apple public source license version 2 0", "apple public source"),
+    ("artistic", "you may freely (?:distribute|give away) verbatim copies of the (?:standard version|source form)", "verbatim copies"),
+    ("artistic-perl", "this (?:library|program|module|is free software) (?:is free software )?you can redistribute it and or modify it under the same terms as perl itself", "as perl itself"),
+    ("clarified-artistic", "the clarified artistic license", "clarified artistic"),
+    ("ruby", "you can redistribute it and or modify it under either the terms of the (?:2 clause )?bsdl", "bsdl"),
+    ("php-3.01", "this product includes php software freely available from", "includes php software"),
+    ("zpl-2.1", "this software consists of contributions made by zope", "made by zope"),
+    ("python-2.0", "beopen grants you a non exclusive royalty free world wide license", "beopen"),
+    ("cnri-python", "cnri (?:hereby )?grants licensee a (?:nonexclusive|non exclusive) royalty free", "cnri"),
+    ("psf-2", "python software foundation license version 2", "python software foundation"),
+    ("w3c", "this (?:work|software or document) includes material copied from or derived from", "material copied from"),
+    ("unicode", "unicode inc license agreement data files and software", "data files and software"),
+    ("unicode-dfs-2016", "hereby granted free of charge to any person obtaining a copy of the unicode data files", "unicode data files"),
+    ("icu", "icu license icu 1 8 1 and later", "icu license"),
+    ("ijg", "this software is based in part on the work of the independent jpeg group", "independent jpeg group"),
+    ("libpng", "the png reference library is supplied as is", "png reference library"),
+    ("libtiff", "the names of sam leffler and silicon graphics may not be used in any advertising", "sam leffler"),
+    ("ftl", "portions of this software are copyright .{1,40} the freetype project", "freetype project"),
+    ("bzip2", "julian seward bzip2", "julian seward"),
+    ("info-zip", "info zip software", "info zip"),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code", "complete source code"),
+    ("openldap", "the openldap public license", "openldap"),
+    ("tcl", "the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose", "authors hereby grant permission"),
+    ("sqlite-blessing", "may you do good and not evil", "good and not evil"),
+    ("json", "the software shall be used for good not evil", "good not evil"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document", "verbatim or modified"),
+    ("fsfap", "copying and distribution of this file with or without modification are permitted in any medium without royalty", "without royalty"),
+    ("fsful", "this configure script is free software the free software foundation gives unlimited permission", "unlimited permission"),
+    ("afmparse", "this file may be freely copied and redistributed as long as", "freely copied and redistributed"),
+    ("cc0-1.0", "no copyright the person who associated a work with this deed has dedicated the work to the public domain", "dedicated the work"),
+    ("cc-by", "you are free to share copy and redistribute the material in any medium or format", "redistribute the material"),
+    ("cc-by", "except where otherwise noted (?:this work|content on this site) is licensed under a creative commons", "except where otherwise noted"),
+    ("cc-by-nc", "noncommercial you may not use", "noncommercial you may not"),
+    ("cc-by-nd", "no(?: )?derivatives if you remix", "if you remix"),
+    ("cc-by-sa", "share(?: )?alike if you (?:remix|alter)", "alike if you"),
+    ("odc-by-1.0", "open data commons attribution license", "open data commons"),
+    ("pddl-1.0", "(?:public domain dedication and licen[cs]e|open data commons public domain)", "public domain"),
+    ("ogl-uk-3.0", "contains public sector information licensed under the open government (?:licence|license)", "public sector information"),
+    ("etalab-2.0", "licence ouverte(?: open licence)?", "licence ouverte"),
+    ("ofl-1.1", "sil open font license version 1 1 26 february 2007", "26 february 2007"),
+    ("bitstream-vera", "bitstream vera is a trademark of bitstream", "bitstream vera"),
+    ("ubuntu-font-1.0", "ubuntu font licence version 1 0", "ubuntu font"),
+    ("cecill", "ce logiciel est regi par la licence cecill", "licence cecill"),
+    ("rpl-1.5", "reciprocal public license (?:version )?1 5", "reciprocal public license"),
+    ("hippocratic", "the hippocratic license", "hippocratic"),
+    ("openrail", "(?:creativeml |bigscience )?open ?rail(?: m)? license", "rail"),
+    ("llama", "llama [0-9](?: [0-9])? community license", "community license"),
+    ("polyform", "polyform (?:noncommercial|small business|shield|perimeter|strict|free trial) license", "polyform"),
+    ("commons-clause", "commons clause license condition", "commons clause"),
+    ("parity", "the parity public license", "parity public"),
+    ("blueoak-1.0.0", "blue oak model license", "blue oak"),
+    ("mulan", "mulan (?:permissive software license|psl|public license)", "mulan"),
+    ("upl-1.0", "universal permissive license", "universal permissive"),
+    ("vsl-1.0", "vovida software license", "vovida"),
     ("proprietary", "confidential and proprietary (?:information )?(?:of|to)", "confidential and proprietary"),
     ("proprietary", "(?:may not|must not|cannot) be (?:copied|reproduced|distributed|disclosed) .{0,60}without (?:the )?(?:express |prior )*written (?:permission|consent)", "written"),
     ("proprietary", "no part of this (?:document|publication|book|work) may be reproduced", "may be reproduced"),
@@ -190,6 +305,35 @@ def build_rules() -> list[tuple[str, re.Pattern, bytes, int]]:
 
 
 _RULES: list = []
+_GATES: dict[int, tuple[list, Gate]] = {}
+
+
+class Gate:
+    """Which rules a text may meet: all keywords are looked for in one pass of an automaton. A rule without a keyword is
+    always open."""
+
+    def __init__(self, rules: list[tuple[str, re.Pattern, bytes, int]]):
+        self.always = [n for n, r in enumerate(rules) if not r[2]]
+        self.of: dict[str, list[int]] = {}
+        for n, r in enumerate(rules):
+            if r[2]:
+                self.of.setdefault(r[2].decode("latin-1"), []).append(n)
+        self.automaton = ahocorasick.Automaton()
+        for key in self.of:
+            self.automaton.add_word(key, key)
+        if self.of:
+            self.automaton.make_automaton()
+
+    def open_to(self, norm: bytes) -> list[int]:
+        keys = {key for _, key in self.automaton.iter(norm.decode("latin-1"))} if self.of else ()
+        return sorted([*self.always, *(n for key in keys for n in self.of[key])])
+
+
+def _gate(rules: list) -> Gate:
+    """One gate for each list of rules; the list is kept, so that its id stays its own."""
+    if id(rules) not in _GATES:
+        _GATES[id(rules)] = (rules, Gate(rules))
+    return _GATES[id(rules)][1]
 
 
 def outermost(hits: list[tuple]) -> list[tuple]:
@@ -224,12 +368,9 @@ def scan_text(text: str | None, rules) -> tuple[int, list[tuple[int, int, str, i
             starts.append(at + 1)
             base.append(label)
     hits = []
-    gates: dict[bytes, bool] = {}
-    for n, (label, rx, key, priority) in enumerate(rules):
-        if key not in gates:
-            gates[key] = key in norm
-        if gates[key]:
-            hits += [(-priority, m.start() - m.end(), n, m.start(), m.end(), label) for m in rx.finditer(norm)]
+    for n in _gate(rules).open_to(norm):
+        label, rx, _, priority = rules[n]
+        hits += [(-priority, m.start() - m.end(), n, m.start(), m.end(), label) for m in rx.finditer(norm)]
     if not starts and not hits:
         return len(words), [], [], []
     kept = outermost(hits)
