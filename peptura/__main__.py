@@ -7,9 +7,12 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import kmers, psms
+from .operators import kmers, psms, xcorr
 from .operators.hybrids import hybrids_fasta
+from .plans import older
+from .plans.older import OlderConfig
 from .plans.search import SearchConfig, find_hybrids
+from .plans.settings import ScorerSettings
 from .sources import fasta, mzml, tables
 
 
@@ -53,6 +56,31 @@ def uniq_kmers(spark: SparkSession, a: argparse.Namespace) -> None:
     tables.write_table(kmers.unique_kmers(fasta.scan_fasta(spark, a.fasta), a.max_k, a.min_k), a.out, "lines")
 
 
+def kmer_counts(spark: SparkSession, a: argparse.Namespace) -> None:
+    """How often each k-mer stands in each protein of a FASTA file, as Parquet; a folder that is there stays as it is
+    unless --overwrite is given."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(a.out)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) and not a.overwrite:
+        print(f"{a.out} is there, nothing done")
+        return
+    tables.write_table(kmers.kmer_counts_by_protein(fasta.scan_fasta(spark, a.fasta), a.k, a.k), a.out, "parquet")
+
+
+def search(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Cross-correlation of the MS2 spectra of an mzML file or folder with all peptides of a FASTA file and their decoys, as
+    Parquet by sample; samples that have results are skipped."""
+    settings = ScorerSettings(precursor_ppm=a.precursor_ppm, top_n=a.top_n_psms)
+    spectra = mzml.scan_mzml(spark, a.mzml)
+    peptides = kmers.unique_kmers(fasta.scan_fasta(spark, a.fasta), settings.most_length, settings.least_length).withColumnRenamed("kmer", "seq")
+    print("searched:", *xcorr.search_missing(spectra.drop("peaks"), mzml.exploded_peaks(spectra), peptides, a.out, settings))
+
+
+def older_run(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The older engine's result table of an mzML file or folder and a FASTA file, as tab-separated text."""
+    config = OlderConfig(max_k=a.max_k, ppm=a.ppm, decimals=a.decimals, num_peaks=a.num_peaks, digest_left=tuple(a.digest_left), digest_right=tuple(a.digest_right))
+    tables.write_table(older.run(mzml.scan_mzml(spark, a.mzml), fasta.scan_fasta(spark, a.fasta), config), a.out, "tsv")
+
+
 def mzml_info(spark: SparkSession, a: argparse.Namespace) -> None:
     """Number of spectra and peaks of each sample."""
     spectra = mzml.scan_mzml(spark, a.mzml)
@@ -84,6 +112,10 @@ def parser() -> argparse.ArgumentParser:
     command(protein_abundances, *results, need("top_n_proteins", type=int), need("out"))
     command(prefix_abundances, *results, need("out"))
     command(uniq_kmers, need("fasta"), need("out"), *k)
+    command(kmer_counts, need("fasta"), need("k", type=int), need("out"), ("overwrite", {"action": "store_true"}))
+    w, o = ScorerSettings(), OlderConfig()
+    command(search, need("mzml"), need("fasta"), need("out"), may("precursor_ppm", w.precursor_ppm, float), may("top_n_psms", w.top_n, int))
+    command(older_run, need("mzml"), need("fasta"), need("out"), may("max_k", o.max_k, int), may("ppm", o.ppm, float), may("decimals", o.decimals, int), may("num_peaks", 0, int), may("digest_left", "-"), may("digest_right", "-"))
     command(mzml_info, need("mzml"))
     command(benchmark_data, need("folder"), need("out"))
     return p

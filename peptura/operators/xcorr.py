@@ -178,8 +178,8 @@ def search_with_decoys(spectra: DataFrame, peaks: DataFrame, peptides: DataFrame
 
 
 def search_missing(spectra: DataFrame, peaks: DataFrame, peptides: DataFrame, folder: str, settings: ScorerSettings | None = None) -> list[str]:
-    """Searches the samples that ``folder`` has no results of, target and decoy, and adds theirs as Parquet by sample and
-    is_decoy; samples without spectra have none. Returns the samples searched, a list as long as the samples."""
+    """Searches the samples that ``folder`` has no results of, target and decoy, and adds theirs as Parquet by sample;
+    samples without spectra have none. Returns the samples searched, a list as long as the samples."""
     spark = spectra.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -189,5 +189,5 @@ def search_missing(spectra: DataFrame, peaks: DataFrame, peptides: DataFrame, fo
     if todo:
         own = F.col("sample").isin(todo)
         found = search_with_decoys(spectra.where(own), peaks.where(own), peptides, settings)
-        found.write.mode("append").partitionBy("sample", "is_decoy").parquet(folder)
+        found.write.mode("append").partitionBy("sample").parquet(folder)
     return todo

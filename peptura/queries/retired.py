@@ -107,7 +107,7 @@ ALIGNED = f"""{PAIRED}, al AS (SELECT prec_id, prot_id, CAST(anchor AS INTEGER)
   (length(l.kmer) + length(other_l.kmer)) / length(seq)::DOUBLE AS length_score FROM best JOIN (SELECT prot_id, seq FROM parts) USING (prot_id) WHERE r = 1)"""
 
 
-def _planted_clusters(t):
+def _planted_fragments(t):
     own = Window.partitionBy("ion_type")
     seeds = _kmers(t).where("charge = 1").withColumn("i", F.row_number().over(own.orderBy("prot_id", "start", "end")) - 1).withColumn("n", F.count("*").over(own))
     side = lambda kind: seeds.where(F.col("ion_type") == kind).select(F.col("i").alias(f"{kind}_i"), F.col("n").alias(f"{kind}_n"), F.col("mass").alias(f"{kind}_mz"), F.col("kmer_mass").alias(f"{kind}_mass"))
@@ -116,8 +116,11 @@ def _planted_clusters(t):
     df = t["supplier"].crossJoin(F.broadcast(sizes)).select(k, (k * 7 % F.col("nb")).alias("b_i"), (k * 13 % F.col("ny")).alias("y_i"))
     df = df.join(side("b"), "b_i").join(side("y"), "y_i")
     mz = F.round(F.col("b_mass") + F.col("y_mass") + 60 + k % 200, 3)
-    frags = df.select(F.concat(F.lit("p"), k.cast("string")).alias("prec_id"), mz.alias("precursor_mz"), F.posexplode(F.array("b_mz", "y_mz")).alias("frag_id", "mz"))
-    return L.legacy_clusters(L.legacy_mass_join(frags, _kmers(t)).drop("mz"))
+    return df.select(F.concat(F.lit("p"), k.cast("string")).alias("prec_id"), mz.alias("precursor_mz"), F.posexplode(F.array("b_mz", "y_mz")).alias("frag_id", "mz"))
+
+
+def _planted_clusters(t):
+    return L.legacy_clusters(L.legacy_mass_join(_planted_fragments(t), _kmers(t)).drop("mz"))
 
 
 def _peptides(t):
@@ -148,6 +151,22 @@ def legacy_output(t):
     return out.withColumns({c: F.round(F.col(c).cast("double"), n) for c, n in (("total gaussian score", 9), ("precursor mass", 6))})
 
 
+@query(f"""{ALIGNED} SELECT 'p:' || substr(prec_id, 2) AS spectrum_id, peptide_type AS hybrid, sequence, CAST(total_score AS VARCHAR) AS total, 'part|' || lp AS left_kmer, 'part|' || rp AS right_kmer, round(precursor_mz, 6) AS precursor FROM al""")
+def legacy_run(t):
+    """The older engine in one call, on spectra with the planted fragments as peaks."""
+    from ..plans.older import OlderConfig, run
+
+    frags = _planted_fragments(t)
+    peak = F.struct(F.col("frag_id").cast("int").alias("id"), "mz", F.lit(1.0).alias("intensity"))
+    spectra = frags.groupBy("prec_id", "precursor_mz").agg(F.sort_array(F.collect_list(peak)).alias("peaks"))
+    spectra = spectra.select(F.lit("p").alias("sample"), F.substring("prec_id", 2, 20).cast("long").alias("scan"), "precursor_mz", F.lit(1).alias("precursor_charge"), "peaks")
+    out = run(spectra, t.parts, OlderConfig(max_k=4, decimals=12, digest_left=("S", "D"), digest_right=("K", "R")))
+    return out.select(
+        F.col("spectrum_id"), "hybrid", "sequence", F.col("total score").alias("total"), F.col("left kmer").alias("left_kmer"), F.col("right kmer").alias("right_kmer"),
+        F.round(F.col("precursor mass").cast("double"), 6).alias("precursor"),
+    )
+
+
 @query(f"WITH {A.SPECTRA}, {A.PEAKS} SELECT sample, scan, CAST(row_number() OVER (PARTITION BY sample, scan ORDER BY mz, peak_id) - 1 AS INTEGER) AS frag_id, mz, intensity AS abundance, precursor_mz, precursor_charge FROM (SELECT *, row_number() OVER (PARTITION BY sample, scan ORDER BY intensity DESC, peak_id) AS r FROM peaks) JOIN spectra USING (sample, scan) WHERE r <= 3")
 def legacy_precursors(t):
     return L.legacy_precursors(t.peak_lists, 6, num_peaks=3)

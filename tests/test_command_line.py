@@ -47,3 +47,33 @@ def test_small_helpers():
     assert core_count(0) == 1 and core_count(10**6) >= 1
     timer = MeanTimer()
     assert [timer.add(x) for x in (1.0, 3.0, 5.0)] == [1.0, 2.0, 3.0]
+
+
+def test_searches_from_files(spark, tmp_path):
+    """The scorer and the older engine from mzML and FASTA to their results."""
+    from peptura.sources import mzml
+
+    mass = lambda x: sum(M.RESIDUES[c] for c in x)
+    at = lambda name: str(tmp_path / name)
+    seq = "SACDEFGHIKR"
+    ions = [mass(seq[:k]) + M.PROTON_MASS for k in range(2, 9)] + [mass(seq[-k:]) + M.WATER_MASS + M.PROTON_MASS for k in range(2, 9)]
+    peaks = [(i, m, 10.0 + i) for i, m in enumerate(sorted(ions))]
+    spectra = spark.createDataFrame([("run", 7, (mass(seq) + M.WATER_MASS + 2 * M.PROTON_MASS) / 2, 2, peaks)], "sample string, scan long, precursor_mz double, precursor_charge int, peaks array<struct<id:int,mz:double,intensity:double>>")
+    mzml.write_mzml(spectra, at("spectra")).collect()
+    (tmp_path / "p.fasta").write_text(f">a one\nMM{seq}GG\n>b two\nGGSACDKRHIG\n")
+    cli.main(["search", "--mzml", at("spectra"), "--fasta", at("p.fasta"), "--out", at("found")])
+    first = spark.read.parquet(at("found")).where("num = 1").collect()
+    assert [(r["seq"], r["sample"], r["scan"], r["is_decoy"]) for r in first] == [(seq, "run", 7, False)]
+    before = spark.read.parquet(at("found")).count()
+    cli.main(["search", "--mzml", at("spectra"), "--fasta", at("p.fasta"), "--out", at("found")])  # has results, is skipped
+    assert spark.read.parquet(at("found")).count() == before
+    cli.main(["older-run", "--mzml", at("spectra"), "--fasta", at("p.fasta"), "--out", at("older"), "--max_k", "3", "--ppm", "20"])
+    table = spark.read.option("header", "true").option("sep", "\t").csv(at("older"))
+    assert len(table.columns) == 15 and {r["spectrum_id"] for r in table.collect()} == {"run:7"}
+    cli.main(["kmer-counts", "--fasta", at("p.fasta"), "--k", "2", "--out", at("counts")])
+    counts = {(r["kmer"], r["prot_id"]): r["n"] for r in spark.read.parquet(at("counts")).collect()}
+    assert counts["GG", 0] == 1 and counts["SA", 1] == 1 and ("MM", 1) not in counts
+    cli.main(["kmer-counts", "--fasta", at("p.fasta"), "--k", "3", "--out", at("counts")])
+    assert {len(r["kmer"]) for r in spark.read.parquet(at("counts")).collect()} == {2}
+    cli.main(["kmer-counts", "--fasta", at("p.fasta"), "--k", "3", "--out", at("counts"), "--overwrite"])
+    assert {len(r["kmer"]) for r in spark.read.parquet(at("counts")).collect()} == {3}
