@@ -17,7 +17,9 @@ in proportion to it and not with its square: with six bytes a word and every win
 
 Anchors and windows travel as byte strings, one for each part of the hash space and slice of texts. What repeats within
 a slice is settled there and sent on twice only, so a passage found everywhere adds two entries a slice, not one a text.
-There is one part for every PART_BYTES of input, 12 at least. The shuffled texts are one exchange that all three steps reuse.
+There is one part for every PART_BYTES of input, 12 at least. With more than FAN of them entries are dealt in two steps, by
+ranges of parts and then, many slices together, by part: a slice sends FAN rows at most, and a row of the second step holds
+the entries of thousands of slices, about 2,000 at 100 TB. The shuffled texts are one exchange that all three steps reuse.
 
 Cases: null and word-less texts keep nothing and lose nothing; texts under a window's length lose nothing; a text may
 repeat itself, overlapping too; equal rows and equal ids are rows of their own; an empty table gives an empty result;
@@ -36,7 +38,7 @@ from .common import WordHashes, input_bytes, mix, ws_words
 
 WINDOW = 35
 RUN_MOST, LOST, ANCHOR_LEAST = 4, 9, 10  # words: a named run, lost at either end, an anchor
-PART_BYTES = 32 << 20
+PART_BYTES, FAN = 32 << 20, 1024
 _R = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = []
 
@@ -123,10 +125,25 @@ def _unpacked(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _rows(uid: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int, width: int, other: np.ndarray | None = None) -> pa.RecordBatch:
+def _listed(uid: np.ndarray, own: np.ndarray, dest: np.ndarray, blob, out: list[list]) -> None:
+    """Entries of some texts (numbers own into uid), in order of dest, as rows (dest, uids, counts, blob(a, b)) added to out."""
+    ends = np.append(np.flatnonzero(dest[1:] != dest[:-1]) + 1, len(dest))
+    for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+        if a < b:  # there may be no entries at all
+            o, n = np.unique(own[a:b], return_counts=True)
+            for c, v in zip(out, (int(dest[a]), uid[o].tobytes(), n.astype(np.int32).tobytes(), blob(a, b)), strict=True):
+                c.append(v)
+
+
+def _as_rows(out: list[list]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+
+
+def _rows(uid: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int, width: int, other: np.ndarray | None = None, fan: int = FAN) -> pa.RecordBatch:
     """Entries (text number, key) as rows (part, uids, counts, keys). Keys met twice here are answered at once by rows
     of the parts from ``parts`` on, which are dealt by text. other: a second hash of what the keys stand for, which then
-    picks the part."""
+    picks the part. With more than ``fan`` parts, part is one of ``fan`` ranges of them, and keys have all eight bytes, followed
+    by their parts."""
     part, key = _places(keys, parts, width)
     if other is not None:
         part = (mix(other) % np.uint64(parts)).astype(np.int64)
@@ -140,20 +157,35 @@ def _rows(uid: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int, widt
     out: list[list] = [[], [], [], []]
 
     def emit(entries: np.ndarray, to: np.ndarray, w: int) -> None:
-        entries = entries[np.lexsort((owner[entries], to[entries]))]
-        own, dest = owner[entries], to[entries]
-        ends = np.append(np.flatnonzero(dest[1:] != dest[:-1]) + 1, len(dest))
-        for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
-            if a == b:  # no entries at all
-                continue
-            o, n = np.unique(own[a:b], return_counts=True)
-            for c, v in zip(out, (int(dest[a]), uid[o].tobytes(), n.astype(np.int32).tobytes(), _packed(key[entries[a:b]], w)), strict=True):
-                c.append(v)
+        dest = to if parts <= fan else to * fan // (2 * parts)
+        entries = entries[np.lexsort((owner[entries], dest[entries]))]
+        blob = lambda a, b: _packed(key[entries[a:b]], w)
+        if parts > fan:
+            blob = lambda a, b: _packed(key[entries[a:b]], 8) + to[entries[a:b]].astype("<i8").tobytes()
+        _listed(uid, owner[entries], dest[entries], blob, out)
 
     emit(send, part, width)
     emit(answer, parts + (mix(uid.view(np.uint64))[owner] % np.uint64(parts)).astype(np.int64), 8)
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["part", "uids", "counts", "keys"])
+    return pa.RecordBatch.from_arrays(_as_rows(out), names=["part", "uids", "counts", "keys"])
+
+
+def _dealt_again(parts: int, width: int):
+    """Rows of one range of parts, of many slices, to rows of its parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        uid = np.frombuffer(b"".join(table.column("uids").to_pylist()), np.int64)
+        count = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32)
+        halves = [(raw[: len(raw) // 2], raw[len(raw) // 2 :]) for raw in table.column("keys").to_pylist()]
+        key, to = (np.frombuffer(b"".join(h[i] for h in halves), kind) for i, kind in ((0, "<u8"), (1, "<i8")))
+        ids, number = np.unique(uid, return_inverse=True)
+        owner = np.repeat(number, count)
+        order = np.lexsort((owner, to))
+        key, to, owner = key[order], to[order], owner[order]
+        out: list[list] = [[], [], [], []]
+        _listed(ids, owner, to, lambda a, b: _packed(key[a:b], width if to[a] < parts else 8), out)
+        return pa.Table.from_arrays(_as_rows(out), names=["part", "uids", "counts", "keys"])
+
+    return run
 
 
 def _meet(parts: int, width: int):
@@ -186,8 +218,20 @@ def _meet(parts: int, width: int):
     return run
 
 
-def _answers(entries: DataFrame, parts: int, width: int) -> DataFrame:
+ENTRY = "part long, uids binary, counts binary, keys binary"
+
+
+def dealt(entries: DataFrame, parts: int, width: int, fan: int = FAN, share: int = 6) -> DataFrame:
+    """Entries by part. Those of a part are a third or so of its texts' bytes: as much as ``share`` parts have goes to one task."""
+    if parts <= fan:
+        return entries
+    batch = F.pmod(F.xxhash64("uids"), F.lit(-(-parts // (share * fan)))).alias("batch")
+    return entries.select("*", batch).groupBy("part", "batch").applyInArrow(_dealt_again(parts, width), ENTRY)
+
+
+def _answers(entries: DataFrame, parts: int, width: int, fan: int = FAN) -> DataFrame:
     """(uid, told): the keys of each text that occur twice anywhere."""
+    entries = dealt(entries, parts, width, fan)
     met = entries.groupBy("part").applyInArrow(_meet(parts, width), "uid long, keys binary")
     return met.groupBy("uid").agg(F.collect_list("keys").alias("told"))
 
@@ -202,7 +246,7 @@ def _among(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
     return told[np.minimum(np.searchsorted(told, keys), len(told) - 1)] == keys
 
 
-def _anchor_entries(parts: int, window: int):
+def _anchor_entries(parts: int, window: int, fan: int = FAN):
     def make():
         hashes = WordHashes()
 
@@ -212,7 +256,7 @@ def _anchor_entries(parts: int, window: int):
             n = np.array([len(w) if len(w) >= window else 0 for w in words], np.int64)
             doc = np.repeat(np.arange(len(n)), n)
             start, key = anchors(hashes.of([x for w, k in zip(words, n, strict=True) if k for x in w]), doc)
-            return _rows(part.column(0).to_numpy(zero_copy_only=False), doc[start], key, parts, 5)
+            return _rows(part.column(0).to_numpy(zero_copy_only=False), doc[start], key, parts, 5, fan=fan)
 
         return step
 
@@ -229,7 +273,7 @@ def _candidate_starts(h: np.ndarray, told: np.ndarray, parts: int, window: int)
     return np.flatnonzero(np.cumsum(may)[: max(len(h) - window + 1, 0)] > 0)
 
 
-def _window_entries(parts: int, window: int):
+def _window_entries(parts: int, window: int, fan: int = FAN):
     def make():
         hashes = WordHashes()
 
@@ -243,7 +287,7 @@ def _window_entries(parts: int, window: int):
                     keys.append(window_hashes(h, window)[at])
                     other.append(window_hashes(h * _R + np.uint64(3), window)[at])
                 owner.append(np.full(len(at), d))
-            return _rows(part.column(0).to_numpy(zero_copy_only=False), np.concatenate(owner), np.concatenate(keys), parts, 8, np.concatenate(other))
+            return _rows(part.column(0).to_numpy(zero_copy_only=False), np.concatenate(owner), np.concatenate(keys), parts, 8, np.concatenate(other), fan)
 
         return step
 
@@ -279,15 +323,14 @@ def _remover(window: int):
     return make
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space), spans (removed, start, end ... in words)."""
     if window < 2 * LOST + ANCHOR_LEAST + 7:
         raise ValueError("the window is too short for the anchors' guarantee")
-    parts = max(12, -(-input_bytes(docs, text_col) // PART_BYTES))
+    parts = max(12, -(-input_bytes(docs, text_col) // part_bytes))
     texts = docs.selectExpr(f"xxhash64(`{id_col}`, `{text_col}`) uid", f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").repartition("uid")
-    entry = "part long, uids binary, counts binary, keys binary"
-    first = _answers(texts.mapInArrow(over_slices(_anchor_entries(parts, window), 2), entry), parts, 5)
+    first = _answers(texts.mapInArrow(over_slices(_anchor_entries(parts, window, fan), 2), ENTRY), parts, 5, fan)
     joined = texts.join(first.hint("shuffle_hash"), "uid").select("uid", "doc_id", "text", "told")
-    second = _answers(joined.mapInArrow(over_slices(_window_entries(parts, window), 2), entry), parts, 8)
+    second = _answers(joined.mapInArrow(over_slices(_window_entries(parts, window, fan), 2), ENTRY), parts, 8, fan)
     told = texts.join(second.hint("shuffle_hash"), "uid", "left").select("uid", "doc_id", "text", "told")
     return told.mapInArrow(over_slices(_remover(window), 2), "doc_id long, n_words long, n_removed long, kept string, spans array<int>")
