@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.masses import DEFAULT_PPM, PROTON_MASS, WATER_MASS, aa_mass, y_mz
 from ..functions.sequences import counted, fasta_description, hybrid_name, hyphenated
+from .clusters import pieces
 from .keys import SPECTRUM
 from .kmers import contains_seq
 from .range_join import range_join
@@ -18,17 +19,25 @@ def piece_proteins(found: DataFrame) -> DataFrame:
     return found.groupBy(*SPECTRUM, "side", "piece").agg(F.sort_array(F.collect_set("protein")).alias("proteins"))
 
 
+def pieces_with_proteins(extended: DataFrame) -> DataFrame:
+    """piece_proteins of extended clusters. Clusters of one spectrum that grew to the same sequence become one row with
+    their proteins before pieces are cut, so a sequence that many proteins share is cut once."""
+    same = extended.where("extended_seq is not null").groupBy(*SPECTRUM, "ion_type", "extended_seq", "shortest").agg(F.collect_set("protein").alias("protein"))
+    every = F.sort_array(F.array_distinct(F.flatten(F.collect_list("protein"))))
+    return pieces(same).groupBy(*SPECTRUM, "side", "piece").agg(every.alias("proteins"))
+
+
 def hybrid_pairs(found: DataFrame, spectra: DataFrame, ppm: float = DEFAULT_PPM) -> DataFrame:
     """piece_proteins x spectra to (sample, scan, left_seq, right_seq, left_proteins, right_proteins): the second range join.
 
     m/z of left and right at the precursor's charge must add up to the precursor within ppm of it. Both sides of a piece
-    (two rows at most) are put in one row first: the two branches of the join then read one and the same exchange, and
-    the search that made the pieces stands in the plan, and runs, once.
+    (two rows at most) are put in one row first, and that table is settled: the two branches of the join read it, and the
+    search that made the pieces runs once.
     """
     m, z = F.col("precursor_mz"), F.col("precursor_charge")
     df = found.join(spectra.select(*SPECTRUM, "precursor_mz", "precursor_charge"), SPECTRUM)
     df = df.groupBy(*SPECTRUM, "precursor_mz", "precursor_charge", "piece").agg(F.collect_list(F.struct("side", "proteins")).alias("sides"))
-    df = df.withColumn("mz", y_mz(aa_mass(F.col("piece")), z))
+    df = settled(df.withColumn("mz", y_mz(aa_mass(F.col("piece")), z)))
     of = lambda side: F.get(F.filter("sides", lambda s: s["side"] == side), F.lit(0))["proteins"]
     target, tol = m + F.lit(WATER_MASS) / z + PROTON_MASS - F.col("mz"), F.lit(ppm) * m / 1e6
     left = df.select(*SPECTRUM, F.col("piece").alias("left_seq"), of("L").alias("left_proteins"), (target - tol).alias("lo"), (target + tol).alias("hi"))

@@ -7,8 +7,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.clusters import cluster_filter, clusters, extend_clusters, pieces
-from ..operators.hybrids import hybrid_pairs, piece_proteins, remove_contained
+from ..operators.clusters import cluster_filter, clusters, extend_clusters
+from ..operators.hybrids import hybrid_pairs, pieces_with_proteins, remove_contained
 from ..operators.ions import counted_matches, peak_ion_match, position_ions
 from ..operators.kmers import kmer_masses, kmer_places
 from ..operators.psms import high_confidence, protein_counts, top_n_proteins
@@ -57,8 +57,8 @@ def find_hybrids(
     spectra = spectra if config.scans == (0,) else spectra.where(F.col("scan").isin(*config.scans))
     table = kmer_masses(proteins, config.max_k, config.min_k) if table is None else table
     places = kmer_places(proteins, config.max_k, config.min_k) if places is None else places
-    found = pieces(extended_clusters(spectra, peaks, proteins, table.select("kmer", "aa_mass"), places, config))
-    return remove_contained(hybrid_pairs(piece_proteins(found), spectra, config.precursor_ppm), proteins)
+    found = pieces_with_proteins(extended_clusters(spectra, peaks, proteins, table.select("kmer", "aa_mass"), places, config))
+    return remove_contained(hybrid_pairs(found, spectra, config.precursor_ppm), proteins)
 
 
 def abundant_proteins(psms: DataFrame, proteins: DataFrame, config: SearchConfig | None = None) -> DataFrame:

@@ -107,7 +107,7 @@ def _extended(t):
 
 
 def _hybrids(t):
-    return H.hybrid_pairs(H.piece_proteins(make_pieces(_extended(t))), t.spectra_theo)
+    return H.hybrid_pairs(H.pieces_with_proteins(_extended(t)), t.spectra_theo)
 
 
 @query(f'WITH {A.UP_TO_IONS} SELECT sample, scan, ion_type, kmer, protein, start, "end", count(*) AS n FROM ions GROUP BY ALL')
@@ -137,7 +137,7 @@ def pieces(t):
 
 @query(f"WITH {A.UP_TO_EXTENDED}, {A.PIECES}, {A.PAIRED} SELECT sample, scan, side, piece, array_to_string(proteins, ',') AS proteins FROM sided")
 def piece_proteins(t):
-    return H.piece_proteins(make_pieces(_extended(t))).withColumn("proteins", JOINED("proteins"))
+    return H.pieces_with_proteins(_extended(t)).withColumn("proteins", JOINED("proteins"))
 
 
 @query(f"WITH {A.UP_TO_HYBRIDS} SELECT sample, scan, left_seq, right_seq, array_to_string(left_proteins, ',') AS left_proteins, array_to_string(right_proteins, ',') AS right_proteins FROM hyb")
