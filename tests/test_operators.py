@@ -223,14 +223,19 @@ def test_samples_are_kept_apart(spark):
         assert found or not got
 
 
-def test_search_stands_once_in_the_plan(spark):
-    """hybrid_pairs reads one exchange twice: the peak join is planned twice and run once."""
+def test_search_runs_once(spark):
+    """hybrid_pairs reads its pieces on both sides: the search that made them is run for neither a second time."""
     spec = spark.createDataFrame([("a", 1, 500.0, 2)], "sample string, scan int, precursor_mz double, precursor_charge int")
     found = spark.createDataFrame([("a", 1, "L", "AC", "p"), ("a", 1, "R", "AC", "q")], "sample string, scan int, side string, piece string, protein string")
-    df = hybrids.hybrid_pairs(hybrids.piece_proteins(found), spec)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan.split("== Initial Plan ==")[0]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    hybrids.hybrid_pairs(hybrids.piece_proteins(found.mapInPandas(counted, found.schema)), spec).collect()
+    assert seen.value == 2
 
 
 def test_places_do_not_overlap(spark):
