@@ -82,3 +82,61 @@ def test_empty_tables(spark, tables):
     docs, labels, _ = tables
     assert T.score_toxicity(docs.limit(0), labels).count() == 0
     assert T.score_toxicity(docs.where("doc_id < 3"), labels.limit(0)).count() == 3
+
+
+def plain_score(m, text):
+    """The score of a text by loops over its windows, words and features, from the weights alone."""
+    from peptura.llm.common import alnum_words, mix
+
+    p, H = m.p, T.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    row = lambda x: int(mix(np.array([x % 2**64], np.uint64))[0]) % T.CHAR_ROWS
+
+    def vector(word):
+        marked, h, heads = b"<" + word + b">", ord("<"), []
+        for k in range(1, T.HEAD_MOST + 1):
+            if k < len(marked):
+                h = (h * 1_000_003 + marked[k] + 1) % 2**64
+                heads += [h] if k >= 2 else []
+        tri = [marked[i] << 16 | marked[i + 1] << 8 | marked[i + 2] for i in range(len(marked) - 2)]
+        out = p["E"][zlib.crc32(word) % T.WORD_ROWS].astype(float)
+        for group in (heads, tri):
+            for x in group:
+                out = out + p["C"][row(x)].astype(float) / len(group)
+        return out
+
+    words, logits = alnum_words(text), []
+    for start in T.windows_of(len(words)):
+        states = []
+        inputs = [vector(w) for w in words[start : start + T.WINDOW]]
+        for k in (0, 1):
+            h, own = np.zeros(H), []
+            for x in inputs if k == 0 else inputs[::-1]:
+                x, hu = x @ p["W"][k] + p["b"][k], h @ p["U"][k]
+                z, r = sig(x[:H] + hu[:H]), sig(x[H : 2 * H] + hu[H : 2 * H])
+                c = np.tanh(x[2 * H :] + r * hu[2 * H :])
+                h = z * h + (1 - z) * c
+                own.append(h)
+            states.append(own if k == 0 else own[::-1])
+        if not inputs:
+            logits.append(float(p["o"][0]))
+            continue
+        hs = [np.concatenate(x) for x in zip(*states, strict=True)]
+        e = np.array([np.tanh(x @ p["A"] + p["a"]) @ p["v"] for x in hs])
+        alpha = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        logits.append(float(sum(a * x for a, x in zip(alpha, hs, strict=True)) @ p["w"] + p["o"][0]))
+    return sig(max(logits))
+
+
+def test_scores_against_plain_loops():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefé日0", k=rng.randint(1, 9)))
+    texts = [None, "", "!!", "a", "Zug zugol"] + [" ".join(word() for _ in range(n)) for n in (2, 5, T.WINDOW - 1, T.WINDOW, T.WINDOW + 1, 3 * T.WINDOW + 7, 150)]
+    for seed in (3, 4):
+        m = T.Model.fresh(seed)
+        for k in ("w", "o", "v", "a"):  # larger than fresh weights, so that scores differ
+            m.p[k] = m.p[k] + np.random.default_rng(seed).normal(0, 1, m.p[k].shape).astype(m.p[k].dtype)
+        got = T.Scorer(m, most=50)(texts)
+        want = [plain_score(m, t) for t in texts]
+        assert np.allclose(got, want, atol=1e-4) and max(want) - min(want) > 0.01
+        assert np.allclose([T.Scorer(m)([t])[0] for t in texts], want, atol=1e-4)
