@@ -32,7 +32,7 @@ from .arrow import over_slices, slices
 from .bytepairs import LONGEST, Pieces, load_json, splits_by_pattern
 
 ENTRIES, KEPT = 1 << 16, 1 << 18
-SAMPLE_PARTS, SAMPLE_BYTES, SAMPLE_ENTRIES = 16, 4 << 20, 1 << 15
+SAMPLE_PARTS, SAMPLE_BYTES, SAMPLE_ENTRIES = 4, 8 << 20, 1 << 15
 #: Of this worker, by file: they outlive a task.
 _loaded: dict[str, Tokenizer] = {}
 _met: dict[str, dict[str, int]] = {}
@@ -130,18 +130,19 @@ def _sampled(path: str, step: int):
             if held >= SAMPLE_BYTES:
                 break
         most = _most(found, SAMPLE_ENTRIES)
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in most], pa.string()), pa.array([m[1] for m in most], pa.int64())], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([[m[0] for m in most]], pa.list_(pa.string())), pa.array([[m[1] for m in most]], pa.list_(pa.int64()))], names=["pieces", "counts"])
 
     return run
 
 
 def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text", entries: int = ENTRIES) -> dict[str, int]:
-    """piece -> count of ids, of the sample's most frequent pieces: SAMPLE_PARTS x SAMPLE_ENTRIES rows at most are gathered."""
+    """piece -> count of ids, of the sample's most frequent pieces: at most SAMPLE_PARTS rows of SAMPLE_ENTRIES are gathered."""
     texts = docs.selectExpr(f"`{text_col}` text")
     step = max(1, -(-texts.rdd.getNumPartitions() // SAMPLE_PARTS))
     found: Counter = Counter()
-    for r in texts.mapInArrow(_sampled(tokenizer, step), "piece string, n long").toLocalIterator():
-        found[r["piece"]] += r["n"]
+    for r in texts.mapInArrow(_sampled(tokenizer, step), "pieces array<string>, counts array<long>").collect():
+        for piece, n in zip(*r, strict=True):
+            found[piece] += n
     most = [p for p, _ in _most(found, entries)]
     return dict(zip(most, _tokenizer(tokenizer).sizes(most) if most else (), strict=True))
 
