@@ -119,9 +119,11 @@ def best_complement(found: DataFrame) -> DataFrame:
     precursor's m/z value. As-of: both sides are merged in order of mass, and the last opposite mass at or below what is
     left is carried forward, so no pairs are made. score and extension of both sides go along where the input has them."""
     facts = [c for c in ("prot_id", "anchor", "kmer", "kmer_mass", "score", "extension", "seq_length") if c in found.columns]
-    me = found.select("prec_id", "ion_type", (F.col("precursor_mz") - F.col("kmer_mass")).alias("at"), F.lit(1).alias("probe"), F.struct(*facts).alias("own"))
-    other = found.select("prec_id", F.when(F.col("ion_type") == "b", "y").otherwise("b").alias("ion_type"), F.col("kmer_mass").alias("at"), F.lit(0).alias("probe"), F.struct(*facts).alias("best"))
-    both = me.withColumn("best", F.lit(None).cast(other.schema["best"].dataType)).unionByName(other.withColumn("own", F.lit(None).cast(me.schema["own"].dataType)))
+    own, none = F.struct(*facts), F.lit(None).cast(found.select(F.struct(*facts).alias("own")).schema["own"].dataType)
+    kind, mass = F.col("ion_type"), F.col("kmer_mass")
+    row = lambda t, at, probe, own, best: F.struct(t.alias("ion_type"), at.alias("at"), F.lit(probe).alias("probe"), own.alias("own"), best.alias("best"))
+    me, other = row(kind, F.col("precursor_mz") - mass, 1, own, none), row(F.when(kind == "b", "y").otherwise("b"), mass, 0, none, own)
+    both = found.select("prec_id", F.inline(F.array(me, other)))  # one pass over the clusters, dealt as they are
     # of equal masses the first cluster (least protein, anchor) wins: it comes last in this order
     w = W.partitionBy("prec_id", "ion_type").orderBy("at", "probe", F.desc("best.prot_id"), F.desc("best.anchor")).rowsBetween(W.unboundedPreceding, 0)
     df = both.withColumn("match", F.last("best", ignorenulls=True).over(w)).where("probe = 1 and match is not null and match.kmer_mass > 0")

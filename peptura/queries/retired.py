@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.masses import LEGACY_BASES, LEGACY_RESIDUES
 from ..operators import legacy as L
+from ..operators.dealing import dealt
 from . import adapters as A
 from . import query
 
@@ -68,7 +69,7 @@ def _crowded_clusters(t):
         F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("prec_id"), F.round(F.col("kmer_mass") + 500, 3).alias("precursor_mz"),
         (F.col("charge") * 100 + F.length("kmer")).alias("frag_id"), F.col("mass").alias("mz"),
     )
-    return L.legacy_clusters(L.legacy_mass_join(frags, kmers).drop("mz"))
+    return L.legacy_clusters(L.legacy_mass_join(dealt(frags, t["supplier"].count(), "prec_id"), kmers).drop("mz"))
 
 
 @query(f"WITH {A.PARTS}, {KMERS}, {CROWDED}, {MATCH}, {CLUS} SELECT prec_id, precursor_mz, prot_id, ion_type, CAST(anchor AS INTEGER) AS anchor, l.kmer AS kmer, CAST(l.start AS INTEGER) AS start, score FROM lc")
@@ -116,7 +117,8 @@ def _planted_fragments(t):
     df = t["supplier"].crossJoin(F.broadcast(sizes)).select(k, (k * 7 % F.col("nb")).alias("b_i"), (k * 13 % F.col("ny")).alias("y_i"))
     df = df.join(side("b"), "b_i").join(side("y"), "y_i")
     mz = F.round(F.col("b_mass") + F.col("y_mass") + 60 + k % 200, 3)
-    return df.select(F.concat(F.lit("p"), k.cast("string")).alias("prec_id"), mz.alias("precursor_mz"), F.posexplode(F.array("b_mz", "y_mz")).alias("frag_id", "mz"))
+    df = dealt(df.select(F.concat(F.lit("p"), k.cast("string")).alias("prec_id"), mz.alias("precursor_mz"), "b_mz", "y_mz"), t["supplier"].count(), "prec_id")
+    return df.select("prec_id", "precursor_mz", F.posexplode(F.array("b_mz", "y_mz")).alias("frag_id", "mz"))
 
 
 def _planted_clusters(t):
