@@ -1,5 +1,6 @@
 """Work is dealt by the number of rows, not by the bytes of small files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from peptura.operators.dealing import ROWS, dealt, few
@@ -42,3 +43,29 @@ def test_few_rows_are_counted_up_to_the_bound(spark, capsys):
         return "ResolvedHint" in capsys.readouterr().out
 
     assert hinted(few(spark.range(3), 3)) and not hinted(few(spark.range(4), 3))
+
+
+def test_large_doubles_are_written_out(spark):
+    from peptura.functions.sequences import time_units
+
+    df = spark.createDataFrame([(0.05,), (9999999.0,), (18000001.0,), (123456789.5,), (5e16,)], "s double")
+    assert [r[0].split(" = ")[0] for r in df.select(time_units(F.col("s"))).collect()] == ["0.05 secs", "9999999.0 secs", "18000001.0 secs", "123456789.5 secs", "5e+16 secs"]
+    assert df.where("s = 18000001").select(time_units(F.col("s"))).first()[0] == "18000001.0 secs = 300000.02 mins = 5000.0 hrs"
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_contained_queries_of_any_length(spark, monkeypatch, few):
+    import random
+
+    from peptura.operators import kmers
+    from peptura.operators.kmers import CHUNK, contains_seq
+
+    monkeypatch.setattr(kmers, "FEW_QUERIES", few)
+    random.seed(5)
+    seqs = ["".join(random.choices("ACDE", k=n)) for n in (0, 1, 7, 20, CHUNK, CHUNK + 1, 5 * CHUNK + 3)]
+    there = {s[i : i + k] for s in seqs for k in (1, 2, 5, 14, 15, 16, 17, 18, 23, 24, 40, 150, 643) for i in range(len(s) - k + 1)}
+    asked = sorted(random.sample(sorted(there), 900)) + [s for s in seqs if s]
+    asked += [q[:-1] + "W" for q in asked] + [q + "A" for q in asked[:50]]
+    proteins, queries = spark.createDataFrame([(s,) for s in seqs], "seq string"), spark.createDataFrame([(q,) for q in asked], "query string")
+    got = sorted(r[0] for r in contains_seq(proteins, queries).collect())
+    assert got == sorted({q for q in asked if any(q in s for s in seqs)})
