@@ -12,6 +12,7 @@ import base64
 import re
 import xml.etree.ElementTree as ET
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ INT32, INT64 = "MS:1000519", "MS:1000522"
 SELECTED_MZ, CHARGE, PEAK_INTENSITY, START_TIME = "MS:1000744", "MS:1000041", "MS:1000042", "MS:1000016"
 KINDS = {FLOAT32: "<f4", FLOAT64: "<f8", INT32: "<i4", INT64: "<i8"}
 SCAN, BEGIN, END = re.compile(r"(?:scan|scanId)=(\d+)"), re.compile(rb"<spectrum[\s>]"), b"</spectrum>"
+#: Of an index: its begin with its name, its end, or an entry with id and offset.
+ENTRY = re.compile(rb"<index\s[^>]*name=[\"']([^\"']*)[\"'][^>]*>|</index>|<offset\s[^>]*?idRef=[\"']([^\"']*)[\"'][^>]*>\s*(\d+)\s*</offset>")
 RANGE, BLOCK, BATCH = 32 << 20, 1 << 20, 200
 Groups = dict[str, dict[str, str]]
 
@@ -156,23 +159,28 @@ class _File:
                 return
             held += self.at(offset + len(held), BLOCK)
 
-    def index(self) -> dict[int, list[int]] | None:
-        """Scan to the offsets that the closing index names, None where there is none or it does not hold."""
+    def indexed(self, scans: tuple[int, ...]) -> list[int] | None:
+        """The offsets that the closing index names for some scans, None where there is none. It is read in blocks, and only
+        what is asked for is kept."""
         tail = self.at(max(0, self.size - 4096), 4096)
         at = re.search(rb"<indexListOffset>\s*(\d+)\s*</indexListOffset>", tail)
         if at is None or int(at[1]) >= self.size:
             return None
-        text = self.at(int(at[1]), self.size - int(at[1])).decode(self.encoding)
-        own = re.search(r"<index\s[^>]*name=[\"']spectrum[\"'].*?</index>", text, re.DOTALL)
-        out: dict[int, list[int]] = {}
-        for i, offset in re.findall(r"<offset\s[^>]*?idRef=[\"']([^\"']*)[\"'][^>]*>\s*(\d+)\s*</offset>", own[0]) if own else ():
-            if found := SCAN.search(i):
-                out.setdefault(int(found[1]), []).append(int(offset))
-        return out
+        asked, out, held, offset, spectra = set(scans), [], b"", int(at[1]), False
+        while offset < self.size:
+            block = self.at(offset, BLOCK)
+            held, offset, done = held + block, offset + len(block), 0
+            for m in ENTRY.finditer(held):
+                done = m.end()
+                if m[3] is None:
+                    spectra = m[1] == b"spectrum"
+                elif spectra and (found := SCAN.search(m[2].decode(self.encoding))) and int(found[1]) in asked:
+                    out.append(int(m[3]))
+            held = held[done:]
+        return sorted(out)
 
     def of_scans(self, scans: tuple[int, ...]) -> Iterator[bytes]:
-        index = self.index()
-        places = sorted(o for s in set(scans) for o in (index or {}).get(s, ()))
+        places = index = self.indexed(scans)
         if index is None or any(not BEGIN.match(self.at(o, 16)) for o in places):
             yield from self.within(0, self.size)  # the caller drops the others
             return
@@ -377,28 +385,33 @@ def write_mzml(spectra: DataFrame, folder: str) -> DataFrame:
 
         system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         system.create_dir(root)
-        out = name = None
-        offsets: list[tuple[int, int]] = []
+        out, name, n = None, None, 0
+        scans, offsets = array("q"), array("q")  # 16 bytes a spectrum
 
         def closed() -> pa.RecordBatch:
             out.write(b"</spectrumList></run></mzML>\n")
             at = out.tell()
-            listed = "".join(f'<offset idRef="scan={s}">{o}</offset>\n' for s, o in offsets)
-            out.write(f'<indexList count="1"><index name="spectrum">\n{listed}</index></indexList>\n<indexListOffset>{at}</indexListOffset></indexedmzML>\n'.encode())
+            out.write(b'<indexList count="1"><index name="spectrum">\n')
+            for i in range(0, len(offsets), 10_000):
+                out.write("".join(f'<offset idRef="scan={s}">{o}</offset>\n' for s, o in zip(scans[i : i + 10_000], offsets[i : i + 10_000], strict=True)).encode())
+            out.write(f"</index></indexList>\n<indexListOffset>{at}</indexListOffset></indexedmzML>\n".encode())
             out.close()
             system.move(begun, f"{root}/{name}.mzML")
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}.mzML"]), pa.array([len(offsets)], pa.int64())], names=["file", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}.mzML"]), pa.array([n], pa.int64())], names=["file", "n"])
 
         for b in batches:
             for r in b.to_pylist():
                 if r["sample"] != name:
                     if out is not None:
                         yield closed()
-                    name, offsets = r["sample"], []
+                    name, n, scans, offsets = r["sample"], 0, array("q"), array("q")
                     begun = f"{root}/_{name}-{TaskContext.get().taskAttemptId()}"
                     out = system.open_output_stream(begun)
                     out.write(head.encode())
-                offsets.append((r["scan"], out.tell()))
+                n += 1
+                if r["scan"] is not None:
+                    scans.append(r["scan"])
+                    offsets.append(out.tell())
                 out.write(element(r["scan"], r["precursor_mz"], r["precursor_charge"], sorted(r["peaks"] or [], key=lambda p: p["id"])).encode())
         if out is not None:
             yield closed()

@@ -69,3 +69,30 @@ def test_contained_queries_of_any_length(spark, monkeypatch, few):
     proteins, queries = spark.createDataFrame([(s,) for s in seqs], "seq string"), spark.createDataFrame([(q,) for q in asked], "query string")
     got = sorted(r[0] for r in contains_seq(proteins, queries).collect())
     assert got == sorted({q for q in asked if any(q in s for s in seqs)})
+
+
+def test_an_index_is_not_held_for_a_lookup(tmp_path):
+    import tracemalloc
+
+    from pyarrow import fs
+
+    from peptura.sources import mzml
+
+    n, one = 100_000, '<spectrum id="scan={}"></spectrum>\n'
+    text, offsets = "<mzML>", []
+    parts, at = [text], len(text)
+    for i in range(n):
+        parts.append(one.format(i))
+        offsets.append(at)
+        at += len(parts[-1])
+    listed = "".join(f'<offset idRef="scan={i}">{o}</offset>\n' for i, o in enumerate(offsets))
+    other = '<index name="chromatogram"><offset idRef="scan=7">1</offset></index>'
+    parts.append(f'<indexList><index name="spectrum">{listed}</index>{other}</indexList><indexListOffset>{at}</indexListOffset>')
+    (tmp_path / "a.mzML").write_text("".join(parts))
+    file = mzml._File(fs.LocalFileSystem(), str(tmp_path / "a.mzML"))
+    tracemalloc.start()
+    found = list(file.of_scans((7, n - 1)))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    print("MB", most)
+    assert found == [one.format(7).strip().encode(), one.format(n - 1).strip().encode()] and most < 8
