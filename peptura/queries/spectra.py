@@ -57,7 +57,7 @@ def load_samples(t):
     from ..sources import mzml
 
     at = t.folder("mzml")
-    mzml.write_mzml(t.peak_lists, at).collect()  # a row for each of the four samples
+    mzml.write_mzml(t.peak_lists, at).collect()  # a row for each file
     found = mzml.load_samples(t.spark, at, [f"s{i}" for i in range(4)])
     return found.groupBy("sample").agg(F.count_distinct("scan").alias("n_scans"), F.sum(F.size("peaks")).alias("n_peaks"))
 

@@ -15,6 +15,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +36,36 @@ KINDS = {FLOAT32: "<f4", FLOAT64: "<f8", INT32: "<i4", INT64: "<i8"}
 SCAN, BEGIN, END = re.compile(r"(?:scan|scanId)=(\d+)"), re.compile(rb"<spectrum[\s>]"), b"</spectrum>"
 #: Of an index: its begin with its name, its end, or an entry with id and offset.
 ENTRY = re.compile(rb"<index\s[^>]*name=[\"']([^\"']*)[\"'][^>]*>|</index>|<offset\s[^>]*?idRef=[\"']([^\"']*)[\"'][^>]*>\s*(\d+)\s*</offset>")
-RANGE, BLOCK, BATCH = 32 << 20, 1 << 20, 200
+RANGE, BLOCK, LEAST, BATCH = 32 << 20, 1 << 20, 1 << 16, 200
+#: Ranges beyond this number are made larger, up to RANGE: a task that reads one takes a tenth of a second besides.
+RANGES = 1_000
+#: Of the writer: scan numbers that go to one file, and the bytes up to which an array is not compressed.
+SCANS, SHORT = 25_000, 512
 Groups = dict[str, dict[str, str]]
 
 
+@lru_cache(1024)
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
 def _name(node) -> str:
-    return node.tag.rpartition("}")[2]
+    return _local(node.tag)
 
 
 def _params(node, groups: Groups) -> dict[str, str]:
     """Parameters of an element, those of the groups that it refers to first."""
     out: dict[str, str] = {}
+    own: dict[str, str] = {}
     for c in node:
-        if _name(c) == "referenceableParamGroupRef":
+        name = _local(c.tag)
+        if name == "cvParam":
+            own[c.get("accession")] = c.get("value") or ""
+        elif name == "referenceableParamGroupRef":
             if c.get("ref") not in groups:
                 raise ValueError(f"no such parameter group: {c.get('ref')}")
             out |= groups[c.get("ref")]
-    return out | {c.get("accession"): c.get("value") or "" for c in node if _name(c) == "cvParam"}
+    return out | own
 
 
 def _under(node, name: str) -> Iterator:
@@ -64,7 +78,7 @@ def _values(node, kind: dict[str, str]) -> np.ndarray:
     kinds = [k for k in KINDS if k in kind]
     if len(kinds) != 1 or not (ZLIB in kind or PLAIN in kind):
         raise ValueError(f"an array of a kind that is not read: {sorted(kind)}")
-    return np.frombuffer(zlib.decompress(raw) if ZLIB in kind and raw else raw, KINDS[kinds[0]]).astype(float)
+    return np.frombuffer(zlib.decompress(raw) if ZLIB in kind and raw else raw, KINDS[kinds[0]]).astype(float, copy=False)
 
 
 def head_of(text: bytes) -> tuple[str, Groups]:
@@ -80,14 +94,19 @@ def head_of(text: bytes) -> tuple[str, Groups]:
 def parse_spectrum(text: str, sample: str, groups: Groups | None = None) -> dict:
     """One ``<spectrum>`` element. groups: the file's parameter groups by id."""
     node, groups = ET.fromstring(text), groups or {}
-    own, arrays = _params(node, groups), {}
-    for a in _under(node, "binaryDataArray"):
-        kind = _params(a, groups)
-        name = "mz" if MZ_ARRAY in kind else "intensity" if INTENSITY_ARRAY in kind else None
-        if name:
-            arrays[name] = _values(a, kind)
-    ion = next((_params(x, groups) for x in _under(node, "selectedIon")), {})
-    start = next((_params(x, groups).get(START_TIME) for x in _under(node, "scan")), None)
+    own, arrays, ion, start = _params(node, groups), {}, None, None
+    for x in node.iter():
+        tag = _local(x.tag)
+        if tag == "binaryDataArray":
+            kind = _params(x, groups)
+            name = "mz" if MZ_ARRAY in kind else "intensity" if INTENSITY_ARRAY in kind else None
+            if name:
+                arrays[name] = _values(x, kind)
+        elif tag == "selectedIon" and ion is None:
+            ion = _params(x, groups)
+        elif tag == "scan" and start is None:
+            start = _params(x, groups).get(START_TIME, "")
+    ion = ion or {}
     found = SCAN.search(node.get("id", ""))
     number = lambda k, kind: kind(float(ion[k])) if ion.get(k) else None
     return {
@@ -130,7 +149,7 @@ class _File:
         self.own, self.sample = system.open_input_file(path), _sample(path)
         self.size, head = self.own.size(), b""
         while BEGIN.search(head) is None and len(head) < self.size:
-            head += self.at(len(head), BLOCK)
+            head += self.at(len(head), max(LEAST, len(head)))
         first = BEGIN.search(head)
         self.encoding, self.groups = head_of(head[: first.start()] if first else head)
 
@@ -142,22 +161,22 @@ class _File:
 
     def within(self, start: int, end: int) -> Iterator[bytes]:
         """The elements that begin within [start, end)."""
-        held, offset = b"", start
+        held, offset, done = b"", start, 0
         while True:
-            found = BEGIN.search(held)
+            found = BEGIN.search(held, done)
             if found and offset + found.start() >= end:
                 return
             if found and (stop := held.find(END, found.start())) >= 0:
-                yield held[found.start() : stop + len(END)]
-                held, offset = held[stop + len(END) :], offset + stop + len(END)
+                done = stop + len(END)
+                yield held[found.start() : done]
                 continue
-            if found is None and held:  # a tag may be cut at the block's end
-                keep = min(len(held), 12)
-                held, offset = held[-keep:], offset + len(held) - keep
+            keep = found.start() if found else max(done, len(held) - 12)  # a tag may be cut at the block's end
+            held, offset, done = held[keep:], offset + keep, 0
             # without a begun element, only as much as a tag needs is read beyond the end
             if offset + len(held) >= self.size or (found is None and offset >= end):
                 return
-            held += self.at(offset + len(held), BLOCK)
+            at = offset + len(held)
+            held += self.at(at, max(LEAST, min(BLOCK, end - at), len(held)))
 
     def indexed(self, scans: tuple[int, ...]) -> list[int] | None:
         """The offsets that the closing index names for some scans, None where there is none. It is read in blocks, and only
@@ -188,17 +207,32 @@ class _File:
             yield next(self.within(o, o + 1))
 
 
+def _parts(system: fs.FileSystem, path: str) -> list[fs.FileInfo]:
+    """A sample's file ``<sample>.mzML`` and its further ones, ``<sample>.part-<number>.mzML``: those that there are."""
+    folder, _, name = path.rpartition("/")
+    own = re.compile(re.escape(name.removesuffix(".mzML")) + r"(\.part-\d+)?\.mzML")
+    there = system.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True))
+    return sorted((f for f in there if f.type == fs.FileType.File and own.fullmatch(f.base_name)), key=lambda f: f.path)
+
+
 class MzmlReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         paths = options.get("paths") or options.get("path") or ""
         self.paths = [p for p in paths.split("\n") if p]
         self.ms2_only = options.get("ms2_only", "true").lower() == "true"
+        self.parts = options.get("parts", "false").lower() == "true"
         self.range = int(options.get("range_bytes", RANGE))
         self.scans = tuple(map(int, options["scans"].split(","))) if options.get("scans") else None
 
     def _files(self) -> Iterator[tuple[str, str, int]]:
         for p in self.paths:
             system, inner = fs.FileSystem.from_uri(p) if "://" in p or p.startswith("file:") else (fs.LocalFileSystem(), p)
+            if self.parts:
+                found = _parts(system, inner)
+                if not found:
+                    raise FileNotFoundError(p)
+                yield from ((p[: len(p) - len(inner)] + f.path if p.endswith(inner) else f.path, f.path, f.size) for f in found)
+                continue
             info = system.get_file_info(inner)
             if info.type == fs.FileType.NotFound:
                 raise FileNotFoundError(p)
@@ -211,12 +245,13 @@ class MzmlReader(DataSourceReader):
                     yield root + f.path, f.path, f.size
 
     def partitions(self) -> list[Range]:
-        out = []
-        for path, _, size in self._files():
+        out, files = [], list(self._files())
+        step = max(self.range, min(RANGE, sum(f[2] for f in files) // RANGES))
+        for path, _, size in files:
             if self.scans is not None:
                 out.append(Range(path, 0, size, self.scans))
             else:
-                out += [Range(path, s, min(s + self.range, size)) for s in range(0, size, self.range)]
+                out += [Range(path, s, min(s + step, size)) for s in range(0, size, step)]
         return out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -249,8 +284,8 @@ class PushedReader(MzmlReader):
 
 
 class MzmlSource(DataSource):
-    """``spark.read.format("mzml")``. Options: path, or paths by line; ms2_only; scans, joined by commas; range_bytes; pushdown:
-    whether the session pushes filters to Python sources (spark.sql.python.filterPushdown.enabled)."""
+    """``spark.read.format("mzml")``. Options: path, or paths by line; parts: whether a path stands for a sample's further files
+    too; ms2_only; scans, joined by commas; range_bytes; pushdown: whether the session pushes filters to Python sources (spark.sql.python.filterPushdown.enabled)."""
 
     @classmethod
     def name(cls) -> str:
@@ -274,21 +309,21 @@ def _opened_here(path: str) -> bool:
     return True
 
 
-def scan_mzml(spark: SparkSession, path, ms2_only: bool = True, scans: list[int] | None = None, range_bytes: int = RANGE) -> DataFrame:
+def scan_mzml(spark: SparkSession, path, ms2_only: bool = True, scans: list[int] | None = None, range_bytes: int = RANGE, parts: bool = False) -> DataFrame:
     """Spectra of a file, folder (``*.mzML``, any depth) or list of them; sample is the file's name up to its first dot.
 
-    scans: these alone, by the files' indexes. Where pyarrow has no file system for a path, files are read as text records
+    scans: these alone, by the files' indexes. parts: a path ``<sample>.mzML`` stands for the sample's further files too. Where pyarrow has no file system for a path, files are read as text records
     that end where a spectrum ends; a spectrum there that refers to a parameter group is an error, as the head is in
     another record.
     """
     paths = [path] if isinstance(path, str) else [str(p) for p in path] if isinstance(path, list | tuple) else [str(path)]
     if not all(map(_opened_here, paths)):
-        df = _as_text(spark, paths)
+        df = _as_text(spark, [p.removesuffix(".mzML") + "{.mzML,.part-*.mzML}" for p in paths] if parts else paths)
         df = df if scans is None else df.where(F.col("scan").isin(*scans))
         return df.where("ms_level <> 1") if ms2_only else df
     spark.dataSource.register(MzmlSource)
     pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    own = {"paths": "\n".join(paths), "ms2_only": str(ms2_only).lower(), "range_bytes": str(range_bytes), "pushdown": pushed}
+    own = {"paths": "\n".join(paths), "ms2_only": str(ms2_only).lower(), "range_bytes": str(range_bytes), "pushdown": pushed, "parts": str(parts).lower()}
     if scans is not None:
         own["scans"] = ",".join(map(str, scans))
     return spark.read.format("mzml").options(**own).load()
@@ -323,8 +358,8 @@ def get_spectrum(spectra: DataFrame, scan: int, sample: str | None = None) -> Da
 
 
 def load_samples(spark: SparkSession, folder: str, samples: list[str], ms2_only: bool = True) -> DataFrame:
-    """The spectra of several samples: ``<folder>/<sample>.mzML`` each."""
-    return scan_mzml(spark, [f"{folder.rstrip('/')}/{s}.mzML" for s in samples], ms2_only)
+    """The spectra of several samples: ``<folder>/<sample>.mzML`` each, and what write_mzml put in further files."""
+    return scan_mzml(spark, [f"{folder.rstrip('/')}/{s}.mzML" for s in samples], ms2_only, parts=True)
 
 
 #: Fixed form of the file names of numbered fractions.
@@ -362,59 +397,101 @@ def _cv(accession: str, value="") -> str:
     return f'<cvParam cvRef="MS" accession="{accession}" name="" value="{value}"/>'
 
 
-def _array(values: list[float], kind: str) -> str:
-    text = base64.b64encode(zlib.compress(np.asarray(values, "<f8").tobytes())).decode()
-    return f'<binaryDataArray encodedLength="{len(text)}"><referenceableParamGroupRef ref="array"/>{_cv(kind)}<binary>{text}</binary></binaryDataArray>'
+def _array(raw: bytes, kind: str) -> str:
+    """Doubles. Few of them are written as they are: compressed they would be longer."""
+    group = "plain" if len(raw) <= SHORT else "array"
+    text = base64.b64encode(raw if len(raw) <= SHORT else zlib.compress(raw)).decode()
+    return f'<binaryDataArray encodedLength="{len(text)}"><referenceableParamGroupRef ref="{group}"/>{_cv(kind)}<binary>{text}</binary></binaryDataArray>'
+
+
+def _peaks_of(peaks: pa.ListArray) -> Iterator[tuple[bytes, bytes]]:
+    """The bytes of every list's m/z and intensities, by id."""
+    offsets = peaks.offsets.to_numpy()
+    first, sizes = int(offsets[0]), np.diff(offsets)
+    ids, mz, intensity = (c.to_numpy(zero_copy_only=False) for c in peaks.values.slice(first, int(offsets[-1]) - first).flatten())
+    order = np.lexsort((ids, np.repeat(np.arange(len(sizes)), sizes)))
+    mz, intensity = (x[order].astype("<f8").tobytes() for x in (mz, intensity))
+    for a, b in zip((8 * (offsets[:-1] - first)).tolist(), (8 * (offsets[1:] - first)).tolist(), strict=True):
+        yield mz[a:b], intensity[a:b]
 
 
 def write_mzml(spectra: DataFrame, folder: str) -> DataFrame:
-    """Writes spectra (sample, scan, precursor_mz, precursor_charge, peaks: id, mz, intensity) as ``<folder>/<sample>.mzML`` with
-    an index; returns (file, n). A task writes the files of its samples one after another, a spectrum at a time; a file
-    gets its name when it is whole, so a task that is run again does no harm."""
-    groups = f'<referenceableParamGroupList count="2"><referenceableParamGroup id="ms2">{_cv(MS_LEVEL, 2)}</referenceableParamGroup><referenceableParamGroup id="array">{_cv(FLOAT64)}{_cv(ZLIB)}</referenceableParamGroup></referenceableParamGroupList>'
-    head = f'<?xml version="1.0" encoding="utf-8"?>\n<indexedmzML xmlns="http://psi.hupo.org/ms/mzml"><mzML>{groups}<run><spectrumList>\n'
+    """Writes spectra (sample, scan, precursor_mz, precursor_charge, peaks: id, mz, intensity) as mzML files with an index;
+    returns (file, n).
+
+    A sample's scan numbers below SCANS are in ``<folder>/<sample>.mzML``, every SCANS further ones in a file of their own,
+    ``<sample>.part-<number>.mzML``, so the tasks of one sample share its work. A task writes its files one after another, a
+    spectrum at a time; a file gets its name when it is whole, so a task that is run again does no harm. Further files of a
+    sample that an earlier call has left are deleted at the end.
+    """
+    group = lambda name, *cv: f'<referenceableParamGroup id="{name}">{"".join(cv)}</referenceableParamGroup>'
+    groups = group("ms2", _cv(MS_LEVEL, 2)) + group("array", _cv(FLOAT64), _cv(ZLIB)) + group("plain", _cv(FLOAT64), _cv(PLAIN))
+    groups = f'<referenceableParamGroupList count="3">{groups}</referenceableParamGroupList>'
+    head = f'<?xml version="1.0" encoding="utf-8"?>\n<indexedmzML xmlns="http://psi.hupo.org/ms/mzml"><mzML>{groups}<run><spectrumList>\n'.encode()
 
-    def element(scan: int, mz: float | None, charge: int | None, peaks: list[dict]) -> str:
+    def opened() -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+    def element(scan: int | None, mz: float | None, charge: int | None, values: tuple[bytes, bytes]) -> bytes:
         ion = "".join(_cv(a, v) for a, v in ((SELECTED_MZ, mz), (CHARGE, charge)) if v is not None)
         ion = f"<precursorList><precursor><selectedIonList><selectedIon>{ion}</selectedIon></selectedIonList></precursor></precursorList>" if ion else ""
-        arrays = _array([p["mz"] for p in peaks], MZ_ARRAY) + _array([p["intensity"] for p in peaks], INTENSITY_ARRAY)
-        return f'<spectrum id="scan={scan}"><referenceableParamGroupRef ref="ms2"/>{ion}<binaryDataArrayList>{arrays}</binaryDataArrayList></spectrum>\n'
+        arrays = _array(values[0], MZ_ARRAY) + _array(values[1], INTENSITY_ARRAY)
+        return f'<spectrum id="scan={scan}"><referenceableParamGroupRef ref="ms2"/>{ion}<binaryDataArrayList>{arrays}</binaryDataArrayList></spectrum>\n'.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system, root = opened()
         system.create_dir(root)
-        out, name, n = None, None, 0
+        out, own, n, at = None, None, 0, 0
         scans, offsets = array("q"), array("q")  # 16 bytes a spectrum
 
         def closed() -> pa.RecordBatch:
             out.write(b"</spectrumList></run></mzML>\n")
-            at = out.tell()
             out.write(b'<indexList count="1"><index name="spectrum">\n')
             for i in range(0, len(offsets), 10_000):
                 out.write("".join(f'<offset idRef="scan={s}">{o}</offset>\n' for s, o in zip(scans[i : i + 10_000], offsets[i : i + 10_000], strict=True)).encode())
-            out.write(f"</index></indexList>\n<indexListOffset>{at}</indexListOffset></indexedmzML>\n".encode())
+            begin = at + len(b"</spectrumList></run></mzML>\n")
+            out.write(f"</index></indexList>\n<indexListOffset>{begin}</indexListOffset></indexedmzML>\n".encode())
             out.close()
-            system.move(begun, f"{root}/{name}.mzML")
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}.mzML"]), pa.array([n], pa.int64())], names=["file", "n"])
+            name = f"{own[0]}.part-{own[1]:06d}.mzML" if own[1] else f"{own[0]}.mzML"
+            system.move(begun, f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([own[0]]), pa.array([name]), pa.array([n], pa.int64())], names=["sample", "name", "n"])
 
         for b in batches:
-            for r in b.to_pylist():
-                if r["sample"] != name:
+            for *key, scan, mz, charge, values in zip(*(b.column(i).to_pylist() for i in range(5)), _peaks_of(b.column(5)), strict=True):
+                if key != own:
                     if out is not None:
                         yield closed()
-                    name, n, scans, offsets = r["sample"], 0, array("q"), array("q")
-                    begun = f"{root}/_{name}-{TaskContext.get().taskAttemptId()}"
-                    out = system.open_output_stream(begun)
-                    out.write(head.encode())
+                    own, n, scans, offsets = key, 0, array("q"), array("q")
+                    begun = f"{root}/_{key[0]}-{key[1]}-{TaskContext.get().taskAttemptId()}"
+                    out = system.open_output_stream(begun, buffer_size=BLOCK)
+                    out.write(head)
+                    at = len(head)
                 n += 1
-                if r["scan"] is not None:
-                    scans.append(r["scan"])
-                    offsets.append(out.tell())
-                out.write(element(r["scan"], r["precursor_mz"], r["precursor_charge"], sorted(r["peaks"] or [], key=lambda p: p["id"])).encode())
+                if scan is not None:
+                    scans.append(scan)
+                    offsets.append(at)
+                text = element(scan, mz, charge, values)
+                out.write(text)
+                at += len(text)
         if out is not None:
             yield closed()
 
-    df = spectra.select("sample", "scan", "precursor_mz", "precursor_charge", "peaks").where("sample is not null")
-    return df.repartition("sample").sortWithinPartitions("sample", "scan").mapInArrow(run, "file string, n long")
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened()
+        written: dict[str, list[tuple[str, int]]] = {}
+        for b in batches:
+            for sample, name, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                written.setdefault(sample, []).append((name, n))
+        for sample, files in written.items():
+            names = {name for name, _ in files}
+            for f in _parts(system, f"{root}/{sample}.mzML"):
+                if f.base_name not in names:
+                    system.delete_file(f.path)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}" for name, _ in files]), pa.array([n for _, n in files], pa.int64())], names=["file", "n"])
+
+    block = F.floor(F.abs(F.coalesce("scan", F.lit(0))) / SCANS).alias("block")
+    df = spectra.where("sample is not null").select("sample", block, "scan", "precursor_mz", "precursor_charge", "peaks")
+    files = df.repartition("sample", "block").sortWithinPartitions("sample", "block", "scan").mapInArrow(run, "sample string, name string, n long")
+    return files.repartition("sample").mapInArrow(ended, "file string, n long")
