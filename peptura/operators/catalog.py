@@ -10,14 +10,17 @@ shuffled, the k-mers are not. Ids within a block are the first one and then gaps
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masses import DEFAULT_PPM
 from .ions import peak_probes
-from .kmers import by_protein, kmer_masses, kmers
+from .kmers import by_protein, holders, kmer_masses, together
 
 BLOCK_NAMES = 256
 
@@ -70,19 +73,52 @@ def kmer_postings(proteins: DataFrame, max_k: int, min_k: int = 1, names: int =
     """kmer, block, piece, n, first, gaps: the proteins (prot_id, any integers) that hold a k-mer, in rows of at most
     ``names``. A row's ids are ``first`` and then the sums of the gaps."""
     blocks = max(1, -(-proteins.count() // names))
-    dealt = proteins.where("prot_id is not null").withColumn("block", F.pmod(F.xxhash64("prot_id"), F.lit(blocks)))
-    df = kmers(by_protein(dealt, "block"), max_k, min_k, keep=("block", "prot_id"))
-    df = df.groupBy("kmer", "block").agg(F.sort_array(F.collect_set("prot_id")).alias("ids"))  # no more than the block's proteins
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / names).cast("int")), lambda i: F.slice("ids", i * names + 1, names))
-    df = df.select("kmer", "block", F.posexplode(pieces).alias("piece", "ids"))
-    gaps = F.zip_with(F.slice("ids", 2, F.size("ids")), F.slice("ids", 1, F.size("ids") - 1), lambda b, a: (b - a).cast("long"))
-    return df.select("kmer", "block", "piece", F.size("ids").alias("n"), F.get("ids", F.lit(0)).cast("long").alias("first"), gaps.alias("gaps"))
-
-
-def posting_ids(postings: DataFrame) -> DataFrame:
-    """kmer, prot_id: a row for each protein."""
-    sums = F.aggregate("gaps", F.array("first"), lambda out, g: F.concat(out, F.array(F.element_at(out, -1) + g)))
-    return postings.select("kmer", F.explode(sums).alias("prot_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, before = None, 0  # pieces that a k-mer may have already, where a block has more letters than are taken together
+        for rows, texts, owners in together(batches):
+            block, before = rows[0][0], before if rows[0][0] == block else 0
+            every = np.array([r[1] for r in rows], np.int64)
+            for words, offsets, held in holders(texts, owners, max_k, min_k):
+                pieces = -(-np.diff(offsets) // names)
+                word = np.repeat(np.arange(len(words)), pieces)
+                piece = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                begins = offsets[:-1][word] + piece * names
+                sizes = np.diff(begins, append=offsets[-1])
+                ids = every[held]
+                gaps = np.delete(np.diff(ids, prepend=0), begins)
+                columns = [pa.array(words).take(pa.array(word)), pa.array(np.full(len(word), block, np.int64)), pa.array((before + piece).astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(ids[begins])]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes - 1)), pa.int32()), pa.array(gaps)))
+                yield pa.RecordBatch.from_arrays(columns, names=["kmer", "block", "piece", "n", "first", "gaps"])
+            before += -(-len(rows) // names)
+
+    dealt = proteins.where("prot_id is not null and seq is not null").withColumn("block", F.pmod(F.xxhash64("prot_id"), F.lit(blocks)))
+    dealt = by_protein(dealt, "block").select("block", F.col("prot_id").cast("long").alias("prot_id"), "seq").sortWithinPartitions("block", "prot_id")
+    return dealt.mapInArrow(run, "kmer string, block long, piece int, n int, first long, gaps array<long>")
+
+
+def posting_ids(postings: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """kmer, prot_id, and kept columns: a row for each protein."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, gaps = b.column(0).to_numpy(), b.column(1)
+            offsets = gaps.offsets.to_numpy()
+            more = gaps.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_numpy()
+            sizes = np.diff(offsets) + 1
+            begins = np.cumsum(sizes) - sizes
+            sums = np.empty(len(more) + len(first), np.int64)
+            steps = np.ones(len(sums), bool)
+            steps[begins] = False
+            sums[steps] = more
+            sums[begins] = np.diff(first, prepend=0)
+            # a row's begin is reached from the last id of the row before
+            sums[begins[1:]] -= np.add.reduceat(np.where(steps, sums, 0), begins)[:-1] if len(begins) > 1 else 0
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([b.column(2).take(rows), pa.array(np.cumsum(sums)), *[c.take(rows) for c in b.columns[3:]]], names=["kmer", "prot_id", *keep])
+
+    kinds = ", ".join(["kmer string", "prot_id long", *[f"`{c}` {postings.schema[c].dataType.simpleString()}" for c in keep]])
+    return postings.select("first", "gaps", "kmer", *keep).mapInArrow(run, kinds)
 
 
 def proteins_of(postings: DataFrame, asked: DataFrame) -> DataFrame:

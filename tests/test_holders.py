@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from peptura.functions.sequences import DISALLOWED
-from peptura.operators import kmers
+from peptura.operators import catalog, kmers
 
 
 def _held(texts, owners, k):
@@ -47,3 +47,14 @@ def test_lists_are_shuffled_and_not_pairs(spark, monkeypatch, most):
         assert {r["kmer"]: r["proteins"] for r in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "explode" not in plan.lower()  # one row a place before
+    for names in (3, 256):
+        found = catalog.kmer_postings(df, 3, 2, names)
+        places = [(r["kmer"], r["block"], r["piece"]) for r in found.collect()]
+        assert len(set(places)) == len(places) and max(r["n"] for r in found.collect()) <= names
+        ids = catalog.posting_ids(found, keep=("n",)).collect()
+        assert len({(r["kmer"], r["prot_id"]) for r in ids}) == len(ids)
+        back = {}
+        for r in ids:
+            back.setdefault(r["kmer"], []).append(r["prot_id"])
+        assert {w: sorted(x) for w, x in back.items()} == want
+    assert "lambda" not in catalog.posting_ids(found)._jdf.queryExecution().executedPlan().toString()
