@@ -96,3 +96,19 @@ def test_an_index_is_not_held_for_a_lookup(tmp_path):
     tracemalloc.stop()
     print("MB", most)
     assert found == [one.format(7).strip().encode(), one.format(n - 1).strip().encode()] and most < 8
+
+
+def test_pairs_are_dealt_as_pieces_were(spark):
+    from peptura.operators.hybrids import hybrid_pairs
+    from peptura.operators.keys import SPECTRUM
+
+    rows = [("s", i, side, piece, [f"p{i}"]) for i in range(60) for side, piece in (("L", "ACD"), ("R", "EFG"))]
+    found = spark.createDataFrame(rows, "sample string, scan long, side string, piece string, proteins array<string>")
+    spectra = spark.range(60).select(F.lit("s").alias("sample"), F.col("id").alias("scan"), F.lit(2).alias("precursor_charge"))
+    from peptura.functions.masses import aa_mass, y_mz
+
+    spectra = spectra.withColumn("precursor_mz", y_mz(aa_mass(F.lit("ACDEFG")), F.col("precursor_charge")))
+    for parts, want in ((9, 9), (2, None)):  # of four by the session
+        pairs = hybrid_pairs(found.repartition(parts, *SPECTRUM), spectra.transform(dealt, 60, *SPECTRUM, rows=-(-60 // parts)))
+        assert want is None or pairs.rdd.getNumPartitions() == want
+        assert sorted((r["scan"], r["left_seq"], r["right_seq"]) for r in pairs.collect()) == [(i, "ACD", "EFG") for i in range(60)]
