@@ -112,3 +112,14 @@ def test_pairs_are_dealt_as_pieces_were(spark):
         pairs = hybrid_pairs(found.repartition(parts, *SPECTRUM), spectra.transform(dealt, 60, *SPECTRUM, rows=-(-60 // parts)))
         assert want is None or pairs.rdd.getNumPartitions() == want
         assert sorted((r["scan"], r["left_seq"], r["right_seq"]) for r in pairs.collect()) == [(i, "ACD", "EFG") for i in range(60)]
+
+
+@pytest.mark.parametrize("name", ["best_complement"])
+def test_what_is_made_of_spectra_stays_dealt(spark, tmp_path, name):
+    """No step of a query puts the spectra back into few partitions, as a grouping by the session's four would."""
+    from peptura.queries import matching
+
+    df = getattr(retired if name == "best_complement" else matching, name)(_tables(spark, tmp_path, 8 * ROWS))
+    spectrum = ["prec_id"] if name == "best_complement" else ["sample", "scan"]
+    own = df.select(F.spark_partition_id().alias("at"), *spectrum).distinct().groupBy("at").count().agg(F.sum("count"), F.max("count")).first()
+    assert own[0] > 4 * ROWS and own[1] < 2 * ROWS
