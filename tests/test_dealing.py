@@ -114,7 +114,7 @@ def test_pairs_are_dealt_as_pieces_were(spark):
         assert sorted((r["scan"], r["left_seq"], r["right_seq"]) for r in pairs.collect()) == [(i, "ACD", "EFG") for i in range(60)]
 
 
-@pytest.mark.parametrize("name", ["best_complement", "cluster_filter", "clusters", "extend_cluster", "pieces", "position_ions", "piece_proteins"])
+@pytest.mark.parametrize("name", ["best_complement", "cluster_filter", "clusters", "extend_cluster", "pieces", "position_ions", "piece_proteins", "_hybrids"])
 def test_what_is_made_of_spectra_stays_dealt(spark, tmp_path, name):
     """No step of a query puts the spectra back into few partitions, as a grouping by the session's four would."""
     from peptura.queries import matching
