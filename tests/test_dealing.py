@@ -71,6 +71,43 @@ def test_contained_queries_of_any_length(spark, monkeypatch, few):
     assert got == sorted({q for q in asked if any(q in s for s in seqs)})
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_windows_of_texts_are_no_rows_of_a_plan(spark, monkeypatch, capsys, few):
+    from peptura.operators import kmers
+
+    monkeypatch.setattr(kmers, "FEW_QUERIES", few)
+    proteins = spark.createDataFrame([("ACDEFGHI" * 40,), ("\u00e9\u20acA\0",), ("CA",), ("",), (None,)], "seq string")
+    asked = ["EFGHIA", "\u20acA", "\u00e9\u20ac", "\0", "A\0C", "AC", "IC", "\u20ad", "CAA", "", None]
+    df = kmers.contains_seq(proteins, spark.createDataFrame([(q,) for q in asked], "query string"))
+    assert sorted(r[0] for r in df.collect()) == ["", "\0", "AC", "EFGHIA", "\u00e9\u20ac", "\u20acA"]
+    df.explain("formatted")
+    assert "Generate" not in capsys.readouterr().out  # each letter of a text was a row, or several
+
+
+def test_stretches_and_letters_are_not_cut(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from peptura.operators import kmers
+
+    random.seed(6)
+    texts = ["".join(random.choices("AC\u00e9\u20ac\0", k=n)) for n in (0, 1, 40, 0, 3, 17, 300, 0)]
+    batches = [pa.record_batch([pa.array(part, pa.string())], ["seq"]) for part in (texts[:3], [], texts[2:])]
+    batches.append(pa.record_batch([pa.array(["xx", *texts, "yy"], pa.large_string())], ["seq"]).slice(1, len(texts)))
+    there = {t[i : i + k] for t in texts for k in range(1, 17) for i in range(len(t) - k + 1)}
+    asked = sorted(there | {q[:-1] + "D" for q in there} | {q[1:] + q[:1] for q in there})
+    want = sorted(q for q in asked if any(q in t for t in texts))
+    for step in (1, 5, 64, 1 << 20):
+        monkeypatch.setattr(kmers, "STRETCH", step)
+        monkeypatch.setattr(kmers, "LETTERS", 4 * step)
+        got = [q for b in kmers.held(iter(batches), kmers.by_size(asked)) for q in b.column(0).to_pylist()]
+        assert sorted(got) == want
+        sizes = sorted({len(q.encode()) for q in there})
+        got = {q for b in kmers.windows(iter(batches), sizes) for q in b.column(0).to_pylist()}
+        assert there <= got and all(any(q in t for t in texts) for q in got)
+
+
 def test_an_index_is_not_held_for_a_lookup(tmp_path):
     import tracemalloc
 
